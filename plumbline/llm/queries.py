@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, line_dedup, secret_scan, token_output, url_filter
+from plumbline.llm import decontaminate, language_id, line_dedup, media_columns, mixing, secret_scan, simhash, token_output, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,10 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_token_output": token_output.op5_token_output,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_simhash": simhash.op7_simhash,
+    "op8_language_id": language_id.op8_language_id,
+    "op9_media_columns": media_columns.op9_media_columns,
 }
 
 ORACLE_SQL = {
