@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, language_id, line_dedup, media_columns, mixing, secret_scan, simhash, token_output, url_filter
+from plumbline.llm import ctw, decontaminate, language_id, line_dedup, media_columns, mixing, secret_scan, simhash, token_output, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_language_id": language_id.op8_language_id,
     "op9_media_columns": media_columns.op9_media_columns,
+    "op10_ctw": ctw.op10_ctw,
 }
 
 ORACLE_SQL = {

@@ -240,6 +240,22 @@ def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, block
     return prints.join(classes, "fingerprint").select("doc_id", "version", "fingerprint", "component_id")
 
 
+def keep_one(documents: DataFrame, radius: int = 4) -> DataFrame:
+    """``documents`` without near duplicates: of each component, one row with its smallest doc_id stays.
+
+    Of several rows with that doc_id the one with the smallest text hash stays,
+    and of rows equal in id and text one.  A component with null ids only keeps
+    one of them.
+    """
+    scratch = Scratch(documents.sparkSession, "simhash-keep")
+    found = near_duplicates(documents, radius)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "fingerprint").agg(F.min("version").alias("version"))
+    kept = scratch.put(kept.groupBy("component_id").agg(F.min("version").alias("_version")).withColumnRenamed("component_id", "_doc"), "kept")
+    version = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (version == F.col("_version"))
+    return documents.join(kept, same, "left_semi").dropDuplicates(["doc_id"])
+
+
 def hex_of(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
