@@ -34,6 +34,8 @@ from plumbline.llm.scratch import Scratch
 
 _WORD = tb.nonspace_table()
 _BITS = 64
+#: Stands for a null doc_id in join keys.
+_NO_ID = -(2**63)
 
 
 def _fingerprints(column: pa.Array, n: int, seed: int) -> np.ndarray:
@@ -221,10 +223,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, blocks: int | None = None) -> DataFrame:
-    """``(doc_id, version, fingerprint, component_id)``, one row per row of ``documents``.
+    """``(doc_id, version, fingerprint, component, component_id)``, one row per row of ``documents``.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked;
-    ``component_id`` is the smallest doc_id of all that links reach.  Null, empty
+    ``component`` is the smallest fingerprint and ``component_id`` the smallest
+    doc_id of all that links reach.  Null, empty
     and blank texts have fingerprint zero and are linked like any other.  Null
     doc_ids are linked but name no component unless it has no other id; rows with
     equal ids are separate rows.  An empty table gives an empty result.
@@ -236,24 +239,23 @@ def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, block
     labelled = points.join(found.select(F.col("node").alias("fingerprint"), "component"), "fingerprint", "left")
     labelled = scratch.put(labelled.select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")), "labelled")
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(least, "component").select("fingerprint", "component_id")
-    return prints.join(classes, "fingerprint").select("doc_id", "version", "fingerprint", "component_id")
+    classes = labelled.join(least, "component").select("fingerprint", "component", "component_id")
+    return prints.join(classes, "fingerprint").select("doc_id", "version", "fingerprint", "component", "component_id")
 
 
 def keep_one(documents: DataFrame, radius: int = 4) -> DataFrame:
     """``documents`` without near duplicates: of each component, one row with its smallest doc_id stays.
 
     Of several rows with that doc_id the one with the smallest text hash stays,
-    and of rows equal in id and text one.  A component with null ids only keeps
-    one of them.
+    and of rows equal in id and text one.  A null id counts as larger than others.
     """
     scratch = Scratch(documents.sparkSession, "simhash-keep")
     found = near_duplicates(documents, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "fingerprint").agg(F.min("version").alias("version"))
-    kept = scratch.put(kept.groupBy("component_id").agg(F.min("version").alias("_version")).withColumnRenamed("component_id", "_doc"), "kept")
-    version = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (version == F.col("_version"))
-    return documents.join(kept, same, "left_semi").dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "version")).alias("first")
+    kept = found.groupBy("component").agg(first).select(F.coalesce("first.doc_id", F.lit(_NO_ID)).alias("_doc"), F.col("first.version").alias("_version"))
+    kept = scratch.put(kept, "kept")
+    keys = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_version": F.xxhash64(F.coalesce("text", F.lit("")))}
+    return documents.withColumns(keys).join(kept, ["_doc", "_version"], "left_semi").dropDuplicates(["_doc", "_version"]).select(*documents.columns)
 
 
 def hex_of(fingerprint: Column) -> Column:
