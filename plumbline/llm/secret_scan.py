@@ -96,10 +96,8 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules_ve
         unseen = unseen.join(ledger.where(F.col("rules_version") == rules_version).select("blob"), "blob", "left_anti")
     todo = paths.select("blob", doc.alias("_doc"), text.alias("text")).join(unseen, ["blob", "_doc"], "left_semi")
     scanned = scan_texts(todo).select("blob", F.lit(rules_version).alias("rules_version"), "spans")
-    new = scratch.put(scanned.where(F.size("spans") > 0), "found")
-    # Blobs without findings are part of the ledger too; they are known by digest alone.
-    clean = scratch.put(unseen.select("blob"), "scanned").join(new.select("blob"), "blob", "left_anti")
-    added = new.dropDuplicates(["blob"]).unionByName(clean.select("blob", F.lit(rules_version).alias("rules_version"), F.array().cast(_SPANS).alias("spans")))
+    # Written before any filter on spans, which would pull the scan below the join and over all texts.
+    added = scratch.put(scanned, "scanned").dropDuplicates(["blob"])
     whole = added if ledger is None else ledger.unionByName(added)
     findings = whole.where((F.col("rules_version") == rules_version) & (F.size("spans") > 0)).select("blob", "spans")
     out = paths.join(findings, "blob", "left")
