@@ -1,0 +1,125 @@
+"""Corpus checks as one finding table, admission rules and the promotion gate.
+
+A check is a function to findings ``(severity, category, path, message)``; one
+whose inputs say nothing (no links at all, no types used) is listed as skipped.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.functions.text import fold
+
+# Rules that any text is scanned for, (id, category, pattern).
+SCAN_RULES = (
+    ("ignore-previous", "prompt_injection", r"(?i)ignore\s+(all\s+|any\s+)?(the\s+)?(previous|prior|above|earlier)\s+(instruction|prompt|rule)s?"),
+    ("control-token", "prompt_injection", r"<\|(im_start|im_end|system|user|assistant)\|>"),
+    ("send-to-url", "data_exfiltration", r"(?i)(send|post|upload|forward)\s+(the\s+|all\s+|your\s+)?(content|data|file|secret|token|password)s?\s+to\s+https?://"),
+    ("image-beacon", "data_exfiltration", r"!\[[^\]]*\]\(\s*https?://[^)\s]*[?&](q|d|data|payload|prompt)=[^)\s]*\)"),
+    ("standing-directive", "memory_poisoning", r"(?i)from\s+now\s+on,?\s+you\s+(must|should|will)"),
+    ("pipe-to-shell", "tool_misuse", r"(?i)(curl|wget)\s[^\n|]{1,200}\|\s*(sudo\s+)?(ba|z)?sh"),
+    ("private-key", "secret", r"-----BEGIN ([A-Z]+ )?PRIVATE KEY-----"),
+    ("access-key", "secret", r"(AKIA|ASIA)[0-9A-Z]{16}"),
+    ("long-hex", "secret", r"[0-9a-f]{32}"),
+    ("email", "personal", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]{2,}"),
+)
+
+
+def scan_rules(texts: DataFrame, body: str, rules=SCAN_RULES) -> DataFrame:
+    """``(doc_id, rule, category, match)``: the first match of each rule, one column per rule and no join."""
+    found = [F.struct(F.lit(i).alias("rule"), F.lit(k).alias("category"), F.nullif(F.regexp_extract(F.coalesce(body, F.lit("")), p, 0), F.lit("")).alias("match")) for i, k, p in rules]
+    rows = texts.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x["match"].isNotNull())).alias("x"))
+    return rows.select("doc_id", "x.rule", "x.category", "x.match")
+
+
+def scan_coverage(stages_run: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """``(doc_id, missing)`` of documents ``(doc_id, stages)`` that lack a stage."""
+    missing = F.array_except(F.array(*map(F.lit, wanted)), "stages")
+    return stages_run.select("doc_id", F.array_join(missing, ",").alias("missing")).where(F.col("missing") != "")
+
+
+def finding(rows: DataFrame, severity: str, category: str, path: Column, message: Column) -> DataFrame:
+    return rows.select(F.lit(severity).alias("severity"), F.lit(category).alias("category"), path.cast("string").alias("path"), message.cast("string").alias("message"))
+
+
+def check_all(checks: list[tuple[DataFrame, str, str, Column, Column]]) -> DataFrame:
+    """All findings of checks ``(rows, severity, category, path, message)``."""
+    return reduce(DataFrame.unionByName, (finding(*check) for check in checks))
+
+
+def quote_check(quotes: DataFrame, texts: DataFrame, least_words: int = 6) -> DataFrame:
+    """``(quote_id, quote, source)`` against ``(source, text)``: found, missing, or unchecked if short or without text."""
+    rows = quotes.join(texts.withColumnRenamed("text", "_text"), "source", "left")
+    quote = fold(F.col("quote"))
+    short = F.size(F.split(quote, " ")) < least_words
+    state = F.when(short | F.col("_text").isNull(), "unchecked").when(F.contains(fold(F.col("_text")), quote), "found").otherwise("missing")
+    return rows.select("quote_id", "source", state.alias("state"))
+
+
+def drift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(uri, old_sha, quotes)`` against ``(uri, new_sha, text)``.
+
+    Equal hashes: none; no new text or hash: unchecked; any quote gone:
+    unsupported, with how many; else benign.
+    """
+    rows = old.join(new, "uri", "left")
+    lost = F.size(F.filter("quotes", lambda q: ~F.contains(fold(F.col("text")), fold(q))))
+    state = (
+        F.when(F.col("new_sha").isNull() | F.col("old_sha").isNull(), "unchecked").when(F.col("new_sha") == F.col("old_sha"), "none")
+        .when(F.col("text").isNull(), "unchecked").when(lost > 0, "unsupported").otherwise("benign")
+    )
+    return rows.select("uri", state.alias("drift"), F.when(state == "unsupported", lost).otherwise(0).alias("lost"))
+
+
+SIGNALS = ("conformance", "duplication", "evidence", "provenance", "hedging", "security", "conflict")
+
+
+def gate_decision(signals: DataFrame) -> DataFrame:
+    """``(doc_id, decision, failed, unchecked)`` from one column per signal: pass, fail or unchecked.
+
+    Any fail: refused; any unchecked: needs_human; else approved.
+    """
+    listed = F.array(*[F.struct(F.lit(s).alias("name"), F.col(s).alias("state")) for s in SIGNALS])
+
+    def named(state: str) -> Column:
+        return F.array_join(F.transform(F.filter(listed, lambda x: x["state"] == state), lambda x: x["name"]), ",")
+
+    decision = F.when(named("fail") != "", "refused").when(named("unchecked") != "", "needs_human").otherwise("approved")
+    return signals.select("doc_id", decision.alias("decision"), named("fail").alias("failed"), named("unchecked").alias("unchecked"))
+
+
+def ordered_state(ok: Column, checked: Column | None = None) -> Column:
+    state = F.when(ok, "pass").otherwise("fail")
+    return state if checked is None else F.when(checked, state).otherwise("unchecked")
+
+
+def log_entries(logs: DataFrame) -> DataFrame:
+    """Dated notes ``(log_id, date, line)`` of logs ``(log_id, text)`` under ``## YYYY-MM-DD`` headings.
+
+    A heading indented by four or more blanks is code; lines before the first
+    heading have no date and are left out.
+    """
+    from pyspark.sql import Window as W
+
+    rows = logs.select("log_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    date = F.regexp_extract("line", r"^ {0,3}## ([0-9]{4}-[0-9]{2}-[0-9]{2})\s*$", 1)
+    rows = rows.withColumn("_date", F.nullif(date, F.lit("")))
+    carried = F.last("_date", ignorenulls=True).over(W.partitionBy("log_id").orderBy("pos"))
+    rows = rows.withColumn("date", carried).where(F.col("date").isNotNull() & F.col("_date").isNull() & (F.trim("line") != ""))
+    return rows.select("log_id", "date", F.trim("line").alias("line"))
+
+
+def empty_sections(pages: DataFrame) -> DataFrame:
+    """Headings ``(doc_id, heading)`` with no line before a heading of the same or a higher level."""
+    from pyspark.sql import Window as W
+
+    rows = pages.select("doc_id", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line")).where(F.trim("line") != "")
+    level = F.char_length(F.regexp_extract("line", r"^(#{1,6}) ", 1))
+    rows = rows.withColumn("level", F.when(level > 0, level))
+    w = W.partitionBy("doc_id").orderBy("pos")
+    rows = rows.withColumn("next_level", F.lead("level").over(w)).withColumn("last", F.lead("pos").over(w).isNull())
+    empty = F.col("level").isNotNull() & (F.col("last") | (F.col("next_level") <= F.col("level")))
+    return rows.where(empty).select("doc_id", F.trim(F.regexp_replace("line", r"^#+", "")).alias("heading"))
