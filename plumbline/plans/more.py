@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as fx
 from plumbline.operators import checks, conflict, evidence, graph, sampling, search, trail
-from plumbline.plans.queries import _BM25, _DURABLE, _LAST, _RANK, _SENTENCES, NOW, TERMS
+from plumbline.plans.queries import _BM25, _DURABLE, _LAST, _RANK, _SENTENCES, TERMS, now
 from plumbline.plans.registry import query
 from plumbline.sources.bind import Corpus
 from plumbline.streaming import trail as streams
@@ -141,7 +141,7 @@ def _findings(c: Corpus):
         (docs.where(F.trim("status") == ""), "error", "conformance", F.col("path"), F.col("title")),
         (conflict.duplicate_titles(docs), "warning", "duplicate-title", F.col("first_doc"), F.col("title")),
         (dangling, "error", "dangling-path", F.col("doc_id"), F.col("first_path")),
-        (docs.where(F.col("stale_after") <= NOW), "warning", "stale", F.col("path"), F.col("title")),
+        (docs.where(F.col("stale_after") <= now()), "warning", "stale", F.col("path"), F.col("title")),
     ])
 
 
@@ -159,9 +159,9 @@ def _(c):
 SELECT doc_id, CASE WHEN DATE '2003-06-01' >= stale_after THEN 'declared' ELSE 'unchecked-for-long' END AS reason FROM docs LEFT JOIN s USING (doc_id) WHERE DATE '2003-06-01' >= stale_after OR (k = n AND date_diff('day', oldest::DATE, DATE '2003-06-01') >= 180 AND type <> '5-LOW')""")
 def _(c):
     docs = c.documents()
-    rows = docs.join(evidence.freshness_document(docs, c.citations(), c.checks(), NOW).select("doc_id", "oldest"), "doc_id")
-    old = F.col("oldest").isNotNull() & (F.datediff(NOW, F.col("oldest").cast("date")) >= 180) & (F.col("type") != "5-LOW")
-    declared = NOW >= F.col("stale_after")
+    rows = docs.join(evidence.freshness_document(docs, c.citations(), c.checks(), now()).select("doc_id", "oldest"), "doc_id")
+    old = F.col("oldest").isNotNull() & (F.datediff(now(), F.col("oldest").cast("date")) >= 180) & (F.col("type") != "5-LOW")
+    declared = now() >= F.col("stale_after")
     return rows.where(declared | old).select("doc_id", F.when(declared, "declared").otherwise("unchecked-for-long").alias("reason"))
 
 

@@ -13,8 +13,16 @@ from plumbline.plans.registry import ORACLE_SQL, QUERIES, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-NOW = F.lit("2003-06-01").cast("date")
-SINCE = F.lit("2024-01-15").cast("timestamp")
+
+
+def now():
+    return F.lit("2003-06-01").cast("date")
+
+
+def since():
+    return F.lit("2024-01-15").cast("timestamp")
+
+
 #: Terms that occur in the given prose.
 TERMS = ["the", "therea", "onshe"]
 
@@ -117,7 +125,7 @@ def _(c):
 
 @query("log_since", "SELECT line, op, path FROM trail WHERE \"at\" >= TIMESTAMP '2024-01-15'")
 def _(c):
-    return c.trail().where(F.col("at") >= SINCE).select("line", "op", "path")
+    return c.trail().where(F.col("at") >= since()).select("line", "op", "path")
 
 
 @query("prior_rationales", "SELECT line, actor, \"at\" FROM trail WHERE op = 'promote' AND outcome = 'ok' AND path = 'c/7'")
@@ -252,13 +260,13 @@ _LAST = 'last_check AS (SELECT uri, version, "at", drift FROM checks QUALIFY row
 @query("freshness_document", f"""WITH {_LAST}, s AS (SELECT doc_id, count(*) AS n, count("at") AS k, min("at") AS oldest FROM (SELECT DISTINCT doc_id, uri, version FROM citations) LEFT JOIN last_check USING (uri, version) GROUP BY 1)
 SELECT doc_id, CASE WHEN n IS NULL THEN 'not_applicable' WHEN k < n THEN 'unknown' WHEN DATE '2003-06-01' >= stale_after THEN 'stale' ELSE 'fresh' END AS freshness, CASE WHEN k = n THEN oldest END AS oldest FROM docs LEFT JOIN s USING (doc_id)""")
 def _(c):
-    return evidence.freshness_document(c.documents(), c.citations(), c.checks(), NOW)
+    return evidence.freshness_document(c.documents(), c.citations(), c.checks(), now())
 
 
 @query("freshness_claim", f"""WITH {_LAST}, s AS (SELECT doc_id, claim_id, count(*) AS n, count("at") AS k FROM (SELECT DISTINCT doc_id, claim_id, uri, version FROM citations) LEFT JOIN last_check USING (uri, version) GROUP BY ALL)
 SELECT claim_id, CASE WHEN k < n THEN 'unknown' WHEN DATE '2003-06-01' >= stale_after THEN 'stale' ELSE 'fresh' END AS freshness FROM s LEFT JOIN docs USING (doc_id)""")
 def _(c):
-    return evidence.freshness_claim(c.citations(), c.checks(), c.documents(), NOW)
+    return evidence.freshness_claim(c.citations(), c.checks(), c.documents(), now())
 
 
 @query("weakest_drift", f"""WITH {_LAST}, s AS (SELECT doc_id, archive_path, drift FROM (SELECT DISTINCT doc_id, uri, version, archive_path FROM citations) LEFT JOIN last_check USING (uri, version))
@@ -361,7 +369,7 @@ def _(c):
 
 @query("gained", "SELECT count(*) FILTER (WHERE op = 'fetch') AS fetch, count(*) FILTER (WHERE op = 'admit') AS admit, count(*) FILTER (WHERE op = 'promote') AS promote, count(*) FILTER (WHERE op = 'discard') AS discard FROM trail WHERE outcome = 'ok' AND \"at\" >= TIMESTAMP '2024-01-15'")
 def _(c):
-    return trail.gained(c.trail(), SINCE)
+    return trail.gained(c.trail(), since())
 
 
 @query("outstanding", """WITH r AS (SELECT *, max(CASE WHEN op = 'discard' OR (op = 'promote' AND outcome = 'ok') THEN line END) OVER (PARTITION BY path) AS last_reset FROM trail)
@@ -373,7 +381,7 @@ def _(c):
 @query("relay_grade", """WITH f AS (SELECT "at", line FROM trail WHERE op = 'admit' AND outcome = 'ok' AND "at" >= TIMESTAMP '2024-01-15' ORDER BY "at", line LIMIT 1)
 SELECT t.line, t.op, t.actor, t.path FROM trail t, f WHERE t."at" >= TIMESTAMP '2024-01-15' AND (t."at", t.line) < (f."at", f.line) AND t.op <> 'fetch'""")
 def _(c):
-    return trail.relay_grade(c.trail(), SINCE, ("fetch",))
+    return trail.relay_grade(c.trail(), since(), ("fetch",))
 
 
 @query("withheld_claims", "SELECT claim, count(*) AS times, count(DISTINCT path) AS sources FROM (SELECT path, unnest(signals) AS claim FROM trail WHERE op = 'admit' AND outcome <> 'ok') GROUP BY 1")
@@ -409,7 +417,7 @@ def _(c):
 
 @query("unreached_claims", "SELECT claim_id, CASE WHEN m >= TIMESTAMP '2024-01-15' THEN 'observed' ELSE 'quiet' END AS reach FROM claims LEFT JOIN (SELECT claim_id, max(\"at\") AS m FROM retrievals GROUP BY 1) USING (claim_id) WHERE lead IS NOT NULL")
 def _(c):
-    return trail.unreached_claims(c.claims(), c.retrievals(), SINCE)
+    return trail.unreached_claims(c.claims(), c.retrievals(), since())
 
 
 @query("unextracted_count", "SELECT count(*) FILTER (WHERE lead IS NULL OR trim(lead) = '') AS unextracted, count(*) AS claims FROM claims")
@@ -616,7 +624,7 @@ def _(c):
 
 @query("days_since", "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '2003-06-01')::BIGINT AS days FROM orders")
 def _(c):
-    return c.raw("orders").select("o_orderkey", fx.days_between(F.col("o_orderdate").cast("date"), NOW).alias("days"))
+    return c.raw("orders").select("o_orderkey", fx.days_between(F.col("o_orderdate").cast("date"), now()).alias("days"))
 
 
 @query("claim_ref", "SELECT doc_id, claim_id, doc_id || '#' || claim_id AS ref FROM claims")
