@@ -32,9 +32,9 @@ class Model:
     def __init__(self, langs: list[str], words: dict[str, list[int]], grams: dict[str, list[int]], longest: int):
         self.langs, self.longest = langs, longest
         self.words = list(words)
-        self.word_logs = self._logs(np.array(list(words.values()), np.float64).reshape(-1, len(langs)))
+        self.word_logs = self._logs(np.array(list(words.values()), np.float64).reshape(len(words), len(langs)))
         self.grams, sizes = {}, np.array([len(g) for g in grams])
-        counts = np.array(list(grams.values()), np.float64).reshape(-1, len(langs))
+        counts = np.array(list(grams.values()), np.float64).reshape(len(grams), len(langs))
         for n in range(1, longest + 1):
             mine = np.flatnonzero(sizes == n)
             names = list(grams)
