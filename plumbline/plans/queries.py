@@ -55,7 +55,11 @@ def _(c):
     return c.turns().where(F.trim(F.coalesce("text", F.lit(""))) != "")
 
 
-@query("extract_html")
+_HTML = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
+'(?i)<(/?(p|div|li|ul|h[1-6]|article|nav|footer|header|section|tr|table)|br)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), ' ' || chr(10))"""
+
+
+@query("extract_html", f"SELECT page_id, {_HTML} AS text FROM pages")
 def _(c):
     return c.raw("pages").select("page_id", fx.html_text(F.coalesce("html", F.lit(""))).alias("text"))
 
@@ -442,14 +446,17 @@ def _(c):
     return out.withColumn("looser", F.col("before") > F.col("after"))
 
 
-@query("exchanges", """WITH g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM turns)
-SELECT session_id, min(pos) AS pos, max(text) FILTER (WHERE role = 'user' AND trim(coalesce(text, '')) <> '') AS question, string_agg(text, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE role <> 'user' AND trim(coalesce(text, '')) <> '') AS answer FROM g WHERE grp > 0 GROUP BY session_id, grp
-HAVING max(text) FILTER (WHERE role = 'user' AND trim(coalesce(text, '')) <> '') IS NOT NULL AND count(*) FILTER (WHERE role <> 'user' AND trim(coalesce(text, '')) <> '') > 0""")
+_EXCHANGES = """WITH g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM turns),
+ex AS (SELECT session_id, min(pos) AS pos, max(text) FILTER (WHERE role = 'user' AND trim(coalesce(text, '')) <> '') AS question, string_agg(text, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE role <> 'user' AND trim(coalesce(text, '')) <> '') AS answer FROM g WHERE grp > 0 GROUP BY session_id, grp
+HAVING max(text) FILTER (WHERE role = 'user' AND trim(coalesce(text, '')) <> '') IS NOT NULL AND count(*) FILTER (WHERE role <> 'user' AND trim(coalesce(text, '')) <> '') > 0)"""
+
+
+@query("exchanges", _EXCHANGES + " SELECT * FROM ex")
 def _(c):
     return trail.exchanges(c.turns())
 
 
-@query("repeated_questions")
+@query("repeated_questions", _EXCHANGES + r" SELECT split_part(lower(trim(regexp_replace(question, '\s+', ' ', 'g'))), ' ', 1) AS key, count(*) AS asked, arg_min(question, (session_id, pos)) AS question, arg_max(answer, (session_id, pos)) AS answer, count(DISTINCT session_id) AS sessions, CASE WHEN count(DISTINCT session_id) > 1 THEN 'recurring' ELSE 'retried' END AS kind FROM ex GROUP BY 1 HAVING count(*) >= 2")
 def _(c):
     return trail.repeated_questions(trail.exchanges(c.turns()), F.substring_index(fx.fold_lower(F.col("question")), " ", 1))
 
@@ -579,7 +586,7 @@ def _(c):
     return c.texts().select("doc_id", F.posexplode(fx.claims_from_text(F.col("body"), ("of", "the"))).alias("pos", "claim"))
 
 
-@query("parse_bound")
+@query("parse_bound", "SELECT l_orderkey, l_linenumber, '<=' AS op, l_quantity::INTEGER::DOUBLE AS value, 'at most' AS phrase, l_quantity::INTEGER || 'ms' AS raw FROM lineitem")
 def _(c):
     line = F.concat(F.lit("The value is at most "), F.col("l_quantity").cast("int"), F.lit("ms."))
     return c.raw("lineitem").select("l_orderkey", "l_linenumber", fx.parse_bound(line).alias("b")).select("l_orderkey", "l_linenumber", "b.op", "b.value", "b.phrase", "b.raw")
@@ -601,7 +608,8 @@ def _(c):
     return c.texts().select("doc_id", F.array_join(fx.marked(F.col("body"), ("of the", "and", "que la", "der")), ",").alias("markers"))
 
 
-@query("snippet")
+@query("snippet", r"""WITH l AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(body, '(^|\n)#+[^\n]*', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\s+', ' ', 'g')) AS t FROM texts), a AS (SELECT doc_id, t, greatest(instr(lower(t), 'the') - 80, 1) AS cut FROM l)
+SELECT doc_id, CASE WHEN cut > 1 THEN '…' ELSE '' END || substr(t, cut, 160) || CASE WHEN cut + 159 < length(t) THEN '…' ELSE '' END AS snippet FROM a""")
 def _(c):
     return c.texts().select("doc_id", fx.snippet(F.col("body"), "the").alias("snippet"))
 
