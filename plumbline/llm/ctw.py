@@ -247,6 +247,23 @@ def tree_blocks(rows: DataFrame, root: np.ndarray, block_rows: int) -> Iterator[
         yield Tree(got["known"].to_numpy(), got["context"].to_numpy(), got["logs"].to_pylist(), np.array(block, np.int64), root)
 
 
+def most_frequent(word_counts: DataFrame, most: int) -> DataFrame:
+    """Words with a count above a threshold that leaves at most ``most`` of them.
+
+    The threshold comes from a histogram of counts in 16 bins per doubling, so
+    no task sorts or gathers more than its own words.
+    """
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    bins = word_counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    taken, least = 0, None
+    for row in bins:
+        taken += row["words"]
+        if taken > most:
+            break
+        least = row["level"]
+    return word_counts.where(level >= least) if least is not None else word_counts.limit(0)
+
+
 class Words:
     """Counts of the most frequent training words, by sorted hash."""
 
@@ -321,7 +338,7 @@ def score_texts(documents: DataFrame, training: Column, frequent_words: int = 1
     n_words, distinct = word_counts.agg(F.sum("n"), F.count("*")).first()
     texts = counts.where(F.col("kind") == _TEXTS).agg(F.sum("n")).first()[0] or 0
     train_tokens, vocabulary = (n_words or 0) + texts, distinct + (texts > 0)
-    top = word_counts.orderBy(F.desc("n"), "key").limit(frequent_words).toArrow()
+    top = most_frequent(word_counts, frequent_words).toArrow()
     words = Words(top["key"].to_numpy(), top["n"].to_numpy(), texts)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
