@@ -33,12 +33,11 @@ class Model:
         self.langs, self.longest = langs, longest
         self.words = list(words)
         self.word_logs = self._logs(np.array(list(words.values()), np.float64).reshape(len(words), len(langs)))
-        self.grams, sizes = {}, np.array([len(g) for g in grams])
-        counts = np.array(list(grams.values()), np.float64).reshape(len(grams), len(langs))
+        self.grams, sizes = dict(zip(grams, range(len(grams)))), np.array([len(g) for g in grams])
+        self.gram_logs = np.array(list(grams.values()), np.float64).reshape(len(grams), len(langs))
         for n in range(1, longest + 1):
             mine = np.flatnonzero(sizes == n)
-            names = list(grams)
-            self.grams.update(zip((names[i] for i in mine), self._logs(counts[mine])))
+            self.gram_logs[mine] = self._logs(self.gram_logs[mine])
 
     @staticmethod
     def _logs(counts: np.ndarray) -> np.ndarray:
@@ -71,7 +70,7 @@ class _Rows(dict):
                     break
         if row >= len(self.table):  # within one very long text
             self.table = np.concatenate((self.table, np.zeros((self.most, self.table.shape[1]))))
-        self.table[row] = np.mean(found, axis=0) if found else 0.0
+        self.table[row] = self.model.gram_logs[found].mean(axis=0) if found else 0.0
         self[word] = row
         return row
 
