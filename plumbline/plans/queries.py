@@ -24,7 +24,7 @@ def since():
 
 
 #: Terms that occur in the given prose.
-TERMS = ["the", "therea", "onshe"]
+TERMS = ["the", "thatin", "ononst"]
 
 # ---------------------------------------------------------------- sources
 
@@ -674,9 +674,9 @@ def _(c):
     return search.phrase_search(c.texts(), ["of", "the"])
 
 
-@query("search_near", f"WITH {_TOKENS}, p AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM tok) SELECT a.doc_id, min(abs(a.pos - b.pos))::INTEGER AS gap FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'therea' AND b.term = 'onshe' AND abs(a.pos - b.pos) <= 50 GROUP BY 1")
+@query("search_near", f"WITH {_TOKENS}, p AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM tok) SELECT a.doc_id, min(abs(a.pos - b.pos))::INTEGER AS gap FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'with' AND b.term = 'that' AND abs(a.pos - b.pos) <= 3 GROUP BY 1")
 def _(c):
-    return search.near_search(c.texts(), "therea", "onshe", 50)
+    return search.near_search(c.texts(), "with", "that", 3)
 
 
 @query("search_not", f"WITH {_BM25} SELECT doc_id, score FROM scored WHERE matched > 0 AND doc_id NOT IN (SELECT doc_id FROM tok WHERE list_contains(w, 'with'))")
