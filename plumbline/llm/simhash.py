@@ -116,11 +116,13 @@ def _search(points: np.ndarray, index: np.ndarray, label: np.ndarray, radius: in
         other = left if right is None else right
         for at in range(0, len(left), 512):
             rows = left[at : at + 512]
-            if len(np.unique(label[np.concatenate((rows, other))])) == 1:
-                continue
-            close = np.bitwise_count(points[rows][:, None] ^ points[other][None, :]) <= radius
-            x, y = np.nonzero(close)
-            _join_labels(label, rows[x], other[y])
+            for to in range(0, len(other), 8192):
+                columns = other[to : to + 8192]
+                labels = label[rows], label[columns]
+                if labels[0][0] == labels[1][0] and all((x == x[0]).all() for x in labels):
+                    continue  # one part already
+                x, y = np.nonzero(np.bitwise_count(points[rows][:, None] ^ points[columns][None, :]) <= radius)
+                _join_labels(label, rows[x], columns[y])
 
 
 def _shard_parts(shards: np.ndarray, points: np.ndarray, radius: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
