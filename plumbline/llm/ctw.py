@@ -193,7 +193,7 @@ class Tree:
     def lookup(self) -> np.ndarray:
         """Table row of each three-byte context, the longest seen part of it."""
         if self.row is None:
-            row = np.zeros((256, 256, 256), np.int32)
+            row = np.zeros((256, 256, 256), np.uint16 if len(self.table) < 1 << 16 else np.int32)
             row[:, :, self.last_bytes] = 1
             for i, (known, context) in enumerate(zip(self.known.tolist(), self.contexts.tolist()), start=2):
                 b1, b2, b3 = context & 255, context >> 8 & 255, context >> 16
@@ -314,13 +314,14 @@ def _scored(rows: DataFrame, tree: Tree, words: Words) -> DataFrame:
 
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            yield _score_batch(batch, shared_tree.value, shared_words.value, at)
-            at += batch.num_rows
+            for a, b in tb.row_blocks(tb.text_buffer(batch.column("text"))[1], 1 << 22):  # bounds memory
+                yield _score_batch(batch.slice(a, b - a), shared_tree.value, shared_words.value, at)
+                at += b - a
 
     return rows.mapInArrow(work, _SCORED)
 
 
-def score_texts(documents: DataFrame, training: Column, frequent_words: int = 1 << 18, block_rows: int = 1 << 16) -> DataFrame:
+def score_texts(documents: DataFrame, training: Column, frequent_words: int = 1 << 18, block_rows: int = 65_000) -> DataFrame:
     """``(doc_id, version, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
     ``training`` says which rows to learn from.  Tokens are words with A-Z
