@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm import shingle_sets
 from plumbline.llm import textbytes as tb
 from plumbline.llm.scratch import Scratch
 
@@ -245,14 +246,38 @@ def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, block
     return prints.join(classes, "fingerprint").select("doc_id", "version", "fingerprint", "component", "component_id")
 
 
-def keep_one(documents: DataFrame, radius: int = 4) -> DataFrame:
+def _fingerprint_guesses(texts: DataFrame, radius: int, words: int, scratch: Scratch):
+    """Pairs of sets that the search over fingerprints takes for near: each with the least of its part's, unverified."""
+
+    def guesses(sets: DataFrame) -> DataFrame:
+        prints = fingerprints(texts.select("doc_id", "text"), words).select("version", "fingerprint").distinct()
+        prints = scratch.put(sets.join(prints, "version").select("id", "fingerprint"), "prints")
+        points = scratch.put(prints.groupBy("fingerprint").agg(F.min("id").alias("least")), "points")
+        near = links(points.select("fingerprint"), radius)
+        ends = [points.select(F.col("fingerprint").alias(c), F.col("least").alias(f"id_{c}")) for c in ("a", "b")]
+        across = near.join(ends[0], "a").join(ends[1], "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        within = prints.join(points, "fingerprint").select(F.col("id").alias("a"), F.col("least").alias("b"))
+        return across.unionByName(within).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+    return guesses
+
+
+def keep_one(documents: DataFrame, radius: int = 4, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``documents`` without near duplicates: of each component, one row with its smallest doc_id stays.
 
+    Documents are linked if the Jaccard similarity of their sets of ``words``-word
+    shingles is at least ``similarity``.  Fingerprints within ``radius`` bits only
+    guess which pairs to verify first; ``shingle_sets`` finds all others.  Texts
+    without a word are linked to each other.
+
     Of several rows with that doc_id the one with the smallest text hash stays,
     and of rows equal in id and text one.  A null id counts as larger than others.
     """
     scratch = Scratch(documents.sparkSession, "simhash-keep")
-    found = near_duplicates(documents, radius)
+    text = F.coalesce("text", F.lit(""))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    found, parts = shingle_sets.similar_sets(texts, words, similarity, scratch, components, _fingerprint_guesses(texts, radius, words, scratch))
+    found = found.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "version")).alias("first")
     kept = found.groupBy("component").agg(first).select(F.coalesce("first.doc_id", F.lit(_NO_ID)).alias("_doc"), F.col("first.version").alias("_version"))
     kept = scratch.put(kept, "kept")
