@@ -1,7 +1,9 @@
 """URL filter by link-graph propagation.
 
 Hosts are nodes; a link from a page of one host to another host is an edge, and
-so are a host and its parent domain, both ways, where both have pages.  Trust is
+so are a host and its parent domain, both ways, and so on up to the domain of two
+labels, whether those have pages or not: hosts of one domain connect through it.
+A domain of one label (``com``) is no site and needs pages to be a node.  Trust is
 a personalised PageRank that starts from hosts with pages under an allow rule;
 distrust is the same walk over reversed edges from hosts with pages under a block
 rule (who links to bad hosts is suspect).  Scores are in page equivalents.  A
@@ -50,10 +52,18 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def site_edges(hosts: DataFrame) -> DataFrame:
-    """Edges both ways between a host and its parent domain, if both are in ``hosts``."""
-    child = hosts.select(F.col("host").alias("src"), F.regexp_replace("host", r"^[^.]*\.", "").alias("dst"))
-    up = child.where(F.col("src") != F.col("dst")).join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
-    up = up.select("src", "dst", F.lit(1).cast("long").alias("n"))
+    """Edges both ways between each host or ancestor domain and its parent domain.
+
+    Parents of one label are taken only if they are in ``hosts``; addresses of
+    digits have no parent.  A domain's weight is shared by all it is joined to.
+    """
+    labels = F.split("host", r"\.")
+    named = hosts.where(~F.col("host").rlike(r"^[0-9.]+(:[0-9]*)?$")).select(labels.alias("l"))
+    steps = named.where(F.size("l") > 1).select("l", F.explode(F.sequence(F.lit(1), F.size("l") - 1)).alias("i"))
+    src, dst = (F.array_join(F.expr(f"slice(l, {start}, size(l))"), ".") for start in ("i", "i + 1"))
+    up = steps.select(src.alias("src"), dst.alias("dst"), (F.size("l") - F.col("i") == 1).alias("top")).where("dst <> ''").distinct()
+    bare = up.where("top").join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
+    up = up.where("NOT top").select("src", "dst").unionByName(bare.select("src", "dst")).withColumn("n", F.lit(1).cast("long"))
     return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
 
 

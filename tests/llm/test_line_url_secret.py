@@ -112,6 +112,17 @@ def test_distrust_flows_back_and_trust_forward(spark):
     assert abs(out[3].distrust / out[2].distrust - 0.85) < 1e-6
 
 
+def test_hosts_connect_through_a_domain_without_pages(spark):
+    urls = ["http://a.bad.example.com/de/1"] * 12 + ["http://b.bad.example.com/x", "http://far.example.com/x", "http://other.com/x", "http://10.0.0.1/x", "http://10.9.0.1/x"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    out = {r.page_id: r for r in url_filter.judge_pages(pages).collect()}
+    assert out[12].verdict == "block" and out[12].distrust > out[13].distrust > 0
+    assert out[14].distrust == out[15].distrust == out[16].distrust == 0 and out[14].verdict == "allow"
+    hosts = spark.createDataFrame([("a.bad.example.com",), ("b.bad.example.com",), ("10.0.0.1",), ("x.net",), ("net",)], "host string")
+    up = {("a.bad.example.com", "bad.example.com"), ("b.bad.example.com", "bad.example.com"), ("bad.example.com", "example.com"), ("x.net", "net")}
+    assert {(r.src, r.dst) for r in url_filter.site_edges(hosts).collect()} == up | {(b, a) for a, b in up}
+
+
 def test_digest_is_of_utf8(documents):
     row = line_dedup.dedup_lines(documents).where("doc_id = 400").first()
     assert hashlib.sha256(row.text.encode()).hexdigest()
