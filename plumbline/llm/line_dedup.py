@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.scratch import Scratch
+from plumbline.llm.scratch import Scratch, column, fresh, without
 
 _UPPER, _ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = " \t\n\x0b\x0c\r"
@@ -124,14 +124,15 @@ def repeated_lines(spark: SparkSession, lines: DataFrame, scratch: Scratch, min_
     cuts = sorted({float(x) for x in cuts}, reverse=True)
     runs = LineRuns(spark, scratch, fanout)
     doc = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    for high, low in zip([None, *cuts], [*cuts, None], strict=True):
-        part = lines if high is None else lines.where(doc < F.lit(high))
-        part = part if low is None else part.where(doc >= F.lit(low))
-        held = part.select("h1", "h2", "doc_id").distinct()
-        runs.add(held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")))
-    found = scratch.put(runs.result().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "repeated")
-    runs.close()
-    return found
+    try:
+        for high, low in zip([None, *cuts], [*cuts, None], strict=True):
+            part = lines if high is None else lines.where(doc < F.lit(high))
+            part = part if low is None else part.where(doc >= F.lit(low))
+            held = part.select("h1", "h2", "doc_id").distinct()
+            runs.add(held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")))
+        return scratch.put(runs.result().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "repeated")
+    finally:
+        runs.close()
 
 
 def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -140,7 +141,8 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, ba
     A key (line without end blanks, A-Z lower-cased) of at least ``min_chars``
     code points held by ``min_docs`` distinct doc_ids loses all its lines except
     in the document with the largest doc_id.  Returns the input's columns with
-    ``text`` replaced, plus ``n_lines`` (before) and ``n_dropped``.
+    ``text`` replaced, plus ``n_lines`` (before) and ``n_dropped``, which replace
+    columns of those names.
 
     Null text is empty and has one empty line.  Rows with equal doc_id count as
     one document; a null doc_id is smaller than all others and all null ones
@@ -151,19 +153,21 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, ba
     repeated = repeated_lines(spark, lines, scratch, min_docs, batches, fanout)
     older = F.col("keeper").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("keeper")))
     drops = lines.join(repeated, ["h1", "h2"]).where(older)
-    drops = drops.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("pos")).alias("_at"))
-    drops = drops.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "_at")
-
-    text = F.coalesce("text", F.lit(""))
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_version"))
-    joined = documents.join(drops, key, "left")
-    size, at = F.size(lines_of(F.col("text"))), F.coalesce("_at", F.array().cast("array<int>"))
+    kept = without(documents.columns, ("n_lines", "n_dropped"))
+    doc, version, at, held, n = fresh([*kept, "n_lines", "n_dropped"], "doc", "version", "at", "held", "n")
+    drops = drops.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("pos")).alias(at))
+    drops = drops.select(F.col("doc_id").alias(doc), F.col("version").alias(version), at)
+
+    text, none = F.coalesce("text", F.lit("")), F.array().cast("array<int>")
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(version))
+    joined = documents.select(*map(column, kept)).join(drops, key, "left").withColumn(at, F.coalesce(at, none))
+    out = joined.withColumn(held, lines_of(F.col("text"))).withColumn(n, F.size(held))
     starts = F.concat(F.array(F.lit(0)), F.transform(at, lambda x: x + 1))
-    ends = F.concat(at, F.array(size))
-    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(F.col("_lines"), a + 1, b - a)))
-    out = joined.withColumns({"_lines": lines_of(F.col("text")), "n_lines": size.cast("long"), "n_dropped": F.size(at).cast("long")})
-    out = out.withColumn("_kept", F.when(F.col("n_dropped") == 0, text).otherwise(F.array_join(kept, "\n")))
-    return out.select(*[F.col("_kept").alias("text") if c == "text" else F.col(c) for c in documents.columns], "n_lines", "n_dropped")
+    ends = F.concat(at, F.array(n))
+    rest = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(F.col(held), a + 1, b - a)))
+    whole = F.when(F.size(at) == 0, text).otherwise(F.array_join(rest, "\n"))
+    names = [whole.alias("text") if c == "text" else column(c) for c in kept]
+    return out.select(*names, F.col(n).cast("long").alias("n_lines"), F.size(at).cast("long").alias("n_dropped"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.scratch import Scratch
+from plumbline.llm.scratch import Scratch, column, fresh, without
 
 WEIGHTS = (5, 2, 1)
 
@@ -120,7 +120,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3,
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "mixing")
     added = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in (documents.columns if keep is None else keep) if c not in added]
+    kept = without(documents.columns if keep is None else keep, added)
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", text_hash.alias("version"), word_count(F.col("text")).alias("size"))
     sized = scratch.put(sized.withColumn("shuffle", F.xxhash64(F.lit(seed), "doc_id", "version")), "sizes")
@@ -137,10 +137,11 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3,
     taken = timed.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     if kept == ["doc_id"]:
         return taken.select("doc_id", *added)
-    chosen = taken.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("source").alias("_source"), *added)
-    chosen = chosen.dropDuplicates(["_doc", "_version", "_source"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (text_hash == F.col("_version")) & F.col("source").eqNullSafe(F.col("_source"))
-    return documents.select(*kept).join(chosen, same).select(*kept, *added)
+    doc, version, origin = fresh([*documents.columns, *added], "doc", "version", "origin")
+    chosen = taken.select(F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("source").alias(origin), *added).dropDuplicates([doc, version, origin])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (text_hash == F.col(version)) & F.col("source").eqNullSafe(F.col(origin))
+    needed = list(dict.fromkeys([*kept, "doc_id", "text", "source"]))
+    return documents.select(*map(column, needed)).join(chosen, same).select(*map(column, [*kept, *added]))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,30 +1,57 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Where that is unset (a
-laptop, the tests) a temporary folder is made once and set for the session.
-A table written here cuts lineage and survives the loss of an executor.
+The folder is the session's ``spark.checkpoint.dir``.  Where that is unset and
+Spark runs on one machine, a temporary folder is made once and set for the
+session; on a cluster it must be set.  A table written here cuts lineage and
+survives the loss of an executor.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set to a new local one only if it has none."""
+    """The session's checkpoint folder; set to a new local one only if it has none and runs locally."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_before.get() if set_before.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, whatever signs that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with as many ``_`` before it as it takes to be like none of ``taken`` (in any case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(taken: Iterable[str], added: Iterable[str]) -> list[str]:
+    """Those of ``taken`` that are like none of ``added`` (in any case)."""
+    added = {c.lower() for c in added}
+    return [c for c in taken if c.lower() not in added]
+
+
 class Scratch:
     """Tables of one run under a folder of its own."""
 

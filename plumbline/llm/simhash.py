@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import shingle_sets
 from plumbline.llm import textbytes as tb
-from plumbline.llm.scratch import Scratch
+from plumbline.llm.scratch import Scratch, column, fresh
 
 _WORD = tb.nonspace_table()
 _BITS = 64
@@ -279,10 +279,11 @@ def keep_one(documents: DataFrame, radius: int = 4, words: int = 5, similarity:
     found, parts = shingle_sets.similar_sets(texts, words, similarity, scratch, components, _fingerprint_guesses(texts, radius, words, scratch))
     found = found.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "version")).alias("first")
-    kept = found.groupBy("component").agg(first).select(F.coalesce("first.doc_id", F.lit(_NO_ID)).alias("_doc"), F.col("first.version").alias("_version"))
+    doc, version = fresh(documents.columns, "doc", "version")
+    kept = found.groupBy("component").agg(first).select(F.coalesce("first.doc_id", F.lit(_NO_ID)).alias(doc), F.col("first.version").alias(version))
     kept = scratch.put(kept, "kept")
-    keys = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_version": F.xxhash64(F.coalesce("text", F.lit("")))}
-    return documents.withColumns(keys).join(kept, ["_doc", "_version"], "left_semi").dropDuplicates(["_doc", "_version"]).select(*documents.columns)
+    keys = {doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), version: F.xxhash64(F.coalesce("text", F.lit("")))}
+    return documents.withColumns(keys).join(kept, [doc, version], "left_semi").dropDuplicates([doc, version]).select(*map(column, documents.columns))
 
 
 def hex_of(fingerprint: Column) -> Column:
