@@ -11,15 +11,20 @@ page under a rule gets the rule's verdict; any other gets its host's: block if t
 distrust that flows in reaches ``threshold`` of the host's pages and outweighs the
 trust that flows in.  A host's own seed doesn't count there: a rule for one path
 says nothing about the host's other paths.
+
+Both walks go on together until what is still under way is at most ``tolerance``
+of the seeds' mass: each step passes on no more than ``damping`` of it.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.line_dedup import _ASCII_LOWER, _UPPER
-from plumbline.llm.scratch import Scratch
+from plumbline.llm.scratch import Scratch, column, fresh, without
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -67,26 +72,37 @@ def site_edges(hosts: DataFrame) -> DataFrame:
     return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, damping: float, rounds: int, cut_every: int) -> DataFrame:
-    """Personalised PageRank from ``(host, seed)``; returns ``(host, score)`` without the seeds' own part.
+def shares(edges: DataFrame) -> DataFrame:
+    """``(walk, src, dst, share)``: the links for trust, the links turned round for distrust."""
+    turned = edges.select(F.lit("distrust").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    both = edges.select(F.lit("trust").alias("walk"), "src", "dst", "n").unionByName(turned)
+    out = both.groupBy("walk", "src").agg(F.sum("n").alias("total"))
+    return both.join(out, ["walk", "src"]).select("walk", "src", "dst", (F.col("n") / F.col("total")).alias("share"))
+
+
+def rounds_for(damping: float, tolerance: float) -> int:
+    """Steps after which at most ``tolerance`` of the mass is under way."""
+    return max(1, ceil(log(tolerance) / log(damping)))
+
+
+def propagate(shared: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float, tolerance: float, cut_every: int = 6) -> DataFrame:
+    """Personalised PageRank from ``(walk, host, seed)``; ``(walk, host, score)`` without the seeds' own part.
 
-    Each round is one join of scores with out-edges and one aggregation with
-    map-side sums.  Lineage is cut by a written table every ``cut_every`` rounds.
+    Each step is one join of scores with out-edges and one aggregation with
+    map-side sums.  Lineage is cut by a written table every ``cut_every`` steps.
     """
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    weighted = scratch.put(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), f"{name}_edges")
-    base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
-    scores = base
+    base = seeds.select("walk", "host", (F.col("seed") * (1 - damping)).alias("score"))
+    scores, rounds = base, rounds_for(damping, tolerance)
     for i in range(1, rounds + 1):
-        moved = weighted.join(scores, F.col("src") == F.col("host"))
-        moved = moved.select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        scores = (moved if i == rounds else base.unionByName(moved)).groupBy("host").agg(F.sum("score").alias("score"))
+        moved = shared.join(scores.withColumnRenamed("host", "src"), ["walk", "src"])
+        moved = moved.select("walk", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+        scores = (moved if i == rounds else base.unionByName(moved)).groupBy("walk", "host").agg(F.sum("score").alias("score"))
         if i % cut_every == 0 or i == rounds:
-            scores = scratch.put(scores, f"{name}_{i}")
+            scores = scratch.put(scores, f"scores_{i}")
     return scores
 
 
-def judge_pages(pages: DataFrame, rules=RULES, threshold: float = 0.25, damping: float = 0.85, rounds: int = 8, cut_every: int = 4) -> DataFrame:
+def judge_pages(pages: DataFrame, rules=RULES, threshold: float = 0.05, damping: float = 0.85, tolerance: float = 0.05) -> DataFrame:
     """The input's columns plus ``host, path, rule, verdict, trust, distrust``.
 
     A host's seed is its number of pages under block (or allow) rules.  Null or
@@ -94,27 +110,27 @@ def judge_pages(pages: DataFrame, rules=RULES, threshold: float = 0.25, damping:
     no links.  Repeated pages count again as evidence and each gets a row.  With
     no seeds nothing propagates.  Columns named like the added ones are replaced.
     """
-    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "url-filter")
+    scratch = Scratch(pages.sparkSession, "url-filter")
     host, path = url_parts(F.col("url"))
     added = ["host", "path", "rule", "verdict", "trust", "distrust"]
-    kept = [c for c in pages.columns if c not in added]
+    kept = without(pages.columns, added)
+    ruled, n_pages = fresh([*pages.columns, *added, "html"], "ruled", "n_pages")
     name, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    parted = pages.select(*kept).withColumns({"host": host, "path": path}).withColumn("rule", name).withColumn("_rule_verdict", verdict)
+    parted = pages.select(*map(column, kept)).withColumns({"host": host, "path": path}).withColumns({"rule": name, ruled: verdict})
 
-    counts = [F.count("*").alias("_pages"), *(F.count_if(F.col("_rule_verdict") == x).alias(f"_{x}") for x in ("allow", "block"))]
+    counts = [F.count("*").alias(n_pages), *(F.count_if(F.col(ruled) == x).alias(x) for x in ("allow", "block"))]
     hosts = scratch.put(parted.where(F.col("host") != "").groupBy("host").agg(*counts), "hosts")
     edges = host_edges(parted).unionByName(site_edges(hosts)).groupBy("src", "dst").agg(F.sum("n").alias("n"))
-    edges = scratch.put(edges, "edges")
-    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    for which, label, graph in (("allow", "trust", edges), ("block", "distrust", turned)):
-        seeds = hosts.where(F.col(f"_{which}") > 0).select("host", F.col(f"_{which}").alias("seed"))
-        score = propagate(graph, seeds, scratch, label, damping, rounds, cut_every)
-        hosts = hosts.join(score.withColumnRenamed("score", label), "host", "left")
-    hosts = scratch.put(hosts.na.fill(0.0, ["trust", "distrust"]).select("host", "_pages", "trust", "distrust"), "scores")
-    out = parted.join(hosts, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    bad = (F.col("distrust") >= F.col("_pages") * threshold) & (F.col("distrust") > F.col("trust"))
-    out = out.withColumn("verdict", F.coalesce("_rule_verdict", F.when(bad, "block").otherwise("allow")))
-    return out.select(*kept, *added)
+    shared = scratch.put(shares(scratch.put(edges, "edges")), "shares")
+    seeds = hosts.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("walk"), F.col("allow").alias("seed")), F.struct(F.lit("distrust").alias("walk"), F.col("block").alias("seed")))).alias("x"))
+    seeds = seeds.select("x.walk", "host", "x.seed").where("seed > 0")
+    found = propagate(shared, seeds, scratch, damping, tolerance)
+    found = found.groupBy("host").agg(*(F.sum(F.when(F.col("walk") == x, F.col("score"))).alias(x) for x in ("trust", "distrust")))
+    scored = scratch.put(hosts.select("host", n_pages).join(found, "host", "left").na.fill(0.0, ["trust", "distrust"]), "scored")
+    out = parted.join(scored, "host", "left").na.fill(0.0, ["trust", "distrust"])
+    bad = (F.col("distrust") >= F.col(n_pages) * threshold) & (F.col("distrust") > F.col("trust"))
+    out = out.withColumn("verdict", F.coalesce(ruled, F.when(bad, "block").otherwise("allow")))
+    return out.select(*map(column, [*kept, *added]))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
