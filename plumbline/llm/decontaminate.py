@@ -1,13 +1,16 @@
 """Benchmark decontamination by winnowing.
 
 The fingerprint of a window of ``window`` words is its smallest hash of ``k``
-consecutive words.  Two equal windows have equal fingerprints, so joining the
-fingerprints of training texts with those of the benchmark finds every shared
-window; a hit is then extended to the whole window and compared word by word.
-
-The benchmark goes to the executors in blocks of bounded size.  Usually one
-block holds it all and one pass over the documents, without a shuffle, is the
-whole job; a larger benchmark takes one pass per block, each adding its hits.
+consecutive words (all of a shorter window's words).  Overlapping windows mostly
+share it, so a text keeps few positions; equal windows keep equal ones, so every
+shared window is found where the fingerprints of training and test texts join.
+A hit is then extended: the windows that chose the position are joined with the
+test windows word by word.
+
+Only documents' positions whose fingerprint falls on a bit set by the test side
+leave the pass over the texts.  That bit map has a fixed size; with a larger
+benchmark more bits are set and more positions go to the join, which Spark makes
+a broadcast or a shuffle by the size of the written test tables.
 """
 
 from __future__ import annotations
@@ -16,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.llm import textbytes as tb
-from plumbline.llm.scratch import Scratch
+from plumbline.llm.scratch import Scratch, column, fresh, without
 
 _WORD = tb.alnum_table()
+_BITS = 22
+#: The word pattern of the contract without the need to lower-case first.
+_ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _gram(h: np.ndarray, n: int) -> np.ndarray:
@@ -37,121 +42,108 @@ def _gram(h: np.ndarray, n: int) -> np.ndarray:
     return tb.mix(out)
 
 
-def _sliding_min(g: np.ndarray, n: int) -> np.ndarray:
-    """Minimum of each ``n`` consecutive values."""
-    width, out = 1, g
-    while width < n:
-        step = min(width, n - width)
-        out = np.minimum(out[:-step], out[step:])
-        width += step
-    return out
-
+def selected(h: np.ndarray, first: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of each ``n``-word window of some texts, the position it keeps, and the fingerprint there.
 
-def _fingerprints(h: np.ndarray, k: int, window: int) -> np.ndarray:
-    """Winnowing fingerprint of each window that starts in ``h``."""
-    if len(h) < window:
-        return np.zeros(0, np.uint64)
-    return _sliding_min(_gram(h, k), window - k + 1)
-
-
-def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(among, values)
-    at[at == len(among)] = 0
-    return among[at] == values if len(among) else np.zeros(len(values), bool)
-
-
-class TestWindows:
-    """The windows of one block of benchmark items, by length."""
-
-    def __init__(self, ids: list[str | None], texts: pa.Array, k: int, window: int):
-        data, offsets = tb.text_buffer(texts)
-        starts, ends, first = tb.spans(_WORD[data], offsets)
-        self.h = tb.span_hashes(tb.LOWER[data], starts, ends)
-        self.ids, self.k, self.window = ids, k, window
-        at: dict[int, list[np.ndarray]] = {}
-        owner: dict[int, list[np.ndarray]] = {}
-        for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
-            n = min(int(b - a), window)
-            if n:
-                at.setdefault(n, []).append(np.arange(a, b - n + 1))
-                owner.setdefault(n, []).append(np.full(b - a - n + 1, i))
-        self.by_length = {}
-        for n in at:
-            pos, own = np.concatenate(at[n]), np.concatenate(owner[n])
-            key = _gram(self.h, n)[pos]
-            order = np.argsort(key, kind="stable")
-            prints = np.unique(_fingerprints(self.h, k, window)[pos]) if n == window else None
-            self.by_length[n] = (key[order], pos[order], own[order], prints)
-
-    def find(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Marked words, and pairs (row, item) with a common window."""
-        hit, rows, items = np.zeros(len(h) + 1, np.int64), [], []
-        last = np.repeat(first[1:], np.diff(first))
-        for n, (keys, pos, own, prints) in self.by_length.items():
-            start = np.arange(max(len(h) - n + 1, 0))
-            start = start[start + n <= last[: len(start)]]
-            if n == self.window:
-                start = start[_member(_fingerprints(h, self.k, n)[start], prints)]
-            key = _gram(h, n)[start]
-            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            found = hi > lo
-            start, lo, hi = start[found], lo[found], hi[found]
-            same = np.ones(len(start), bool)
-            for j in range(n):
-                same &= h[start + j] == self.h[pos[lo] + j]
-            start, lo, hi = start[same], lo[same], hi[same]
-            np.add.at(hit, start, 1)
-            np.add.at(hit, start + n, -1)
-            row = np.searchsorted(first, start, "right") - 1
-            of = np.unique(np.stack((row, lo, hi)), axis=1) if len(row) else np.zeros((3, 0), np.int64)
-            size = of[2] - of[1]
-            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            rows.append(np.repeat(of[0], size))
-            items.append(own[np.repeat(of[1], size) + within])
-        pairs = np.unique(np.stack((np.concatenate(rows or [[]]), np.concatenate(items or [[]]))).astype(np.int64), axis=1)
-        return np.cumsum(hit[:-1]) > 0, pairs[0], pairs[1]
-
-
-def _block(batch: pa.RecordBatch, tests: TestWindows, carry: list[str]) -> pa.RecordBatch:
-    data, offsets = tb.text_buffer(batch.column("text"))
-    old = {c: batch.column(c).to_pylist() for c in ("hit_spans", "items")} if "hit_spans" in batch.schema.names else None
-    n_words, spans_of, items_of = [], [], []
+    ``h`` has the texts' word hashes and ``first`` the first word of each text.
+    """
+    k = min(k, n)
+    start = np.arange(max(len(h) - n + 1, 0))
+    start = start[start + n <= np.repeat(first[1:], np.diff(first))[: len(start)]]
+    grams = _gram(h, k)
+    if not len(start):
+        return start, start, grams[:0]
+    least = np.lib.stride_tricks.sliding_window_view(grams, n - k + 1)
+    at = np.concatenate([least[start[i : i + (1 << 17)]].argmin(axis=1) for i in range(0, len(start), 1 << 17)]) + start
+    return start, at, grams[at]
+
+
+def _words(h: np.ndarray, start: np.ndarray, n: int) -> pa.Array:
+    """The word hashes of windows as lists."""
+    values = tb.signed(h[(start[:, None] + np.arange(n)).reshape(-1)])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1, dtype=np.int32) * n), pa.array(values))
+
+
+def _hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks of rows: the first row, the word hashes and each row's first word."""
+    data, offsets = tb.text_buffer(column)
     for a, b in tb.row_blocks(offsets):
         part = data[offsets[a] : offsets[b]]
         starts, ends, first = tb.spans(_WORD[part], offsets[a : b + 1] - offsets[a])
-        h = tb.span_hashes(tb.LOWER[part], starts, ends)
-        marked, rows, items = tests.find(h, first)
-        n_words.append(np.diff(first))
-        runs, stops, of = tb.spans(marked, first)
-        for i in range(b - a):
-            mine = items[rows == i] if len(rows) else ()
-            spans_of.append([[int(x), int(y)] for x, y in zip(runs[of[i] : of[i + 1]] - first[i], stops[of[i] : of[i + 1]] - first[i])])
-            items_of.append(sorted({tests.ids[x] for x in mine if tests.ids[x] is not None}))
-    if old:
-        spans_of = [_union((x or []) + y) for x, y in zip(old["hit_spans"], spans_of)]
-        items_of = [sorted({*(x or ()), *y}) for x, y in zip(old["items"], items_of)]
-    columns = {c: batch.column(c) for c in carry}
-    columns["n_words"] = pa.array(np.concatenate(n_words or [np.zeros(0, np.int64)]), pa.int64())
-    columns["n_hit"] = pa.array([sum(y - x for x, y in s) for s in spans_of], pa.int64())
-    columns["hit_spans"] = pa.array(spans_of, pa.list_(pa.list_(pa.int64())))
-    columns["items"] = pa.array(items_of, pa.list_(pa.string()))
-    return pa.RecordBatch.from_pydict(columns)
-
-
-def _union(found: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(found):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
+        yield a, tb.span_hashes(tb.LOWER[part], starts, ends), first
+
+
+def benchmark_windows(benchmark: DataFrame, window: int, k: int) -> DataFrame:
+    """``(n, fingerprint, words, items)``: the distinct windows of the benchmark and the ids that hold each."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, h, first in _hashes(batch.column("text")):
+                size = np.diff(first)
+                for n in np.unique(np.minimum(size, window)).tolist():
+                    if not n:
+                        continue
+                    start, _, prints = selected(h, first, n, k)
+                    row = np.searchsorted(first, start, "right") - 1
+                    mine = np.minimum(size[row], window) == n
+                    start, row = start[mine], row[mine]
+                    columns = [pa.array(np.full(len(start), n, np.int32)), pa.array(tb.signed(prints[mine])), _words(h, start, n), batch.column("item_id").take(pa.array(row + a))]
+                    yield pa.RecordBatch.from_arrays(columns, ["n", "fingerprint", "words", "item_id"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = items.mapInArrow(work, "n int, fingerprint long, words array<long>, item_id string")
+    return rows.groupBy("n", "words").agg(F.min("fingerprint").alias("fingerprint"), F.collect_set("item_id").alias("items"))
+
+
+def bit_map(windows: DataFrame) -> np.ndarray:
+    """Which of 2**22 slots some fingerprint of ``windows`` falls on; only their numbers reach the driver."""
+    slots = windows.select(F.col("fingerprint").bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int").alias("slot")).distinct()
+    out = np.zeros(1 << _BITS, bool)
+    out[slots.toArrow()["slot"].to_numpy()] = True
     return out
 
 
+def kept_positions(documents: DataFrame, lengths: list[int], bits: np.ndarray, k: int) -> DataFrame:
+    """``(doc, version, n, fingerprint, start, words)``: windows of ``documents`` whose kept position falls on a set bit."""
+    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            for a, h, first in _hashes(batch.column("text")):
+                for n in lengths:
+                    start, _, prints = selected(h, first, n, k)
+                    hit = known[(prints & np.uint64(len(known) - 1)).astype(np.int64)]
+                    start, prints = start[hit], prints[hit]
+                    row = np.searchsorted(first, start, "right") - 1
+                    owner = pa.array(row + a)
+                    columns = [batch.column("doc").take(owner), batch.column("version").take(owner), pa.array(np.full(len(start), n, np.int32)), pa.array(tb.signed(prints)), pa.array(start - first[row]), _words(h, start, n)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "n", "fingerprint", "start", "words"])
+
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
+    return rows.mapInArrow(work, "doc string, version long, n int, fingerprint long, start long, words array<long>")
+
+
+def merged(spans: Column) -> Column:
+    """Sorted spans ``struct<a, b>`` joined where they overlap or meet, as arrays of two."""
+    none = F.array().cast("array<array<bigint>>")
+    start = F.struct(none.alias("done"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["a"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.array(acc["a"], acc["b"]))))
+
+    def step(acc: Column, x: Column) -> Column:
+        joins = x["a"] <= acc["b"]
+        return F.when(joins, F.struct(acc["done"].alias("done"), acc["a"].alias("a"), F.greatest(acc["b"], x["b"]).alias("b"))).otherwise(F.struct(closed(acc).alias("done"), x["a"].alias("a"), x["b"].alias("b")))
+
+    return F.aggregate(spans, start, step, closed)
+
+
 _ADDED = ("n_words", "n_hit", "hit_spans", "items")
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16 << 20, carry: list[str] | None = None) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, carry: list[str] | None = None) -> DataFrame:
     """Mark the words of ``documents`` that lie in a window of a benchmark item.
 
     A window is ``window`` consecutive words of an item, or all words of a
@@ -162,37 +154,33 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 10, k:
     Null and empty texts have no words.  Rows with equal ids are judged each by
     itself; items with equal ids count once; an item without id marks words but
     is not listed.  Columns of ``documents`` named like the added ones are
-    replaced.  ``block_bytes`` bounds the benchmark text of one pass.
+    replaced.  Windows are equal if all their 64-bit word hashes are.
     """
-    spark = documents.sparkSession
-    carry = [c for c in (documents.columns if carry is None else carry) if c not in _ADDED]
-    docs = documents.select(*dict.fromkeys([*carry, "text"]))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    fields = {f.name: f for f in documents.schema.fields}
-    added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))]
-    scratch = Scratch(spark, "decontaminate")
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
-        shared = spark.sparkContext.broadcast(TestWindows(part["item_id"].to_pylist(), part["text"], k, window))
-        more = block < blocks - 1
-        names = list(dict.fromkeys([*carry, "text"])) if more else carry
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield _block(batch, shared.value, names)
-
-        docs = docs.mapInArrow(work, T.StructType([*(fields[c] for c in names), *added]))
-        if more:
-            docs = scratch.put(docs, f"pass_{block}")
-    return docs
+    scratch = Scratch(documents.sparkSession, "decontaminate")
+    carry = without(documents.columns if carry is None else carry, _ADDED)
+    windows = scratch.put(benchmark_windows(benchmark, window, k), "windows")
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())
+    kept = kept_positions(documents, lengths, bit_map(windows), k)
+    hits = kept.join(scratch.put(windows.select("n", "fingerprint").distinct(), "fingerprints"), ["n", "fingerprint"], "left_semi")
+    extended = hits.join(windows.select("n", "words", "items"), ["n", "words"])
+    span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
+    doc, version, spans = fresh([*documents.columns, *_ADDED], "doc", "version", "spans")
+    found = extended.groupBy(F.col("doc").alias(doc), F.col("version").alias(version)).agg(F.sort_array(F.collect_set(span)).alias(spans), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    found = scratch.put(found.withColumn(spans, merged(F.col(spans))), "found")
+
+    rows = documents.select(*map(column, without(dict.fromkeys([*carry, "doc_id", "text"]), _ADDED)))
+    same = F.col("doc_id").cast("string").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(version))
+    out = rows.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(_ANY_WORD)), F.lit(0)).cast("long")).join(found, same, "left")
+    size = F.aggregate(F.col("hit_spans"), F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
+    out = out.withColumn("hit_spans", F.coalesce(spans, F.array().cast("array<array<bigint>>"))).withColumn("n_hit", size)
+    out = out.withColumn("items", F.array_sort(F.coalesce("items", F.array().cast("array<string>"))))
+    return out.select(*map(column, [*carry, *_ADDED]))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     out = find_leaks(docs, items, carry=["doc_id"])
-    digest = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256)
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

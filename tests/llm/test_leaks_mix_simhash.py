@@ -37,13 +37,12 @@ def brute_leaks(rows, items):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
-def test_leaks_equal_brute_force(spark, documents, rows, block_bytes):
+def test_leaks_equal_brute_force(spark, documents, rows):
     long = rows[-7][1] if len(rows[-7][1] or "") > 1000 else next(r[1] for r in rows if r[0] == 300)
     items = [(1, "AA bb, cc dd ee ff gg hh ii jj kk ll"), (2, "short"), (2, "short"), (3, None), (4, ""), (5, " ".join(long.split()[500:530])), (None, "no id here"), (10, "Seed1 zz"), (6, "cc dd ee ff gg hh ii jj kk ll mm nn")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     docs = documents.withColumn("items", F.lit("clash"))
-    out = decontaminate.find_leaks(docs, bench, block_bytes=block_bytes)
+    out = decontaminate.find_leaks(docs, bench)
     assert Counter((r.doc_id, r.n_words, r.n_hit, ",".join(sorted(r["items"]))) for r in out.collect()) == brute_leaks(rows, items)
     assert set(documents.columns) < set(out.columns)
 
@@ -56,10 +55,22 @@ def test_leaks_of_nothing(documents, empty, spark):
 
 def test_winnowing_guarantee():
     rng = np.random.default_rng(1)
-    h = rng.integers(0, 2**63, 200).astype(np.uint64)
+    h = rng.integers(0, 2**63, 2000).astype(np.uint64)
     other = np.concatenate((rng.integers(0, 2**63, 50).astype(np.uint64), h[70:80], rng.integers(0, 2**63, 50).astype(np.uint64)))
-    a, b = decontaminate._fingerprints(h, 5, 10), decontaminate._fingerprints(other, 5, 10)
-    assert a[70] == b[50]
+    start, at, prints = decontaminate.selected(h, np.array([0, 1000, 2000]), 10, 5)
+    start_b, at_b, prints_b = decontaminate.selected(other, np.array([0, 110]), 10, 5)
+    i, j = int(np.flatnonzero(start == 70)[0]), int(np.flatnonzero(start_b == 50)[0])
+    assert prints[i] == prints_b[j] and at[i] - start[i] == at_b[j] - start_b[j]
+    assert len(start) == 2 * 991 and len(set(at.tolist())) < 0.4 * len(start)  # few positions stand for all windows
+    assert ((at >= start) & (at + 5 <= start + 10)).all() and len(set(prints) & set(prints_b)) <= 3
+
+
+def test_leaks_come_through_the_joined_fingerprints(spark, documents, monkeypatch):
+    bench = spark.createDataFrame([(1, "aa bb cc dd ee ff gg hh ii jj kk ll mm")], "item_id long, text string")
+    assert decontaminate.find_leaks(documents, bench).where("n_hit > 0").count() > 0
+    windows = decontaminate.benchmark_windows
+    monkeypatch.setattr(decontaminate, "benchmark_windows", lambda *a: windows(*a).withColumn("fingerprint", F.col("fingerprint") + 1))
+    assert decontaminate.find_leaks(documents, bench).where("n_hit > 0").count() == 0
 
 
 def water_fill(sizes, weights, most=3):
