@@ -9,11 +9,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import ctw, language_id, media_columns, pretokens, token_output
-from plumbline.llm.scratch import Scratch
+
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -106,27 +107,29 @@ def kt(zeros, ones):
     return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
 
 
-def brute_tree(texts):
+def brute_tree(texts, depth):
     """Counts of decisions by context and the weighted log probability of a node, straight from the definition."""
-    counts = Counter()
+    before, after, counts = b"\xfe" * depth, b"\xff", Counter()
     for text in texts:
-        data = b"\0\0\0" + text.encode() + b"\0"
-        for i in range(3, len(data)):
-            for depth in range(4):
+        data = before + text.translate(LOWER).encode() + after
+        for i in range(depth, len(data)):
+            for d in range(depth + 1):
                 node = 1
                 for bit in f"{data[i]:08b}":
-                    counts[(data[i - depth : i], node, bit)] += 1
+                    counts[(data[i - d : i], node, bit)] += 1
                     node = node * 2 + int(bit)
     children = {}
     for context, *_ in counts:
         if context:
             children.setdefault(context[1:], set()).add(context)
-    contexts = {c for c, *_ in counts}
+
+    def met(context, node):
+        return counts[(context, node, "0")] + counts[(context, node, "1")] > 0
 
     def weighted(context, node, memo):
         if (context, node) not in memo:
             own = kt(counts[(context, node, "0")], counts[(context, node, "1")])
-            if len(context) == 3:
+            if len(context) == depth:
                 memo[(context, node)] = (own, own)
             else:
                 below = sum(weighted(c, node, memo)[0] for c in children.get(context, ()))
@@ -138,45 +141,58 @@ def brute_tree(texts):
     def chance(context, node, bit):
         return (counts[(context, node, bit)] + 0.5) / (counts[(context, node, "0")] + counts[(context, node, "1")] + 1)
 
-    def score(text):
-        data, total = b"\0\0\0" + text.encode() + b"\0", 0.0
-        for i in range(3, len(data)):
-            node = 1
-            path = [data[i - d : i] for d in range(4) if data[i - d : i] in contexts]
-            for bit in f"{data[i]:08b}":
-                p = chance(path[-1], node, bit)
-                for context in reversed(path[:-1]):
-                    beta = math.exp(min(700, weighted(context, node, memo)[1]))
-                    p = (beta * chance(context, node, bit) + p) / (beta + 1)
-                total += math.log10(p)
-                node = node * 2 + int(bit)
+    def byte_log(data, i, byte):
+        node, total = 1, 0.0
+        for bit in f"{byte:08b}":
+            path = [data[i - d : i] for d in range(depth + 1) if met(data[i - d : i], node)]
+            p = chance(path[-1], node, bit) if path else 0.5
+            for context in reversed(path[:-1]):
+                beta = math.exp(min(700, weighted(context, node, memo)[1]))
+                p = (beta * chance(context, node, bit) + p) / (beta + 1)
+            total += math.log10(p)
+            node = node * 2 + int(bit)
         return total
 
+    def score(text):
+        data = before + text.translate(LOWER).encode() + after
+        return sum(byte_log(data, i, data[i]) for i in range(depth, len(data)))
+
+    score.byte_log = byte_log
     return score
 
 
-def test_ctw_equals_the_definition(spark):
-    rows = [(1, "abab abab"), (2, "abcabc été"), (3, None), (4, "ab ab zz"), (5, ""), (5, "Abab"), (None, "q")]
+@pytest.mark.parametrize(("depth", "frequent", "chunk"), [(5, 1 << 20, 1 << 18), (3, 4, 1), (7, 4, 20)])
+def test_ctw_equals_the_definition(spark, depth, frequent, chunk):
+    rows = [(1, "abab abab"), (2, "abcabc été"), (3, None), (4, "ab ab zz\0"), (5, ""), (5, "Abab"), (None, "q"), (6, "Abab" * 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash"))
     train = [r for r in rows if r[0] != 4]
-    score = brute_tree([t or "" for _, t in train])
+    score = brute_tree([t or "" for _, t in train], depth)
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None]
     counts = Counter(x for _, t in train for x in tokens(t))
     n, v = sum(counts.values()), len(counts)
-    for frequent, block in ((1 << 18, 1 << 16), (1, 1)):
-        out = ctw.score_texts(docs, F.col("doc_id").isNull() | (F.col("doc_id") != 4), frequent, block).collect()
-        assert len(out) == len(rows)
-        want = sorted((str(d), round(score(t or ""), 3), len(tokens(t)), sum(counts[x] > 0 for x in tokens(t)), round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens(t)), 6)) for d, t in rows)
-        assert sorted((str(r.doc_id), round(r.score, 3), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in out) == want
-        assert {r.train_tokens for r in out} == {n}
-
-
-def test_ctw_is_a_distribution_and_takes_nothing(spark, documents, empty):
-    grams = ctw.corpus_counts(documents.where("doc_id < 20").select("text")).where("kind = 1").select("key", "n")
-    rows, root = ctw.train_tree(grams, Scratch(spark, "test"))
-    tree = next(ctw.tree_blocks(rows, root, 1 << 16))
-    assert np.allclose((10.0 ** tree.table[1:].astype(float)).sum(axis=1), 1, atol=1e-4)
-    assert len(list(ctw.tree_blocks(rows, root, 50))) > 3
+    out = ctw.score_texts(docs, F.col("doc_id").isNull() | (F.col("doc_id") != 4), depth, frequent, chunk).collect()
+    assert len(out) == len(rows)
+    want = sorted((str(d), round(score(t or ""), 3), len(tokens(t)), sum(counts[x] > 0 for x in tokens(t)), round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens(t)), 6)) for d, t in rows)
+    assert sorted((str(r.doc_id), round(r.score, 3), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in out) == want
+    assert {r.train_tokens for r in out} == {n}
+
+
+def test_ctw_is_a_distribution(spark):
+    score = brute_tree(["abcabc", "été"], 3)
+    data = b"\xfe\xfe\xfeab"
+    assert math.isclose(sum(10 ** score.byte_log(data, 5, b) for b in range(256)), 1, rel_tol=1e-9)
+
+
+def test_deeper_contexts_tell_more(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = F.col("doc_id") % 10 == 0
+    total = [ctw.score_texts(docs, ~held, depth).where("doc_id % 10 = 0").agg(F.sum("score")).first()[0] for depth in (3, 5)]
+    assert total[1] > total[0]
+
+
+def test_ctw_takes_nothing(documents, empty):
     assert ctw.score_texts(empty, F.lit(True)).count() == 0
     untrained = ctw.score_texts(documents, F.lit(False)).where("doc_id = 301").first()
-    assert untrained.train_tokens == 0 and untrained.n_known == 0 and untrained.score < 0
+    assert untrained.train_tokens == 0 and untrained.n_known == 0
+    size = max(len(x) for x in ("short", "other text of one id"))
+    assert math.isclose(untrained.score, 8 * math.log10(0.5) * (len("short") + 1), rel_tol=1e-9) or math.isclose(untrained.score, 8 * math.log10(0.5) * (size + 1), rel_tol=1e-9)
