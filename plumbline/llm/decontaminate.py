@@ -21,14 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm import textbytes as tb
 from plumbline.llm.scratch import Scratch, column, fresh, without
 
 _WORD = tb.alnum_table()
 _BITS = 22
-#: The word pattern of the contract without the need to lower-case first.
-_ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _gram(h: np.ndarray, n: int) -> np.ndarray:
@@ -125,6 +124,20 @@ def kept_positions(documents: DataFrame, lengths: list[int], bits: np.ndarray, k
     return rows.mapInArrow(work, "doc string, version long, n int, fingerprint long, start long, words array<long>")
 
 
+def with_word_counts(rows: DataFrame, drop: list[str]) -> DataFrame:
+    """``rows`` plus ``n_words`` of their ``text``, without the columns ``drop``."""
+    fields = [f for f in rows.schema.fields if f.name not in drop]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tb.text_buffer(batch.column("text"))
+            found = [np.diff(tb.spans(_WORD[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])[2]) for a, b in tb.row_blocks(offsets)]
+            n = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(n)], [*(f.name for f in fields), "n_words"])
+
+    return rows.mapInArrow(work, T.StructType([*fields, T.StructField("n_words", T.LongType())]))
+
+
 def merged(spans: Column) -> Column:
     """Sorted spans ``struct<a, b>`` joined where they overlap or meet, as arrays of two."""
     none = F.array().cast("array<array<bigint>>")
@@ -168,9 +181,11 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 10, k:
     found = extended.groupBy(F.col("doc").alias(doc), F.col("version").alias(version)).agg(F.sort_array(F.collect_set(span)).alias(spans), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     found = scratch.put(found.withColumn(spans, merged(F.col(spans))), "found")
 
-    rows = documents.select(*map(column, without(dict.fromkeys([*carry, "doc_id", "text"]), _ADDED)))
-    same = F.col("doc_id").cast("string").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(version))
-    out = rows.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(_ANY_WORD)), F.lit(0)).cast("long")).join(found, same, "left")
+    mine, own = fresh([*documents.columns, *_ADDED, doc, version, spans], "mine", "own")
+    keys = {mine: F.col("doc_id").cast("string"), own: F.xxhash64(F.coalesce("text", F.lit("")))}
+    rows = documents.withColumns(keys).select(*map(column, [*dict.fromkeys([*carry, "text"]), mine, own]))
+    rows = with_word_counts(rows, without(["text"], carry))
+    out = rows.join(found, F.col(mine).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(version)), "left")
     size = F.aggregate(F.col("hit_spans"), F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
     out = out.withColumn("hit_spans", F.coalesce(spans, F.array().cast("array<array<bigint>>"))).withColumn("n_hit", size)
     out = out.withColumn("items", F.array_sort(F.coalesce("items", F.array().cast("array<string>"))))
