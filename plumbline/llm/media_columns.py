@@ -29,20 +29,28 @@ _MEDIA = {"img", "audio", "video", "source", "embed"}
 
 
 class _Sequence(HTMLParser):
-    """Collects ``(kind, text, source, caption)`` in document order."""
+    """Collects ``(kind, text, source, caption)`` in document order.
+
+    A caption belongs to the media of its open figure; it ends with its own end
+    tag, the next block or medium, the figure or the page, and what follows is
+    text again.  A caption outside a figure, or in one without media, is text.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
         self.hidden = 0
-        self.figure: list[int] = []
-        self.caption: list[str] | None = None
+        self.figure: list[int] | None = None
+        self.caption = False
 
     def flush(self) -> None:
-        text = " ".join("".join(self.text).split())
-        self.text = []
-        if text:
+        text, captioned = " ".join("".join(self.text).split()), self.caption and self.figure
+        self.text, self.caption = [], False
+        if text and captioned:
+            for i in self.figure:
+                self.items[i]["caption"] = text
+        elif text:
             self.items.append({"kind": "text", "text": text, "source": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
@@ -54,24 +62,23 @@ class _Sequence(HTMLParser):
         if tag == "figure":
             self.figure = []
         if tag == "figcaption":
-            self.caption = []
+            self.caption = self.figure is not None
         if tag in _MEDIA and found.get("src"):
-            self.figure.append(len(self.items))
+            if self.figure is not None:
+                self.figure.append(len(self.items))
             self.items.append({"kind": "media", "text": None, "source": found["src"], "caption": found.get("alt")})
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
-        if tag == "figcaption" and self.caption is not None:
-            caption, self.caption = " ".join("".join(self.caption).split()), None
-            for i in self.figure:
-                self.items[i]["caption"] = caption
-        elif tag in _BREAKS:
+        if tag in _BREAKS:
             self.flush()
+        if tag == "figure":
+            self.figure = None
 
     def handle_data(self, data):
         if not self.hidden:
-            (self.text if self.caption is None else self.caption).append(data)
+            self.text.append(data)
 
 
 def parse_page(html: str | None) -> list[dict]:
@@ -149,39 +156,57 @@ def describe(media: DataFrame) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, key: str, features: DataFrame) -> DataFrame:
-    """Sequences with each media item's ``(key, pos, caption, digest)`` and its payload's features.
+    """Each media item's ``(key, pos, caption, digest, n_texts)``, with its payload's features.
+
+    ``n_texts`` is the number of texts in the item's sequence.
 
     The join is on the digest.  ``features`` may repeat a digest; rows of one
     digest are equal and reduced before they move.  An item without a payload
     keeps nulls.
     """
-    items = sequences.select(key, F.explode("sequence").alias("item")).where(F.col("item.kind") == "media")
-    items = items.select(key, "item.pos", "item.caption", "item.digest")
+    texts = F.size(F.filter("sequence", lambda x: x["kind"] == "text"))
+    items = sequences.select(key, texts.alias("n_texts"), F.explode("sequence").alias("item")).where(F.col("item.kind") == "media")
+    items = items.select(key, "item.pos", "item.caption", "item.digest", "n_texts")
     once = features.groupBy("digest").agg(*[F.first(c).alias(c) for c in features.columns if c != "digest"])
     return items.join(once, "digest", "left")
 
 
+def escaped(text: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def page_of(text: Column, digest: Column, caption: Column) -> Column:
+    """A page of a text's lines as paragraphs, with its media in a figure after the first."""
+    lines = F.split(escaped(text), "\n", -1)
+    figure = F.concat(F.lit(f'<figure><img src="{_SCHEME}'), digest, F.lit('"><figcaption>'), escaped(caption), F.lit("</figcaption></figure>"))
+    rest = F.concat(F.lit("<p>"), F.array_join(F.slice(lines, 2, F.size(lines)), "</p><p>"), F.lit("</p>"))
+    return F.concat(F.lit("<article><p>"), lines[0], F.lit("</p>"), figure, rest, F.lit("</article>"))
+
+
 def text_media(documents: DataFrame) -> DataFrame:
-    """Store each text as media, refer to it from a page, and resolve the reference again.
+    """Store each text as media, refer to it from a page of its lines, and resolve the reference again.
 
-    Returns one row per document: ``doc_id, n_bytes, pos, caption, digest`` and
-    the features of the stored bytes as read back.  Null text is empty; empty text
-    is one row of blanks.  Equal texts have one digest and equal values; each
+    Returns one row per document: ``doc_id, n_bytes, pos, caption, digest,
+    n_texts`` and the features of the stored bytes as read back.  ``n_texts`` is
+    the number of texts of the page, one for each line that isn't blank; the
+    media stand at ``pos`` among them.  Null text is empty; empty text is one row
+    of blanks.  Equal texts have one digest and equal values; each
     row gets its own, also when ids repeat or are null.  Extra columns are left.
     Media are written compressed where their text is, with no shuffle of payloads.
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "media")
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select(F.col("doc_id").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), payload_of(text).alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("media", encode_samples(F.col("payload"))).drop("payload")
-    stored = scratch.put(rows, "media", compression="zstd")
+    rows = documents.select(F.col("doc_id").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), payload_of(text).alias("payload"), text.alias("text"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    stored = scratch.put(rows.select("digest", encode_samples(F.col("payload")).alias("media")), "media", compression="zstd")
     caption = F.concat(F.lit("text of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("no id")))
-    page = F.concat(F.lit(f'<figure><img src="{_SCHEME}'), F.col("digest"), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
-    pages = stored.select(F.struct("doc_id", "n_bytes").alias("row"), page.alias("html"))
+    pages = rows.select(F.struct("doc_id", "n_bytes").alias("row"), page_of(F.col("text"), F.col("digest"), caption).alias("html"))
     found = resolve(interleave(pages, "row"), "row", describe(stored))
-    return found.select("row.doc_id", "row.n_bytes", "pos", "caption", "digest", *[c for c in _FEATURES.names if c != "digest"])
+    return found.select("row.doc_id", "row.n_bytes", "pos", "caption", "digest", "n_texts", *[c for c in _FEATURES.names if c != "digest"])
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = text_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "n_texts")

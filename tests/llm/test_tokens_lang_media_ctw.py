@@ -84,6 +84,10 @@ def test_interleaved_sequence_keeps_order_and_captions(spark):
     found = media_columns.parse_page(html)
     assert [(x["pos"], x["kind"], x["text"] or x["digest"], x["caption"]) for x in found] == [(0, "text", "T & t", None), (1, "text", "one", None), (2, "media", "d1", "a"), (3, "text", "two", None), (4, "media", "d2", "cap"), (5, "text", "three", None)]
     assert media_columns.parse_page(None) == []
+    shape = lambda page: [(x["kind"][0], x["text"] or x["digest"], x["caption"]) for x in media_columns.parse_page(page)]
+    assert shape('<p>a</p><figure><img src="x"><figcaption>cap <p>lost text</p><p>more</p>') == [("t", "a", None), ("m", "x", "cap"), ("t", "lost text", None), ("t", "more", None)]
+    assert shape('<img src="x" alt="own"><figcaption>stray</figcaption><figure>no <figcaption>media</figcaption></figure>') == [("m", "x", "own"), ("t", "stray", None), ("t", "no", None), ("t", "media", None)]
+    assert shape('<figure><img src="x"><img src="y" alt="old"><figcaption>both') == [("m", "x", "both"), ("m", "y", "both")]
     pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
     features = spark.createDataFrame([("d1", 5), ("d1", 5)], "digest string, size int")
     out = media_columns.resolve(media_columns.interleave(pages, "page_id"), "page_id", features)
@@ -100,6 +104,16 @@ def test_media_round_trip(documents, rows, empty):
         want[(doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in out) == want
     assert len({(r.payload_sha256, r.feature) for r in out}) == len({r.payload_sha256 for r in out})
+    for r in out:
+        text = next(t or "" for doc, t, *_ in rows if doc == r.doc_id and len((t or "").encode()) == r.n_bytes)
+        lines = [x for x in (" ".join(x.split()) for x in text.replace("\x00", "").split("\n")) if x]
+        assert r.caption == f"text of {'no id' if r.doc_id is None else r.doc_id}" and r.n_texts == len(lines) and r.pos == (1 if " ".join(text.split("\n")[0].split()) else 0)
+        raw = text.encode()
+        x = list(raw + b" " * (-len(raw) % 192 or (0 if raw else 192)))
+        mean = sum(x) / len(x)
+        std = math.sqrt(max(0.0, sum(v * v for v in x) / len(x) - mean * mean))
+        step = sum(abs(x[i + 1] - x[i]) for i in range(len(x) - 1) if i % 192 != 191) / len(x)
+        assert r.feature == f"h={len(x) // 192};mean={mean:.4f};std={std:.4f};min={min(x)};max={max(x)};step={step:.4f}"
     assert media_columns.text_media(empty).count() == 0
 
 
