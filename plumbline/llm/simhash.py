@@ -3,13 +3,14 @@
 Distinct fingerprints are indexed by a forest of vantage-point trees.  The bits
 are cut into ``blocks`` runs; two fingerprints within ``radius`` bits agree on
 all bits of at least ``blocks - radius`` runs, so there is one tree per choice
-of so many runs.  The root of a tree splits by those runs (vantage points at
-projected distance zero); below it, a shard that is too large for one scan is
-split by the Hamming distance of whole fingerprints to a vantage point.  By the
-triangle inequality, a partner's distance to the vantage point differs by at
-most ``radius``: branches farther away are pruned, and a shard's boundary is
-compared with the boundary of its neighbour.  So every pair within the radius
-meets in some shard, and pairs are exact.
+of so many runs, and its root deals fingerprints to shards by those (one plain
+tree would prune little: distances of unrelated fingerprints all lie near 32).
+Below the root a shard is a vantage-point tree over whole fingerprints.  By the
+triangle inequality, partners' distances to a vantage point differ by at most
+``radius``: a node splits at the median distance and only the boundaries of its
+two sides are compared with each other; a leaf is a list in order of distance to
+its vantage point, where each member meets those within ``radius`` of its own
+distance.  So every pair within the radius meets in some shard, and pairs are exact.
 
 A shard reports no pairs but its own connected parts (each member with the
 smallest one), so a group of thousands of near copies gives as many rows as it
@@ -100,50 +101,67 @@ def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
+def _near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Which of two fingerprints each are within ``radius`` bits."""
+    return np.bitwise_count(x ^ y) <= radius
+
+
+def _leaves(shards: np.ndarray, points: np.ndarray, index: np.ndarray, label: np.ndarray, radius: int) -> None:
+    """Join the labels of near members of each leaf; ``shards`` is sorted and names the leaves of ``points``."""
+    begin = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(shards) else np.zeros(0, np.int64)
+    vantage = np.repeat(points[begin], np.diff(np.append(begin, len(points))))
+    distance = np.bitwise_count(points ^ vantage).astype(np.int64)
+    order = np.lexsort((distance, shards))
+    shards, points, index, distance = shards[order], points[order], index[order], distance[order]
+    a, step = np.arange(len(points)), 1
+    while len(a):
+        a = a[a + step < len(points)]
+        a = a[(shards[a + step] == shards[a]) & (distance[a + step] - distance[a] <= radius)]
+        near = a[_near(points[a], points[a + step], radius)]
+        _join_labels(label, index[near], index[near + step])
+        step += 1
+
+
 def _search(points: np.ndarray, index: np.ndarray, label: np.ndarray, radius: int, leaf: int) -> None:
     """Join the labels of all ``points[index]`` within ``radius`` of each other: one vantage-point tree."""
     stack = [(index, None)]
     while stack:
         left, right = stack.pop()
-        if right is None and len(left) > leaf:
+        if right is None:
             distance = np.bitwise_count(points[left] ^ points[left[0]])
-            near = left[distance <= radius]
-            _join_labels(label, np.full(len(near), left[0]), near)
             middle = int(np.median(distance))
             inner, outer = left[distance <= middle], left[distance > middle]
-            if len(outer) and len(inner):
+            if len(left) > leaf and len(outer):
+                near = left[distance <= radius]
+                _join_labels(label, np.full(len(near), left[0]), near)
                 stack += [(inner, None), (outer, None), (left[(distance <= middle) & (distance > middle - radius)], left[(distance > middle) & (distance <= middle + radius)])]
-                continue
-        other = left if right is None else right
+            else:
+                _leaves(np.zeros(len(left), np.int64), points[left], left, label, radius)
+            continue
         for at in range(0, len(left), 512):
             rows = left[at : at + 512]
-            for to in range(0, len(other), 8192):
-                columns = other[to : to + 8192]
+            for to in range(0, len(right), 8192):
+                columns = right[to : to + 8192]
                 labels = label[rows], label[columns]
                 if labels[0][0] == labels[1][0] and all((x == x[0]).all() for x in labels):
                     continue  # one part already
-                x, y = np.nonzero(np.bitwise_count(points[rows][:, None] ^ points[columns][None, :]) <= radius)
+                x, y = np.nonzero(_near(points[rows][:, None], points[columns][None, :], radius))
                 _join_labels(label, rows[x], columns[y])
 
 
 def _shard_parts(shards: np.ndarray, points: np.ndarray, radius: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
     """Members of each shard that have a partner there, with the smallest member of their part.
 
-    ``shards`` is sorted.  Small shards are compared all at once, step by step.
+    ``shards`` is sorted.  Those of one leaf are worked off together.
     """
     label = np.arange(len(points))
     head = np.ones(len(points), bool)
     head[1:] = shards[1:] != shards[:-1]
     begin = np.flatnonzero(head)
     size = np.diff(np.append(begin, len(points)))
-    small = np.repeat(size <= 64, size)
-    for step in range(1, int(min(size.max(initial=0), 64))):
-        a = np.flatnonzero(small[:-step] & (shards[step:] == shards[:-step]))
-        if not len(a):
-            break
-        a = a[np.bitwise_count(points[a] ^ points[a + step]) <= radius]
-        _join_labels(label, a, a + step)
-    for i in np.flatnonzero(size > 64):
+    single = np.flatnonzero(np.repeat(size <= leaf, size))
+    _leaves(shards[single], points[single], single, label, radius)
+    for i in np.flatnonzero(size > leaf):
         _search(points, np.arange(begin[i], begin[i] + size[i]), label, radius, leaf)
     moved = np.flatnonzero(label != np.arange(len(points)))
     return points[moved], points[label[moved]]

@@ -109,6 +109,39 @@ def test_mix(documents, rows):
     assert Counter((r.doc_id, r["size"], r.taken) for r in again) == Counter((r.doc_id, r["size"], r.taken) for r in out)
 
 
+def brute_mix(rows, out):
+    """Copies of each document by virtual finish times, from the definition, over all queues in one list."""
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    queues, entries = defaultdict(list), []
+    for r in out:
+        queues[r.source].append((r.order % 2**64, r.order, r.doc_id is not None, r.doc_id or 0, r["size"], r.target))
+    budget = sum(count(t) for _, t, *_ in rows)
+    for source, docs in queues.items():
+        docs.sort()
+        total = sum(d[4] for d in docs)
+        for turn in range(3):
+            upto = turn * total
+            for _, order, _, _, size, target in docs:
+                upto += size
+                if size:
+                    entries.append((upto / target, order, size))
+    taken, used = Counter(), 0
+    for _, order, size in sorted(entries):
+        if used + size > budget:
+            break
+        used += size
+        taken[order] += 1
+    return taken
+
+
+def test_mix_takes_the_front_of_all_queues(spark, documents, rows):
+    distinct = documents.dropDuplicates(["doc_id", "text"])
+    order = F.xxhash64(F.lit(7), F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = mixing.mix(distinct.withColumn("order", order), rows_per_bucket=5).collect()
+    want = brute_mix([(r.doc_id, r.text) for r in out], out)
+    assert {r.order: r.copies for r in out if r.copies} == dict(want) and max(want.values()) > 1
+
+
 def test_mix_of_nothing(documents, empty):
     assert mixing.mix(empty).count() == 0
     blank = mixing.mix(documents.where("doc_id in (200, 201, 202)")).collect()
@@ -224,6 +257,19 @@ def test_shards_lose_no_pair(spark, blocks):
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in mine.values()}
 
 
+@pytest.mark.parametrize("leaf", [16, 1 << 20])
+def test_vantage_points_prune(monkeypatch, leaf):
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**63, 120).astype(np.uint64)
+    points = np.unique(np.concatenate((centres, centres[:40] ^ np.uint64(0b1011), rng.integers(0, 2**63, 240).astype(np.uint64))))
+    asked, near = [], simhash._near
+    monkeypatch.setattr(simhash, "_near", lambda x, y, r: asked.append(np.broadcast(x, y).size) or near(x, y, r))
+    a, b = simhash._shard_parts(np.zeros(len(points), np.int64), points, 4, leaf)
+    parts, joined = brute_components(points.tolist()), dict(zip(a.tolist(), b.tolist()))
+    assert [joined.get(x, x) for x in points.tolist()] == [int(points[p]) for p in parts] and len(joined) >= 40
+    assert sum(asked) < 0.85 * len(points) * (len(points) - 1) / 2  # the triangle bound leaves out the rest
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in simhash.components(edges, Scratch(spark, "chain")).collect()}
