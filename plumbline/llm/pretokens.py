@@ -79,7 +79,7 @@ def piece_starts(codes: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np
 class PieceEncoder:
     """Encodes columns of texts with a tokenizers file; equal to encoding each text by itself."""
 
-    def __init__(self, path: str, most_pieces: int = 1_500_000):
+    def __init__(self, path: str, most_pieces: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.scratch import Scratch
+from plumbline.llm.scratch import Scratch, column, fresh, without
 
 
 def _any_case(word: str) -> str:
@@ -87,21 +87,22 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules_ve
     doc_id is a path like any other.
     """
     spark, scratch = versions.sparkSession, Scratch(versions.sparkSession, "secret-scan")
-    kept = [c for c in versions.columns if c not in ("blob", "spans")]
+    kept = without(versions.columns, ("blob", "spans"))
+    path = fresh([*versions.columns, "blob", "spans"], "path")[0]
     text = F.coalesce("text", F.lit(""))
-    paths = versions.select(*kept, F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"))
+    paths = versions.select(*map(column, kept), F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"))
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    unseen = paths.groupBy("blob").agg(F.min(doc).alias("_doc"))
+    unseen = paths.groupBy("blob").agg(F.min(doc).alias(path))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rules_version") == rules_version).select("blob"), "blob", "left_anti")
-    todo = paths.select("blob", doc.alias("_doc"), text.alias("text")).join(unseen, ["blob", "_doc"], "left_semi")
+    todo = paths.select("blob", doc.alias(path), text.alias("text")).join(unseen, ["blob", path], "left_semi")
     scanned = scan_texts(todo).select("blob", F.lit(rules_version).alias("rules_version"), "spans")
     # Written before any filter on spans, which would pull the scan below the join and over all texts.
     added = scratch.put(scanned, "scanned").dropDuplicates(["blob"])
     whole = added if ledger is None else ledger.unionByName(added)
     findings = whole.where((F.col("rules_version") == rules_version) & (F.size("spans") > 0)).select("blob", "spans")
     out = paths.join(findings, "blob", "left")
-    out = out.select(*kept, "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    out = out.select(*map(column, kept), "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
     return out, whole
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm import textbytes as tb
 from plumbline.llm.pretokens import encoder
 from plumbline.llm.scratch import Scratch
 
@@ -160,7 +161,12 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str, end_id: int =
             held_ids, held_sizes, held_docs, size = [], [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
-        for batch in batches:
+        def parts() -> Iterator[pa.RecordBatch]:  # bounds memory
+            for batch in batches:
+                for a, b in tb.row_blocks(tb.text_buffer(batch.column("text"))[1], 1 << 22):
+                    yield batch.slice(a, b - a)
+
+        for batch in parts():
             ids, sizes = enc.encode(batch.column("text"))
             docs = batch.column("doc_id").to_pylist()
             ends = np.cumsum(sizes)

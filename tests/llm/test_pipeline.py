@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from plumbline.llm import mixing
+from plumbline.llm import line_dedup, mixing, secret_scan, url_filter
 from plumbline.llm.scratch import Scratch
 from tests.llm.test_leaks_mix_simhash import brute_components, brute_leaks, brute_print
 
@@ -23,7 +23,11 @@ def test_stages_equal_brute_force(spark, documents, rows, tmp_path):
         kept[name] = [tuple(r) for r in docs.collect()]
 
     want = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
-    assert Counter(kept["language_id"]) == Counter(want)
+    blind = lambda r: tuple(x for c, x in zip(documents.columns, r) if c != "lang")
+    assert Counter(map(blind, kept["language_id"])) == Counter(map(blind, want))
+    place = documents.columns.index("lang")
+    assert all(r[place] in ("en", "de") for r in kept["language_id"]) and any(r[place] is None for r in want)
+    assert {blind(r): r[place] for r in want if r[place]}.items() <= {blind(r): r[place] for r in kept["language_id"]}.items()
 
     parts = brute_components([brute_print(r[1]) for r in want])
     first = {}
@@ -49,6 +53,26 @@ def test_stages_equal_brute_force(spark, documents, rows, tmp_path):
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == tokens
 
 
+def test_columns_of_any_name_pass_through(spark, documents, tmp_path):
+    names = "n_lines n_dropped _at _doc _version _lines _kept _pages doc version mine own spans copies size lang_pred score hit_spans items bucket digest row id component copy".split()
+    extra = documents.where("doc_id < 40 or doc_id >= 200").withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")) for n in names})
+    extra.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "AA bb cc dd ee ff gg hh ii jj kk")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, scratch = spark.read.parquet(f"{tmp_path}/documents.parquet"), Scratch(spark, "names")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = scratch.put(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == extra.columns
+        assert all(r[n] == (f"{n} of {r.doc_id}" if r.doc_id is not None else None) for r in docs.collect() for n in names)
+    assert docs.count() > 10
+    lines = line_dedup.dedup_lines(extra)
+    kept = [n for n in names if n not in ("n_lines", "n_dropped")]
+    assert lines.count() == extra.count() and all(r[n] == (f"{n} of {r.doc_id}" if r.doc_id is not None else None) for r in lines.collect() for n in kept)
+    spans, _ = secret_scan.scan_versions(extra)
+    assert all(r[n] == (f"{n} of {r.doc_id}" if r.doc_id is not None else None) for r in spans.collect() for n in names if n != "spans")
+    pages = extra.select(F.col("doc_id").alias("page_id"), F.lit("http://a.org/x").alias("url"), F.lit(None).cast("string").alias("html"), *names)
+    assert all(r[n] == (f"{n} of {r.page_id}" if r.page_id is not None else None) for r in url_filter.judge_pages(pages).collect() for n in names)
+
+
 def test_pipeline_of_nothing(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
