@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.fixed import BOUNDS, CONCLUSION, COPULAS, CUTS, NUMBERS, PRONOUNS, REASON, UNITS
+
 # Quotation marks, dashes and spaces that fold to plain ones.
 _CURLY = "‘’‚‛“”„‟‐‑‒–—―   "
 _PLAIN = "''''\"\"\"\"------   "
@@ -46,6 +48,10 @@ def words(c: Column) -> Column:
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " "))
 
 
+#: A token that closes a sentence: it ends in ``!`` or ``?``, or is a dot alone or after two or more signs but dots.
+_CLOSING = r"(?<![^ ])([^ ]*[!?]|(?:[^ .]{2,})?\.) (?=\p{Lu})"
+
+
 def sentences(c: Column) -> Column:
     """Sentences of a text.
 
@@ -53,66 +59,74 @@ def sentences(c: Column) -> Column:
     starts with an upper-case letter; ``.`` does not after a one-character token
     or one that holds another dot.
     """
-    tokens = words(c)
-    nexts = F.concat(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), F.array(F.lit("")))
+    line = F.trim(F.regexp_replace(c, r"\s+", " "))
+    marked_ = F.regexp_replace(line, _CLOSING, "$1\x01")
+    return F.filter(F.split(marked_, "\x01"), lambda s: s != "")
+
+
+_SIGNS = ",.;:!?\"'"
+
+
+def _plain(word: Column) -> Column:
+    return F.lower(F.btrim(word, F.lit(_SIGNS)))
 
-    def mark(x: Column, after: Column) -> Column:
-        before = F.substring(x, 1, 1_000_000)
-        before = F.regexp_replace(before, r".$", "")
-        closes = x.rlike(r"[!?]$") | (x.rlike(r"\.$") & (F.char_length(before) != 1) & ~before.contains("."))
-        return F.when(closes & after.rlike(r"^\p{Lu}"), F.concat(x, F.lit("\x01"))).otherwise(F.concat(x, F.lit(" ")))
 
-    joined = F.array_join(F.zip_with(tokens, nexts, mark), "")
-    return F.filter(F.transform(F.split(joined, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
+def subject_size(words_: Column) -> Column:
+    """Number of words before the first copula that isn't the first word; 0 if there is none."""
+    return F.array_position(F.transform(F.slice(words_, 2, F.size(words_)), lambda w: _plain(w).isin(*COPULAS)), True)
 
 
-# Where a sentence is cut into claims, earliest first and in this order on ties.
-CUTS = (", but ", ", and ", "; however, ", "; ", ", however, ")
+def capitalized(c: Column) -> Column:
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.char_length(c)))
 
 
-def claims_from_text(c: Column, dependent: tuple[str, ...] = ("because", "so", "which", "then")) -> Column:
-    """Claims of a text: sentences, each cut once where a conjunction joins two independent sides.
+def claims_from_text(c: Column, dependent: tuple[str, ...] = REASON + CONCLUSION) -> Column:
+    """``array<struct<text, anchor, substituted>>``: sentences, each cut once where a conjunction joins two claims.
 
-    The cut is refused if a side is blank or the right side opens with a
-    dependent word.
+    The cut is refused if a side is blank, if the right side opens with a word of
+    ``dependent``, or if it has no subject of its own before a copula.  A right
+    side that opens with a pronoun takes the left side's subject for it, or is
+    refused if that has none.  ``anchor`` keeps the words as written.
     """
+    pattern = "^(" + "|".join(dependent) + ")([^a-z0-9_-]|$)"
 
-    def parts(s: Column) -> Column:
-        places = [F.when(F.instr(s, cut) > 0, F.struct(F.instr(s, cut).alias("at"), F.lit(i).alias("rank"), F.lit(len(cut)).alias("size"))) for i, cut in enumerate(CUTS)]
-        first = F.least(*places)
-        left = F.trim(F.substring(s, F.lit(1), first["at"] - 1))
-        right = F.trim(F.substring(s, first["at"] + first["size"], F.char_length(s)))
-        opens = F.lower(F.regexp_extract(right, r"^([^\s,.;]+)", 1)).isin(*dependent)
-        refused = first["at"].isNull() | (left == "") | (right == "") | opens
-        return F.when(refused, F.array(s)).otherwise(F.array(left, F.concat(F.upper(F.substring(right, 1, 1)), F.substring(right, F.lit(2), F.char_length(right)))))
+    def cut(s: Column) -> Column:
+        low = F.lower(s)
+        places = [F.when(F.instr(low, x) > 0, F.struct(F.instr(low, x).alias("at"), F.lit(i).alias("rank"), F.lit(len(x)).alias("size"))) for i, x in enumerate(CUTS)]
 
-    return F.flatten(F.transform(sentences(c), parts))
+        def sides(first: Column) -> Column:
+            left, right = F.trim(F.substring(s, F.lit(1), first["at"] - 1)), F.trim(F.substring(s, first["at"] + first["size"], F.char_length(s)))
+            return F.when(first.isNotNull(), F.struct(left.alias("left"), right.alias("right"), F.split(left, " ").alias("l"), F.split(right, " ").alias("r")))
 
+        def judged(x: Column) -> Column:
+            whole = F.array(F.struct(s.alias("text"), s.alias("anchor"), F.lit(False).alias("substituted")))
+            pronoun, n = _plain(x["r"][0]).isin(*PRONOUNS), subject_size(x["l"])
+            text = F.when(pronoun, F.concat_ws(" ", F.array_join(F.slice(x["l"], 1, n.cast("int")), " "), F.array_join(F.slice(x["r"], 2, F.size(x["r"])), " "))).otherwise(x["right"])
+            stands = F.when(pronoun, n > 0).otherwise(subject_size(x["r"]) > 0)
+            good = x.isNotNull() & (x["left"] != "") & (x["right"] != "") & ~F.lower(x["right"]).rlike(pattern) & stands
+            two = F.array(F.struct(x["left"].alias("text"), x["left"].alias("anchor"), F.lit(False).alias("substituted")), F.struct(capitalized(text).alias("text"), x["right"].alias("anchor"), pronoun.alias("substituted")))
+            return F.when(good, two).otherwise(whole)
 
-# Phrases of bounds with their operators; the longest that occurs wins, the first on ties.
-BOUNDS = (
-    ("no fewer than", ">="), ("not exceed", "<="), ("no less than", ">="), ("no more than", "<="), ("at most", "<="), ("up to", "<="),
-    ("fewer than", "<="), ("under", "<="), ("at least", ">="), ("more than", ">="), ("over", ">="), ("exactly", "=="), ("is", "=="),
-)
-# Number words.
-NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
+        return let(let(F.least(*places), sides), judged)
+
+    return F.flatten(F.transform(sentences(c), cut))
 
 
 def parse_bound(c: Column, phrases=BOUNDS) -> Column:
     """``struct<op, value, phrase, raw>`` of the bound a text states, or null.
 
-    The phrase must be followed by a number: digits with thousands commas and
+    The phrase's first occurrence must be followed by a number: digits with thousands commas and
     decimals and perhaps a unit, or a number word.
     """
-    number = r"\s+([0-9][0-9,]*(?:\.[0-9]+)?|" + "|".join(NUMBERS) + r")([a-z%]*)"
+    number = r"^\s+([0-9][0-9,]*(?:\.[0-9]+)?|" + "|".join(NUMBERS) + r")([a-z%]*)"
 
     def stated(line: Column) -> Column:
         found = F.lit(None)
         for phrase, op in sorted(phrases, key=lambda p: len(p[0])):
-            start = r"(?:^|[^a-z])" + phrase
-            raw, unit = (F.regexp_extract(line, start + number, i) for i in (1, 2))
+            rest = F.get(F.split(line, rf"(?:^|[^a-z]){phrase}(?=[^a-z]|$)", 2), F.lit(1))
+            raw, unit = (F.regexp_extract(rest, number, i) for i in (1, 2))
             here = F.struct(F.lit(op).alias("op"), F.lit(phrase).alias("phrase"), raw.alias("number"), unit.alias("unit"))
-            found = F.when(line.contains(phrase) & line.rlike(start + r"(?:[^a-z]|$)"), here).otherwise(found)
+            found = F.when(line.contains(phrase) & rest.isNotNull(), here).otherwise(found)
         return found
 
     named = F.create_map(*[x for value, word in enumerate(NUMBERS) for x in (F.lit(word), F.lit(float(value)))])
@@ -126,12 +140,12 @@ def parse_bound(c: Column, phrases=BOUNDS) -> Column:
 
 
 def written_dimension(raw: Column) -> Column:
-    """Dimension of a written value by its unit; none is a count."""
-    unit = F.regexp_extract(F.lower(raw), r"[0-9]\s*([a-z%]+)$", 1)
-    return (
-        F.when(unit.isin("ms", "s", "sec", "secs", "second", "seconds", "m", "min", "minute", "minutes", "h", "hour", "hours", "d", "day", "days"), "duration")
-        .when(unit.isin("b", "kb", "mb", "gb", "tb", "kib", "mib", "gib"), "bytes").when(unit.isin("%", "percent"), "ratio").when(unit == "", "count")
-    )
+    """Dimension of a written value by the unit after its last digit; null for none or an unknown one."""
+    unit = F.lower(F.btrim(F.regexp_extract(raw, r"^.*[0-9.]([^0-9.]*)$", 1), F.lit(".,;:)")))
+    out = F.lit(None).cast("string")
+    for dimension, units in UNITS.items():
+        out = F.when(unit.isin(*units), dimension).otherwise(out)
+    return out
 
 
 def states_value(c: Column, value: Column) -> Column:
@@ -147,32 +161,54 @@ def marked(c: Column, markers: tuple[str, ...]) -> Column:
     return F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(padded, F.concat(F.lit(" "), m, F.lit(" "))))
 
 
-def snippet(c: Column, term: str, width: int = 160) -> Column:
-    """Text around the first occurrence of ``term``, without headings and link targets."""
+def snippet(c: Column, query: str, width: int = 160) -> Column:
+    """Text around the first of a query's terms, without headings and link targets; operators are no terms."""
     plain = F.regexp_replace(F.regexp_replace(c, r"(^|\n)#+[^\n]*", " "), r"\[([^\]]*)\]\([^)]*\)", "$1")
-    line = F.trim(F.regexp_replace(plain, r"\s+", " "))
-    at = F.greatest(F.instr(F.lower(line), term.lower()) - width // 2, F.lit(1))
-    cut = F.substring(line, at, F.lit(width))
-    head, tail = F.when(at > 1, "…").otherwise(""), F.when(at + width - 1 < F.char_length(line), "…").otherwise("")
-    return F.concat(head, cut, tail)
+    terms = [t for t in (x.strip('"()*') for x in query.lower().split()) if t and t not in ("and", "or", "not", "near")]
+
+    def cut(line: Column) -> Column:
+        places = [F.nullif(F.instr(F.lower(line), t), F.lit(0)) for t in terms] or [F.lit(None).cast("int")]
+        first = F.coalesce(F.least(*places) if len(places) > 1 else places[0], F.lit(1))
+        at = F.when(F.char_length(line) <= width, 1).otherwise(F.greatest(first - width // 2, F.lit(1)))
+        head, tail = F.when(at > 1, "…").otherwise(""), F.when(at + width - 1 < F.char_length(line), "…").otherwise("")
+        return F.concat(head, F.substring(line, at, F.lit(width)), tail)
+
+    return let(F.trim(F.regexp_replace(plain, r"\s+", " ")), cut)
 
 
 def placeholders(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\{\{[A-Z][A-Z0-9_]*\}\}"), F.lit(0)))
 
 
-# Hidden characters by class.
+# Hidden characters by class, and where such characters are meant: a joiner between two signs that are
+# not ASCII, the tags of three flags, and a byte order mark in first place.
 HIDDEN = {"zero-width": "[​‌‍⁠﻿]", "bidi": "[‪-‮⁦-⁩]", "tag": "[\U000e0000-\U000e007f]"}
+_JOINED = "(?<=[^\\x00-\\x7f​-‍⁠﻿])[‌‍](?=[^\\x00-\\x7f​-‍⁠﻿])"
+_FLAGS = "(\U0001f3f4)(" + "|".join("".join(chr(0xE0000 + ord(x)) for x in flag) for flag in ("gbeng", "gbsct", "gbwls")) + ")\U000e007f"
+
+
+def unmeant(c: Column) -> Column:
+    """A text with every hidden character that is meant replaced by ``-``; offsets stay."""
+    out = F.regexp_replace(F.regexp_replace(c, _JOINED, "-"), _FLAGS, "$1------")
+    return F.regexp_replace(out, "^﻿", "-")
 
 
 def hidden_chars(c: Column, kind: str) -> Column:
-    """How many hidden characters of a class a text holds."""
-    return F.regexp_count(c, F.lit(HIDDEN[kind]))
+    """``struct<times, first>``: how many hidden characters of a class a text holds, and the offset of the first, or null."""
+    at = F.regexp_instr(unmeant(c), F.lit(HIDDEN[kind]))
+    return F.struct(F.regexp_count(unmeant(c), F.lit(HIDDEN[kind])).alias("times"), F.when(at > 0, F.char_length(F.split(unmeant(c), HIDDEN[kind], 2)[0])).alias("first"))
+
+
+def without_hidden(c: Column) -> Column:
+    """A text without its hidden characters."""
+    return F.regexp_replace(c, "|".join(HIDDEN.values()), "")
 
 
 def hidden_channels(c: Column) -> Column:
-    """Texts of HTML comments."""
-    return F.transform(F.regexp_extract_all(c, F.lit(r"(?s)<!--(.*?)-->"), F.lit(1)), lambda s: F.trim(s))
+    """Texts that no reader sees: those of HTML comments, then the titles of link labels."""
+    comments = F.regexp_extract_all(c, F.lit(r"(?s)<!--(.*?)-->"), F.lit(1))
+    labels = [F.regexp_extract_all(c, F.lit(rf"(?m)^ {{0,3}}\[[^\]\n]+\]:[ \t]*[^ \t\n]+[ \t]+{quoted}[ \t]*$"), F.lit(1)) for quoted in (r'"([^"\n]*)"', r"'([^'\n]*)'", r"\(([^)\n]*)\)")]
+    return F.transform(F.concat(comments, *labels), lambda s: F.trim(s))
 
 
 def html_text(c: Column) -> Column:

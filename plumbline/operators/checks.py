@@ -11,30 +11,54 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import fold
-
-# Rules that any text is scanned for, (id, category, pattern).
-SCAN_RULES = (
-    ("ignore-previous", "prompt_injection", r"(?i)ignore\s+(all\s+|any\s+)?(the\s+)?(previous|prior|above|earlier)\s+(instruction|prompt|rule)s?"),
-    ("control-token", "prompt_injection", r"<\|(im_start|im_end|system|user|assistant)\|>"),
-    ("send-to-url", "data_exfiltration", r"(?i)(send|post|upload|forward)\s+(the\s+|all\s+|your\s+)?(content|data|file|secret|token|password)s?\s+to\s+https?://"),
-    ("image-beacon", "data_exfiltration", r"!\[[^\]]*\]\(\s*https?://[^)\s]*[?&](q|d|data|payload|prompt)=[^)\s]*\)"),
-    ("standing-directive", "memory_poisoning", r"(?i)from\s+now\s+on,?\s+you\s+(must|should|will)"),
-    ("pipe-to-shell", "tool_misuse", r"(?i)(curl|wget)\s[^\n|]{1,200}\|\s*(sudo\s+)?(ba|z)?sh"),
-    ("private-key", "secret", r"-----BEGIN ([A-Z]+ )?PRIVATE KEY-----"),
-    ("access-key", "secret", r"(AKIA|ASIA)[0-9A-Z]{16}"),
-    ("long-hex", "secret", r"[0-9a-f]{32}"),
-    ("email", "personal", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]{2,}"),
-)
-
-
-def scan_rules(texts: DataFrame, body: str, rules=SCAN_RULES) -> DataFrame:
-    """``(doc_id, rule, category, match)``: the first match of each rule, one column per rule and no join."""
-    found = [F.struct(F.lit(i).alias("rule"), F.lit(k).alias("category"), F.nullif(F.regexp_extract(F.coalesce(body, F.lit("")), p, 0), F.lit("")).alias("match")) for i, k, p in rules]
-    rows = texts.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x["match"].isNotNull())).alias("x"))
+from plumbline.functions.fixed import HIDDEN_SCOPE, SCAN_RULES
+from plumbline.functions.text import fold, hidden_channels, without_hidden
+
+
+def scan_rules(texts: DataFrame, body: str, rules=SCAN_RULES, hidden_scope=HIDDEN_SCOPE) -> DataFrame:
+    """``(doc_id, rule, category, match)``: the first match of each rule, one column per rule and no join.
+
+    Hidden characters are taken out first, so they split no word.  A rule of
+    ``hidden_scope`` looks at comments and link label titles only.
+    """
+    seen = texts.select("doc_id", without_hidden(F.coalesce(body, F.lit(""))).alias("seen"))
+    seen = seen.withColumn("channels", F.array_join(hidden_channels(F.col("seen")), "\x01"))
+    found = [F.struct(F.lit(i).alias("rule"), F.lit(k).alias("category"), F.nullif(F.regexp_extract(F.col("channels" if i in hidden_scope else "seen"), p, 0), F.lit("")).alias("match")) for i, k, p in rules]
+    rows = seen.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x["match"].isNotNull())).alias("x"))
     return rows.select("doc_id", "x.rule", "x.category", "x.match")
 
 
+#: Stages of an admission scan.
+STAGES = ("hidden", "injection", "secrets", "oversize")
+
+
+def flagged(text: Column, rules=SCAN_RULES, hidden_scope=HIDDEN_SCOPE) -> Column:
+    """Whether a text has a hidden character or trips a rule."""
+    seen = without_hidden(F.coalesce(text, F.lit("")))
+    channels, out = F.array_join(hidden_channels(seen), "\x01"), seen != F.coalesce(text, F.lit(""))
+    for rule, _, pattern in rules:
+        out = out | F.rlike(channels if rule in hidden_scope else seen, F.lit(pattern))
+    return out
+
+
+def security_signal(texts: DataFrame, stages: DataFrame) -> DataFrame:
+    """``(doc_id, state)``: any finding fails; a stage of ``(doc_id, stages)`` missing, or no scan at all, is unchecked."""
+    rows = texts.join(stages, "doc_id", "left")
+    whole = F.size(F.array_except(F.array(*map(F.lit, STAGES)), F.coalesce("stages", F.array().cast("array<string>")))) == 0
+    return rows.select("doc_id", F.when(flagged(F.col("body")), "fail").when(whole, "pass").otherwise("unchecked").alias("state"))
+
+
+def loosened(values: DataFrame, thresholds: tuple[tuple[str, float, float], ...]) -> DataFrame:
+    """``(name, old, new, before, after)`` of thresholds that were raised: findings at or above the old and the new one.
+
+    ``values`` is ``(name, value)``; each threshold is its name, old and new value.
+    """
+    raised = [t for t in thresholds if t[2] > t[1]]
+    old, new = (F.coalesce(*[F.when(F.col("name") == t[0], F.lit(t[i])) for t in raised]).cast("long") for i in (1, 2))
+    rows = values.where(F.col("name").isin(*[t[0] for t in raised])).withColumns({"old": old, "new": new})
+    return rows.groupBy("name", "old", "new").agg(F.count_if(F.col("value") >= F.col("old")).alias("before"), F.count_if(F.col("value") >= F.col("new")).alias("after"))
+
+
 def scan_coverage(stages_run: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
     """``(doc_id, missing)`` of documents ``(doc_id, stages)`` that lack a stage."""
     missing = F.array_except(F.array(*map(F.lit, wanted)), "stages")
@@ -53,25 +77,100 @@ def check_all(checks: list[tuple[DataFrame, str, str, Column, Column]]) -> DataF
 def quote_check(quotes: DataFrame, texts: DataFrame, least_words: int = 6) -> DataFrame:
     """``(quote_id, quote, source)`` against ``(source, text)``: found, missing, or unchecked if short or without text."""
     rows = quotes.join(texts.withColumnRenamed("text", "_text"), "source", "left")
-    quote = fold(F.col("quote"))
+    return rows.select("quote_id", "source", quote_state(F.col("quote"), F.col("_text"), least_words).alias("state"))
+
+
+def quote_state(quote: Column, text: Column, least_words: int = 6) -> Column:
+    quote = fold(quote)
     short = F.size(F.split(quote, " ")) < least_words
-    state = F.when(short | F.col("_text").isNull(), "unchecked").when(F.contains(fold(F.col("_text")), quote), "found").otherwise("missing")
-    return rows.select("quote_id", "source", state.alias("state"))
+    return F.when(short | text.isNull(), "unchecked").when(F.contains(fold(text), quote), "found").otherwise("missing")
 
 
-def drift(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``(uri, old_sha, quotes)`` against ``(uri, new_sha, text)``.
+def drift(old: DataFrame, new: DataFrame, least_words: int = 6) -> DataFrame:
+    """``(uri, old_sha, quotes)`` against ``(uri, new_sha, text)``: ``(uri, drift, missing)``.
 
-    Equal hashes: none; no new text or hash: unchecked; any quote gone:
-    unsupported, with how many; else benign.
+    No hash: unchecked; equal hashes: none; no new text or no quotes: unchecked;
+    any quote gone: unsupported, with the distinct lost ones; any too short to
+    check: unchecked; else benign.
     """
     rows = old.join(new, "uri", "left")
-    lost = F.size(F.filter("quotes", lambda q: ~F.contains(fold(F.col("text")), fold(q))))
+
+    def of(state: str) -> Column:
+        return F.array_distinct(F.filter("quotes", lambda q: quote_state(q, F.col("text"), least_words) == state))
+
+    rows = rows.withColumns({"lost": of("missing"), "short": F.size(of("unchecked"))})
     state = (
         F.when(F.col("new_sha").isNull() | F.col("old_sha").isNull(), "unchecked").when(F.col("new_sha") == F.col("old_sha"), "none")
-        .when(F.col("text").isNull(), "unchecked").when(lost > 0, "unsupported").otherwise("benign")
+        .when(F.col("text").isNull() | (F.size("quotes") == 0), "unchecked").when(F.size("lost") > 0, "unsupported").when(F.col("short") > 0, "unchecked").otherwise("benign")
     )
-    return rows.select("uri", state.alias("drift"), F.when(state == "unsupported", lost).otherwise(0).alias("lost"))
+    return rows.select("uri", state.alias("drift"), F.when(state == "unsupported", F.array_join(F.array_sort("lost"), "|")).otherwise("").alias("missing"))
+
+
+def evidence_signal(documents: DataFrame, enforced: DataFrame, archived: DataFrame) -> DataFrame:
+    """``(doc_id, state)``: every enforced claim ``(doc_id, uri, quotes)`` has quotes, an archived source ``(uri, text)`` and a quote in it.
+
+    A document without such claims is unchecked.
+    """
+    rows = enforced.join(archived, "uri", "left")
+    found = F.exists("quotes", lambda q: F.contains(F.coalesce("text", F.lit("")), q))
+    per = rows.groupBy("doc_id").agg(F.min((F.size("quotes") > 0) & F.col("text").isNotNull() & found).alias("ok"))
+    return documents.join(per, "doc_id", "left").select("doc_id", ordered_state(F.col("ok"), F.col("ok").isNotNull()).alias("state"))
+
+
+def provenance_signal(documents: DataFrame, citations: DataFrame, fetched: DataFrame) -> DataFrame:
+    """``(doc_id, state)``: every source version was fetched; a document that declares none fails."""
+    rows = citations.select("doc_id", "uri", "version").distinct().join(fetched.withColumn("known", F.lit(True)), ["uri", "version"], "left")
+    per = rows.groupBy("doc_id").agg(F.min(F.coalesce("known", F.lit(False))).alias("ok"))
+    return documents.join(per, "doc_id", "left").select("doc_id", ordered_state(F.coalesce("ok", F.lit(False))).alias("state"))
+
+
+def without_type(documents: DataFrame) -> DataFrame:
+    return documents.where(F.trim(F.coalesce("type", F.lit(""))) == "").select("doc_id", "path")
+
+
+def unwarranted(decided: DataFrame) -> DataFrame:
+    """Claims that supersede without a warrant, or have one without a rationale."""
+    bare = ~F.col("warranted") & (F.coalesce(F.trim("supersedes"), F.lit("")) != "")
+    silent = F.col("warranted") & (F.coalesce(F.trim("rationale"), F.lit("")) == "")
+    return decided.where(bare | silent).select("claim_id", F.when(bare, "no-warrant").otherwise("no-rationale").alias("problem"))
+
+
+def missing_co_signatures(decided: DataFrame, documents: DataFrame, centrality: DataFrame, corpus: DataFrame, normative: tuple[str, ...], cut: int) -> DataFrame:
+    """Adjudicated claims without co-signer or override that need one: ``(doc_id, claim_id, reason, authority)``.
+
+    Those are claims of normative or load-bearing documents, under an authority
+    (the claim's, else that of the one row ``corpus (state)``) above sole.
+    """
+    rows = decided.join(documents.select("doc_id", "type"), "doc_id").join(centrality.select("doc_id", "in_degree"), "doc_id", "left").join(F.broadcast(corpus))
+    escalated = F.col("type").isin(*normative) | ((F.lit(cut) > 0) & (F.coalesce("in_degree", F.lit(0)) >= cut))
+    blank = (F.coalesce(F.trim("co_signed_by"), F.lit("")) == "") & (F.coalesce(F.trim("override_reason"), F.lit("")) == "")
+    authority = F.coalesce("authority", "state")
+    kept = rows.where(escalated & F.col("adjudicated") & blank & (authority != "sole"))
+    return kept.select("doc_id", "claim_id", F.when(F.col("type").isin(*normative), "normative").otherwise("load-bearing").alias("reason"), authority.alias("authority"))
+
+
+def digest_of(findings: DataFrame) -> DataFrame:
+    """Per severity and category: findings, distinct paths, the first path, and a digest of all that doesn't depend on order."""
+    row = F.concat(F.coalesce("path", F.lit("")), F.lit("|"), F.coalesce("message", F.lit("")))
+    h = F.conv(F.substring(F.sha2(row.cast("binary"), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    out = findings.groupBy("severity", "category").agg(F.count("*").alias("findings"), F.count_distinct("path").alias("paths"), F.min("path").alias("first_path"), F.sum(h).alias("digest"))
+    return out.withColumn("digest", F.col("digest").cast("string"))
+
+
+def review_queue(drafts: DataFrame, conflicts: DataFrame, challenges: DataFrame, pairs: DataFrame, deferred: DataFrame, subjects: DataFrame) -> DataFrame:
+    """``(kind, ref, state, history, owner)`` of all that waits for a human.
+
+    Drafts with their gate decision, conflicting subjects, unanswered challenges,
+    and unseparated pairs that no one deferred; ``subjects (subject, history,
+    owner)`` says who decided in a subject's domain and who owns it.
+    """
+    nothing = [F.lit(None).cast("long").alias("history"), F.lit(None).cast("string").alias("owner")]
+    one = drafts.select(F.lit("draft").alias("kind"), F.col("doc_id").cast("string").alias("ref"), F.concat_ws(":", "decision", "failed", "unchecked").alias("state"), *nothing)
+    two = conflicts.join(subjects, "subject").select(F.lit("conflict").alias("kind"), F.col("subject").cast("string").alias("ref"), F.lit("open").alias("state"), "history", "owner")
+    three = challenges.select(F.lit("unanswered-challenge").alias("kind"), F.col("challenge_id").cast("string").alias("ref"), F.col("problem").alias("state"), *nothing)
+    open_ = pairs.join(deferred, "pair_id", "left_anti").join(subjects, "subject")
+    four = open_.select(F.lit("pair").alias("kind"), F.col("pair_id").alias("ref"), F.concat_ws("|", "first", "second").alias("state"), "history", "owner")
+    return one.unionByName(two).unionByName(three).unionByName(four)
 
 
 SIGNALS = ("conformance", "duplication", "evidence", "provenance", "hedging", "security", "conflict")
@@ -112,6 +211,21 @@ def log_entries(logs: DataFrame) -> DataFrame:
     return rows.select("log_id", "date", F.trim("line").alias("line"))
 
 
+def log_format(logs: DataFrame) -> DataFrame:
+    """Headings ``(log_id, line)`` of the second level that aren't a date."""
+    rows = logs.select("log_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return rows.where(F.col("line").startswith("## ") & ~F.col("line").rlike(r"^## [0-9]{4}-[0-9]{2}-[0-9]{2}\s*$"))
+
+
+def command_mentions(texts: DataFrame, tool: str, registered: DataFrame) -> DataFrame:
+    """Subcommands ``(doc_id, command)`` of ``tool`` in code spans that ``registered (command)`` lacks."""
+    spans = F.filter(F.split(F.coalesce("body", F.lit("")), "`", -1), lambda x, i: i % 2 == 1)
+    named = F.transform(spans, lambda x: F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " "))
+    named = F.filter(named, lambda w: (F.size(w) >= 2) & (w[0] == tool) & ~w[1].startswith("-"))
+    rows = texts.select("doc_id", F.explode(F.array_distinct(F.transform(named, lambda w: w[1]))).alias("command"))
+    return rows.join(registered, "command", "left_anti").select("doc_id", "command")
+
+
 def empty_sections(pages: DataFrame) -> DataFrame:
     """Headings ``(doc_id, heading)`` with no line before a heading of the same or a higher level."""
     from pyspark.sql import Window as W

@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.fixed import ASSOCIATION, CONCLUSION, HEDGED, INTERVENTION, REASON, UNIVERSAL
 from plumbline.functions.text import fold, fold_lower, marked, states_value
 
-# Words of strength and of causation.
-UNIVERSAL = ("always", "never", "all", "every", "guarantees", "guaranteed", "must", "must not", "no exceptions", "invariably", "definitely", "certainly", "cannot")
-HEDGED = ("typically", "usually", "often", "sometimes", "may", "might", "can")
-INTERVENTION = ("causes", "cause", "caused by", "leads to", "results in", "produces", "prevents", "eliminates", "fixes", "makes", "triggers")
-ASSOCIATION = ("is associated with", "correlates with", "is linked to", "tends to")
-
-
 def strength(c: Column, universal=UNIVERSAL, hedged=HEDGED) -> Column:
     """``universal``, ``hedged``, ``both`` or null by the markers in a text."""
     u, h = F.size(marked(c, universal)) > 0, F.size(marked(c, hedged)) > 0
@@ -38,7 +32,7 @@ def over_claimed(claims: DataFrame, intervention=INTERVENTION, association=ASSOC
     return claims.where((rung(F.col("text")) == "intervention") & weak).select("claim_id")
 
 
-def buried_leads(claims: DataFrame, reasons: tuple[str, ...], conclusions: tuple[str, ...]) -> DataFrame:
+def buried_leads(claims: DataFrame, reasons: tuple[str, ...] = REASON, conclusions: tuple[str, ...] = CONCLUSION) -> DataFrame:
     """Claims that open with a reason word, or state a conclusion word later on."""
     line = F.concat(F.regexp_replace(fold_lower(F.col("text")), "[,.]", " "), F.lit(" "))
     opens = F.lit(False)
@@ -96,12 +90,6 @@ def cite_check(replies: DataFrame) -> DataFrame:
     return replies.select("reply_id", problem.alias("problem"))
 
 
-def text_stats(texts: DataFrame, body: str) -> DataFrame:
-    """Whether a text is one (no zero byte) and its largest ``data:`` payload."""
-    payload = F.array_max(F.transform(F.regexp_extract_all(body, F.lit(r"data:([^\s\"')>]*)"), F.lit(1)), F.char_length))
-    return texts.select("doc_id", (F.instr(body, "\0") == 0).alias("is_text"), F.coalesce(payload, F.lit(0)).alias("payload"))
-
-
 def resolve_refs(refs: DataFrame, claims: DataFrame) -> DataFrame:
     """References ``(ref)`` of the form ``doc#claim`` with their claim, null if there is none."""
     parts = refs.withColumn("doc_id", F.split_part("ref", F.lit("#"), F.lit(1))).withColumn("claim_no", F.split_part("ref", F.lit("#"), F.lit(2)))

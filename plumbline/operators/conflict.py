@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import fold_lower
+from plumbline.functions.text import fold, fold_lower
 
 
 def _low() -> Column:
@@ -16,19 +16,32 @@ def _high() -> Column:
     return F.when(F.col("op") == ">=", F.lit(float("inf"))).otherwise(F.col("value"))
 
 
+def contradicted(bounds: DataFrame) -> DataFrame:
+    """``(subject, dimension)`` whose closed ranges have no common point: the greatest low is above the least high."""
+    out = bounds.groupBy("subject", "dimension").agg(F.max(_low()).alias("low"), F.min(_high()).alias("high"))
+    return out.where("low > high").select("subject", "dimension")
+
+
 def interval_conflicts(bounds: DataFrame) -> DataFrame:
-    """Per subject and dimension, whether its closed ranges have no common point.
+    """All pairs ``(subject, dimension, first, second)`` of claims whose closed ranges don't meet.
 
-    Ranges conflict as a pair exactly when the greatest low is above the least
-    high, so no pair is ever formed; the two claims named are such a pair.
+    Pairs are formed in contradicted groups only, from a range with a low end and
+    a higher one with a high end: such a pair is disjoint, and every disjoint
+    pair is one.
     """
-    rows = bounds.select("subject", "dimension", "claim_id", _low().alias("low"), _high().alias("high"))
-    out = rows.groupBy("subject", "dimension").agg(
-        F.count("*").alias("bounds"), F.max("low").alias("low"), F.min("high").alias("high"),
-        F.max(F.struct("low", "claim_id")).alias("lowest"), F.min(F.struct("high", "claim_id")).alias("highest"),
-    )
-    out = out.where(F.col("low") > F.col("high"))
-    return out.select("subject", "dimension", "bounds", "low", "high", F.col("lowest.claim_id").alias("low_claim"), F.col("highest.claim_id").alias("high_claim"))
+    rows = bounds.where("value IS NOT NULL").join(contradicted(bounds.where("value IS NOT NULL")), ["subject", "dimension"], "left_semi")
+    keys = ["subject", "dimension"]
+    above = rows.where("op <> '<='").select(*keys, F.col("claim_id").alias("a"), F.col("value").alias("low"))
+    below = rows.where("op <> '>='").select(*keys, F.col("claim_id").alias("b"), F.col("value").alias("high"))
+    pairs = above.join(below, keys).where((F.col("low") > F.col("high")) & (F.col("a") != F.col("b")))
+    return pairs.select(*keys, F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"))
+
+
+def subject_gaps(claims: DataFrame, declared: DataFrame) -> DataFrame:
+    """One row: claims ``(key)`` of no declared subject, and declared subjects ``(key)`` without a claim."""
+    unresolved = claims.join(declared, "key", "left_anti").agg(F.count("*").alias("unresolved"))
+    undeclared = declared.distinct().join(claims, "key", "left_anti").agg(F.count("*").alias("undeclared"))
+    return unresolved.join(F.broadcast(undeclared))
 
 
 def pair_id(a: Column, b: Column) -> Column:
@@ -66,12 +79,19 @@ def duplicate_titles(documents: DataFrame) -> DataFrame:
     return out.where(F.col("documents") >= 2)
 
 
-def duplicate_evidence(citations: DataFrame) -> DataFrame:
-    """Sets of sources that two or more documents share exactly."""
-    sets = citations.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("archive_path")), "|").alias("evidence"))
+def duplicate_evidence(quotes: DataFrame) -> DataFrame:
+    """Sets of folded quotes ``(doc_id, quote)`` that two or more documents share exactly, named by their digest."""
+    folded = quotes.select("doc_id", fold(F.col("quote")).alias("quote")).where("quote <> ''")
+    sets = folded.groupBy("doc_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("quote")), "\0").cast("binary"), 256).alias("evidence"))
     return sets.groupBy("evidence").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc")).where(F.col("documents") >= 2)
 
 
+def anchor_collision(claims: DataFrame) -> DataFrame:
+    """Folded anchors that two or more claims ``(doc_id, claim_id, anchor)`` of a document share."""
+    out = claims.groupBy("doc_id", fold(F.col("anchor")).alias("anchor")).agg(F.count("*").alias("claims"), F.array_join(F.sort_array(F.collect_list("claim_id")), ",").alias("ids"))
+    return out.where("claims >= 2")
+
+
 def evidence_divergence(citations: DataFrame, anchor: Column) -> DataFrame:
     """One anchor and URI resting on two or more versions."""
     out = citations.groupBy(anchor.alias("anchor"), "uri").agg(F.count_distinct("version").alias("versions"), F.count_distinct("doc_id").alias("documents"))

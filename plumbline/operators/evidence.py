@@ -154,14 +154,42 @@ def archive_budget(records: DataFrame, budget: int, fraction: float) -> DataFram
     return held.select("files", "bytes", level.alias("severity"))
 
 
-def disposition(sources: DataFrame, max_bytes: int, extensions: tuple[str, ...]) -> DataFrame:
-    """Gate each source ``(source_id, extension, content)``: extension, size, binary, payload, in that order."""
-    text = F.coalesce("content", F.lit(""))
-    payload = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"data:([^\s\"')>]*)"), F.lit(1)), F.char_length))
-    reason = (
-        F.when(~F.col("extension").isin(*extensions), "extension").when(F.octet_length(text) > max_bytes, "size")
-        .when(F.instr(text, "\0") > 0, "binary").when(F.coalesce(payload, F.lit(0)) > 256, "payload")
-    )
-    digest = F.sha2(text.cast("binary"), 256)
-    path = F.when(reason.isNull(), F.concat(F.lit("evidence/text/"), F.substring(digest, 1, 2), F.lit("/"), digest, "extension"))
-    return sources.select("source_id", F.when(reason.isNull(), "archived").otherwise("referenced").alias("disposition"), reason.alias("reject_reason"), path.alias("archive_path"))
+def payload_size(text: Column) -> Column:
+    """Length of the largest ``data:`` payload up to a delimiter; 0 for none."""
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(r"data:([^\s\"')>]*)"), F.lit(1)), F.char_length)
+    return F.coalesce(F.array_max(sizes), F.lit(0))
+
+
+def text_stats(sources: DataFrame) -> DataFrame:
+    """``(doc_id, is_text, payload)`` of ``(doc_id, content)``: valid UTF-8 without a zero byte, and the largest payload."""
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    ok = F.is_valid_utf8(F.col("content").cast("string")) & (F.instr(text, "\0") == 0)
+    return sources.select("doc_id", ok.alias("is_text"), payload_size(text).alias("payload"))
+
+
+def disposition(sources: DataFrame, max_bytes: int, extensions: tuple[str, ...], flagged, max_payload: int = 8192, extracted_extension: str = ".txt") -> DataFrame:
+    """Gate each source ``(source_id, extension, content, extracted)``: extension, size, binary, payload, scan, in that order.
+
+    A source that fails is extracted if the text taken from it passes the same
+    gates, else referenced for what was wrong with that text, or with the source
+    if there is none.  ``flagged`` makes a text's scan verdict.
+    """
+
+    def reason(extension: Column, text: Column) -> Column:
+        return (
+            F.when(~extension.isin(*extensions), "extension").when(F.octet_length(text) > max_bytes, "size").when(F.instr(text, "\0") > 0, "binary")
+            .when(payload_size(text) > max_payload, "payload").when(flagged(text), "scan")
+        )
+
+    rows = sources.withColumn("text", F.coalesce("content", F.lit("")))
+    rows = rows.withColumns({"why": reason(F.col("extension"), F.col("text")), "why_not": F.when(F.col("extracted").isNotNull(), reason(F.lit(extracted_extension), F.col("extracted")))})
+    whole, taken = F.col("why").isNull(), F.col("extracted").isNotNull() & F.col("why_not").isNull()
+
+    def path(text: Column, extension: Column) -> Column:
+        digest = F.sha2(text.cast("binary"), 256)
+        return F.concat(F.lit("evidence/text/"), F.substring(digest, 1, 2), F.lit("/"), digest, extension)
+
+    state = F.when(whole, "archived").when(taken, "extracted").otherwise("referenced")
+    why = F.when(~whole & F.col("extracted").isNotNull(), F.col("why_not")).otherwise(F.col("why"))
+    at = F.when(whole, path(F.col("text"), F.col("extension"))).when(taken, path(F.col("extracted"), F.lit(extracted_extension)))
+    return rows.select("source_id", state.alias("disposition"), why.alias("reject_reason"), at.alias("archive_path"))

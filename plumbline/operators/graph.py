@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.evidence import TRUST
+
 
 def outbound_links(links: DataFrame, documents: DataFrame) -> DataFrame:
     """Links with their targets' titles; a link to no document stays with nulls."""
@@ -64,13 +65,20 @@ def one_hop(citations: DataFrame, claims: DataFrame, links: DataFrame, paths: Da
     return claims.join(near, "doc_id", "left_semi")
 
 
-def candidates(citations: DataFrame, claims: DataFrame, links: DataFrame, paths: DataFrame, limit: int = 25) -> DataFrame:
-    """Shared-source claims first, one-hop claims for what is left of ``limit``; each names its rule."""
+def candidates(citations: DataFrame, claims: DataFrame, links: DataFrame, paths: DataFrame, limit: int, deferring: DataFrame) -> DataFrame:
+    """``(doc_id, claim_id, rule)``: shared-source claims, one-hop claims for what is left of ``limit``, then conflict-edge ones.
+
+    The claims of documents ``deferring (doc_id)`` a conflict come without a
+    limit, but for those already there.
+    """
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    first = shared_source(citations, claims, paths).select("doc_id", "claim_id", F.lit("shared-source").alias("rule"), F.lit(0).alias("rank"))
-    second = one_hop(citations, claims, links, paths).select("doc_id", "claim_id", F.lit("one-hop").alias("rule"), F.lit(1).alias("rank"))
-    return first.unionByName(second).orderBy("rank", "doc_id", "claim_id").limit(limit).select("doc_id", "claim_id", "rule")
+    keys = ["doc_id", "claim_id"]
+    first = shared_source(citations, claims, paths).select(*keys).distinct().withColumns({"rule": F.lit("shared-source"), "rank": F.lit(0)})
+    second = one_hop(citations, claims, links, paths).select(*keys).distinct().withColumns({"rule": F.lit("one-hop"), "rank": F.lit(1)})
+    chosen = first.unionByName(second).orderBy("rank", *keys).limit(limit).select(*keys, "rule")
+    edges = claims.select(*keys).distinct().join(deferring, "doc_id", "left_semi").join(chosen.select("claim_id"), "claim_id", "left_anti")
+    return chosen.unionByName(edges.select(*keys, F.lit("conflict-edge").alias("rule")))
 
 
 def reconcile(observed: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -106,7 +114,49 @@ def reconcile(observed: DataFrame, indexed: DataFrame) -> DataFrame:
     return quarantine.withColumn("id", F.col("id").cast(indexed.schema["id"].dataType)).unionByName(out)
 
 
+def reconcile_findings(resolutions: DataFrame, severity: dict[str, tuple[str, str]], kinds: tuple[str, ...]) -> DataFrame:
+    """Resolutions of some kinds as findings: ``(kind, id, path, severity, action)``."""
+    level, action = (F.coalesce(*[F.when(F.col("kind") == k, v[i]) for k, v in severity.items()]) for i in (0, 1))
+    return resolutions.where(F.col("kind").isin(*kinds)).select("kind", "id", "path", level.alias("severity"), action.alias("action"))
+
+
+def in_scope(prefix: str | None = None, kind: str | None = None, status: str | None = None, trust: str | None = None, fresh: bool = False, provable: bool = False) -> Column:
+    """Whether a document with its states is in a scope.
+
+    The prefix holds by whole segments; a blank status is stable; trust is at
+    least the given tier; fresh and provable mean exactly that state.
+    """
+    out = F.lit(True)
+    if prefix:
+        out = out & ((F.col("path") == prefix) | F.col("path").startswith(prefix.rstrip("/") + "/"))
+    if kind:
+        out = out & (F.col("type") == kind)
+    if status:
+        out = out & (F.when(F.trim(F.coalesce("status", F.lit(""))) == "", "stable").otherwise(F.col("status")) == status)
+    if trust:
+        out = out & F.col("trust").isin(*TRUST[TRUST.index(trust) :])
+    if fresh:
+        out = out & (F.col("freshness") == "fresh")
+    if provable:
+        out = out & (F.col("durability") == "provable")
+    return out
+
+
+def document_cards(documents: DataFrame, indexed: DataFrame, claims: DataFrame, links: DataFrame, states: list[DataFrame]) -> DataFrame:
+    """A card per document: its states, claims, links both ways, and whether the index has another hash of it."""
+    counts = [
+        claims.groupBy("doc_id").agg(F.count("*").alias("claims")),
+        links.where(F.col("target_doc").isNotNull()).groupBy(F.col("target_doc").alias("doc_id")).agg(F.count("*").alias("n_in")),
+        links.groupBy(F.col("source_doc").alias("doc_id")).agg(F.count("*").alias("n_out"), F.array_join(F.sort_array(F.collect_set("href")), ",").alias("outs")),
+    ]
+    out = documents.select("doc_id", "title", "content_hash")
+    for part in (*states, *counts, indexed):
+        out = out.join(part, "doc_id", "left")
+    stale = ~F.col("content_hash").eqNullSafe(F.col("indexed_hash"))
+    return out.na.fill(0, ["claims", "n_in", "n_out"]).withColumn("stale_index", stale).drop("content_hash", "indexed_hash")
+
+
 def listing_by_type(documents: DataFrame) -> DataFrame:
-    """Documents numbered by title within their type; a blank type is ``untyped``."""
+    """Documents by type, then title; a blank type is ``untyped``.  One range sort, no group in one task."""
     kind = F.coalesce(F.nullif(F.trim("type"), F.lit("")), F.lit("untyped"))
-    return documents.select(kind.alias("type"), "title", "doc_id").withColumn("position", F.row_number().over(W.partitionBy("type").orderBy("title", "doc_id")))
+    return documents.select(kind.alias("type"), "title", "doc_id").orderBy("type", "title", "doc_id")

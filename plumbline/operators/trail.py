@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import fold_lower
+from plumbline.operators.sampling import hash_sample
+
 
 def miss_report(misses: DataFrame) -> DataFrame:
     """Per reason: emissions, distinct questions (one without key is its own), ops and checks."""
@@ -27,9 +30,11 @@ def debt(trail: DataFrame, paths: DataFrame | None = None) -> DataFrame:
 
 
 def gained(trail: DataFrame, since: Column) -> DataFrame:
-    """Successful work since a time: one row of counts."""
+    """Successful work since a time: one row of counts; a fetch counts its paths, deferrals and upkeep nothing."""
     rows = trail.where((F.col("outcome") == "ok") & (F.col("at") >= since))
-    return rows.agg(*[F.count_if(F.col("op") == op).alias(op) for op in ("fetch", "admit", "promote", "discard")])
+    counted = (("promote", "promoted"), ("admit", "admitted"), ("discard", "declined"), ("challenge", "challenged"), ("adjudicate", "adjudicated"))
+    archived = F.coalesce(F.sum(F.when(F.col("op") == "fetch", F.size("paths"))), F.lit(0)).alias("archived")
+    return rows.agg(*[F.count_if(F.col("op") == op).alias(name) for op, name in counted], archived)
 
 
 def outstanding(trail: DataFrame, drafts: DataFrame | None = None) -> DataFrame:
@@ -67,17 +72,67 @@ def domain_history(trail: DataFrame) -> DataFrame:
     return rows.groupBy(F.substring_index("path", "/", 1).alias("domain"), "actor").agg(F.count("*").alias("decisions"))
 
 
+def authority_of(humans: Column) -> Column:
+    """Four or more human adjudicators are a quorum, two or more paired, else sole."""
+    return F.when(humans >= 4, "quorum").when(humans >= 2, "paired").otherwise("sole")
+
+
+def adjudicators(decisions: DataFrame) -> DataFrame:
+    """``(doc_id, line, who)`` of the humans among adjudicators, co-signers and verifiers."""
+    who = F.explode(F.array("by", "co_signed_by", "verified_by")).alias("who")
+    return decisions.select("doc_id", "line", who).where(F.col("who").rlike("^human:."))
+
+
 def authority(decisions: DataFrame) -> DataFrame:
-    """Per path, distinct human adjudicators: four or more quorum, two or more paired, else sole."""
-    humans = decisions.where(F.col("actor").startswith("human:"))
-    out = humans.groupBy("path").agg(F.count_distinct("actor").alias("humans"))
-    return out.withColumn("authority", F.when(F.col("humans") >= 4, "quorum").when(F.col("humans") >= 2, "paired").otherwise("sole"))
+    """Per document, its distinct human adjudicators and the authority they make; a document without any is sole."""
+    out = decisions.select("doc_id").distinct().join(adjudicators(decisions).groupBy("doc_id").agg(F.count_distinct("who").alias("humans")), "doc_id", "left").na.fill(0, ["humans"])
+    return out.withColumn("authority", authority_of(F.col("humans")))
 
 
 def authority_move(decisions: DataFrame) -> DataFrame:
-    """Lines at which a path gains a new human adjudicator, with how many it then has."""
-    first = decisions.where(F.col("actor").startswith("human:")).groupBy("path", "actor").agg(F.min("line").alias("line"))
-    return first.withColumn("humans", F.row_number().over(W.partitionBy("path").orderBy("line")))
+    """Lines at which a document's authority changes: ``(doc_id, line, humans, before, after)``."""
+    first = adjudicators(decisions).groupBy("doc_id", "who").agg(F.min("line").alias("line"))
+    new = first.groupBy("doc_id", "line").agg(F.count("*").alias("gained"))
+    rows = new.withColumn("humans", F.sum("gained").over(W.partitionBy("doc_id").orderBy("line")))
+    moves = rows.select("doc_id", "line", "humans", authority_of(F.col("humans") - F.col("gained")).alias("before"), authority_of(F.col("humans")).alias("after"))
+    return moves.where("before <> after")
+
+
+def last_announced_authority(lines: DataFrame) -> DataFrame:
+    """The last authority that the log lines ``(doc_id, line, text)`` of a document announce."""
+    said = F.regexp_extract("text", r"^\s*Authority:.*→\s*(sole|paired|quorum)\s*(,|$)", 1)
+    return lines.withColumn("authority", said).where("authority <> ''").groupBy("doc_id").agg(F.max_by("authority", "line").alias("authority"), F.max("line").alias("line"))
+
+
+def covered_angles(critiques: DataFrame) -> DataFrame:
+    """``(ref, angle, state)``: each examined angle in its first spelling, then those not examined that never were."""
+
+    def angles(column: str) -> DataFrame:
+        rows = critiques.select("ref", "line", F.explode(column).alias("angle"))
+        rows = rows.withColumn("folded", fold_lower(F.col("angle"))).where("folded <> ''")
+        return rows.groupBy("ref", "folded").agg(F.min_by("angle", "line").alias("angle"))
+
+    examined = angles("examined")
+    open_ = angles("not_examined").join(examined, ["ref", "folded"], "left_anti")
+    return examined.select("ref", "angle", F.lit("examined").alias("state")).unionByName(open_.select("ref", "angle", F.lit("not-examined").alias("state")))
+
+
+def semantic_review(documents: DataFrame, findings: DataFrame, critiques: DataFrame) -> DataFrame:
+    """``(ref, review)``: findings if a critic found something, unknown without a ledger, clean if criticised, else structural-only."""
+    bad = findings.groupBy("ref").agg(F.max(F.col("category").startswith("critic:")).alias("bad"))
+    seen = critiques.groupBy("ref").agg(F.count("*").alias("n"))
+    rows = documents.join(bad, "ref", "left").join(seen, "ref", "left")
+    review = F.when(F.coalesce("bad", F.lit(False)), "findings").when(~F.col("ledger_read"), "unknown").when(F.coalesce("n", F.lit(0)) > 0, "clean").otherwise("structural-only")
+    return rows.select("ref", review.alias("review"))
+
+
+def critique_population(claims: DataFrame, citations: DataFrame, archived: DataFrame, n: int, seed: int) -> DataFrame:
+    """A sample of claims with a quote and an archived source: the first such source, and how many claims were skipped."""
+    source = citations.join(archived.select("archive_path"), "archive_path", "left_semi").groupBy("claim_id").agg(F.min("archive_path").alias("source"))
+    fit = claims.where(F.size("quotes") > 0).select("claim_id").distinct().join(source, "claim_id")
+    counts = claims.agg(F.count_distinct("claim_id").alias("all")).join(F.broadcast(fit.agg(F.count("*").alias("fit"))))
+    drawn = hash_sample(fit, "claim_id", n, seed)
+    return drawn.join(F.broadcast(counts)).select("claim_id", "source", (F.col("all") - F.col("fit")).alias("skipped"))
 
 
 def prior_rationales(trail: DataFrame, path: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as fx
 from plumbline.operators import checks, claims, conflict, evidence, graph, search
-from plumbline.plans.more import _GATE
 from plumbline.plans.queries import _RANK, _SENTENCES, _TOKENS
 from plumbline.plans.registry import query
 
@@ -30,58 +29,6 @@ def _claims(c):
 _STRENGTH = f"st AS (SELECT claim_id, doc_id, text, {_has('p', UNIVERSAL)} AS u, {_has('p', HEDGED)} AS h, {_has('p', CAUSAL)} AS i, {_has('p', WEAK)} AS a FROM (SELECT *, {_PAD.format('text')} AS p FROM cl))"
 
 
-@query("strength_markers", f"WITH {_CLAIMS}, {_STRENGTH} SELECT claim_id, CASE WHEN u AND h THEN 'both' WHEN u THEN 'universal' WHEN h THEN 'hedged' END AS strength FROM st")
-def _(c):
-    return _claims(c).select("claim_id", claims.strength(F.col("text"), UNIVERSAL, HEDGED).alias("strength"))
-
-
-@query("causal_rung", f"WITH {_CLAIMS}, {_STRENGTH} SELECT claim_id, CASE WHEN i THEN 'intervention' WHEN a THEN 'association' END AS rung FROM st")
-def _(c):
-    return _claims(c).select("claim_id", claims.causal_rung(F.col("text"), CAUSAL, WEAK).alias("rung"))
-
-
-@query("check_coverage", f"WITH {_CLAIMS}, {_STRENGTH} SELECT claim_id FROM st WHERE u AND NOT h AND doc_id % 3 = 1")
-def _(c):
-    quotes = F.when(F.col("doc_id") % 3 == 1, F.array("text")).otherwise(F.array("text", "text"))
-    return claims.over_asserted(_claims(c).withColumn("quotes", quotes), UNIVERSAL, HEDGED)
-
-
-@query("check_rung", f"WITH {_CLAIMS}, {_STRENGTH}, n AS (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY claim_id) AS ni, lead(a) OVER (PARTITION BY doc_id ORDER BY claim_id) AS na FROM st) SELECT claim_id FROM n WHERE i AND NOT ni AND na")
-def _(c):
-    from pyspark.sql import Window as W
-
-    after = F.lead("text").over(W.partitionBy("doc_id").orderBy("claim_id"))
-    return claims.over_claimed(_claims(c).withColumn("quotes", F.array(F.coalesce(after, F.lit("")))), CAUSAL, WEAK)
-
-
-@query("check_lead", f"WITH {_CLAIMS}, p AS (SELECT claim_id, regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[,.]', ' ', 'g') || ' ' AS l FROM cl) SELECT claim_id, CASE WHEN starts_with(l, 'of ') OR starts_with(l, 'de ') THEN 'opens-with-reason' ELSE 'conclusion-later' END AS problem FROM p WHERE starts_with(l, 'of ') OR starts_with(l, 'de ') OR contains(l, ' therea ')")
-def _(c):
-    return claims.buried_leads(_claims(c), ("of", "de"), ("therea",))
-
-
-@query("check_language", f"WITH m AS (SELECT doc_id, {_PAD.format('body')} AS p FROM texts) SELECT doc_id, array_to_string(list_filter(['of the', 'que la', 'auf der'], lambda x: contains(p, ' ' || x || ' ')), ',') AS markers FROM m WHERE {_has('p', ('of the', 'que la', 'auf der'))}")
-def _(c):
-    found = fx.marked(F.col("body"), ("of the", "que la", "auf der"))
-    return c.texts().select("doc_id", F.array_join(found, ",").alias("markers")).where(F.col("markers") != "")
-
-
-@query("check_anchor_absent", r"SELECT doc_id || '#0' AS claim_id, doc_id FROM texts WHERE NOT contains(trim(regexp_replace(body, '\s+', ' ', 'g')), trim(regexp_replace(CASE WHEN doc_id % 5 = 0 THEN 'Q' ELSE '' END || substr(body, 1, 30), '\s+', ' ', 'g')))")
-def _(c):
-    anchor = F.concat(F.when(F.col("doc_id") % 5 == 0, "Q").otherwise(""), F.substring("body", 1, 30))
-    rows = c.texts().select(F.concat("doc_id", F.lit("#0")).alias("claim_id"), "doc_id", anchor.alias("anchor"))
-    return claims.absent_anchors(rows, c.texts())
-
-
-@query("recheck_findings", r"""WITH o AS (SELECT doc_id AS uri, body, CASE doc_id % 3 WHEN 0 THEN replace(body, 'the', 'a') WHEN 1 THEN body || '.' ELSE body END AS t FROM texts), q AS (SELECT uri, t, unnest([0, 1]) AS pos, unnest([substr(body, 1, 40), substr(body, 41, 40)]) AS quote FROM o WHERE t <> body)
-SELECT uri, pos, quote FROM q WHERE NOT contains(trim(regexp_replace(t, '\s+', ' ', 'g')), trim(regexp_replace(quote, '\s+', ' ', 'g')))""")
-def _(c):
-    body, kind = F.col("body"), F.col("doc_id") % 3
-    old = c.texts().select(F.col("doc_id").alias("uri"), F.sha2(body.cast("binary"), 256).alias("old_sha"), F.array(F.substring("body", 1, 40), F.substring("body", 41, 40)).alias("quotes"))
-    text = F.when(kind == 0, F.replace(body, F.lit("the"), F.lit("a"))).when(kind == 1, F.concat(body, F.lit("."))).otherwise(body)
-    new = c.texts().select(F.col("doc_id").alias("uri"), text.alias("text")).withColumn("new_sha", F.sha2(F.col("text").cast("binary"), 256))
-    return claims.lost_quotes(old, new)
-
-
 @query("check_challenge_age", "SELECT event_id AS challenge_id, CASE WHEN event_id % 11 = 0 THEN 'unreadable-date' ELSE 'aged' END AS problem FROM events WHERE user_id % 3 <> 1 AND (event_id % 11 = 0 OR date_diff('day', ts::DATE, DATE '2024-02-15') > 30)")
 def _(c):
     state = F.when(F.col("user_id") % 3 == 0, "open").when(F.col("user_id") % 3 == 1, "closed").otherwise(" ")
@@ -123,20 +70,6 @@ def _(c):
     return claims.pinned_values(rows)
 
 
-@query("check_identity", "WITH obs AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN 'new/' || o_orderkey ELSE 'c/' || o_orderkey END AS path FROM orders WHERE o_orderkey % 17 <> 0) SELECT CASE WHEN o.id IS NULL THEN 'tombstone' ELSE 'update-path' END AS kind, CASE WHEN o.id IS NULL THEN 'error' ELSE 'warning' END AS severity, count(*) AS findings FROM orders i LEFT JOIN obs o ON o.id = i.o_orderkey WHERE o.id IS NULL OR o.path <> 'c/' || i.o_orderkey GROUP BY 1, 2")
-def _(c):
-    key = F.col("o_orderkey")
-    observed = c.raw("orders").where(key % 17 != 0).select(key.alias("id"), F.when(key % 13 == 0, F.concat(F.lit("new/"), key)).otherwise(F.concat(F.lit("c/"), key)).alias("path"))
-    indexed = c.raw("orders").select(key.alias("id"), F.concat(F.lit("c/"), key).alias("path"))
-    severity = F.when(F.col("kind").isin("tombstone", "duplicate", "conflict"), "error").otherwise("warning")
-    return graph.reconcile(observed, indexed).groupBy("kind", severity.alias("severity")).agg(F.count("*").alias("findings"))
-
-
-@query("text_stats", "SELECT page_id AS doc_id, NOT contains(html, chr(0)) AS is_text, coalesce(list_max(list_transform(regexp_extract_all(html, 'data:([^\\s\"''>)]*)', 1), lambda x: length(x))), 0)::INTEGER AS payload FROM pages")
-def _(c):
-    return claims.text_stats(c.raw("pages").select(F.col("page_id").alias("doc_id"), "html"), "html")
-
-
 @query("cite_check", "WITH r AS (SELECT doc_id, list(DISTINCT uri) AS cites, list(DISTINCT uri) FILTER (WHERE uri % 50 <> 0) AS offered FROM citations GROUP BY 1) SELECT doc_id AS reply_id, CASE WHEN len(list_filter(cites, lambda x: NOT list_contains(coalesce(offered, []), x))) > 0 THEN 'unknown-cite' WHEN doc_id % 7 = 0 THEN 'no-title' END AS problem FROM r")
 def _(c):
     offered = F.collect_set(F.when(F.col("uri") % 50 != 0, F.col("uri")))
@@ -194,44 +127,6 @@ def _(c):
     return c.claims().join(deferring, "doc_id", "left_semi").join(chosen, "claim_id", "left_anti").select("claim_id")
 
 
-def _signal(name: str, sql: str):
-    @query(f"gate_{name}", _GATE + f" SELECT doc_id, {sql} AS state FROM sig")
-    def _(c):
-        docs = c.documents()
-        if name == "conformance":
-            return docs.select("doc_id", checks.ordered_state(F.trim("status") != "").alias("state"))
-        if name == "duplication":
-            twice = conflict.duplicate_titles(docs).select(F.col("title").alias("_t"), F.lit(True).alias("twice"))
-            return docs.join(twice, fx.fold_lower(F.col("title")) == F.col("_t"), "left").select("doc_id", checks.ordered_state(F.col("twice").isNull()).alias("state"))
-        held = c.citations().join(c.records().select("archive_path", "disposition"), "archive_path", "left").groupBy("doc_id")
-        held = held.agg(F.min(F.coalesce(F.col("disposition") != "referenced", F.lit(False))).alias("ok"))
-        return docs.join(held, "doc_id", "left").select("doc_id", checks.ordered_state(F.col("ok"), F.col("ok").isNotNull()).alias("state"))
-
-
-for _name in ("conformance", "duplication", "evidence"):
-    _signal(_name, _name)
-
-
-@query("gate_provenance", "SELECT doc_id, CASE WHEN count(r.archive_path) = count(*) THEN 'pass' ELSE 'fail' END AS state FROM citations c LEFT JOIN (SELECT * FROM records WHERE byte_size > 5000) r USING (archive_path) GROUP BY 1")
-def _(c):
-    fetched = c.records().where("byte_size > 5000").select("archive_path", F.lit(True).alias("ok"))
-    rows = c.citations().join(fetched, "archive_path", "left").groupBy("doc_id").agg(F.min(F.coalesce("ok", F.lit(False))).alias("ok"))
-    return rows.select("doc_id", checks.ordered_state(F.col("ok")).alias("state"))
-
-
-@query("gate_hedging", f"SELECT doc_id, CASE WHEN len(list_filter(['with', 'avec', 'mit', 'con', 'that', 'por'], lambda x: contains(p, ' ' || x || ' '))) > 2 THEN 'fail' ELSE 'pass' END AS state FROM (SELECT doc_id, {_PAD.format('body')} AS p FROM texts)")
-def _(c):
-    found = F.size(fx.marked(F.col("body"), ("with", "avec", "mit", "con", "that", "por")))
-    return c.texts().select("doc_id", checks.ordered_state(found <= 2).alias("state"))
-
-
-@query("gate_security", "SELECT doc_id, CASE WHEN regexp_matches(coalesce(body, ''), '[0-9a-f]{32}') OR regexp_matches(coalesce(body, ''), '(AKIA|ASIA)[0-9A-Z]{16}') THEN 'fail' ELSE 'pass' END AS state FROM texts")
-def _(c):
-    rules = [r for r in checks.SCAN_RULES if r[0] in ("long-hex", "access-key")]
-    found = checks.scan_rules(c.texts(), "body", rules).select("doc_id", F.lit(True).alias("found")).distinct()
-    return c.texts().select("doc_id").join(found, "doc_id", "left").select("doc_id", checks.ordered_state(F.col("found").isNull()).alias("state"))
-
-
 _CASES = f"""{_TOKENS}, it AS (SELECT item_id, list_distinct(regexp_extract_all(translate(lower(text), 'àáâäçèéêëíîïñóôöúùûü', 'aaaaceeeeiiinooouuuu'), '[\\p{{L}}\\p{{N}}''&/]+')) AS q FROM benchmark),
 qt AS (SELECT item_id, len(q) AS n, unnest(q) AS term FROM it), dt AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM tok),
 m AS (SELECT item_id, doc_id, n, count(*) AS k FROM qt JOIN dt USING (term) WHERE length(term) > 5 GROUP BY ALL)"""
@@ -266,11 +161,3 @@ def _(c):
     return c.texts().select("doc_id", F.size(terms).alias("n_terms"), F.size(F.array_distinct(terms)).alias("n_distinct"))
 
 
-@query("rebuild_index", f"SELECT 'documents' AS name, count(*) AS n FROM docs UNION ALL SELECT 'claims', count(*) FROM claims UNION ALL SELECT 'sources', count(*) FROM records UNION ALL SELECT 'links', count(*) FROM links UNION ALL SELECT 'verifications', count(*) FROM verifications WHERE {_RANK} > 0")
-def _(c):
-    tables = {"documents": c.documents(), "claims": c.claims(), "sources": c.records(), "links": c.links(), "verifications": c.verifications().where(evidence.trust_rank(F.col("by")) > 0)}
-    out = None
-    for name, df in tables.items():
-        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out

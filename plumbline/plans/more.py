@@ -12,19 +12,6 @@ from plumbline.sources.bind import Corpus
 from plumbline.streaming import trail as streams
 
 
-def _sql_scan() -> str:
-    parts = []
-    for rule, category, pattern in checks.SCAN_RULES:
-        p = pattern.replace("'", "''")
-        parts.append(f"SELECT doc_id, '{rule}' AS rule, '{category}' AS category, regexp_extract(coalesce(body, ''), '{p}') AS match FROM texts WHERE regexp_extract(coalesce(body, ''), '{p}') <> ''")
-    return " UNION ALL ".join(parts)
-
-
-@query("scan_rules", _sql_scan())
-def _(c: Corpus):
-    return checks.scan_rules(c.texts(), "body")
-
-
 @query("scan_coverage", "SELECT path AS doc_id, array_to_string(list_filter(['fetch', 'admit', 'promote', 'discard'], lambda x: NOT list_contains(s, x)), ',') AS missing FROM (SELECT path || '/' || actor AS path, list(DISTINCT op) AS s FROM trail GROUP BY 1) WHERE len(list_filter(['fetch', 'admit', 'promote', 'discard'], lambda x: NOT list_contains(s, x))) > 0")
 def _(c):
     run = c.trail().groupBy(F.concat_ws("/", "path", "actor").alias("doc_id")).agg(F.collect_set("op").alias("stages"))
@@ -34,24 +21,6 @@ def _(c):
 _QUOTES = "q AS (SELECT doc_id AS quote_id, substr(body, 1, 60) AS quote, CASE WHEN doc_id % 4 = 0 THEN doc_id + 1 ELSE doc_id END AS source FROM texts)"
 
 
-@query("quote_check", rf"WITH {_QUOTES}, f AS (SELECT doc_id, trim(regexp_replace(body, '\s+', ' ', 'g')) AS t FROM texts), g AS (SELECT quote_id, source, trim(regexp_replace(quote, '\s+', ' ', 'g')) AS quote FROM q) SELECT quote_id, source, CASE WHEN len(string_split(quote, ' ')) < 6 OR t IS NULL THEN 'unchecked' WHEN contains(t, quote) THEN 'found' ELSE 'missing' END AS state FROM g LEFT JOIN f ON f.doc_id = source")
-def _(c):
-    t = c.texts()
-    source = F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
-    return checks.quote_check(t.select(F.col("doc_id").alias("quote_id"), F.substring("body", 1, 60).alias("quote"), source.alias("source")), t.select(F.col("doc_id").alias("source"), F.col("body").alias("text")))
-
-
-@query("drift", r"""WITH o AS (SELECT doc_id AS uri, sha256(body) AS old_sha, [substr(body, 1, 40), substr(body, 41, 40)] AS quotes FROM texts), n AS (SELECT doc_id AS uri, CASE doc_id % 4 WHEN 0 THEN replace(body, 'the', 'a') WHEN 1 THEN NULL WHEN 2 THEN body || ' More.' ELSE body END AS t FROM texts),
-j AS (SELECT uri, old_sha, CASE WHEN t IS NOT NULL THEN sha256(t) END AS new_sha, len(list_filter(quotes, lambda q: NOT contains(trim(regexp_replace(t, '\s+', ' ', 'g')), trim(regexp_replace(q, '\s+', ' ', 'g')))))::INTEGER AS lost FROM o LEFT JOIN n USING (uri))
-SELECT uri, CASE WHEN new_sha IS NULL THEN 'unchecked' WHEN new_sha = old_sha THEN 'none' WHEN lost > 0 THEN 'unsupported' ELSE 'benign' END AS drift, CASE WHEN new_sha <> old_sha AND lost > 0 THEN lost ELSE 0 END AS lost FROM j""")
-def _(c):
-    t, body, kind = c.texts(), F.col("body"), F.col("doc_id") % 4
-    old = t.select(F.col("doc_id").alias("uri"), F.sha2(body.cast("binary"), 256).alias("old_sha"), F.array(F.substring("body", 1, 40), F.substring("body", 41, 40)).alias("quotes"))
-    text = F.when(kind == 0, F.replace(body, F.lit("the"), F.lit("a"))).when(kind == 2, F.concat(body, F.lit(" More."))).when(kind == 3, body)
-    new = t.select(F.col("doc_id").alias("uri"), text.alias("text")).withColumn("new_sha", F.sha2(F.col("text").cast("binary"), 256))
-    return checks.drift(old, new)
-
-
 _WARRANTS = """warrants AS (SELECT l_orderkey AS doc_id, l_orderkey || '#' || l_linenumber AS claim_id, 'human:' || l_suppkey AS "by", CASE WHEN l_partkey % 5 = 0 THEN 'human:' || l_partkey END AS co_signed_by,
 CASE WHEN l_quantity > 40 THEN l_orderkey || '#1' ELSE '' END AS reverses, CASE WHEN l_quantity % 2 = 0 THEN 'shown by ' || l_partkey ELSE '' END AS rationale FROM lineitem)"""
 
@@ -69,17 +38,6 @@ def _(c):
     return _warrants(c).where(F.col("reverses") != "").select("claim_id", "reverses", "by")
 
 
-@query("check_warrant", f"WITH {_WARRANTS} SELECT claim_id, \"by\" FROM warrants WHERE rationale = '' AND reverses <> ''")
-def _(c):
-    return _warrants(c).where((F.col("rationale") == "") & (F.col("reverses") != "")).select("claim_id", "by")
-
-
-@query("check_co_sign", f"WITH {_WARRANTS}, cent AS (SELECT target_doc AS doc_id, count(*) AS n FROM links WHERE NOT external AND target_doc IS NOT NULL AND target_doc <> source_doc GROUP BY 1) SELECT doc_id, claim_id, n AS in_degree FROM warrants JOIN cent USING (doc_id) WHERE n >= 25 AND co_signed_by IS NULL")
-def _(c):
-    heavy = graph.centrality(c.links()).where("in_degree >= 25").select("doc_id", "in_degree")
-    return _warrants(c).where(F.col("co_signed_by").isNull()).join(heavy, "doc_id").select("doc_id", "claim_id", "in_degree")
-
-
 @query("scoped_search", f"WITH {_BM25}, hits AS (SELECT doc_id, score FROM scored WHERE matched > 0 ORDER BY score DESC, doc_id LIMIT 20) SELECT doc_id, score, type FROM hits JOIN texts USING (doc_id) WHERE starts_with(path, 'src1')")
 def _(c):
     hits = search.document_search(c.texts(), TERMS)
@@ -92,25 +50,6 @@ def _(c):
     return rows.where(F.lower("sentence").rlike(r"(^|[^a-z])therea([^a-z]|$)")).select(F.concat_ws("#", "doc_id", "pos").alias("claim_id"), "sentence")
 
 
-@query("critique_population", "WITH p AS (SELECT DISTINCT claim_id FROM citations JOIN records USING (archive_path) WHERE disposition <> 'referenced') SELECT claim_id FROM (SELECT claim_id, sha256(unhex('0000000001352536') || encode(claim_id)) AS h FROM p ORDER BY h, claim_id LIMIT 5)")
-def _(c):
-    durable = c.records().where("disposition <> 'referenced'").select("archive_path")
-    population = c.citations().join(durable, "archive_path", "left_semi").select("claim_id").distinct()
-    return sampling.hash_sample(population, "claim_id", 5, seed=20260150).select("claim_id")
-
-
-@query("covered_angles", "SELECT path, angle, min(line) AS first_line FROM (SELECT path, line, unnest(signals) AS angle FROM trail WHERE op = 'promote') GROUP BY 1, 2")
-def _(c):
-    return c.trail().where("op = 'promote'").select("path", "line", F.explode("signals").alias("angle")).groupBy("path", "angle").agg(F.min("line").alias("first_line"))
-
-
-@query("semantic_review", "SELECT path, CASE WHEN bool_or(op = 'promote' AND list_contains(signals, 'hedging')) THEN 'findings' WHEN count(*) FILTER (WHERE op = 'promote') > 30 THEN 'clean' ELSE 'structural-only' END AS review FROM trail WHERE actor <> '' AND line % 3 = 0 GROUP BY 1")
-def _(c):
-    rows = c.trail().where((F.col("actor") != "") & (F.col("line") % 3 == 0)).groupBy("path")
-    rows = rows.agg(F.max((F.col("op") == "promote") & F.array_contains("signals", "hedging")).alias("f"), F.count_if(F.col("op") == "promote").alias("n"))
-    return rows.select("path", F.when(F.col("f"), "findings").when(F.col("n") > 30, "clean").otherwise("structural-only").alias("review"))
-
-
 @query("declared_terms", "SELECT 'p' || p_partkey AS term, p_type AS description FROM part UNION ALL SELECT p_name || ' ' || p_partkey, p_type FROM part")
 def _(c):
     terms = F.array(F.concat(F.lit("p"), "p_partkey"), F.concat_ws(" ", "p_name", "p_partkey"))
@@ -123,38 +62,6 @@ def _(c):
     return c.raw("part").select(F.col("p_partkey").alias("key"), owner.alias("owner")).where(F.col("owner").isNotNull())
 
 
-_FINDINGS = f"""WITH {_LAST}, f AS (
-SELECT 'error' AS severity, 'broken-link' AS category, source_doc::VARCHAR AS path, href AS message FROM links WHERE NOT external AND target_doc IS NULL
-UNION ALL SELECT 'warning', 'orphan', path, title FROM docs WHERE doc_id NOT IN (SELECT target_doc FROM links WHERE target_doc IS NOT NULL)
-UNION ALL SELECT 'error', 'conformance', path, title FROM docs WHERE trim(status) = ''
-UNION ALL SELECT 'warning', 'duplicate-title', min(doc_id)::VARCHAR, lower(title) FROM docs GROUP BY lower(title) HAVING count(*) >= 2
-UNION ALL SELECT 'error', 'dangling-path', doc_id::VARCHAR, min(archive_path) FROM citations WHERE archive_path NOT IN (SELECT archive_path FROM records WHERE disposition <> 'referenced') GROUP BY doc_id
-UNION ALL SELECT 'warning', 'stale', path, title FROM docs WHERE stale_after <= DATE '2003-06-01')"""
-
-
-def _findings(c: Corpus):
-    docs, links = c.documents(), c.links()
-    dangling = evidence.dangling_paths(c.citations(), c.records().where(F.col("disposition") != "referenced").select("archive_path"))
-    return checks.check_all([
-        (graph.broken_links(links), "error", "broken-link", F.col("source_doc"), F.col("href")),
-        (graph.orphans(links, docs), "warning", "orphan", F.col("path"), F.col("title")),
-        (docs.where(F.trim("status") == ""), "error", "conformance", F.col("path"), F.col("title")),
-        (conflict.duplicate_titles(docs), "warning", "duplicate-title", F.col("first_doc"), F.col("title")),
-        (dangling, "error", "dangling-path", F.col("doc_id"), F.col("first_path")),
-        (docs.where(F.col("stale_after") <= now()), "warning", "stale", F.col("path"), F.col("title")),
-    ])
-
-
-@query("check_all", _FINDINGS + " SELECT * FROM f")
-def _(c):
-    return _findings(c)
-
-
-@query("check_summary", _FINDINGS + " SELECT category, severity, count(*) AS findings, min(path) AS first_path FROM f GROUP BY 1, 2")
-def _(c):
-    return _findings(c).groupBy("category", "severity").agg(F.count("*").alias("findings"), F.min("path").alias("first_path"))
-
-
 @query("check_stale", f"""WITH {_LAST}, s AS (SELECT doc_id, count(*) AS n, count("at") AS k, min("at") AS oldest FROM (SELECT DISTINCT doc_id, uri, version FROM citations) LEFT JOIN last_check USING (uri, version) GROUP BY 1)
 SELECT doc_id, CASE WHEN DATE '2003-06-01' >= stale_after THEN 'declared' ELSE 'unchecked-for-long' END AS reason FROM docs LEFT JOIN s USING (doc_id) WHERE DATE '2003-06-01' >= stale_after OR (k = n AND date_diff('day', oldest::DATE, DATE '2003-06-01') >= 180 AND type <> '5-LOW')""")
 def _(c):
@@ -171,50 +78,6 @@ def _(c):
     return c.documents().where(~F.contains(F.col("path"), wanted)).select("doc_id", "path", wanted.alias("wanted"))
 
 
-_GATE = f"""WITH held AS (SELECT doc_id, bool_and(disposition IS NOT NULL AND disposition <> 'referenced') AS ok FROM citations LEFT JOIN records USING (archive_path) GROUP BY 1),
-title AS (SELECT lower(title) AS t FROM docs GROUP BY 1 HAVING count(*) > 1),
-sig AS (SELECT d.doc_id, CASE WHEN trim(status) <> '' THEN 'pass' ELSE 'fail' END AS conformance, CASE WHEN lower(title) IN (SELECT t FROM title) THEN 'fail' ELSE 'pass' END AS duplication,
-CASE WHEN ok IS NULL THEN 'unchecked' WHEN ok THEN 'pass' ELSE 'fail' END AS evidence FROM docs d LEFT JOIN held h ON h.doc_id = d.doc_id)"""
-
-
-@query("gate_decision", _GATE + """ SELECT doc_id, CASE WHEN 'fail' IN (conformance, duplication, evidence) THEN 'refused' ELSE 'needs_human' END AS decision,
-array_to_string(list_filter([CASE WHEN conformance = 'fail' THEN 'conformance' END, CASE WHEN duplication = 'fail' THEN 'duplication' END, CASE WHEN evidence = 'fail' THEN 'evidence' END], lambda x: x IS NOT NULL), ',') AS failed,
-array_to_string(list_filter([CASE WHEN evidence = 'unchecked' THEN 'evidence' END, 'conflict'], lambda x: x IS NOT NULL), ',') AS unchecked FROM sig""")
-def _(c):
-    docs = c.documents()
-    support = c.records().select("archive_path", "disposition")
-    held = c.citations().join(support, "archive_path", "left").groupBy("doc_id").agg(F.min(F.coalesce(F.col("disposition") != "referenced", F.lit(False))).alias("ok"))
-    twice = conflict.duplicate_titles(docs).select(F.col("title").alias("_t"), F.lit(True).alias("twice"))
-    rows = docs.join(held, "doc_id", "left").join(twice, fx.fold_lower(F.col("title")) == F.col("_t"), "left")
-    states = {
-        "conformance": checks.ordered_state(F.trim("status") != ""), "duplication": checks.ordered_state(F.col("twice").isNull()), "evidence": checks.ordered_state(F.col("ok"), F.col("ok").isNotNull()),
-        "provenance": F.lit("pass"), "hedging": F.lit("pass"), "security": F.lit("pass"), "conflict": F.lit("unchecked"),
-    }
-    return checks.gate_decision(rows.select("doc_id", *[v.alias(k) for k, v in states.items()]))
-
-
-@query("document_card", f"""WITH {_LAST}, {_DURABLE}, t AS (SELECT doc_id, min(coalesce(r, 0)) AS r FROM claims LEFT JOIN (SELECT claim_id, max({_RANK}) AS r FROM verifications GROUP BY 1) USING (claim_id) GROUP BY 1)
-SELECT d.doc_id, d.title, list_extract(['unverified', 'machine-confirmed', 'human-reviewed'], coalesce(r, 0) + 1) AS trust, u.durability, coalesce(n, 0)::BIGINT AS in_degree FROM docs d LEFT JOIN t USING (doc_id) JOIN durability u USING (doc_id) LEFT JOIN (SELECT target_doc AS doc_id, count(*) AS n FROM links WHERE target_doc IS NOT NULL GROUP BY 1) USING (doc_id)""")
-def _(c):
-    docs = c.documents()
-    trust = evidence.trust_document(docs, c.claims(), c.verifications())
-    durable = evidence.durability_document(docs, c.citations(), c.records())
-    n = graph.degrees(c.links(), docs).select("doc_id", "in_degree")
-    return docs.join(trust, "doc_id").join(durable, "doc_id").join(n, "doc_id").select("doc_id", "title", "trust", "durability", "in_degree")
-
-
-@query("review_queue", _GATE + """, bad AS (SELECT subject, count(*) AS n FROM bounds GROUP BY subject, dimension HAVING max(CASE op WHEN '<=' THEN '-inf'::DOUBLE ELSE value END) > min(CASE op WHEN '>=' THEN 'inf'::DOUBLE ELSE value END))
-SELECT 'draft' AS kind, doc_id::VARCHAR AS ref, CASE WHEN 'fail' IN (conformance, duplication, evidence) THEN 'refused' ELSE 'needs_human' END AS state FROM sig JOIN docs USING (doc_id) WHERE status = 'draft' UNION ALL SELECT DISTINCT 'conflict', subject::VARCHAR, 'open' FROM bad""")
-def _(c):
-    from plumbline.plans.registry import QUERIES
-
-    drafts = c.documents().where(F.col("status") == "draft").select("doc_id")
-    gated = QUERIES["gate_decision"](c.spark, c.sf_dir).join(drafts, "doc_id", "left_semi")
-    one = gated.select(F.lit("draft").alias("kind"), F.col("doc_id").cast("string").alias("ref"), F.col("decision").alias("state"))
-    two = conflict.interval_conflicts(c.bounds()).select(F.lit("conflict").alias("kind"), F.col("subject").cast("string").alias("ref"), F.lit("open").alias("state")).distinct()
-    return one.unionByName(two)
-
-
 class _Stream(Corpus):
     """The corpus with the given tables read as streams."""
 
@@ -246,6 +109,3 @@ def _(c):
     return rows.join(again, fx.fold_lower(F.col("rationale")) == F.col("_r"), "left_semi").select("claim_id", "rationale")
 
 
-@query("last_announced_authority", "SELECT path, arg_max(actor, line) AS actor, max(line) AS line FROM trail WHERE starts_with(actor, 'human:') GROUP BY 1")
-def _(c):
-    return trail.authority_move(c.trail()).select("path").distinct().join(c.trail().where(F.col("actor").startswith("human:")).groupBy("path").agg(F.max_by("actor", "line").alias("actor"), F.max("line").alias("line")), "path")

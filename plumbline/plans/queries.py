@@ -29,12 +29,6 @@ TERMS = ["the", "thatin", "ononst"]
 # ---------------------------------------------------------------- sources
 
 
-@query("read_corpus", "SELECT doc_id, path, octet_length(encode(body))::BIGINT AS bytes, sha256(body) AS content_hash, body IS NULL OR trim(body) = '' AS invalid FROM texts")
-def _(c):
-    d = c.texts()
-    return d.select("doc_id", "path", F.octet_length("body").cast("long").alias("bytes"), F.sha2(F.col("body").cast("binary"), 256).alias("content_hash"), (F.col("body").isNull() | (F.trim("body") == "")).alias("invalid"))
-
-
 @query("checks_latest", 'SELECT uri, version, "at", drift FROM checks QUALIFY row_number() OVER (PARTITION BY uri, version ORDER BY "at" DESC, line DESC, drift DESC) = 1')
 def _(c):
     return evidence.latest_checks(c.checks())
@@ -64,23 +58,6 @@ def _(c):
     return c.raw("pages").select("page_id", fx.html_text(F.coalesce("html", F.lit(""))).alias("text"))
 
 
-@query("extract_links", """SELECT page_id, href, count(*) AS times, href NOT LIKE '%://%' AS internal FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY ALL""".join(["SELECT * FROM (", ")"]))
-def _(c):
-    rows = c.raw("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
-    return rows.groupBy("page_id", "href").agg(F.count("*").alias("times")).withColumn("internal", ~F.col("href").contains("://"))
-
-
-@query("claim_rows", "SELECT doc_id, claim_id, lead, CASE WHEN lead IS NOT NULL THEN sha256(lower(lead)) END AS anchor_hash FROM claims")
-def _(c):
-    return c.claims().select("doc_id", "claim_id", "lead", F.sha2(fx.fold_lower(F.col("lead")).cast("binary"), 256).alias("anchor_hash"))
-
-
-@query("export_corpus", "SELECT doc_id, path, type, title, strftime(stale_after, '%Y-%m-%d') AS stale_after, coalesce(n, 0)::BIGINT AS claims FROM docs LEFT JOIN (SELECT doc_id, count(*) AS n FROM claims GROUP BY 1) USING (doc_id)")
-def _(c):
-    n = c.claims().groupBy("doc_id").agg(F.count("*").alias("claims"))
-    return c.documents().join(n, "doc_id", "left").select("doc_id", "path", "type", "title", F.date_format("stale_after", "yyyy-MM-dd").alias("stale_after"), F.coalesce("claims", F.lit(0)).alias("claims"))
-
-
 @query("table_digest", "SELECT count(*) AS n, sum(('0x' || substr(sha256(chr(1) || 'v' || doc_id || chr(1) || 'v' || path || chr(1) || 'v' || title), 1, 12))::BIGINT)::HUGEINT::VARCHAR AS digest FROM docs")
 def _(c):
     return sampling.table_digest(c.documents().select("doc_id", "path", "title"))
@@ -111,25 +88,12 @@ def _(c):
 
 @query("list_claims", "SELECT c.claim_id, c.lead, d.path FROM claims c LEFT JOIN docs d USING (doc_id)")
 def _(c):
-    return c.claims().join(c.documents().select("doc_id", "path"), "doc_id", "left").select("claim_id", "lead", "path")
+    return c.claims().join(c.documents().select("doc_id", "path"), "doc_id", "left").select("claim_id", "lead", "path").orderBy("claim_id", "path")
 
 
 @query("list_claim_sources", "SELECT claim_id, archive_path, count(*) AS times FROM citations GROUP BY ALL")
 def _(c):
-    return c.citations().groupBy("claim_id", "archive_path").agg(F.count("*").alias("times"))
-
-
-@query("scope_filter", "WITH t AS (SELECT c.doc_id, min(coalesce(r, 0)) AS r FROM claims c LEFT JOIN (SELECT claim_id, max(CASE WHEN \"by\" IS NULL THEN 0 WHEN \"by\" LIKE 'human:_%' THEN 2 ELSE 1 END) AS r FROM verifications GROUP BY 1) USING (claim_id) GROUP BY 1) SELECT doc_id, path, type FROM docs LEFT JOIN t USING (doc_id) WHERE starts_with(path, 'c/3/') AND type = '5-LOW' AND CASE WHEN status = '' THEN 'stable' ELSE status END = 'stable' AND coalesce(r, 0) >= 1")
-def _(c):
-    d = c.documents()
-    scoped = d.where(F.col("path").startswith("c/3/") & (F.col("type") == "5-LOW") & (F.when(F.col("status") == "", "stable").otherwise(F.col("status")) == "stable"))
-    trusted = evidence.trust_document(scoped, c.claims(), c.verifications()).where(F.col("trust") != "unverified").select("doc_id")
-    return scoped.join(trusted, "doc_id", "left_semi").select("doc_id", "path", "type")
-
-
-@query("log_since", "SELECT line, op, path FROM trail WHERE \"at\" >= TIMESTAMP '2024-01-15'")
-def _(c):
-    return c.trail().where(F.col("at") >= since()).select("line", "op", "path")
+    return c.citations().groupBy("claim_id", "archive_path").agg(F.count("*").alias("times")).orderBy("claim_id", "archive_path")
 
 
 @query("prior_rationales", "SELECT line, actor, \"at\" FROM trail WHERE op = 'promote' AND outcome = 'ok' AND path = 'c/7'")
@@ -147,20 +111,13 @@ def _(c):
     return trail.trail_validate(c.trail())
 
 
-@query("listing_by_type", "SELECT type, title, doc_id, row_number() OVER (PARTITION BY type ORDER BY title, doc_id)::INTEGER AS position FROM docs")
+@query("listing_by_type", "SELECT type, title, doc_id FROM docs ORDER BY 1, 2, 3")
 def _(c):
     return graph.listing_by_type(c.documents())
 
 
 # ---------------------------------------------------------------- links and candidates
 
-_PATHS = "('evidence/text/1/1', 'evidence/text/2/2', 'evidence/text/3/3', 'evidence/text/10/4', 'evidence/text/20/5')"
-
-
-def _paths(c):
-    return c.citations().where(F.col("archive_path").isin("evidence/text/1/1", "evidence/text/2/2", "evidence/text/3/3", "evidence/text/10/4", "evidence/text/20/5")).select("archive_path").distinct()
-
-
 @query("outbound_links", "SELECT source_doc, href, target_doc, title, external FROM links LEFT JOIN docs ON doc_id = target_doc")
 def _(c):
     return graph.outbound_links(c.links(), c.documents())
@@ -191,32 +148,6 @@ def _(c):
     return graph.broken_links(c.links())
 
 
-@query("candidates_shared_source", f"SELECT doc_id, claim_id, lead FROM claims WHERE claim_id IN (SELECT claim_id FROM citations WHERE archive_path IN {_PATHS})")
-def _(c):
-    return graph.shared_source(c.citations(), c.claims(), _paths(c)).select("doc_id", "claim_id", "lead")
-
-
-_HOP = f"""WITH aff AS (SELECT DISTINCT doc_id FROM citations WHERE archive_path IN {_PATHS}),
-near AS (SELECT target_doc AS doc_id FROM links WHERE source_doc IN (SELECT doc_id FROM aff) AND target_doc IS NOT NULL UNION SELECT source_doc FROM links WHERE target_doc IN (SELECT doc_id FROM aff))"""
-
-
-@query("candidates_one_hop", _HOP + " SELECT doc_id, claim_id, lead FROM claims WHERE doc_id IN (SELECT doc_id FROM near) AND doc_id NOT IN (SELECT doc_id FROM aff)")
-def _(c):
-    return graph.one_hop(c.citations(), c.claims(), c.links(), _paths(c)).select("doc_id", "claim_id", "lead")
-
-
-@query("candidates", _HOP + f""" SELECT doc_id, claim_id, rule FROM (
-SELECT doc_id, claim_id, 'shared-source' AS rule, 0 AS rank FROM claims WHERE claim_id IN (SELECT claim_id FROM citations WHERE archive_path IN {_PATHS})
-UNION ALL SELECT doc_id, claim_id, 'one-hop', 1 FROM claims WHERE doc_id IN (SELECT doc_id FROM near) AND doc_id NOT IN (SELECT doc_id FROM aff)) ORDER BY rank, doc_id, claim_id LIMIT 25""")
-def _(c):
-    return graph.candidates(c.citations(), c.claims(), c.links(), _paths(c))
-
-
-@query("archive_paths_for_uris", "WITH r AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY uri ORDER BY disposition <> 'referenced' DESC, version DESC) = 1) SELECT DISTINCT archive_path FROM r WHERE uri % 100 = 0")
-def _(c):
-    return evidence.current_record(c.records()).where(F.col("uri") % 100 == 0).select("archive_path").distinct()
-
-
 @query("current_record", "SELECT uri, version, archive_path, disposition FROM records QUALIFY row_number() OVER (PARTITION BY uri ORDER BY disposition <> 'referenced' DESC, version DESC) = 1")
 def _(c):
     return evidence.current_record(c.records())
@@ -304,11 +235,11 @@ def _(c):
     return evidence.answerability(rows.join(contested, "claim_id", "left").na.fill(False, ["contested"]))
 
 
-@query("archive_closure", """WITH arch AS (SELECT archive_path FROM records WHERE disposition <> 'referenced' AND byte_size <> 9000 UNION SELECT 'evidence/text/x/' || p_partkey FROM part WHERE p_partkey < 50)
+@query("archive_closure", """WITH arch AS (SELECT archive_path FROM records WHERE disposition <> 'referenced' AND byte_size <> 9000 UNION SELECT 'evidence/text/x/' || p_partkey FROM part WHERE p_size = 7)
 SELECT archive_path, 'warning' AS severity FROM arch WHERE archive_path NOT IN (SELECT archive_path FROM records) UNION SELECT archive_path, 'error' FROM records WHERE disposition <> 'referenced' AND archive_path NOT IN (SELECT archive_path FROM arch)""")
 def _(c):
     held = c.records().where((F.col("disposition") != "referenced") & (F.col("byte_size") != 9000)).select("archive_path")
-    stray = c.raw("part").where("p_partkey < 50").select(F.concat(F.lit("evidence/text/x/"), "p_partkey").alias("archive_path"))
+    stray = c.raw("part").where("p_size = 7").select(F.concat(F.lit("evidence/text/x/"), "p_partkey").alias("archive_path"))
     return evidence.archive_closure(c.records(), held.union(stray).distinct())
 
 
@@ -353,11 +284,6 @@ def _(c):
     return c.records().orderBy(F.desc("byte_size"), "archive_path").limit(5).select("archive_path", "byte_size")
 
 
-@query("disposition", "SELECT page_id AS source_id, CASE WHEN octet_length(encode(html)) > 6000 THEN 'referenced' ELSE 'archived' END AS disposition, CASE WHEN octet_length(encode(html)) > 6000 THEN 'size' END AS reject_reason, CASE WHEN octet_length(encode(html)) <= 6000 THEN 'evidence/text/' || substr(sha256(html), 1, 2) || '/' || sha256(html) || '.html' END AS archive_path FROM pages")
-def _(c):
-    return evidence.disposition(c.raw("pages").select(F.col("page_id").alias("source_id"), F.lit(".html").alias("extension"), F.col("html").alias("content")), 6000, (".html", ".md", ".txt"))
-
-
 # ---------------------------------------------------------------- logs
 
 
@@ -371,11 +297,6 @@ def _(c):
     return trail.debt(c.trail())
 
 
-@query("gained", "SELECT count(*) FILTER (WHERE op = 'fetch') AS fetch, count(*) FILTER (WHERE op = 'admit') AS admit, count(*) FILTER (WHERE op = 'promote') AS promote, count(*) FILTER (WHERE op = 'discard') AS discard FROM trail WHERE outcome = 'ok' AND \"at\" >= TIMESTAMP '2024-01-15'")
-def _(c):
-    return trail.gained(c.trail(), since())
-
-
 @query("outstanding", """WITH r AS (SELECT *, max(CASE WHEN op = 'discard' OR (op = 'promote' AND outcome = 'ok') THEN line END) OVER (PARTITION BY path) AS last_reset FROM trail)
 SELECT path, count(*) AS attempts, max("at") AS last_at, arg_max(actor, line) AS last_actor FROM r WHERE op = 'promote' AND outcome <> 'ok' AND line > coalesce(last_reset, -1) GROUP BY 1""")
 def _(c):
@@ -398,16 +319,6 @@ def _(c):
     return trail.domain_history(c.trail())
 
 
-@query("authority", "SELECT path, count(DISTINCT actor) AS humans, CASE WHEN count(DISTINCT actor) >= 4 THEN 'quorum' WHEN count(DISTINCT actor) >= 2 THEN 'paired' ELSE 'sole' END AS authority FROM trail WHERE starts_with(actor, 'human:') GROUP BY 1")
-def _(c):
-    return trail.authority(c.trail())
-
-
-@query("authority_move", "SELECT path, actor, line, row_number() OVER (PARTITION BY path ORDER BY line)::INTEGER AS humans FROM (SELECT path, actor, min(line) AS line FROM trail WHERE starts_with(actor, 'human:') GROUP BY 1, 2)")
-def _(c):
-    return trail.authority_move(c.trail())
-
-
 @query("record_retrievals", 'SELECT claim_id, count(*) AS returns, max("at") AS last_at FROM retrievals GROUP BY 1')
 def _(c):
     return trail.record_retrievals(c.retrievals())
@@ -440,12 +351,6 @@ def _(c):
     return trail.findings_gate(c.links().select(severity.alias("severity")))
 
 
-@query("loosening_delta", "SELECT count(*) FILTER (WHERE n >= 20) AS before, count(*) FILTER (WHERE n >= 30) AS after, count(*) FILTER (WHERE n >= 20) > count(*) FILTER (WHERE n >= 30) AS looser FROM (SELECT target_doc, count(*) AS n FROM links WHERE NOT external AND target_doc IS NOT NULL AND target_doc <> source_doc GROUP BY 1)")
-def _(c):
-    out = graph.centrality(c.links()).agg(F.count_if(F.col("in_degree") >= 20).alias("before"), F.count_if(F.col("in_degree") >= 30).alias("after"))
-    return out.withColumn("looser", F.col("before") > F.col("after"))
-
-
 _EXCHANGES = """WITH g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM turns),
 ex AS (SELECT session_id, min(pos) AS pos, max(text) FILTER (WHERE role = 'user' AND trim(coalesce(text, '')) <> '') AS question, string_agg(text, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE role <> 'user' AND trim(coalesce(text, '')) <> '') AS answer FROM g WHERE grp > 0 GROUP BY session_id, grp
 HAVING max(text) FILTER (WHERE role = 'user' AND trim(coalesce(text, '')) <> '') IS NOT NULL AND count(*) FILTER (WHERE role <> 'user' AND trim(coalesce(text, '')) <> '') > 0)"""
@@ -464,12 +369,6 @@ def _(c):
 # ---------------------------------------------------------------- conflicts, duplicates, populations
 
 
-@query("interval_conflict", """WITH b AS (SELECT subject, dimension, claim_id, CASE op WHEN '<=' THEN '-inf'::DOUBLE ELSE value END AS low, CASE op WHEN '>=' THEN 'inf'::DOUBLE ELSE value END AS high FROM bounds)
-SELECT subject, dimension, count(*) AS bounds, max(low) AS low, min(high) AS high, max({'l': low, 'c': claim_id}).c AS low_claim, min({'h': high, 'c': claim_id}).c AS high_claim FROM b GROUP BY 1, 2 HAVING max(low) > min(high)""")
-def _(c):
-    return conflict.interval_conflicts(c.bounds())
-
-
 _PARSED = "SELECT subject, claim_id, value > 5 AS parsed FROM bounds"
 
 
@@ -495,16 +394,6 @@ def _(c):
     return conflict.duplicate_titles(c.documents())
 
 
-@query("duplicate_evidence", "SELECT evidence, count(*) AS documents, min(doc_id) AS first_doc FROM (SELECT doc_id, string_agg(archive_path, '|' ORDER BY archive_path) AS evidence FROM (SELECT DISTINCT doc_id, archive_path FROM citations) GROUP BY 1) GROUP BY 1 HAVING count(*) >= 2")
-def _(c):
-    return conflict.duplicate_evidence(c.citations())
-
-
-@query("anchor_collision", "SELECT doc_id, pos, count(*) AS sources FROM citations GROUP BY 1, 2 HAVING count(*) >= 2")
-def _(c):
-    return c.citations().groupBy("doc_id", "pos").agg(F.count("*").alias("sources")).where("sources >= 2")
-
-
 @query("evidence_divergence", "SELECT pos AS anchor, uri, count(DISTINCT version) AS versions, count(DISTINCT doc_id) AS documents FROM citations GROUP BY 1, 2 HAVING count(DISTINCT version) >= 2")
 def _(c):
     return conflict.evidence_divergence(c.citations(), F.col("pos"))
@@ -524,9 +413,9 @@ def _(c):
     return conflict.type_usage(c.documents(), types)
 
 
-@query("alias_resolve", "SELECT l_orderkey || '#' || l_linenumber AS claim_id, ' P ' || upper(p_name) AS surface, CASE WHEN p_partkey < 1000 THEN p_partkey END AS key FROM lineitem JOIN part ON l_partkey = p_partkey WHERE false UNION ALL SELECT claim_id, 'Part  ' || uri, CASE WHEN uri < 1000 AND uri IN (SELECT p_partkey FROM part) THEN 'k' || uri END FROM citations".replace(", CASE WHEN p_partkey < 1000 THEN p_partkey END AS key", ", 'k' || p_partkey AS key"))
+@query("alias_resolve", "SELECT claim_id, 'Part  ' || uri AS surface, CASE WHEN uri IN (SELECT p_partkey FROM part WHERE p_size > 2) THEN 'k' || uri END AS key FROM citations")
 def _(c):
-    aliases = c.raw("part").where("p_partkey < 1000").select(F.concat(F.lit("part "), "p_partkey").alias("alias"), F.concat(F.lit("k"), "p_partkey").alias("key"))
+    aliases = c.raw("part").where("p_size > 2").select(F.concat(F.lit("part "), "p_partkey").alias("alias"), F.concat(F.lit("k"), "p_partkey").alias("key"))
     return conflict.alias_resolve(c.citations().select("claim_id", F.concat(F.lit("Part  "), "uri").alias("surface")), aliases)
 
 
@@ -581,23 +470,6 @@ def _(c):
     return c.texts().select("doc_id", F.posexplode(fx.sentences(F.col("body"))).alias("pos", "sentence"))
 
 
-@query("claims_from_text")
-def _(c):
-    return c.texts().select("doc_id", F.posexplode(fx.claims_from_text(F.col("body"), ("of", "the"))).alias("pos", "claim"))
-
-
-@query("parse_bound", "SELECT l_orderkey, l_linenumber, '<=' AS op, l_quantity::INTEGER::DOUBLE AS value, 'at most' AS phrase, l_quantity::INTEGER || 'ms' AS raw FROM lineitem")
-def _(c):
-    line = F.concat(F.lit("The value is at most "), F.col("l_quantity").cast("int"), F.lit("ms."))
-    return c.raw("lineitem").select("l_orderkey", "l_linenumber", fx.parse_bound(line).alias("b")).select("l_orderkey", "l_linenumber", "b.op", "b.value", "b.phrase", "b.raw")
-
-
-@query("written_dimension", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'duration' WHEN 1 THEN 'bytes' WHEN 2 THEN 'ratio' ELSE 'count' END AS dimension FROM part")
-def _(c):
-    unit = F.element_at(F.array(F.lit("ms"), F.lit("MB"), F.lit("%"), F.lit("")), F.col("p_size") % 4 + 1)
-    return c.raw("part").select("p_partkey", fx.written_dimension(F.concat(F.col("p_size").cast("string"), unit)).alias("dimension"))
-
-
 @query("states_value", "SELECT doc_id, regexp_matches(' ' || body || ' ', '[^0-9.]' || (doc_id % 40)::VARCHAR || '[^0-9.]') AS stated FROM texts")
 def _(c):
     return c.texts().select("doc_id", fx.states_value(F.col("body"), (F.col("doc_id") % 40).cast("string")).alias("stated"))
@@ -608,12 +480,6 @@ def _(c):
     return c.texts().select("doc_id", F.array_join(fx.marked(F.col("body"), ("of the", "and", "que la", "der")), ",").alias("markers"))
 
 
-@query("snippet", r"""WITH l AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(body, '(^|\n)#+[^\n]*', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\s+', ' ', 'g')) AS t FROM texts), a AS (SELECT doc_id, t, greatest(instr(lower(t), 'the') - 80, 1) AS cut FROM l)
-SELECT doc_id, CASE WHEN cut > 1 THEN '…' ELSE '' END || substr(t, cut, 160) || CASE WHEN cut + 159 < length(t) THEN '…' ELSE '' END AS snippet FROM a""")
-def _(c):
-    return c.texts().select("doc_id", fx.snippet(F.col("body"), "the").alias("snippet"))
-
-
 @query("placeholder_markers", r"SELECT doc_id, len(list_distinct(regexp_extract_all(body, '\{\{[A-Z][A-Z0-9_]*\}\}')))::INTEGER AS markers FROM texts")
 def _(c):
     return c.texts().select("doc_id", F.size(fx.placeholders(F.col("body"))).alias("markers"))
@@ -625,11 +491,6 @@ def _(c):
     return c.raw("pages").select("page_id", F.size(found).alias("channels"), F.array_join(found, "|").alias("texts"))
 
 
-@query("hidden_chars", "SELECT doc_id, 0 AS zero_width, 0 AS bidi FROM texts WHERE false UNION ALL SELECT doc_id, len(regexp_extract_all(body, '[​‌‍⁠﻿]'))::INTEGER, len(regexp_extract_all(body, '[‪-‮⁦-⁩]'))::INTEGER FROM texts")
-def _(c):
-    return c.texts().select("doc_id", fx.hidden_chars(F.col("body"), "zero-width").alias("zero_width"), fx.hidden_chars(F.col("body"), "bidi").alias("bidi"))
-
-
 @query("days_since", "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '2003-06-01')::BIGINT AS days FROM orders")
 def _(c):
     return c.raw("orders").select("o_orderkey", fx.days_between(F.col("o_orderdate").cast("date"), now()).alias("days"))

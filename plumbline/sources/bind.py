@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.prose import SQL_PROSE, statements
+
 
 class Corpus:
     """Corpus tables of one folder of given tables; each is read with the columns it needs."""
@@ -46,6 +48,10 @@ class Corpus:
         claim = F.concat_ws("#", "l_orderkey", "l_linenumber")
         return rows.select(F.col("l_orderkey").alias("doc_id"), claim.alias("claim_id"), F.when(F.col("l_linenumber") != 5, F.concat(claim, F.lit(" says so"))).alias("lead"))
 
+    def statements(self) -> DataFrame:
+        """English claims: ``doc_id, claim_id, pos, uri, text, lead, number, quotes``."""
+        return statements(self.raw("lineitem"))
+
     def verifications(self) -> DataFrame:
         by = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("human:"), "l_suppkey")).when(F.col("l_returnflag") == "R", F.concat(F.lit("check:"), "l_suppkey"))
         return self.raw("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat_ws("#", "l_orderkey", "l_linenumber").alias("claim_id"), by.alias("by"))
@@ -120,5 +126,4 @@ trail AS (SELECT event_id AS line, ts AS "at", CASE event_type WHEN 'view' THEN
 misses AS (SELECT event_id AS line, CASE event_type WHEN 'view' THEN 'extract' WHEN 'click' THEN 'accrete' ELSE 'critique' END AS op,
   CASE user_id % 3 WHEN 0 THEN 'no_deterministic_path' WHEN 1 THEN 'no_deterministic_predicate' ELSE 'ambiguous_source' END AS reason, CASE WHEN event_id % 7 <> 0 THEN 'k' || (event_id % 400) END AS key, 'check' || (user_id % 4) AS "check" FROM events),
 retrievals AS (SELECT event_id AS line, user_id || '#' || (event_id % 7) AS claim_id, ts AS "at" FROM events WHERE event_type = 'view'),
-turns AS (SELECT conv_id AS session_id, turn AS pos, role, text FROM conversations WHERE role IN ('user', 'assistant'))
-"""
+turns AS (SELECT conv_id AS session_id, turn AS pos, role, text FROM conversations WHERE role IN ('user', 'assistant')),""" + SQL_PROSE.strip() + "\n"

@@ -4,18 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession, name: str) -> str:
-    """A folder for a stream's state: under the session's checkpoint folder if it has one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+from plumbline.sources.scratch import shared_dir
 
 
 def trail_counts(trail: DataFrame, late: str = "1 day") -> DataFrame:
@@ -30,14 +22,15 @@ def retrieval_counts(retrievals: DataFrame) -> DataFrame:
     return retrievals.groupBy("claim_id").agg(F.count("*").alias("returns"), F.max("at").alias("last_at"))
 
 
-def run_available(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def run_available(stream: DataFrame, name: str, keys: list[str], folder: str | None = None) -> DataFrame:
     """Run a stream over what is there now and return its latest row per key.
 
     Updates are written batch by batch under their batch id, so a batch that is
-    run again after a failure replaces its own rows.
+    run again after a failure replaces its own rows.  With the ``folder`` of an
+    earlier run it goes on where that stopped and reads nothing twice.
     """
     spark = stream.sparkSession
-    at = _folder(spark, name)
+    at = folder or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{at}/out/batch={batch_id}")
