@@ -98,12 +98,20 @@ def resolve_refs(refs: DataFrame, claims: DataFrame) -> DataFrame:
     return out.select("ref", F.col("_id").alias("claim_id"), F.col("_id").isNull().alias("missing"))
 
 
-def stale_edges(edges: DataFrame, documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Deferred conflicts ``(doc_id, concept, pair_id)`` that are incomplete, of an unknown concept, or of no live pair."""
+def stale_edges(edges: DataFrame, documents: DataFrame, claims: DataFrame) -> DataFrame:
+    """Deferred conflicts ``(doc_id, concept, first, second)`` that are incomplete, of an unknown concept, or of no live pair.
+
+    A pair is live if its two claims ``(claim_id, subject, parsed)`` share a
+    subject and not both have a bound there; only the named claims are looked up.
+    """
     known = documents.select(F.col("doc_id").alias("concept"), F.lit(True).alias("known")).distinct()
-    live = pairs.select("pair_id", F.lit(True).alias("live")).distinct()
-    rows = edges.join(known, "concept", "left").join(live, "pair_id", "left")
-    problem = F.when(F.col("concept").isNull() | F.col("pair_id").isNull(), "incomplete").when(F.col("known").isNull(), "unknown-concept").when(F.col("live").isNull(), "no-live-pair")
+    ends = [claims.select(F.col("claim_id").alias(c), "subject", F.col("parsed").alias(f"{c}_parsed")).distinct() for c in ("first", "second")]
+    named = edges.select("first", "second").distinct()
+    live = named.join(ends[0], "first").join(ends[1], ["second", "subject"]).where(~(F.col("first_parsed") & F.col("second_parsed")))
+    live = live.select("first", "second", F.lit(True).alias("live")).distinct()
+    rows = edges.join(known, "concept", "left").join(live, ["first", "second"], "left")
+    lacking = F.col("concept").isNull() | F.col("first").isNull() | F.col("second").isNull()
+    problem = F.when(lacking, "incomplete").when(F.col("known").isNull(), "unknown-concept").when(F.col("live").isNull(), "no-live-pair")
     return rows.select("doc_id", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 

@@ -139,10 +139,3 @@ def alias_resolve(surfaces: DataFrame, aliases: DataFrame) -> DataFrame:
     if clash.limit(1).count():
         raise ValueError("an alias belongs to two keys")
     return surfaces.withColumn("folded", fold_lower(F.col("surface"))).join(folded.distinct(), "folded", "left").select("claim_id", "surface", "key")
-
-
-def pinned_drift(claims: DataFrame) -> DataFrame:
-    """Claims ``(claim_id, text, value)`` whose text doesn't state their pinned value."""
-    from plumbline.functions.text import states_value
-
-    return claims.where(~states_value(F.col("text"), F.col("value"))).select("claim_id", "value")

@@ -1,33 +1,13 @@
-"""Queries of claim checks, gate signals, cases and answers."""
+"""Queries of further claim checks and pairs, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as fx
-from plumbline.operators import checks, claims, conflict, evidence, graph, search
-from plumbline.plans.queries import _RANK, _SENTENCES, _TOKENS
+from plumbline.operators import claims, conflict
 from plumbline.plans.registry import query
 
-#: Words of the given prose in place of the English lists.
-UNIVERSAL, HEDGED = ("the", "que", "der"), ("with", "avec", "mit")
-CAUSAL, WEAK = ("of the", "de la"), ("and", "et", "und")
-
-_CLAIMS = f"{_SENTENCES}, cl AS (SELECT doc_id || '#' || pos AS claim_id, doc_id, sentence AS text FROM (SELECT doc_id, unnest(range(0, len(list))) AS pos, unnest(list) AS sentence FROM s))"
-_PAD = r"' ' || regexp_replace(regexp_replace(lower({0}), '[,.]', ' ', 'g'), '\s+', ' ', 'g') || ' '"
-
-
-def _has(padded: str, words: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains({padded}, ' {w} ')" for w in words) + ")"
-
-
-def _claims(c):
-    rows = c.texts().select("doc_id", F.posexplode(fx.sentences(F.col("body"))).alias("pos", "text"))
-    return rows.select(F.concat_ws("#", "doc_id", "pos").alias("claim_id"), "doc_id", "text")
-
-
-_STRENGTH = f"st AS (SELECT claim_id, doc_id, text, {_has('p', UNIVERSAL)} AS u, {_has('p', HEDGED)} AS h, {_has('p', CAUSAL)} AS i, {_has('p', WEAK)} AS a FROM (SELECT *, {_PAD.format('text')} AS p FROM cl))"
-
 
 @query("check_challenge_age", "SELECT event_id AS challenge_id, CASE WHEN event_id % 11 = 0 THEN 'unreadable-date' ELSE 'aged' END AS problem FROM events WHERE user_id % 3 <> 1 AND (event_id % 11 = 0 OR date_diff('day', ts::DATE, DATE '2024-02-15') > 30)")
 def _(c):
@@ -112,12 +92,12 @@ _EDGES = "edges AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 0 TH
 def _edges(c):
     key = F.col("o_orderkey")
     concept = F.when(key % 5 == 0, F.lit(None)).when(key % 5 == 1, -key).otherwise(key)
-    return c.raw("orders").select(key.alias("doc_id"), concept.alias("concept"), conflict.pair_id(F.concat(key, F.lit("#1")), F.concat(key, F.lit("#2"))).alias("pair_id"))
+    return c.raw("orders").select(key.alias("doc_id"), concept.alias("concept"), F.concat(key, F.lit("#1")).alias("first"), F.concat(key, F.lit("#2")).alias("second"))
 
 
 @query("stale_conflict_edge", f"WITH {_PAIRS}, {_EDGES} SELECT doc_id, CASE WHEN concept IS NULL THEN 'incomplete' WHEN concept NOT IN (SELECT o_orderkey FROM orders) THEN 'unknown-concept' ELSE 'no-live-pair' END AS problem FROM edges WHERE concept IS NULL OR concept NOT IN (SELECT o_orderkey FROM orders) OR pair_id NOT IN (SELECT pair_id FROM pairs)")
 def _(c):
-    return claims.stale_edges(_edges(c), c.documents(), _pairs(c))
+    return claims.stale_edges(_edges(c), c.documents(), c.bounds().select("claim_id", "subject", (F.col("value") > 5).alias("parsed")))
 
 
 @query("candidates_conflict_edge", f"WITH {_EDGES} SELECT claim_id FROM claims WHERE doc_id IN (SELECT doc_id FROM edges WHERE concept % 100 = 2) AND claim_id NOT IN (SELECT claim_id FROM citations WHERE uri = 8)")
@@ -127,37 +107,8 @@ def _(c):
     return c.claims().join(deferring, "doc_id", "left_semi").join(chosen, "claim_id", "left_anti").select("claim_id")
 
 
-_CASES = f"""{_TOKENS}, it AS (SELECT item_id, list_distinct(regexp_extract_all(translate(lower(text), 'àáâäçèéêëíîïñóôöúùûü', 'aaaaceeeeiiinooouuuu'), '[\\p{{L}}\\p{{N}}''&/]+')) AS q FROM benchmark),
-qt AS (SELECT item_id, len(q) AS n, unnest(q) AS term FROM it), dt AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM tok),
-m AS (SELECT item_id, doc_id, n, count(*) AS k FROM qt JOIN dt USING (term) WHERE length(term) > 5 GROUP BY ALL)"""
-
-
-@query("retrieval_cases", f"WITH {_CASES} SELECT item_id, max(k) AS best, count(*) FILTER (WHERE k >= 5) AS returned, count(*) FILTER (WHERE k >= 5) > 0 AS held FROM m GROUP BY 1")
-def _(c):
-    # Terms of all items against the inverted index: one join on the term, one aggregate per (item, document).
-    terms = c.raw("benchmark").select("item_id", F.explode(F.array_distinct(search.analyze(F.col("text")))).alias("term")).where(F.char_length("term") > 5)
-    matched = search.postings(c.texts()).join(terms, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("k"))
-    out = matched.groupBy("item_id").agg(F.max("k").alias("best"), F.count_if(F.col("k") >= 5).alias("returned"))
-    return out.withColumn("held", F.col("returned") > 0)
-
-
-@query("ask", f"WITH {_CASES} SELECT item_id AS question, count(*) FILTER (WHERE k >= 5) AS retrieved, CASE WHEN count(*) FILTER (WHERE k >= 5) = 0 THEN 'silent' WHEN bool_or(k >= 5 AND doc_id % 50 = 0) THEN 'unresolved' WHEN NOT bool_or(k >= 5 AND doc_id % 2 = 0) THEN 'unevidenced' ELSE 'ready' END AS answerability FROM m GROUP BY 1")
-def _(c):
-    terms = c.raw("benchmark").select("item_id", F.explode(F.array_distinct(search.analyze(F.col("text")))).alias("term")).where(F.char_length("term") > 5)
-    matched = search.postings(c.texts()).join(terms, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("k"))
-    hit = F.col("k") >= 5
-    rows = matched.select(F.col("item_id").alias("question"), F.when(hit, F.col("doc_id")).alias("claim_id"), (hit & (F.col("doc_id") % 50 == 0)).alias("contested"), (hit & (F.col("doc_id") % 2 == 0)).alias("evidenced"))
-    return evidence.answerability(rows)
-
-
 @query("fold_lower", r"SELECT doc_id, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS folded FROM docs")
 def _(c):
     return c.documents().select("doc_id", fx.fold_lower(F.col("title")).alias("folded"))
 
 
-@query("analyze", f"WITH {_TOKENS} SELECT doc_id, len(w)::INTEGER AS n_terms, len(list_distinct(w))::INTEGER AS n_distinct FROM tok")
-def _(c):
-    terms = search.analyze(F.coalesce("body", F.lit("")))
-    return c.texts().select("doc_id", F.size(terms).alias("n_terms"), F.size(F.array_distinct(terms)).alias("n_distinct"))
-
-

@@ -23,7 +23,7 @@ CASE WHEN doc_id % 17 = 1 THEN body WHEN doc_id % 17 = 2 THEN '---' || chr(10) |
 @query("read_corpus", f"""WITH {_FILES}, p AS (SELECT path, coalesce(content, '') AS t, regexp_matches(coalesce(content, ''), '(?s)^---\\n(.*?\\n)?---(\\n|$)') AS headed FROM files WHERE NOT regexp_matches(path, '(^|/)(index|log)[.]md$')),
 h AS (SELECT *, CASE WHEN headed THEN regexp_extract(t, '(?s)^---\\n(.*?\\n)?---(\\n|$)', 1) ELSE '' END AS head, regexp_replace(t, '(?s)^---\\n(.*?\\n)?---(\\n|$)', '') AS body FROM p),
 f AS (SELECT *, nullif(trim(regexp_extract(head, '(?m)^type:[ \\t]*(.*)$', 1)), '') AS type, nullif(trim(regexp_extract(head, '(?m)^title:[ \\t]*(.*)$', 1)), '') AS title FROM h)
-SELECT path, type, title, sha256(body) AS body, octet_length(encode(t))::BIGINT AS bytes, sha256(t) AS content_hash, CASE WHEN trim(t) = '' THEN 'empty' WHEN NOT headed THEN 'no-front-matter' WHEN type IS NULL THEN 'no-type' WHEN trim(body) = '' THEN 'no-body' END AS invalid FROM f""")
+SELECT path, type, title, sha256(body) AS body, octet_length(encode(t))::BIGINT AS bytes, sha256(t) AS content_hash, CASE WHEN trim(t, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' WHEN NOT headed THEN 'no-front-matter' WHEN type IS NULL THEN 'no-type' WHEN trim(body, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'no-body' END AS invalid FROM f""")
 def _(c):
     t, doc, body = c.texts(), F.col("doc_id"), F.col("body")
     path = F.when(doc % 40 == 3, "c/index.md").when(doc % 40 == 4, "c/x/log.md").otherwise(F.col("path"))

@@ -1,12 +1,12 @@
-"""Further queries: checks, gate, scans, streams and cards."""
+"""Further queries: warrants, terms, staleness and streams, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as fx
-from plumbline.operators import checks, conflict, evidence, graph, sampling, search, trail
-from plumbline.plans.queries import _BM25, _DURABLE, _LAST, _RANK, _SENTENCES, TERMS, now
+from plumbline.operators import checks, evidence
+from plumbline.plans.queries import _LAST, now
 from plumbline.plans.registry import query
 from plumbline.sources.bind import Corpus
 from plumbline.streaming import trail as streams
@@ -18,9 +18,6 @@ def _(c):
     return checks.scan_coverage(run, ("fetch", "admit", "promote", "discard"))
 
 
-_QUOTES = "q AS (SELECT doc_id AS quote_id, substr(body, 1, 60) AS quote, CASE WHEN doc_id % 4 = 0 THEN doc_id + 1 ELSE doc_id END AS source FROM texts)"
-
-
 _WARRANTS = """warrants AS (SELECT l_orderkey AS doc_id, l_orderkey || '#' || l_linenumber AS claim_id, 'human:' || l_suppkey AS "by", CASE WHEN l_partkey % 5 = 0 THEN 'human:' || l_partkey END AS co_signed_by,
 CASE WHEN l_quantity > 40 THEN l_orderkey || '#1' ELSE '' END AS reverses, CASE WHEN l_quantity % 2 = 0 THEN 'shown by ' || l_partkey ELSE '' END AS rationale FROM lineitem)"""
 
@@ -38,18 +35,6 @@ def _(c):
     return _warrants(c).where(F.col("reverses") != "").select("claim_id", "reverses", "by")
 
 
-@query("scoped_search", f"WITH {_BM25}, hits AS (SELECT doc_id, score FROM scored WHERE matched > 0 ORDER BY score DESC, doc_id LIMIT 20) SELECT doc_id, score, type FROM hits JOIN texts USING (doc_id) WHERE starts_with(path, 'src1')")
-def _(c):
-    hits = search.document_search(c.texts(), TERMS)
-    return hits.join(c.texts().where(F.col("path").startswith("src1")).select("doc_id", "type"), "doc_id").select("doc_id", "score", "type")
-
-
-@query("claim_search", f"WITH {_SENTENCES}, cl AS (SELECT doc_id || '#' || pos AS claim_id, sentence FROM (SELECT doc_id, unnest(range(0, len(list))) AS pos, unnest(list) AS sentence FROM s)) SELECT claim_id, sentence FROM cl WHERE regexp_matches(lower(sentence), '(^|[^a-z])therea([^a-z]|$)')")
-def _(c):
-    rows = c.texts().select("doc_id", F.posexplode(fx.sentences(F.col("body"))).alias("pos", "sentence"))
-    return rows.where(F.lower("sentence").rlike(r"(^|[^a-z])therea([^a-z]|$)")).select(F.concat_ws("#", "doc_id", "pos").alias("claim_id"), "sentence")
-
-
 @query("declared_terms", "SELECT 'p' || p_partkey AS term, p_type AS description FROM part UNION ALL SELECT p_name || ' ' || p_partkey, p_type FROM part")
 def _(c):
     terms = F.array(F.concat(F.lit("p"), "p_partkey"), F.concat_ws(" ", "p_name", "p_partkey"))

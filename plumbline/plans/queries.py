@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as fx
-from plumbline.operators import conflict, evidence, graph, sampling, search, trail
+from plumbline.operators import conflict, evidence, graph, sampling, trail
 from plumbline.plans.registry import ORACLE_SQL, QUERIES, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -23,9 +23,6 @@ def since():
     return F.lit("2024-01-15").cast("timestamp")
 
 
-#: Terms that occur in the given prose.
-TERMS = ["the", "thatin", "ononst"]
-
 # ---------------------------------------------------------------- sources
 
 
@@ -505,41 +502,3 @@ def _(c):
 def _(c):
     rows = c.citations().select("claim_id", "archive_path", "version").distinct()
     return rows.select("claim_id", "archive_path", fx.cache_key(F.col("claim_id"), F.col("archive_path"), F.col("version")).alias("key"))
-
-
-# ---------------------------------------------------------------- search
-
-_TOKENS = r"tok AS (SELECT doc_id, regexp_extract_all(translate(lower(coalesce(body, '')), 'àáâäçèéêëíîïñóôöúùûü', 'aaaaceeeeiiinooouuuu'), '[\p{L}\p{N}''&/]+') AS w FROM texts)"
-_BM25 = f"""{_TOKENS}, n AS (SELECT doc_id, len(w)::DOUBLE AS dl, {', '.join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(TERMS))} FROM tok),
-st AS (SELECT count(*) AS n, avg(dl) AS a, {', '.join(f'count(*) FILTER (WHERE t{i} > 0) AS d{i}' for i in range(len(TERMS)))} FROM n),
-scored AS (SELECT doc_id, round({' + '.join(f'ln((st.n - d{i} + 0.5) / (d{i} + 0.5) + 1) * t{i} * 2.2 / (t{i} + 1.2 * (1 - 0.75 + 0.75 * dl / a))' for i in range(len(TERMS)))}, 6) AS score, {' + '.join(f'(t{i} > 0)::INTEGER' for i in range(len(TERMS)))} AS matched FROM n, st)"""
-
-
-@query("document_search", f"WITH {_BM25} SELECT doc_id, score FROM scored WHERE matched > 0 ORDER BY score DESC, doc_id LIMIT 20")
-def _(c):
-    return search.document_search(c.texts(), TERMS)
-
-
-@query("search_all_terms", f"WITH {_BM25} SELECT doc_id, score FROM scored WHERE matched = {len(TERMS)}")
-def _(c):
-    return search.bm25(c.texts(), TERMS, mode="and").select("doc_id", "score")
-
-
-@query("postings", f"WITH {_TOKENS} SELECT term, doc_id, count(*) AS tf, min(pos)::INTEGER AS first_pos FROM (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM tok) GROUP BY 1, 2")
-def _(c):
-    return search.postings(c.texts())
-
-
-@query("search_phrase", f"WITH {_TOKENS} SELECT doc_id, ((length(l) - length(replace(l, ' of  the ', ''))) / 9)::BIGINT AS times FROM (SELECT doc_id, ' ' || array_to_string(w, '  ') || ' ' AS l FROM tok) WHERE contains(l, ' of  the ')")
-def _(c):
-    return search.phrase_search(c.texts(), ["of", "the"])
-
-
-@query("search_near", f"WITH {_TOKENS}, p AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM tok) SELECT a.doc_id, min(abs(a.pos - b.pos))::INTEGER AS gap FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'with' AND b.term = 'that' AND abs(a.pos - b.pos) <= 3 GROUP BY 1")
-def _(c):
-    return search.near_search(c.texts(), "with", "that", 3)
-
-
-@query("search_not", f"WITH {_BM25} SELECT doc_id, score FROM scored WHERE matched > 0 AND doc_id NOT IN (SELECT doc_id FROM tok WHERE list_contains(w, 'with'))")
-def _(c):
-    return search.without(search.bm25(c.texts(), TERMS), c.texts(), "with").select("doc_id", "score")

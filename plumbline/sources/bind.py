@@ -7,10 +7,17 @@ sources for claims, events are the log, conversations the sessions.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import search
 from plumbline.sources.prose import SQL_PROSE, statements
+from plumbline.sources.scratch import shared_dir
+
+#: Indexes built by this driver: (application, tables, name) to index.
+_INDEXES: dict[tuple[str, str, str], search.Index] = {}
 
 
 class Corpus:
@@ -27,6 +34,27 @@ class Corpus:
         kind = F.when(F.col("lang") == "en", "Rule").when(F.col("lang") == "de", "Procedure").when(F.col("lang") == "fr", "Decision").otherwise("Reference")
         return self.raw("documents").select("doc_id", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), kind.alias("type"), F.col("text").alias("body"))
 
+    def titled(self) -> DataFrame:
+        """The prose with a title: the first eight words."""
+        title = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("body", r"\s+", " ")), " "), 1, 8), " ")
+        return self.texts().withColumn("title", title)
+
+    def _index(self, name: str, documents) -> search.Index:
+        """The index of some documents; built and stored once for these tables, then read."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _INDEXES:
+            _INDEXES[key] = search.build(documents(), f"{shared_dir(self.spark)}/index-{name}-{uuid.uuid4().hex[:12]}")
+        made = _INDEXES[key]
+        return search.Index(self.spark, made.folder, made.buckets)
+
+    def text_index(self) -> search.Index:
+        return self._index("texts", lambda: self.titled().select("doc_id", "title", "body"))
+
+    def lead_index(self) -> search.Index:
+        """Claims by their leads; claims without one are not in it."""
+        leads = lambda: self.statements().where(F.col("lead").isNotNull()).select(F.col("claim_id").alias("doc_id"), F.lit("").alias("title"), F.col("lead").alias("body"))
+        return self._index("leads", lambda: leads().distinct())
+
     def documents(self) -> DataFrame:
         key = F.col("o_orderkey")
         status = F.when(F.col("o_orderstatus") == "F", "stable").when(F.col("o_orderstatus") == "P", "draft").otherwise("")

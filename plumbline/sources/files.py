@@ -11,9 +11,9 @@ _HEAD = r"(?s)^---\n(.*?\n)?---(\n|$)"
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, content)`` of all markdown files below a folder."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """``(path, content)`` of all markdown files below a folder; Spark gives no row for a file of no bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def _field(head: Column, name: str) -> Column:
@@ -31,7 +31,8 @@ def parse_corpus(files: DataFrame) -> DataFrame:
     headed, body = text.rlike(_HEAD), F.regexp_replace(text, _HEAD, "")
     head = F.when(headed, F.regexp_extract(text, _HEAD, 1)).otherwise("")
     kind = _field(head, "type")
-    invalid = F.when(F.trim(text) == "", "empty").when(~headed, "no-front-matter").when(kind.isNull(), "no-type").when(F.trim(body) == "", "no-body")
+    blank = F.lit(" \t\r\n")
+    invalid = F.when(F.btrim(text, blank) == "", "empty").when(~headed, "no-front-matter").when(kind.isNull(), "no-type").when(F.btrim(body, blank) == "", "no-body")
     return rows.select(
         "path", kind.alias("type"), _field(head, "title").alias("title"), body.alias("body"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text.cast("binary"), 256).alias("content_hash"), invalid.alias("invalid"),
     )

@@ -15,12 +15,14 @@ def corpus(spark):
 
 def test_candidates(corpus):
     docs, claims, cited, links, paths = corpus
-    got = [(r.claim_id, r.rule) for r in graph.candidates(cited, claims, links, paths).collect()]
-    assert got == [("a1", "shared-source"), ("b1", "one-hop"), ("g1", "one-hop")]
-    assert len(graph.candidates(cited, claims, links, paths, 2).collect()) == 2
+    none, delta = docs.select("doc_id").limit(0), docs.where("doc_id = 'delta'").select("doc_id")
+    got = lambda *x: [(r.claim_id, r.rule) for r in graph.candidates(cited, claims, links, *x).collect()]
+    assert got(paths, 25, none) == [("a1", "shared-source"), ("b1", "one-hop"), ("g1", "one-hop")]
+    assert len(got(paths, 2, none)) == 2 and got(paths, 1, delta) == [("a1", "shared-source"), ("d1", "conflict-edge")]
+    assert got(paths, 25, docs.where("doc_id = 'alpha'").select("doc_id")) == got(paths, 25, none)  # a1 is there already
     with pytest.raises(ValueError):
-        graph.candidates(cited, claims, links, paths, 0)
-    assert graph.candidates(cited, claims, links, paths.limit(0)).count() == 0
+        graph.candidates(cited, claims, links, paths, 0, none)
+    assert got(paths.limit(0), 25, none) == []
 
 
 def test_degrees_and_orphans(corpus):

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import conflict, evidence, sampling, search, trail
+from plumbline.operators import conflict, evidence, sampling, trail
 
 
 def test_trust(spark):
@@ -63,17 +63,6 @@ def test_digest_ignores_order_and_tells_null_from_text(spark):
     assert sampling.floor_breached(100, 49) and not sampling.floor_breached(0, 0) and not sampling.floor_breached(10, 1, 0)
 
 
-def test_search(spark):
-    rows = spark.createDataFrame([(1, "the cat sat"), (2, "cat cat dog"), (3, None)], "doc_id int, body string")
-    assert [r.doc_id for r in search.document_search(rows, ["cat"]).collect()] == [2, 1]
-    assert [r.doc_id for r in search.bm25(rows, ["cat", "dog"], mode="and").collect()] == [2]
-    assert [(r.doc_id, r.times) for r in search.phrase_search(rows, ["cat", "cat"]).collect()] == [(2, 1)]
-    assert [(r.doc_id, r.gap) for r in search.near_search(rows, "the", "sat", 3).collect()] == [(1, 2)]
-    assert {r.doc_id for r in search.without(search.bm25(rows, ["cat"]), rows, "dog").collect()} == {1}
-    with pytest.raises(ValueError):
-        search.document_search(rows, [])
-
-
 def test_alias_of_two_keys_is_refused(spark):
     surfaces = spark.createDataFrame([("c", "Retry  Cap"), ("d", "other")], "claim_id string, surface string")
     aliases = spark.createDataFrame([("retry cap", "retry.max")], "alias string, key string")

@@ -97,7 +97,7 @@ def test_snippet_and_commands(spark):
 def test_log_entries_and_sections(spark):
     logs = spark.createDataFrame([(1, "head\n## 2024-01-02\n* one\n    ## 2024-09-09\n## 2024-01-03\n* two")], "log_id int, text string")
     assert {(r.date, r.line) for r in checks.log_entries(logs).collect()} == {("2024-01-02", "* one"), ("2024-01-02", "## 2024-09-09"), ("2024-01-03", "* two")}
-    assert [r.line for r in checks.log_format(spark.createDataFrame([(1, "## 2024-01-02\\n## soon\\n### x\\n## 2024-1-2")], "log_id int, text string")).collect()] == ["## soon", "## 2024-1-2"]
+    assert [r.line for r in checks.log_format(spark.createDataFrame([(1, "## 2024-01-02\n## soon\n### x\n## 2024-1-2")], "log_id int, text string")).collect()] == ["## soon", "## 2024-1-2"]
     pages = spark.createDataFrame([(1, "# A\n\n## B\ntext\n## C\n# D\nx")], "doc_id int, body string")
     assert [r.heading for r in checks.empty_sections(pages).collect()] == ["C"]
 
