@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -73,6 +74,59 @@ def test_language(spark, documents, empty):
     assert {r.lang_pred for r in language_id.identify(df, nothing).collect()} == {"und"} and language_id.identify(empty, model).count() == 0
 
 
+def brute_language(train, texts, longest=4):
+    """Word-first backoff from the definition: ``(language, score)`` of each text."""
+    letter = lambda x: unicodedata.category(x)[0] == "L"
+
+    def cut(text):
+        low = lambda x: x.lower() if len(x.lower()) == 1 else x
+        return ["".join(map(low, g)) for k, g in itertools.groupby(text or "", letter) if k]
+
+    langs = sorted({lang for _, lang in train})
+    tables = [Counter() for _ in range(longest + 1)]
+    for text, lang in train:
+        for word in cut(text):
+            tables[0][word, lang] += 1
+            marked = f"^{word}$"
+            for n in range(1, longest + 1):
+                for i in range(len(marked) - n + 1):
+                    tables[n][marked[i : i + n], lang] += 1
+    size = [len({k for k, _ in t}) for t in tables]
+    total = [{x: sum(n for (_, lang), n in t.items() if lang == x) for x in langs} for t in tables]
+    seen = [{k for k, _ in t} for t in tables]
+
+    def log(n, key, lang):
+        return math.log((tables[n][key, lang] + 0.5) / (total[n][lang] + 0.5 * (size[n] + 1)))
+
+    def word_log(word, lang):
+        if word in seen[0]:
+            return log(0, word, lang)
+        marked, found = f"^{word}$", []
+        for i in range(len(marked)):
+            n = next((n for n in range(min(longest, len(marked) - i), 0, -1) if marked[i : i + n] in seen[n]), 0)
+            if n:
+                found.append(log(n, marked[i : i + n], lang))
+        return sum(found) / len(found) if found else 0.0
+
+    out = []
+    for text in texts:
+        words = cut(text)
+        sums = [sum(word_log(w, lang) for w in words) for lang in langs]
+        best = max(sums, default=0)
+        out.append((langs[sums.index(best)], 1 / sum(math.exp(s - best) for s in sums)) if words else ("und", 0.0))
+    return out
+
+
+def test_language_equals_the_definition(spark):
+    rng = random.Random(8)
+    train = [("the river and İstanbul ΣΑΣ ⅷ x² Straße", "en"), ("der fluss und die Straße straße", "de"), ("la rivière et l'été", "fr"), ("the the stone", "en"), ("same same", "en"), ("same same", "de")]
+    texts = ["the river", "Flussstraße", "étés", None, "", "12 ²", "zzzz qqqq", "same", "İSTANBUL σας", "中文 the", "a̐b", "x" * 6000] + ["".join(rng.choice("thedrivsß éΣσ") for _ in range(30)) for _ in range(40)]
+    model = language_id.train(spark.createDataFrame([(i, *x) for i, x in enumerate(train)], "doc_id long, text string, lang string"))
+    rows = language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for r, (lang, score) in zip(rows, brute_language(train, texts)):
+        assert r.lang_pred == lang and math.isclose(r.score, score, rel_tol=1e-6, abs_tol=1e-9), (r, lang, score)
+
+
 def test_held_out_accuracy(spark):
     out = language_id.op8_language_id(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang"), "doc_id")
     n, right = out.where("held_out").agg(F.count("*"), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
