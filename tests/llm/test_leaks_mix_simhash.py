@@ -3,11 +3,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, simhash
+from plumbline.llm import decontaminate, mixing, shingle_sets, simhash
 from plumbline.llm.scratch import Scratch
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -213,6 +214,23 @@ def brute_similar(texts, n=5, least=(4, 5)):
     return [find(i) for i in range(len(sets))]
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(2)
+    sets = []
+    for size in (0, 1, 900, 1024, 1025, 3000, 9000):
+        base = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        sets += [base, np.unique(np.concatenate((base[: int(size * 0.95)], rng.integers(0, 2**63, size // 9).astype(np.uint64))))]
+    size = np.array([len(x) for x in sets])
+    parity = shingle_sets.parities(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size)
+    a, b = np.triu_indices(len(sets))
+    found = shingle_sets.differing(parity.take(pa.array(a)), parity.take(pa.array(b)))
+    for i, j, n in zip(a, b, found):
+        apart = len(np.setxor1d(sets[i], sets[j]))
+        assert n <= apart and (n - apart) % 2 == 0
+        if i // 2 != j // 2 and min(size[i], size[j]) > 500:
+            assert n * 9 > size[i] + size[j]  # unlike sets are told apart, however large
+
+
 def test_keep_one_equals_brute_force_similarity(spark):
     rng = np.random.default_rng(5)
     texts = ["", " ", "one", "One", "a b c d", "a b c d e", "same words here and there"]
