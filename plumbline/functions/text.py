@@ -154,11 +154,14 @@ def states_value(c: Column, value: Column) -> Column:
     return F.regexp_like(F.concat(F.lit(" "), c, F.lit(" ")), pattern)
 
 
+def padded(c: Column) -> Column:
+    """A folded text with commas and dots as blanks and a blank at both ends, to look for whole phrases in."""
+    return F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(fold_lower(c), r"[,.]", " "), F.lit(" ")), r"\s+", " ")
+
+
 def marked(c: Column, markers: tuple[str, ...]) -> Column:
     """Markers that occur at word boundaries in the folded text, in list order."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(fold_lower(c), r"[,.]", " "), F.lit(" "))
-    padded = F.regexp_replace(padded, r"\s+", " ")
-    return F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(padded, F.concat(F.lit(" "), m, F.lit(" "))))
+    return let(padded(c), lambda line: F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(line, F.concat(F.lit(" "), m, F.lit(" ")))))
 
 
 def snippet(c: Column, query: str, width: int = 160) -> Column:

@@ -6,17 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import ASSOCIATION, CONCLUSION, HEDGED, INTERVENTION, REASON, UNIVERSAL
-from plumbline.functions.text import fold, fold_lower, marked, states_value
+from plumbline.functions.text import fold, fold_lower, let, padded, states_value
+
+def _either(c: Column, first: tuple[str, ...], second: tuple[str, ...], verdict) -> Column:
+    """``verdict`` of whether a text has a word of each list; the text is folded once."""
+
+    def judged(line: Column) -> Column:
+        one, two = (F.exists(F.array(*map(F.lit, words)), lambda m: F.contains(line, F.concat(F.lit(" "), m, F.lit(" ")))) for words in (first, second))
+        return verdict(one, two)
+
+    return let(padded(c), judged)
+
 
 def strength(c: Column, universal=UNIVERSAL, hedged=HEDGED) -> Column:
     """``universal``, ``hedged``, ``both`` or null by the markers in a text."""
-    u, h = F.size(marked(c, universal)) > 0, F.size(marked(c, hedged)) > 0
-    return F.when(u & h, "both").when(u, "universal").when(h, "hedged")
+    return _either(c, universal, hedged, lambda u, h: F.when(u & h, "both").when(u, "universal").when(h, "hedged"))
 
 
 def causal_rung(c: Column, intervention=INTERVENTION, association=ASSOCIATION) -> Column:
     """Intervention before association; null if a text states neither."""
-    return F.when(F.size(marked(c, intervention)) > 0, "intervention").when(F.size(marked(c, association)) > 0, "association")
+    return _either(c, intervention, association, lambda i, a: F.when(i, "intervention").when(a, "association"))
 
 
 def over_asserted(claims: DataFrame, universal=UNIVERSAL, hedged=HEDGED) -> DataFrame:
@@ -27,9 +36,9 @@ def over_asserted(claims: DataFrame, universal=UNIVERSAL, hedged=HEDGED) -> Data
 def over_claimed(claims: DataFrame, intervention=INTERVENTION, association=ASSOCIATION) -> DataFrame:
     """Causal claims whose quotes state associations only, and at least one."""
     rung = lambda q: causal_rung(q, intervention, association)
-    stated = F.filter("quotes", lambda q: rung(q).isNotNull())
-    weak = (F.size(stated) > 0) & F.forall(stated, lambda q: rung(q) == "association")
-    return claims.where((rung(F.col("text")) == "intervention") & weak).select("claim_id")
+    causal = claims.where(rung(F.col("text")) == "intervention")
+    stated = causal.withColumn("rungs", F.filter(F.transform("quotes", rung), lambda r: r.isNotNull()))
+    return stated.where((F.size("rungs") > 0) & ~F.array_contains("rungs", "intervention")).select("claim_id")
 
 
 def buried_leads(claims: DataFrame, reasons: tuple[str, ...] = REASON, conclusions: tuple[str, ...] = CONCLUSION) -> DataFrame:
