@@ -2,7 +2,7 @@
 
 Documents are range-sorted by doc_id; each task encodes its range and cuts it
 into shards of about ``shard_ids`` ids.  A shard's file replaces frequent id
-pairs by nonterminals, round after round, and stores the rules with their
+pairs by nonterminals, round after round until none is left, and stores the rules with their
 expansion lengths and where each document's symbols start, so that one document,
 or a slice of it, is decoded without the rest.
 
@@ -31,51 +31,61 @@ _MAGIC = b"RPS1"
 _SLOTS = 18
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, first_nonterminal: int, rounds: int = 2, min_count: int = 4) -> bytes:
+def compress(ids: np.ndarray, sizes: np.ndarray, first_nonterminal: int, rounds: int | None = None, min_count: int = 4) -> bytes:
     """A shard's file from the ids of its documents, one after the other.
 
-    Pairs never cross the end of a document.  In a round, pairs are told apart
-    by a table of 2**18 slots; a pair that shares a slot with a later one waits
-    for another round.  Occurrences that overlap are taken from the left.
+    Pairs never cross the end of a document.  All frequent pairs of a round are
+    replaced at once, until none is left (or after ``rounds``).  In a round, pairs
+    are told apart by a table of 2**18 slots; a pair that shares a slot with a
+    later one waits for another round.  Occurrences that overlap are taken from
+    the left.  A pair that is rare once stays so, so later rounds look only at
+    pairs with a new symbol and at those that wait.
     """
     seq = ids.astype(np.int64)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
-    left, right, length = [], [], [np.ones(0, np.int64)]
-    known = np.ones(first_nonterminal, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
+    left, right, made = [], [], 0
+    known, look = np.ones(first_nonterminal, np.int64), np.ones(len(seq), bool)
+    while rounds is None or made < rounds:
+        pos = np.flatnonzero(look[:-1] & ~last[:-1])
+        if not len(pos):
             break
-        code = (seq[:-1] << 32) | seq[1:]
+        made += 1
+        code = (seq[pos] << 32) | seq[pos + 1]
         slot = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        inside = ~last[:-1]
         owner = np.full(1 << _SLOTS, -1, np.int64)
-        owner[slot[inside]] = code[inside]
-        hit = inside & (owner[slot] == code)
-        often = np.bincount(slot[hit], minlength=1 << _SLOTS) >= min_count
-        at = np.flatnonzero(hit & often[slot])
-        if not len(at):
-            break
-        head = np.ones(len(at), bool)
-        head[1:] = np.diff(at) > 1
-        begin = at[head][np.cumsum(head) - 1]
-        at = at[(at - begin) % 2 == 0]
-        often = np.bincount(slot[at], minlength=1 << _SLOTS) >= min_count
-        at = at[often[slot[at]]]
-        used = np.flatnonzero(often)
-        if not len(used):
-            break
-        name = np.zeros(1 << _SLOTS, np.int64)
-        name[used] = np.arange(len(known), len(known) + len(used))
-        a, b = owner[used] >> 32, owner[used] & 0xFFFFFFFF
-        left.append(a)
-        right.append(b)
-        known = np.concatenate((known, known[a] + known[b]))
-        seq[at] = name[slot[at]]
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        owner[slot] = code
+        hit = owner[slot] == code
+        many = np.bincount(slot[hit], minlength=1 << _SLOTS) >= min_count
+        frequent = hit & many[slot]
+        at, slot_at = pos[frequent], slot[frequent]
+        look[:] = False
+        look[pos[~hit]] = True
+        if len(at):
+            head = np.ones(len(at), bool)
+            head[1:] = np.diff(at) > 1
+            begin = at[head][np.cumsum(head) - 1]
+            chosen = (at - begin) % 2 == 0
+            often = np.bincount(slot_at[chosen], minlength=1 << _SLOTS) >= min_count
+            chosen &= often[slot_at]
+            used = np.flatnonzero(often)
+            if len(used):
+                look[at] = True
+                at, slot_at = at[chosen], slot_at[chosen]
+                name = np.zeros(1 << _SLOTS, np.int64)
+                name[used] = np.arange(len(known), len(known) + len(used))
+                a, b = owner[used] >> 32, owner[used] & 0xFFFFFFFF
+                left.append(a)
+                right.append(b)
+                known = np.concatenate((known, known[a] + known[b]))
+                seq[at] = name[slot_at]
+                last[at] = last[at + 1]
+                keep = np.ones(len(seq), bool)
+                keep[at + 1] = False
+                new = np.cumsum(keep)[at] - 1
+                seq, last, look = seq[keep], last[keep], look[keep]
+                look[new] = True
+                look[np.maximum(new - 1, 0)] = True
     length = known[first_nonterminal:]
     ends = np.flatnonzero(last) + 1
     bounds = np.zeros(len(sizes) + 1, np.int64)
@@ -137,7 +147,7 @@ _SHARDS = T.StructType([
 ])
 
 
-def write_shards(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = 1 << 18, rounds: int = 2, min_count: int = 4) -> None:
+def write_shards(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = 1 << 18, rounds: int | None = None, min_count: int = 4) -> None:
     """Encode ``documents`` (``doc_id``, ``text``) to shards in ascending doc_id order.
 
     ``tokenizer`` is the path of a tokenizers file that every executor has.  Each

@@ -61,6 +61,28 @@ def test_token_output_equals_the_library(documents, rows, empty):
     assert token_output.token_output(empty).count() == 0
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 500, 300)
+    parts = [np.concatenate((rng.integers(0, 40, rng.integers(0, 60)), passage[: rng.integers(0, 300)])) for _ in range(80)] + [np.zeros(37, int), np.zeros(0, int), np.tile([1, 2], 50)]
+    ids, sizes = np.concatenate(parts).astype(np.uint32), np.array([len(x) for x in parts])
+    shard = token_output.Shard(token_output.compress(ids, sizes, 500))
+    found, bounds = shard.decode()
+    assert found.tolist() == ids.tolist() and np.diff(bounds).tolist() == sizes.tolist()
+    for i in (0, 79, 80, 81, 82):
+        assert shard.document(i).tolist() == parts[i].tolist() and shard.document(i, 3, 9).tolist() == parts[i][3:9].tolist()
+    pairs = Counter()
+    for a, b in zip(shard.bounds[:-1], shard.bounds[1:]):
+        seq, at = shard.seq[a:b].tolist(), 0
+        while at + 1 < len(seq):
+            pairs[seq[at], seq[at + 1]] += 1
+            at += 2 if at + 2 < len(seq) and seq[at] == seq[at + 1] == seq[at + 2] else 1
+    assert max(pairs.values()) < 6  # four or more that don't overlap would have been replaced
+    assert len(shard.seq) < 0.5 * len(ids) and int(shard.length.max()) > 16
+    few = token_output.Shard(token_output.compress(ids, sizes, 500, rounds=1))
+    assert int(few.length.max()) == 2 and few.decode()[0].tolist() == ids.tolist()
+
+
 def test_language(spark, documents, empty):
     rng = random.Random(1)
     words = {"en": ["the", "and", "of", "river", "stone"], "de": ["der", "und", "von", "fluss", "stein"], "fr": ["le", "et", "de", "rivière", "pierre"]}
