@@ -127,8 +127,17 @@ class Shard:
 
     def decode(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each document starts in them (one more than documents)."""
-        total = np.concatenate(([0], np.cumsum(self._lengths(self.seq))))
-        return self.expand(self.seq), total[self.bounds]
+        size = self._lengths(self.seq)
+        total = np.concatenate(([0], np.cumsum(size)))
+        rule = self.seq >= self.base
+        out = np.empty(int(total[-1]), np.uint32)
+        out[total[:-1][~rule]] = self.seq[~rule]
+        # Each rule is expanded once; its symbols are then copied from there.
+        pool = self.expand(np.arange(self.base, self.base + len(self.length), dtype=np.uint32))
+        begin, size = (np.cumsum(self.length, dtype=np.int64) - self.length)[self.seq[rule] - self.base], size[rule]
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(total[:-1][rule], size) + within] = pool[np.repeat(begin, size) + within]
+        return out, total[self.bounds]
 
     def document(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start`` to ``stop`` of one document, from the symbols that hold them only."""
