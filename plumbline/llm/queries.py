@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import ctw, decontaminate, language_id, line_dedup, media_columns, merkle, mixing, secret_scan, simhash, token_output, url_filter
+from plumbline.llm import ctw, decontaminate, dual_tree, language_id, line_dedup, media_columns, merkle, mixing, secret_scan, simhash, token_output, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_media_columns": media_columns.op9_media_columns,
     "op10_ctw": ctw.op10_ctw,
+    "op11_dual_tree": dual_tree.op11_dual_tree,
     "op13_merkle": merkle.op13_merkle,
 }
 
@@ -22,5 +23,6 @@ ORACLE_SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op4_secret_scan": secret_scan.OP4_SQL,
+    "op11_dual_tree": dual_tree.OP11_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }
