@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import ctw, decontaminate, dual_tree, language_id, line_dedup, media_columns, merkle, mixing, secret_scan, simhash, token_output, url_filter
+from plumbline.llm import ctw, decontaminate, dual_tree, language_id, line_dedup, media_columns, merkle, mixing, secret_scan, simhash, token_output, url_filter, wrapper
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_media_columns": media_columns.op9_media_columns,
     "op10_ctw": ctw.op10_ctw,
     "op11_dual_tree": dual_tree.op11_dual_tree,
+    "op12_wrapper": wrapper.op12_wrapper,
     "op13_merkle": merkle.op13_merkle,
 }
 
