@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.fixed import BOUNDS, CONCLUSION, COPULAS, CUTS, NUMBERS, PRONOUNS, REASON, UNITS
+from plumbline.functions.fixed import CONCLUSION, COPULAS, CUTS, PRONOUNS, REASON, UNITS
 
 # Quotation marks, dashes and spaces that fold to plain ones.
 _CURLY = "‘’‚‛“”„‟‐‑‒–—―   "
@@ -112,33 +112,6 @@ def claims_from_text(c: Column, dependent: tuple[str, ...] = REASON + CONCLUSION
     return F.flatten(F.transform(sentences(c), cut))
 
 
-def parse_bound(c: Column, phrases=BOUNDS) -> Column:
-    """``struct<op, value, phrase, raw>`` of the bound a text states, or null.
-
-    The phrase's first occurrence must be followed by a number: digits with thousands commas and
-    decimals and perhaps a unit, or a number word.
-    """
-    number = r"^\s+([0-9][0-9,]*(?:\.[0-9]+)?|" + "|".join(NUMBERS) + r")([a-z%]*)"
-
-    def stated(line: Column) -> Column:
-        found = F.lit(None)
-        for phrase, op in sorted(phrases, key=lambda p: len(p[0])):
-            rest = F.get(F.split(line, rf"(?:^|[^a-z]){phrase}(?=[^a-z]|$)", 2), F.lit(1))
-            raw, unit = (F.regexp_extract(rest, number, i) for i in (1, 2))
-            here = F.struct(F.lit(op).alias("op"), F.lit(phrase).alias("phrase"), raw.alias("number"), unit.alias("unit"))
-            found = F.when(line.contains(phrase) & rest.isNotNull(), here).otherwise(found)
-        return found
-
-    named = F.create_map(*[x for value, word in enumerate(NUMBERS) for x in (F.lit(word), F.lit(float(value)))])
-
-    def bound(x: Column) -> Column:
-        value = F.coalesce(F.regexp_replace(x["number"], ",", "").try_cast("double"), F.try_element_at(named, x["number"]))
-        made = F.struct(x["op"].alias("op"), value.alias("value"), x["phrase"].alias("phrase"), F.concat(x["number"], x["unit"]).alias("raw"))
-        return F.when((x["number"] != "") & value.isNotNull(), made)
-
-    return let(let(fold_lower(c), stated), bound)
-
-
 def written_dimension(raw: Column) -> Column:
     """Dimension of a written value by the unit after its last digit; null for none or an unknown one."""
     unit = F.lower(F.btrim(F.regexp_extract(raw, r"^.*[0-9.]([^0-9.]*)$", 1), F.lit(".,;:)")))
@@ -154,16 +127,6 @@ def states_value(c: Column, value: Column) -> Column:
     return F.regexp_like(F.concat(F.lit(" "), c, F.lit(" ")), pattern)
 
 
-def padded(c: Column) -> Column:
-    """A folded text with commas and dots as blanks and a blank at both ends, to look for whole phrases in."""
-    return F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(fold_lower(c), r"[,.]", " "), F.lit(" ")), r"\s+", " ")
-
-
-def marked(c: Column, markers: tuple[str, ...]) -> Column:
-    """Markers that occur at word boundaries in the folded text, in list order."""
-    return let(padded(c), lambda line: F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(line, F.concat(F.lit(" "), m, F.lit(" ")))))
-
-
 def snippet(c: Column, query: str, width: int = 160) -> Column:
     """Text around the first of a query's terms, without headings and link targets; operators are no terms."""
     plain = F.regexp_replace(F.regexp_replace(c, r"(^|\n)#+[^\n]*", " "), r"\[([^\]]*)\]\([^)]*\)", "$1")

@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.fixed import ASSOCIATION, CONCLUSION, HEDGED, INTERVENTION, REASON, UNIVERSAL
-from plumbline.functions.text import fold, fold_lower, let, padded, states_value
+from plumbline.functions.fixed import ASSOCIATION, CONCLUSION, HEDGED, INTERVENTION, LANGUAGE, REASON, UNIVERSAL
+from plumbline.functions.markers import any_of, consume, described, line_of
+from plumbline.functions.text import fold, fold_lower, let, states_value
+
 
 def _either(c: Column, first: tuple[str, ...], second: tuple[str, ...], verdict) -> Column:
     """``verdict`` of whether a text has a word of each list; the text is folded once."""
 
-    def judged(line: Column) -> Column:
-        one, two = (F.exists(F.array(*map(F.lit, words)), lambda m: F.contains(line, F.concat(F.lit(" "), m, F.lit(" ")))) for words in (first, second))
-        return verdict(one, two)
-
-    return let(padded(c), judged)
+    return let(line_of(c), lambda line: verdict(any_of(line, first), any_of(line, second)))
 
 
 def strength(c: Column, universal=UNIVERSAL, hedged=HEDGED) -> Column:
@@ -41,6 +39,15 @@ def over_claimed(claims: DataFrame, intervention=INTERVENTION, association=ASSOC
     return stated.where((F.size("rungs") > 0) & ~F.array_contains("rungs", "intervention")).select("claim_id")
 
 
+def marked_language(documents: DataFrame, markers: tuple[tuple[str, str], ...] = LANGUAGE) -> DataFrame:
+    """Documents ``(doc_id, body)`` with marked phrases: ``(doc_id, n, message)``, each phrase with its role, by phrase.
+
+    A phrase inside a longer marked one that was found doesn't count there.
+    """
+    found = documents.select("doc_id", consume(F.col("body"), markers).alias("found")).where(F.size("found") > 0)
+    return found.select("doc_id", F.size("found").alias("n"), described(F.col("found")).alias("message"))
+
+
 def buried_leads(claims: DataFrame, reasons: tuple[str, ...] = REASON, conclusions: tuple[str, ...] = CONCLUSION) -> DataFrame:
     """Claims that open with a reason word, or state a conclusion word later on."""
     line = F.concat(F.regexp_replace(fold_lower(F.col("text")), "[,.]", " "), F.lit(" "))

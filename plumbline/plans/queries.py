@@ -472,11 +472,6 @@ def _(c):
     return c.texts().select("doc_id", fx.states_value(F.col("body"), (F.col("doc_id") % 40).cast("string")).alias("stated"))
 
 
-@query("phrase_markers", r"WITH m AS (SELECT doc_id, ' ' || regexp_replace(regexp_replace(lower(body), '[,.]', ' ', 'g'), '\s+', ' ', 'g') || ' ' AS p FROM texts) SELECT doc_id, array_to_string(list_filter(['of the', 'and', 'que la', 'der'], lambda x: contains(p, ' ' || x || ' ')), ',') AS markers FROM m")
-def _(c):
-    return c.texts().select("doc_id", F.array_join(fx.marked(F.col("body"), ("of the", "and", "que la", "der")), ",").alias("markers"))
-
-
 @query("placeholder_markers", r"SELECT doc_id, len(list_distinct(regexp_extract_all(body, '\{\{[A-Z][A-Z0-9_]*\}\}')))::INTEGER AS markers FROM texts")
 def _(c):
     return c.texts().select("doc_id", F.size(fx.placeholders(F.col("body"))).alias("markers"))

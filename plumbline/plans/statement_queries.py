@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed
+from plumbline.functions import markers as mk
+from plumbline.functions import numbers as nb
 from plumbline.functions import text as fx
 from plumbline.operators import checks, claims, conflict
 from plumbline.plans.registry import query
@@ -22,26 +24,40 @@ def _list(words) -> str:
 
 #: A text folded by the SQL: quotation marks and dashes plain, blanks single.
 FOLD = r"""trim(regexp_replace(translate({0}, '‘’“”–—', '''''""--'), '\s+', ' ', 'g'))"""
-PAD = r"' ' || regexp_replace(regexp_replace(lower(" + FOLD + r"), '[,.]', ' ', 'g'), '\s+', ' ', 'g') || ' '"
+PAD = r"' ' || lower(" + FOLD + r") || ' '"
+
+
+def _stands(padded: str) -> str:
+    """Whether the word ``x`` stands between blanks, or before a comma or dot."""
+    return " OR ".join(f"contains({padded}, ' ' || x || '{end}')" for end in " ,.")
 
 
 def first_of(padded: str, words) -> str:
-    return f"list_filter({_list(words)}, lambda x: contains({padded}, ' ' || x || ' '))"
+    return f"list_filter({_list(words)}, lambda x: {_stands(padded)})"
 
 
 _MARKS = f"""padded AS (SELECT *, {PAD.format('text')} AS p FROM statements),
 marks AS (SELECT *, len({first_of('p', fixed.UNIVERSAL)}) > 0 AS u, len({first_of('p', fixed.HEDGED)}) > 0 AS h, len({first_of('p', fixed.INTERVENTION)}) > 0 AS i, len({first_of('p', fixed.ASSOCIATION)}) > 0 AS a FROM padded)"""
 
 
-@query("strength_markers", f"WITH {_MARKS} SELECT claim_id, pos, CASE WHEN u AND h THEN 'both' WHEN u THEN 'universal' WHEN h THEN 'hedged' END AS strength, {first_of('p', fixed.UNIVERSAL)}[1] AS marker FROM marks")
+def _longest(words) -> str:
+    """SQL list of words by falling length, those of a length in their order."""
+    return _list(sorted(words, key=lambda w: -len(w)))
+
+
+def _longest_of(padded: str, words) -> str:
+    return f"list_filter({_longest(words)}, lambda x: {_stands(padded)})[1]"
+
+
+@query("strength_markers", f"WITH {_MARKS} SELECT claim_id, pos, CASE WHEN u AND h THEN 'both' WHEN u THEN 'universal' WHEN h THEN 'hedged' END AS strength, {_longest_of('p', fixed.UNIVERSAL)} AS marker FROM marks")
 def _(c):
-    marker = F.get(fx.marked(F.col("text"), fixed.UNIVERSAL), F.lit(0))
-    return c.statements().select("claim_id", "pos", claims.strength(F.col("text")).alias("strength"), marker.alias("marker"))
+    return c.statements().select("claim_id", "pos", claims.strength(F.col("text")).alias("strength"), mk.strongest(F.col("text"), fixed.UNIVERSAL).alias("marker"))
 
 
-@query("causal_rung", f"WITH {_MARKS} SELECT claim_id, CASE WHEN i THEN 'intervention' WHEN a THEN 'association' END AS rung FROM marks")
+@query("causal_rung", f"WITH {_MARKS} SELECT claim_id, CASE WHEN i THEN 'intervention' WHEN a THEN 'association' END AS rung, coalesce({_longest_of('p', fixed.INTERVENTION)}, {_longest_of('p', fixed.ASSOCIATION)}) AS marker FROM marks")
 def _(c):
-    return c.statements().select("claim_id", claims.causal_rung(F.col("text")).alias("rung"))
+    marker = F.coalesce(*[mk.strongest(F.col("text"), words) for words in (fixed.INTERVENTION, fixed.ASSOCIATION)])
+    return c.statements().select("claim_id", claims.causal_rung(F.col("text")).alias("rung"), marker.alias("marker"))
 
 
 @query("check_coverage", f"WITH {_MARKS} SELECT claim_id FROM marks WHERE u AND NOT h AND len(quotes) = 1")
@@ -51,7 +67,7 @@ def _(c):
 
 def _with_any(words) -> str:
     """The quotes of a row that have one of the words."""
-    return f"list_filter(quotes, lambda q: len(list_filter({_list(words)}, lambda x: contains({PAD.format('q')}, ' ' || x || ' '))) > 0)"
+    return f"list_filter(quotes, lambda q: len(list_filter({_list(words)}, lambda x: {_stands(PAD.format('q'))})) > 0)"
 
 
 @query("check_rung", f"WITH {_MARKS}, stated AS (SELECT claim_id, i, len({_with_any(fixed.INTERVENTION)}) AS qi, len({_with_any(fixed.ASSOCIATION)}) AS qa FROM marks) SELECT claim_id FROM stated WHERE i AND qi = 0 AND qa > 0")
@@ -71,41 +87,75 @@ def _(c):
     return claims.buried_leads(rows.select("claim_id", F.col("lead").alias("text")))
 
 
-_BODIES = """prose AS (SELECT doc_id, string_agg(text, ' ' ORDER BY pos, text) || CASE WHEN doc_id % 6 < 3 THEN ' Clearly, ' || ['studies show gains.', 'it is generally, of course, fine.', 'needless to say. Best-in-class.'][doc_id % 6 + 1] ELSE '' END AS body FROM statements GROUP BY doc_id)"""
+_TAILS = ("Studies show gains.", "it is generally, of course, fine, and generally so.", "Needless to say: significantly better. Best-in-class.", "Obviously it is industry-leading in some cases.")
+_BODIES = f"""prose AS (SELECT doc_id, string_agg(text, ' ' ORDER BY pos, text) || CASE WHEN doc_id % 8 < 4 THEN ' Clearly, ' || {_list(_TAILS)}[doc_id % 8 + 1] ELSE '' END AS body FROM statements GROUP BY doc_id)"""
 
 
 def bodies(c):
     """Documents' statements one after the other, some with marked phrases."""
-    extra = F.element_at(F.array(F.lit("studies show gains."), F.lit("it is generally, of course, fine."), F.lit("needless to say. Best-in-class.")), (F.col("doc_id") % 6 + 1).cast("int"))
+    extra = F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("doc_id") % 8 + 1).cast("int"))
     rows = c.statements().groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "text")))["text"], " ").alias("body"))
-    return rows.withColumn("body", F.concat("body", F.when(F.col("doc_id") % 6 < 3, F.concat(F.lit(" Clearly, "), extra)).otherwise("")))
+    return rows.withColumn("body", F.concat("body", F.when(F.col("doc_id") % 8 < 4, F.concat(F.lit(" Clearly, "), extra)).otherwise("")))
+
 
+def _consumed_sql(source: str, text: str, markers) -> str:
+    """A WITH entry for each marker, longest first: ``left_n`` has the line that is left; ``marked (doc_id, phrase, role)`` what was found."""
+    ordered = sorted(markers, key=lambda m: -len(m[0]))
+    out = [f"left_0 AS (SELECT doc_id, {PAD.format(text)} AS p FROM {source})"]
+    found = []
+    for i, (phrase, role) in enumerate(ordered):
+        hit = f"regexp_matches(p, {_q(f' {phrase}[ ,.]')})"
+        found.append(f"SELECT doc_id, {_q(phrase)} AS phrase, {_q(role)} AS role FROM left_{i} WHERE {hit}")
+        out.append(f"left_{i + 1} AS (SELECT doc_id, CASE WHEN {hit} THEN replace(p, {_q(phrase)}, ' ') ELSE p END AS p FROM left_{i})")
+    return ", ".join([*out, f"marked AS ({' UNION ALL '.join(found)})"])
 
-_PHRASES = tuple(p for p, _ in fixed.LANGUAGE)
 
+#: Marked phrases of a text: the roles of language, and the registers of causation as two more.
+_MARKERS = (*fixed.LANGUAGE, *((p, "intervention") for p in fixed.INTERVENTION), *((p, "association") for p in fixed.ASSOCIATION))
 
-@query("check_language", f"WITH {_BODIES}, m AS (SELECT doc_id, {first_of(PAD.format('body'), _PHRASES)} AS found FROM prose) SELECT doc_id, array_to_string(found, ',') AS markers FROM m WHERE len(found) > 0")
+
+@query("phrase_markers", f"WITH {_BODIES}, {_consumed_sql('prose', 'body', _MARKERS)} SELECT doc_id, phrase, role FROM marked")
+def _(c):
+    return bodies(c).select("doc_id", F.explode(mk.consume(F.col("body"), _MARKERS)).alias("m")).select("doc_id", "m.phrase", "m.role")
+
+
+@query("check_language", f"""WITH {_BODIES}, {_consumed_sql('prose', 'body', fixed.LANGUAGE)}
+SELECT doc_id, count(*)::INTEGER AS n, string_agg('"' || phrase || '" (' || role || ')', ', ' ORDER BY phrase) AS markers FROM marked GROUP BY doc_id""")
 def _(c):
-    return bodies(c).select("doc_id", F.array_join(fx.marked(F.col("body"), _PHRASES), ",").alias("markers")).where("markers <> ''")
+    return claims.marked_language(bodies(c), fixed.LANGUAGE).withColumnRenamed("message", "markers")
 
 
 @query("gate_hedging", f"WITH {_BODIES} SELECT doc_id, CASE WHEN len({first_of(PAD.format('body'), fixed.HEDGED)}) > 3 THEN 'fail' ELSE 'pass' END AS state FROM prose")
 def _(c):
-    found = F.size(fx.marked(F.col("body"), fixed.HEDGED))
+    found = F.size(mk.present(F.col("body"), fixed.HEDGED))
     return bodies(c).select("doc_id", checks.ordered_state(found <= 3).alias("state"))
 
 
 _OPS = "{" + ", ".join(f"{_q(p)}: {_q(op)}" for p, op in fixed.BOUNDS) + "}"
-_BOUND = rf"""spaced AS (SELECT claim_id, pos, ' ' || lower({FOLD.format('text')}) || ' ' AS t FROM statements),
-chosen AS (SELECT *, list_filter({_list(sorted((p for p, _ in fixed.BOUNDS), key=lambda p: -len(p)))}, lambda x: contains(t, ' ' || x || ' '))[1] AS phrase FROM spaced),
-word AS (SELECT *, split_part(ltrim(substr(t, instr(t, ' ' || phrase || ' ') + length(phrase) + 2)), ' ', 1) AS w FROM chosen WHERE phrase IS NOT NULL),
-parts AS (SELECT *, regexp_extract(w, '^([0-9][0-9,]*([.][0-9]+)?|{"|".join(fixed.NUMBERS)})', 1) AS n, regexp_extract(w, '^([0-9][0-9,]*([.][0-9]+)?|{"|".join(fixed.NUMBERS)})([a-z%]*)', 3) AS unit FROM word),
-bound AS (SELECT *, coalesce(try_cast(replace(n, ',', '') AS DOUBLE), list_position({_list(fixed.NUMBERS)}, n) - 1) AS value FROM parts)"""
-
-
-@query("parse_bound", f"WITH {_BOUND} SELECT claim_id, pos, phrase, element_at(MAP {_OPS}, phrase)[1] AS op, value, n || unit AS raw FROM bound WHERE value IS NOT NULL")
+_SPELLED = [w for words in (fixed.SMALL_NUMBERS, fixed.TENS, [w for w, _ in fixed.SCALES], [w for w, _ in fixed.FRACTIONS], ("and", "a")) for w in words]
+_FRACTION = "|".join(w for w, _ in fixed.FRACTIONS)
+#: Bounds by a table of all numbers below a thousand in words, looked up part by part.
+_BOUND = rf"""tens AS (SELECT n, CASE WHEN n < 20 THEN {_list(fixed.SMALL_NUMBERS)}[n + 1] WHEN n % 10 = 0 THEN {_list(fixed.TENS)}[n // 10 - 1] ELSE {_list(fixed.TENS)}[n // 10 - 1] || ' ' || {_list(fixed.SMALL_NUMBERS)}[n % 10 + 1] END AS word FROM (SELECT unnest(range(0, 100)) AS n)),
+spelled AS (SELECT n, word FROM tens UNION ALL SELECT h.n * 100, h.word || ' hundred' FROM tens h WHERE h.n BETWEEN 1 AND 19 UNION ALL SELECT h.n * 100 + t.n, h.word || ' hundred ' || j || t.word FROM tens h, tens t, (VALUES (''), ('and ')) v(j) WHERE h.n BETWEEN 1 AND 19 AND t.n > 0),
+apart AS (SELECT claim_id, pos, ' ' || trim(regexp_replace(regexp_replace(regexp_replace(lower({FOLD.format('text')}), '([;:!?()\[\]]|[.,]([^0-9]|$)|[.,]$)', ' \1', 'g'), '(^|[^0-9])([.,])', '\1 \2 ', 'g'), '\s+', ' ', 'g')) || ' ' AS t FROM statements),
+chosen AS (SELECT *, list_filter({_longest(p for p, _ in fixed.BOUNDS)}, lambda x: contains(t, ' ' || x || ' '))[1] AS phrase FROM apart),
+rest AS (SELECT *, ltrim(substr(t, instr(t, ' ' || phrase || ' ') + length(phrase) + 2), ' .,;:%)') AS r FROM chosen WHERE phrase IS NOT NULL),
+token AS (SELECT *, string_split(regexp_replace(r, '({"|".join(fixed.TENS)})-', '\1 '), ' ') AS w, regexp_extract(r, '^([0-9][0-9,]*([.][0-9]+)?)([a-z]*%*) ', 1) AS n, regexp_extract(r, '^([0-9][0-9,]*([.][0-9]+)?)([a-z]*%*) ', 3) AS unit FROM rest),
+run AS (SELECT *, regexp_replace(array_to_string(w[1:coalesce(list_position(list_transform(w, lambda x, i: i > CASE WHEN n = '' THEN 0 ELSE 1 END AND x NOT IN ({', '.join(map(_q, _SPELLED))})), true), len(w) + 1) - 1], ' '), '( and| and a)$', '') AS run FROM token),
+split AS (SELECT *, regexp_extract(run, '^(.*?)(?: and)?(?:^| )(a|one|two|three)? ?({_FRACTION})$', 3) AS f FROM run WHERE run <> '' AND NOT starts_with(run, 'a ')),
+cut AS (SELECT *, CASE WHEN f = '' THEN run WHEN contains(run, ' and ') THEN regexp_replace(run, ' and [a-z]+ [a-z]+$', '') WHEN run = f THEN '' ELSE regexp_replace(run, ' [a-z]+$', '') END AS whole, coalesce(nullif(regexp_extract(run, ' and ([a-z]+) [a-z]+$', 1), ''), 'a') AS top, contains(run, ' and ') AS plus FROM split),
+scaled AS (SELECT *, regexp_extract(whole, '^(?:(.+?) million)?(?: and)? ?(?:(.+?) thousand)?(?: and)? ?(.*)$', ['m', 'k', 'u']) AS g FROM cut),
+worth AS (SELECT s.*, CASE WHEN s.n <> '' AND whole = s.n || unit THEN try_cast(replace(s.n, ',', '') AS DOUBLE) WHEN s.n <> '' AND unit = '' AND whole = s.n || ' million' THEN try_cast(replace(s.n, ',', '') AS DOUBLE) * 1000000
+ WHEN whole = '' THEN 1 WHEN (m.n IS NULL AND g.m <> '') OR (k.n IS NULL AND g.k <> '') OR (u.n IS NULL AND g.u <> '') THEN NULL ELSE coalesce(m.n, 0) * 1000000.0 + coalesce(k.n, 0) * 1000.0 + coalesce(u.n, 0) END AS base
+ FROM scaled s LEFT JOIN spelled m ON m.word = g.m LEFT JOIN spelled k ON k.word = g.k LEFT JOIN spelled u ON u.word = g.u),
+part AS (SELECT *, CASE WHEN f <> '' THEN 1.0 / MAP {{{', '.join(f"{_q(w)}: {n}" for w, n in fixed.FRACTIONS)}}}[f] END AS each, list_position(['a', 'two', 'three'], CASE top WHEN 'one' THEN 'a' ELSE top END) AS times FROM worth),
+bound AS (SELECT *, round(CASE WHEN f = '' THEN base WHEN plus THEN base + times * each ELSE base * each END, 6) AS value FROM part)"""
+
+
+@query("parse_bound", f"""WITH {_BOUND} SELECT claim_id, pos, phrase, element_at(MAP {_OPS}, phrase)[1] AS op, value,
+CASE WHEN n <> '' AND run = n || unit THEN replace(n, ',', '') || unit WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE rtrim(value::DECIMAL(18, 6)::VARCHAR, '0') END AS raw FROM bound WHERE value IS NOT NULL""")
 def _(c):
-    return c.statements().select("claim_id", "pos", fx.parse_bound(F.col("text")).alias("b")).where("b IS NOT NULL").select("claim_id", "pos", "b.phrase", "b.op", "b.value", "b.raw")
+    return c.statements().select("claim_id", "pos", nb.parse_bound(F.col("text")).alias("b")).where("b IS NOT NULL").select("claim_id", "pos", "b.phrase", "b.op", "b.value", "b.raw")
 
 
 @query("written_dimension", f"WITH u AS (SELECT claim_id, pos, number, lower(regexp_extract(number, '[0-9]([^0-9.]*)$', 1)) AS unit FROM statements) SELECT claim_id, pos, number, CASE {' '.join(f'WHEN unit IN ({chr(44).join(map(_q, v))}) THEN {_q(k)}' for k, v in fixed.UNITS.items())} END AS dimension FROM u")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import markers
 from plumbline.functions import text as fx
 from plumbline.operators import checks
 
@@ -42,25 +43,12 @@ def test_claims(spark, text, want):
     assert [tuple(r) for r in got] == (want or [(text, text, False)])
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("Retries must be no fewer than three.", (">=", 3.0)), ("Retries must be no more than three.", ("<=", 3.0)), ("Retries should not exceed three.", ("<=", 3.0)), ("Availability is over 99.9%.", (">=", 99.9)),
-        ("The retry budget is 3.", ("==", 3.0)), ("Retries are at most 1,000 per hour", ("<=", 1000.0)), ("The timeout must be under 400ms.", ("<=", 400.0)), ("No more than 3 retries in 60 seconds.", ("<=", 3.0)),
-        ("No more than a handful of retries.", None), ("At least an hour of retries.", None), ("Backoff is exponential.", None),
-    ],
-)
-def test_bounds(spark, text, want):
-    got = one(spark, text, fx.parse_bound)
-    assert (got and (got.op, got.value)) == want
-
-
 def test_values_and_markers(spark):
     assert one(spark, "400ms", fx.written_dimension) == "duration"
     assert one(spark, "7", fx.written_dimension) is None and one(spark, "2.5 MB.", fx.written_dimension) is None and one(spark, "2.5MB,", fx.written_dimension) == "bytes" and one(spark, "9%", fx.written_dimension) == "ratio"
     assert one(spark, "wait 10 s", lambda c: fx.states_value(c, F.lit("10")))
     assert not one(spark, "wait 100 s", lambda c: fx.states_value(c, F.lit("10")))
-    assert one(spark, "It must, of course, never fail.", lambda c: fx.marked(c, ("of course", "never", "always"))) == ["of course", "never"]
+    assert one(spark, "It must, of course, never fail.", lambda c: markers.present(c, ("of course", "never", "always"))) == ["of course", "never"]
     assert one(spark, "x {{TODO}} {{TODO}} {{a}}", fx.placeholders) == ["{{TODO}}"]
     assert one(spark, "a<!-- b -->", fx.hidden_channels) == ["b"]
 
