@@ -12,8 +12,9 @@ distrust that flows in reaches ``threshold`` of the host's pages and outweighs t
 trust that flows in.  A host's own seed doesn't count there: a rule for one path
 says nothing about the host's other paths.
 
-Both walks go on together until what is still under way is at most ``tolerance``
-of the seeds' mass: each step passes on no more than ``damping`` of it.
+Both walks go on together until they have converged: what is still under way, the
+L1 residual, is at most ``tolerance`` of the seeds' mass, as each step passes on no
+more than ``damping`` of it.  At a millionth that is 86 steps.
 """
 
 from __future__ import annotations
@@ -102,13 +103,14 @@ def propagate(shared: DataFrame, seeds: DataFrame, scratch: Scratch, damping: fl
     return scores
 
 
-def judge_pages(pages: DataFrame, rules=RULES, threshold: float = 0.05, damping: float = 0.85, tolerance: float = 0.05) -> DataFrame:
+def judge_pages(pages: DataFrame, rules=RULES, threshold: float = 0.05, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """The input's columns plus ``host, path, rule, verdict, trust, distrust``.
 
     A host's seed is its number of pages under block (or allow) rules.  Null or
     malformed URLs have an empty host, fit no rule and are allowed; null html has
     no links.  Repeated pages count again as evidence and each gets a row.  With
-    no seeds nothing propagates.  Columns named like the added ones are replaced.
+    no seeds nothing propagates.  Very long pages are searched for links whole.  An
+    empty table gives no rows.  Columns named like the added ones are replaced.
     """
     scratch = Scratch(pages.sparkSession, "url-filter")
     host, path = url_parts(F.col("url"))
