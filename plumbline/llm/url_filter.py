@@ -86,18 +86,25 @@ def rounds_for(damping: float, tolerance: float) -> int:
     return max(1, ceil(log(tolerance) / log(damping)))
 
 
+#: Edges that a task of the walk takes.
+_EDGES = 200_000
+
+
 def propagate(shared: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float, tolerance: float, cut_every: int = 6) -> DataFrame:
     """Personalised PageRank from ``(walk, host, seed)``; ``(walk, host, score)`` without the seeds' own part.
 
     Each step is one join of scores with out-edges and one aggregation with
-    map-side sums.  Lineage is cut by a written table every ``cut_every`` steps.
+    map-side sums, in as many tasks as the number of edges asks for: a graph that
+    is much smaller than the pages would else leave files of a few bytes at every
+    step.  Lineage is cut by a written table every ``cut_every`` steps.
     """
-    base = seeds.select("walk", "host", (F.col("seed") * (1 - damping)).alias("score"))
+    parts = max(1, ceil(shared.count() / _EDGES))
+    base = seeds.select("walk", "host", (F.col("seed") * (1 - damping)).alias("score")).coalesce(parts)
     scores, rounds = base, rounds_for(damping, tolerance)
     for i in range(1, rounds + 1):
         moved = shared.join(scores.withColumnRenamed("host", "src"), ["walk", "src"])
-        moved = moved.select("walk", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        scores = (moved if i == rounds else base.unionByName(moved)).groupBy("walk", "host").agg(F.sum("score").alias("score"))
+        moved = moved.select("walk", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score")).coalesce(parts)
+        scores = (moved if i == rounds else base.unionByName(moved)).coalesce(parts).groupBy("walk", "host").agg(F.sum("score").alias("score")).coalesce(parts)
         if i % cut_every == 0 or i == rounds:
             scores = scratch.put(scores, f"scores_{i}")
     return scores
