@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import stem as st
 from plumbline.operators import search
 from plumbline.plans.registry import query
+from plumbline.sources import prose
 
 #: Terms that occur in the given prose, and in the English leads.
 TERMS = ["the", "thatin", "ononst"]
@@ -14,8 +16,55 @@ LEAD_TERMS = ["cache", "never", "prevents"]
 _ANALYZED = r"regexp_extract_all(strip_accents(lower(coalesce({0}, ''))), '[\p{{L}}\p{{N}}''&/]+')"
 
 
-def _tokens(source: str) -> str:
-    return f"tok AS (SELECT doc_id, {_ANALYZED.format('title')} AS h, {_ANALYZED.format('body')} AS w FROM {source})"
+def _shape(word: str) -> str:
+    """SQL of the vowels and consonants of a word: V and C, a y after a consonant being a vowel."""
+    out = f"regexp_replace(translate({word}, 'aeiou', 'VVVVV'), '[^Vy]', 'C', 'g')"
+    out = f"regexp_replace({out}, '^y', 'C')"
+    for _ in range(3):
+        out = f"replace(replace({out}, 'Cy', 'CV'), 'Vy', 'VC')"
+    return out
+
+
+def _vc(word: str) -> str:
+    return f"len(regexp_extract_all({_shape(word)}, 'V+C+'))"
+
+
+def _short(word: str) -> str:
+    return f"(regexp_matches({_shape(word)}, 'CVC$') AND NOT regexp_matches({word}, '[wxy]$'))"
+
+
+def _replacing(source: str, name: str, rules, least: int) -> str:
+    """A WITH entry that replaces the longest fitting suffix of ``w``."""
+    suffix = "regexp_extract(w, '(" + "|".join(s for s, _ in rules) + ")$', 1)"
+    table = "MAP {" + ", ".join(f"'{s}': '{b}'" for s, b in rules) + "}"
+    return f"{name}s AS (SELECT o, w, {suffix} AS s, substr(w, 1, length(w) - length({suffix})) AS r FROM {source}), {name} AS (SELECT o, CASE WHEN s <> '' AND {_vc('r')} >= {least} THEN r || {table}[s] ELSE w END AS w FROM {name}s)"
+
+
+_FOUR = "|".join(st.STEP4)
+#: Stems of the distinct words of ``words (o)``, by regular expressions, step by step.
+_STEMMED = ", ".join([
+    "st0 AS (SELECT DISTINCT o, o AS w FROM words WHERE length(o) BETWEEN 3 AND 64)",
+    r"st1 AS (SELECT o, CASE WHEN regexp_matches(w, '(sses|ies)$') THEN substr(w, 1, length(w) - 2) WHEN regexp_matches(w, 'ss$') OR NOT regexp_matches(w, 's$') THEN w ELSE substr(w, 1, length(w) - 1) END AS w FROM st0)",
+    "st2 AS (SELECT o, w, regexp_extract(w, '^(.*?)(?:ed|ing)$', 1) AS r, regexp_matches(w, '(ed|ing)$') AND NOT regexp_matches(w, 'eed$') AS hit FROM st1)",
+    f"st3 AS (SELECT o, CASE WHEN regexp_matches(w, 'eed$') THEN CASE WHEN {_vc('substr(w, 1, length(w) - 3)')} > 0 THEN substr(w, 1, length(w) - 1) ELSE w END WHEN hit AND contains({_shape('r')}, 'V') THEN CASE WHEN regexp_matches(r, '(at|bl|iz)$') THEN r || 'e' "
+    f"WHEN length(r) > 1 AND r[-1] = r[-2] AND NOT regexp_matches(r, '[aeiouylsz]$') THEN substr(r, 1, length(r) - 1) WHEN {_vc('r')} = 1 AND {_short('r')} THEN r || 'e' ELSE r END ELSE w END AS w FROM st2)",
+    f"st4 AS (SELECT o, CASE WHEN regexp_matches(w, 'y$') AND contains({_shape('substr(w, 1, length(w) - 1)')}, 'V') THEN substr(w, 1, length(w) - 1) || 'i' ELSE w END AS w FROM st3)",
+    _replacing("st4", "st5", st.STEP2, 1), _replacing("st5", "st6", st.STEP3, 1),
+    f"st7 AS (SELECT o, w, regexp_extract(w, '({_FOUR})$', 1) AS s, substr(w, 1, length(w) - length(regexp_extract(w, '({_FOUR})$', 1))) AS r FROM st6)",
+    f"st8 AS (SELECT o, CASE WHEN s <> '' AND {_vc('r')} > 1 AND (s <> 'ion' OR regexp_matches(r, '[st]$')) THEN r ELSE w END AS w FROM st7)",
+    "st9 AS (SELECT o, w, substr(w, 1, length(w) - 1) AS r FROM st8)",
+    f"st10 AS (SELECT o, CASE WHEN regexp_matches(w, 'e$') AND ({_vc('r')} > 1 OR ({_vc('r')} = 1 AND NOT {_short('r')})) THEN r ELSE w END AS w FROM st9)",
+    f"stemmed AS (SELECT o, CASE WHEN regexp_matches(w, 'll$') AND {_vc('substr(w, 1, length(w) - 1)')} > 1 THEN substr(w, 1, length(w) - 1) ELSE w END AS t FROM st10 UNION ALL SELECT DISTINCT o, o FROM words WHERE NOT length(o) BETWEEN 3 AND 64)",
+])
+
+
+def _tokens(source: str, more: str = "") -> str:
+    """``tok (doc_id, h, w)``: stems of title and body in order; ``more`` is a table of further words ``(o)`` to stem."""
+    return f"""raw AS (SELECT row_number() OVER () AS row, doc_id, {_ANALYZED.format('title')} AS h, {_ANALYZED.format('body')} AS w FROM {source}),
+words AS (SELECT unnest(h) AS o FROM raw UNION SELECT unnest(w) FROM raw {more and 'UNION ' + more}), {_STEMMED},
+wt AS (SELECT row, list(t ORDER BY i) AS w FROM (SELECT row, unnest(w) AS o, unnest(range(0, len(w))) AS i FROM raw) JOIN stemmed USING (o) GROUP BY 1),
+ht AS (SELECT row, list(t ORDER BY i) AS h FROM (SELECT row, unnest(h) AS o, unnest(range(0, len(h))) AS i FROM raw) JOIN stemmed USING (o) GROUP BY 1),
+tok AS (SELECT doc_id, coalesce(ht.h, []) AS h, coalesce(wt.w, []) AS w FROM raw LEFT JOIN wt USING (row) LEFT JOIN ht USING (row))"""
 
 
 _TITLED = r"titled AS (SELECT doc_id, path, type, body, array_to_string(string_split(trim(regexp_replace(body, '\s+', ' ', 'g')), ' ')[1:8], ' ') AS title FROM texts)"
@@ -27,13 +76,25 @@ parts AS (SELECT post.*, ln((n - df + 0.5) / (df + 0.5) + 1) * (tf + 10.0 * titl
 
 def _scored(terms: list[str], source: str = "") -> str:
     tokens = source or _TOKENS
-    return f"{tokens}, {_POSTED}, scored AS (SELECT doc_id, round(sum(part), 6) AS score, count(*) AS matched FROM parts WHERE term IN ({', '.join(map(repr, terms))}) GROUP BY 1)"
+    return f"{tokens}, {_POSTED}, scored AS (SELECT doc_id, round(sum(part), 6) AS score, count(*) AS matched FROM parts WHERE term IN ({', '.join(repr(st.stem(t)) for t in terms)}) GROUP BY 1)"
 
 
 @query("analyze", f"WITH {_TOKENS} SELECT doc_id, len(w)::INTEGER AS n_terms, len(list_distinct(w))::INTEGER AS n_distinct FROM tok")
 def _(c):
-    terms = search.analyze(F.coalesce("body", F.lit("")))
-    return c.texts().select("doc_id", F.size(terms).alias("n_terms"), F.size(F.array_distinct(terms)).alias("n_distinct"))
+    posted = c.text_index().table("postings").where("tf > 0").groupBy("doc_id").agg(F.sum("tf").cast("int").alias("n_terms"), F.count("*").cast("int").alias("n_distinct"))
+    return c.texts().select("doc_id").join(posted, "doc_id", "left").na.fill(0, ["n_terms", "n_distinct"])
+
+
+@query("stems", f"WITH {_TOKENS} SELECT o AS word, t AS term FROM stemmed")
+def _(c):
+    words = F.concat(search.analyze(F.coalesce("title", F.lit(""))), search.analyze(F.coalesce("body", F.lit(""))))
+    return st.stems(c.titled().select(F.explode(words).alias("word")))
+
+
+@query("stems_english", f"""WITH words AS (SELECT DISTINCT unnest({_ANALYZED.format("text || ' ' || coalesce(lead, '')")}) AS o FROM statements), {_STEMMED} SELECT o AS word, t AS term FROM stemmed""")
+def _(c):
+    text = F.concat_ws(" ", "text", "lead")
+    return st.stems(c.statements().select(F.explode(search.analyze(text)).alias("word")))
 
 
 @query("postings", f"WITH {_TOKENS}, {_POSTED} SELECT term, doc_id, tf, title_tf, dl FROM post")
@@ -71,7 +132,7 @@ def _(c):
     return search.near_search(c.text_index(), "with", "that", 3)
 
 
-@query("search_prefix", f"WITH {_TOKENS}, {_POSTED} SELECT doc_id, count(*) AS terms, sum(tf + title_tf)::BIGINT AS times FROM post WHERE starts_with(term, 'thati') GROUP BY 1")
+@query("search_prefix", f"WITH {_TOKENS}, {_POSTED} SELECT doc_id, count(*) AS terms, sum(tf + title_tf)::BIGINT AS times FROM post WHERE starts_with(term, '{st.stem('thati')}') GROUP BY 1")
 def _(c):
     return search.prefix_search(c.text_index(), "thati")
 
@@ -109,19 +170,24 @@ def _(c):
     return search.grade_cases(cases.select("query", "wanted"), hits.join(titled.select("doc_id", "title"), "doc_id").select("query", "title"))
 
 
-_ASKED = f"""{_TOKENS}, {_POSTED}, qs AS (SELECT item_id AS question, list_distinct({_ANALYZED.format('text')}) AS terms FROM benchmark UNION ALL SELECT -1 - item_id, ['zz' || item_id || 'zz'] FROM benchmark WHERE item_id % 10 = 0),
-asked AS (SELECT question AS query, unnest(terms) AS term FROM qs), hit AS (SELECT query, doc_id, round(sum(part), 6) AS score FROM asked JOIN parts USING (term) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sum(part), 6) DESC, doc_id) <= 10),
-ch AS (SELECT DISTINCT event_id % 1000 AS doc_id, CASE WHEN value > 90 THEN 'open' ELSE 'deferred' END AS state FROM events WHERE event_type = 'error'),
-r AS (SELECT question, h.doc_id, h.doc_id IN (SELECT doc_id FROM ch WHERE state = 'open') AS c, h.doc_id IN (SELECT doc_id FROM ch WHERE state = 'deferred') AS d, h.doc_id IN (SELECT doc_id FROM statements WHERE len(quotes) > 0) AS e FROM qs LEFT JOIN hit h ON h.query = question)"""
+#: Questions in the words of the claims, asked by each supplier; some are about nothing.
+_QUESTIONS = f"questions AS (SELECT s_suppkey AS question, CASE WHEN s_suppkey % 9 = 0 THEN 'zz' || s_suppkey || 'zz' ELSE {prose._sql_pick(prose.NOUNS, 's_nationkey')} || ' ' || {prose._sql_pick(prose.STRENGTH, 's_nationkey')} || ' ' || {prose._sql_pick(prose.RUNGS, 's_nationkey')} || '?' END AS asked FROM supplier)"
+_ASKED = f"""{_QUESTIONS}, leads AS (SELECT DISTINCT claim_id AS doc_id, '' AS title, lead AS body FROM statements WHERE lead IS NOT NULL),
+{_tokens('leads', f"SELECT unnest({_ANALYZED.format('asked')}) FROM questions")}, {_POSTED},
+asked AS (SELECT DISTINCT asked AS query, t AS term FROM (SELECT asked, unnest({_ANALYZED.format('asked')}) AS o FROM questions) JOIN stemmed USING (o)),
+hit AS (SELECT query, doc_id AS claim_id, round(sum(part), 6) AS score FROM asked JOIN parts USING (term) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sum(part), 6) DESC, doc_id) <= 10),
+ch AS (SELECT DISTINCT l_orderkey || '#' || l_linenumber AS claim_id, CASE WHEN l_quantity > 45 THEN 'open' ELSE 'deferred' END AS state FROM lineitem WHERE l_quantity > 40),
+r AS (SELECT question, h.claim_id, h.claim_id IN (SELECT claim_id FROM ch WHERE state = 'open') AS c, h.claim_id IN (SELECT claim_id FROM ch WHERE state = 'deferred') AS d, h.claim_id IN (SELECT claim_id FROM statements WHERE len(quotes) > 0) AS e FROM questions LEFT JOIN hit h ON h.query = asked)"""
 
 
-@query("ask", f"WITH {_ASKED} SELECT question, count(doc_id) AS retrieved, count(*) FILTER (WHERE doc_id IS NOT NULL AND NOT e) AS unevidenced, count(*) FILTER (WHERE d) AS deferred, CASE WHEN count(doc_id) = 0 THEN 'silent' WHEN bool_or(c) THEN 'unresolved' WHEN NOT bool_or(e) THEN 'unevidenced' ELSE 'ready' END AS answerability FROM r GROUP BY 1")
+@query("ask", f"""WITH {_ASKED} SELECT question, count(claim_id) AS retrieved, count(*) FILTER (WHERE claim_id IS NOT NULL AND NOT e) AS unevidenced, count(*) FILTER (WHERE d) AS deferred, (SELECT count(*) FROM statements WHERE lead IS NULL) AS unextracted,
+CASE WHEN count(claim_id) = 0 THEN 'silent' WHEN bool_or(c) THEN 'unresolved' WHEN NOT bool_or(e) THEN 'unevidenced' ELSE 'ready' END AS answerability FROM r GROUP BY 1""")
 def _(c):
-    item = F.col("item_id")
-    items = c.raw("benchmark").select(item.alias("question"), search.analyze(F.coalesce("text", F.lit(""))).alias("terms"))
-    nothing = c.raw("benchmark").where("item_id % 10 = 0").select((-1 - item).alias("question"), F.array(F.concat(F.lit("zz"), item, F.lit("zz"))).alias("terms"))
-    questions = items.unionByName(nothing)
-    hits = search.batch_search(c.text_index(), questions.select(F.col("question").alias("query"), F.explode("terms").alias("term")), 10)
-    challenges = c.raw("events").where("event_type = 'error'").select((F.col("event_id") % 1000).alias("doc_id"), (F.col("value") > 90).alias("open"))
-    evidenced = c.statements().where(F.size("quotes") > 0).select("doc_id")
-    return search.ask(hits, questions.select("question"), challenges.where("open"), challenges.where("NOT open"), evidenced)
+    nation, key = F.col("s_nationkey").cast("long"), F.col("s_suppkey")
+    text = F.concat(prose._pick(prose.NOUNS, nation), F.lit(" "), prose._pick(prose.STRENGTH, nation), F.lit(" "), prose._pick(prose.RUNGS, nation), F.lit("?"))
+    questions = c.raw("supplier").select(key.alias("question"), F.when(key % 9 == 0, F.concat(F.lit("zz"), key, F.lit("zz"))).otherwise(text).alias("asked"))
+    words = questions.select("asked").distinct().select(F.col("asked").alias("query"), F.explode(search.analyze(F.col("asked"))).alias("term"))
+    hits = search.batch_search(c.lead_index(), words, 10).join(questions, F.col("query") == F.col("asked")).select(F.col("question").alias("query"), F.col("doc_id").alias("claim_id"))
+    challenges = c.raw("lineitem").where("l_quantity > 40").select(F.concat_ws("#", "l_orderkey", "l_linenumber").alias("claim_id"), (F.col("l_quantity") > 45).alias("open"))
+    evidenced = c.statements().where(F.size("quotes") > 0).select("claim_id")
+    return search.ask(hits, questions.select("question"), challenges.where("open"), challenges.where("NOT open"), evidenced, search.leadless(c.statements()))

@@ -7,6 +7,7 @@ sources for claims, events are the log, conversations the sessions.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ from plumbline.operators import search
 from plumbline.sources.prose import SQL_PROSE, statements
 from plumbline.sources.scratch import shared_dir
 
-#: Indexes built by this driver: (application, tables, name) to index.
-_INDEXES: dict[tuple[str, str, str], search.Index] = {}
+#: Indexes built by this driver: (application, tables, their files, name) to index.
+_INDEXES: dict[tuple[str, str, str, str], search.Index] = {}
 
 
 class Corpus:
@@ -41,11 +42,20 @@ class Corpus:
 
     def _index(self, name: str, documents) -> search.Index:
         """The index of some documents; built and stored once for these tables, then read."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self._files(), name)
         if key not in _INDEXES:
             _INDEXES[key] = search.build(documents(), f"{shared_dir(self.spark)}/index-{name}-{uuid.uuid4().hex[:12]}")
-        made = _INDEXES[key]
-        return search.Index(self.spark, made.folder, made.buckets)
+        return search.Index(self.spark, _INDEXES[key].folder)
+
+    def _files(self) -> str:
+        """What the indexed tables are made of: a digest of their files' names, sizes and times."""
+        jvm, out = self.spark._jvm, []
+        for table in ("documents", "lineitem"):
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{table}.parquet")
+            system = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if system.exists(at):
+                out += sorted(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in system.listStatus(at))
+        return hashlib.sha256("\n".join(out).encode()).hexdigest()
 
     def text_index(self) -> search.Index:
         return self._index("texts", lambda: self.titled().select("doc_id", "title", "body"))
