@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import fold_lower
 from plumbline.operators.sampling import hash_sample
+from plumbline.sources.keyed import KeyedTable
 
 
 def miss_report(misses: DataFrame) -> DataFrame:
@@ -144,6 +145,26 @@ def record_retrievals(retrievals: DataFrame) -> DataFrame:
     return retrievals.groupBy("claim_id").agg(F.count("*").alias("returns"), F.max("at").alias("last_at"))
 
 
+def retrieval_state(spark: SparkSession, folder: str) -> KeyedTable:
+    """The stored counters of returned claims: ``claim_id, returns, last_at``."""
+    return KeyedTable(spark, folder, ["claim_id"], {"returns": "sum", "last_at": "max"})
+
+
+def merge_retrievals(state: KeyedTable, retrievals: DataFrame, batch: str) -> int:
+    """Count a batch of returns ``(claim_id, at)`` into the stored counters, once."""
+    return state.merge_batch(retrievals.select("claim_id", F.lit(1).cast("long").alias("returns"), F.col("at").alias("last_at")), batch)
+
+
+def check_state(spark: SparkSession, folder: str) -> KeyedTable:
+    """The stored last check of each source version: ``uri, version, last``, a struct of the check's time, line and verdict."""
+    return KeyedTable(spark, folder, ["uri", "version"], {"last": "max", "checks": "sum"})
+
+
+def merge_checks(state: KeyedTable, checks: DataFrame, batch: str) -> int:
+    """Merge a batch of checks ``(uri, version, at, line, drift)`` into the stored ones, once; the last by time, then line, stays."""
+    return state.merge_batch(checks.select("uri", "version", F.struct("at", "line", "drift").alias("last"), F.lit(1).cast("long").alias("checks")), batch)
+
+
 def unreached_claims(claims: DataFrame, retrievals: DataFrame, since: Column) -> DataFrame:
     """Claims with a lead: observed if last returned at or after ``since``, else quiet."""
     last = record_retrievals(retrievals).select("claim_id", "last_at")

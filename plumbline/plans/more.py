@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as fx
-from plumbline.operators import checks, evidence
+from plumbline.operators import checks, evidence, rationale
 from plumbline.plans.queries import _LAST, now
 from plumbline.plans.registry import query
 from plumbline.sources.bind import Corpus
+from plumbline.sources.scratch import fresh_folder
 from plumbline.streaming import trail as streams
 
 
@@ -79,7 +80,7 @@ def _(c):
 
 @query("stream_retrievals", 'SELECT claim_id, count(*) AS returns, max("at") AS last_at FROM retrievals GROUP BY 1')
 def _(c):
-    return streams.run_available(streams.retrieval_counts(_Stream(c.spark, c.sf_dir).retrievals()), "retrievals", ["claim_id"])
+    return streams.stream_retrievals(_Stream(c.spark, c.sf_dir).retrievals(), fresh_folder(c.spark, "retrieval-stream"))
 
 
 @query("trail_by_day", "SELECT date_trunc('day', \"at\")::TIMESTAMP AS day, op, outcome, count(*) AS n FROM trail GROUP BY ALL")
@@ -87,10 +88,34 @@ def _(c):
     return c.trail().groupBy(F.date_trunc("day", "at").alias("day"), "op", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("unusable_rationale", f"WITH {_WARRANTS}, p AS (SELECT lower(rationale) AS r FROM warrants WHERE rationale <> '' GROUP BY 1 HAVING count(DISTINCT claim_id) > 1) SELECT claim_id, rationale FROM warrants WHERE lower(rationale) IN (SELECT r FROM p)")
-def _(c):
-    rows = _warrants(c).where(F.col("rationale") != "")
-    again = rows.groupBy(fx.fold_lower(F.col("rationale")).alias("_r")).agg(F.count_distinct("claim_id").alias("n")).where("n > 1").select("_r")
-    return rows.join(again, fx.fold_lower(F.col("rationale")) == F.col("_r"), "left_semi").select("claim_id", "rationale")
+#: What the promotion form asks for; the last is too short to prove anything.
+ASKED = ("State why you are promoting this document despite the open signals", "Name the source that the claim rests on, and why it holds", "Say what would change your mind about this claim", "State your reason")
+
+
+def _rationales(c: Corpus):
+    """``line, label, rationale`` of the warrants; some repeat the form in other letters, some an earlier one."""
+    part = F.col("l_partkey")
+    own = F.concat(F.lit("shown by "), part % 500)
+    quoted = F.upper(F.lit(ASKED[0]))
+    text = (
+        F.when(part % 11 == 0, F.concat(F.lit("We did re"), F.lower(F.lit(ASKED[1])), F.lit("s;  "), own)).when(part % 13 == 0, F.concat(quoted, F.lit("\n"), own)).when(part % 17 == 0, F.concat(F.lit(ASKED[3]), F.lit(": "), own))
+        .when(part % 19 == 0, F.concat(F.lit(ASKED[2]), F.lit(" "), F.lit(ASKED[1]))).when(part % 23 == 0, "  ").otherwise(own)
+    )
+    line = F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10
+    rows = c.raw("lineitem").select(line.alias("line"), F.concat_ws("#", "l_orderkey", "l_linenumber").alias("label"), text.alias("rationale"))
+    return rows.groupBy("line").agg(F.min(F.struct("label", "rationale")).alias("r")).select("line", "r.*")
 
 
+_RATIONALES = f"""said AS (SELECT l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS line, l_orderkey || '#' || l_linenumber AS label, CASE WHEN l_partkey % 11 = 0 THEN 'We did re' || lower('{ASKED[1]}') || 's;  shown by ' || (l_partkey % 500)
+  WHEN l_partkey % 13 = 0 THEN upper('{ASKED[0]}') || chr(10) || 'shown by ' || (l_partkey % 500) WHEN l_partkey % 17 = 0 THEN '{ASKED[3]}: shown by ' || (l_partkey % 500) WHEN l_partkey % 19 = 0 THEN '{ASKED[2]} {ASKED[1]}' WHEN l_partkey % 23 = 0 THEN '  ' ELSE 'shown by ' || (l_partkey % 500) END AS rationale FROM lineitem),
+rationales AS (SELECT line, label, rationale FROM said QUALIFY row_number() OVER (PARTITION BY line ORDER BY label, rationale) = 1),
+folded AS (SELECT *, lower(trim(regexp_replace(rationale, '\\s+', ' ', 'g'))) AS f FROM rationales),
+asked AS (SELECT unnest(range(0, {len(ASKED)})) AS rank, unnest([{', '.join("'" + x + "'" for x in ASKED)}]) AS phrase)"""
+
+
+@query("unusable_rationale", f"""WITH {_RATIONALES}, t AS (SELECT line, arg_min(phrase, rank) AS template FROM folded JOIN asked ON contains(f, lower(phrase)) WHERE len(string_split(phrase, ' ')) >= 6 GROUP BY 1),
+p AS (SELECT line, first_value(label) OVER (PARTITION BY f ORDER BY line) AS prior, row_number() OVER (PARTITION BY f ORDER BY line) AS n FROM folded WHERE f <> '')
+SELECT line, CASE WHEN template IS NOT NULL THEN 'template' ELSE 'prior' END AS reason, coalesce(template, prior) AS match FROM p LEFT JOIN t USING (line) WHERE template IS NOT NULL OR n > 1""")
+def _(c):
+    asked = c.spark.createDataFrame(list(enumerate(ASKED)), "rank int, phrase string")
+    return rationale.unusable_rationales(_rationales(c), asked)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as fx
 from plumbline.operators import conflict, evidence, graph, sampling, trail
 from plumbline.plans.registry import ORACLE_SQL, QUERIES, query
+from plumbline.sources.scratch import fresh_folder
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -318,13 +319,23 @@ def _(c):
 
 @query("record_retrievals", 'SELECT claim_id, count(*) AS returns, max("at") AS last_at FROM retrievals GROUP BY 1')
 def _(c):
-    return trail.record_retrievals(c.retrievals())
+    """The log in three batches merged into a stored table, one of them run twice, compacted after the second."""
+    state = trail.retrieval_state(c.spark, fresh_folder(c.spark, "retrieval-state"))
+    for n in range(3):
+        trail.merge_retrievals(state, c.retrievals().where(F.col("line") % 3 == n), f"batch {n}")
+        if n == 1:
+            trail.merge_retrievals(state, c.retrievals().where(F.col("line") % 3 == n), f"batch {n}")
+            state.compact()
+    return state.read()
 
 
-@query("record_checks", f"WITH {_LAST} SELECT * FROM last_check")
+@query("record_checks", f'WITH {_LAST}, n AS (SELECT uri, version, count(*) AS checks FROM checks GROUP BY 1, 2) SELECT last_check.*, n.checks FROM last_check JOIN n USING (uri, version)')
 def _(c):
-    old, new = c.checks().where("drift = 'benign'"), c.checks().where("drift <> 'benign'")
-    return trail.last_per_key(old.unionByName(new), ["uri", "version"], ["at", "line", "drift"]).drop("line")
+    """The check log in two batches merged into a stored table."""
+    state = trail.check_state(c.spark, fresh_folder(c.spark, "check-state"))
+    for name in ("benign", "rest"):
+        trail.merge_checks(state, c.checks().where((F.col("drift") == "benign") == (name == "benign")), name)
+    return state.read().select("uri", "version", "last.at", "last.drift", "checks")
 
 
 @query("unreached_claims", "SELECT claim_id, CASE WHEN m >= TIMESTAMP '2024-01-15' THEN 'observed' ELSE 'quiet' END AS reach FROM claims LEFT JOIN (SELECT claim_id, max(\"at\") AS m FROM retrievals GROUP BY 1) USING (claim_id) WHERE lead IS NOT NULL")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of that name below the shared one that nothing has used yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.trail import merge_retrievals, retrieval_state
 from plumbline.sources.scratch import shared_dir
 
 
@@ -17,9 +18,23 @@ def trail_counts(trail: DataFrame, late: str = "1 day") -> DataFrame:
     return counts.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "op", "n")
 
 
-def retrieval_counts(retrievals: DataFrame) -> DataFrame:
-    """Returns and last time per claim, as they grow."""
-    return retrievals.groupBy("claim_id").agg(F.count("*").alias("returns"), F.max("at").alias("last_at"))
+def stream_retrievals(retrievals: DataFrame, folder: str, compact_after: int = 8) -> DataFrame:
+    """Merge what the stream ``(claim_id, at)`` has now into the stored counters of ``folder``, and return these.
+
+    The stream keeps no state of its own: each micro-batch is a batch of the stored
+    table under its id, so one that is run again after a failure counts once.  A
+    further run goes on where the last one stopped.  The deltas become a new base
+    when there are more than ``compact_after``.
+    """
+    state = retrieval_state(retrievals.sparkSession, f"{folder}/table")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        merge_retrievals(state, batch, f"stream {batch_id}")
+        state.compact(compact_after)
+
+    query = retrievals.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return state.read()
 
 
 def run_available(stream: DataFrame, name: str, keys: list[str], folder: str | None = None) -> DataFrame:
