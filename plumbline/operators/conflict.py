@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import fold, fold_lower
@@ -22,21 +23,58 @@ def contradicted(bounds: DataFrame) -> DataFrame:
     return out.where("low > high").select("subject", "dimension")
 
 
-def interval_conflicts(bounds: DataFrame) -> DataFrame:
+def _dealt(ends: DataFrame, keys: list[str], per_range: int) -> DataFrame:
+    """``ends (keys, claim_id, at, side)`` plus ``range``: each key's ends in order, ``per_range`` to a range, equal ends together.
+
+    Counts per distinct end come first, so ends that many claims share are one row
+    of the running sum.
+    """
+    counts = ends.groupBy(*keys, "at").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.withColumn("range", F.floor(before / per_range).cast("long")).select(*keys, "at", "range")
+    return ends.join(ranges, [*keys, "at"])
+
+
+def interval_conflicts(bounds: DataFrame, per_range: int = 4096) -> DataFrame:
     """All pairs ``(subject, dimension, first, second)`` of claims whose closed ranges don't meet.
 
-    Pairs are formed in contradicted groups only, from a range with a low end and
-    a higher one with a high end: such a pair is disjoint, and every disjoint
-    pair is one.
+    Such a pair is a low end above a high end of the same subject.  In contradicted
+    subjects the ends are cut into ranges of about ``per_range``.  A low end is
+    above all high ends of lower ranges, so it goes to each of those that has any,
+    where nothing is compared, and ends are compared only inside their own range:
+    a subject however large is many independent pieces, and next to no pair is
+    formed that isn't a row.
     """
-    rows = bounds.where("value IS NOT NULL").join(contradicted(bounds.where("value IS NOT NULL")), ["subject", "dimension"], "left_semi")
     keys = ["subject", "dimension"]
-    above = rows.where("op <> '<='").select(*keys, F.col("claim_id").alias("a"), F.col("value").alias("low"))
-    below = rows.where("op <> '>='").select(*keys, F.col("claim_id").alias("b"), F.col("value").alias("high"))
-    pairs = above.join(below, keys).where((F.col("low") > F.col("high")) & (F.col("a") != F.col("b")))
+    known = bounds.where("value IS NOT NULL")
+    rows = known.join(contradicted(known), keys, "left_semi")
+    above = rows.where("op <> '<='").select(*keys, "claim_id", F.col("value").alias("at"), F.lit("low").alias("side"))
+    below = rows.where("op <> '>='").select(*keys, "claim_id", F.col("value").alias("at"), F.lit("high").alias("side"))
+    ends = _dealt(above.unionByName(below), keys, per_range)
+    lows = ends.where("side = 'low'").select(*keys, F.col("claim_id").alias("a"), F.col("at").alias("low"), F.col("range").alias("mine"))
+    highs = ends.where("side = 'high'").select(*keys, "range", F.col("claim_id").alias("b"), F.col("at").alias("high"))
+    held = highs.groupBy(*keys).agg(F.sort_array(F.collect_set("range")).alias("ranges"))
+    lower = lows.join(held, keys).select(*keys, "a", F.explode(F.filter("ranges", lambda r: r < F.col("mine"))).alias("range"))
+    far = lower.join(highs, [*keys, "range"])
+    near = lows.withColumnRenamed("mine", "range").join(highs, [*keys, "range"]).where(F.col("low") > F.col("high"))
+    pairs = far.select(*keys, "a", "b").unionByName(near.select(*keys, "a", "b")).where(F.col("a") != F.col("b"))
     return pairs.select(*keys, F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"))
 
 
+def conflict_counts(bounds: DataFrame) -> DataFrame:
+    """``(subject, dimension, claims, pairs)`` of contradicted subjects: how many claims and how many disjoint pairs, none of which is formed.
+
+    The pairs of a low end are the high ends below it: a running count over the
+    distinct ends.
+    """
+    keys = ["subject", "dimension"]
+    known = bounds.where("value IS NOT NULL")
+    rows = known.join(contradicted(known), keys, "left_semi")
+    at = rows.groupBy(*keys, F.col("value").alias("at")).agg(F.count_if(F.col("op") != "<=").alias("lows"), F.count_if(F.col("op") != ">=").alias("highs"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("highs").over(W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return at.withColumn("pairs", F.col("lows") * before).groupBy(*keys).agg(F.sum("n").alias("claims"), F.sum("pairs").alias("pairs"))
+
+
 def subject_gaps(claims: DataFrame, declared: DataFrame) -> DataFrame:
     """One row: claims ``(key)`` of no declared subject, and declared subjects ``(key)`` without a claim."""
     unresolved = claims.join(declared, "key", "left_anti").agg(F.count("*").alias("unresolved"))
@@ -101,11 +139,14 @@ def evidence_divergence(citations: DataFrame, anchor: Column) -> DataFrame:
 def subject_population(citations: DataFrame) -> DataFrame:
     """Per subject: claims, documents, and whether two documents rest on disjoint evidence.
 
-    Two documents are disjoint iff no archive path is common to both.  A path
-    that all documents hold rules it out and a document whose paths no other
-    holds proves it; only subjects that neither decides form pairs.
+    Two documents are disjoint iff no archive path is common to both.  A path that
+    all documents hold rules it out and a document whose paths no other holds
+    proves it.  In subjects that neither decides, each path keeps a bitmap of the
+    documents that hold it; the union of a document's paths' bitmaps is what it
+    isn't disjoint with, and two documents are disjoint iff a union doesn't cover
+    all.  No document meets another.
     """
-    base = citations.groupBy("uri").agg(F.count_distinct("claim_id").alias("claims"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("archive_path").alias("paths"))
+    base = citations.groupBy("uri").agg(F.count_distinct("claim_id").alias("claims"), F.count_distinct("doc_id").alias("documents"))
     held = citations.select("uri", "doc_id", "archive_path").distinct()
     per_path = held.groupBy("uri", "archive_path").agg(F.count("*").alias("n"))
     spread = per_path.groupBy("uri").agg(F.max("n").alias("most"))
@@ -113,12 +154,25 @@ def subject_population(citations: DataFrame) -> DataFrame:
     out = base.join(spread, "uri").join(alone, "uri")
     easy = F.when(F.col("documents") < 2, False).when(F.col("most") == F.col("documents"), False).when(F.col("least") == 1, True)
     out = out.withColumn("easy", easy)
-    hard = held.join(out.where(F.col("easy").isNull()).select("uri"), "uri", "left_semi").groupBy("uri", "doc_id").agg(F.sort_array(F.collect_set("archive_path")).alias("set"))
-    sets = hard.select("uri", "set").distinct()
-    other = sets.select("uri", F.col("set").alias("set_b"))
-    apart = sets.join(other, "uri").where(~F.arrays_overlap("set", "set_b")).select("uri").distinct().withColumn("hard", F.lit(True))
-    out = out.join(apart, "uri", "left")
-    return out.select("uri", "claims", "documents", F.coalesce("easy", "hard", F.lit(False)).alias("disjoint"))
+    covered = cover_test(held.join(out.where(F.col("easy").isNull()).select("uri"), "uri", "left_semi"))
+    out = out.join(covered, "uri", "left")
+    return out.select("uri", "claims", "documents", F.coalesce("easy", "apart", F.lit(False)).alias("disjoint"))
+
+
+def cover_test(held: DataFrame) -> DataFrame:
+    """``(uri, apart)``: whether two documents of ``held (uri, doc_id, archive_path)`` share no path, by bitmaps.
+
+    Documents with the same paths count as one and are numbered per subject.
+    """
+    sets = held.groupBy("uri", "doc_id").agg(F.sort_array(F.collect_set("archive_path")).alias("paths")).select("uri", "paths").distinct()
+    numbered = sets.withColumn("number", (F.row_number().over(W.partitionBy("uri").orderBy("paths")) - 1).cast("long"))
+    kinds = numbered.groupBy("uri").agg(F.count("*").alias("kinds"))
+    each = numbered.select("uri", "number", F.explode("paths").alias("path"))
+    part = F.bitmap_bucket_number("number").alias("part")
+    bits = each.groupBy("uri", "path", part).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    reached = each.join(bits, ["uri", "path"]).groupBy("uri", "number", "part").agg(F.bitmap_or_agg("bits").alias("bits"))
+    least = reached.groupBy("uri", "number").agg(F.sum(F.bitmap_count("bits")).alias("n")).groupBy("uri").agg(F.min("n").alias("least"))
+    return least.join(kinds, "uri").select("uri", (F.col("least") < F.col("kinds")).alias("apart"))
 
 
 def type_usage(documents: DataFrame, types: DataFrame) -> DataFrame:

@@ -204,6 +204,13 @@ def _(c):
 # ---------------------------------------------------------------- conflicts and populations
 
 
+@query("interval_conflict_counts", """WITH b AS (SELECT subject, dimension, CASE op WHEN '<=' THEN '-inf'::DOUBLE ELSE value END AS low, CASE op WHEN '>=' THEN 'inf'::DOUBLE ELSE value END AS high, row_number() OVER () AS row FROM bounds WHERE value IS NOT NULL),
+n AS (SELECT subject, dimension, count(*) AS claims FROM b GROUP BY 1, 2), p AS (SELECT a.subject, a.dimension, count(*) AS pairs FROM b a JOIN b ON a.subject = b.subject AND a.dimension = b.dimension AND a.row < b.row AND greatest(a.low, b.low) > least(a.high, b.high) GROUP BY 1, 2)
+SELECT subject, dimension, claims, pairs FROM n JOIN p USING (subject, dimension)""")
+def _(c):
+    return conflict.conflict_counts(c.bounds())
+
+
 @query("interval_conflict", """WITH b AS (SELECT subject, dimension, claim_id, CASE op WHEN '<=' THEN '-inf'::DOUBLE ELSE value END AS low, CASE op WHEN '>=' THEN 'inf'::DOUBLE ELSE value END AS high FROM bounds JOIN docs USING (doc_id) WHERE type <> '5-LOW' AND value IS NOT NULL)
 SELECT a.subject, a.dimension, a.claim_id AS first, b.claim_id AS second, count(*) AS times FROM b a JOIN b ON a.subject = b.subject AND a.dimension = b.dimension AND a.claim_id < b.claim_id AND greatest(a.low, b.low) > least(a.high, b.high) GROUP BY ALL""")
 def _(c):

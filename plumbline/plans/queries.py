@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as fx
-from plumbline.operators import conflict, evidence, graph, sampling, trail
+from plumbline.operators import conflict, digest, evidence, graph, sampling, trail
 from plumbline.plans.registry import ORACLE_SQL, QUERIES, query
 from plumbline.sources.scratch import fresh_folder
 
@@ -56,9 +56,45 @@ def _(c):
     return c.raw("pages").select("page_id", fx.html_text(F.coalesce("html", F.lit(""))).alias("text"))
 
 
-@query("table_digest", "SELECT count(*) AS n, sum(('0x' || substr(sha256(chr(1) || 'v' || doc_id || chr(1) || 'v' || path || chr(1) || 'v' || title), 1, 12))::BIGINT)::HUGEINT::VARCHAR AS digest FROM docs")
+def indexed_tables(c):
+    """The nine tables that a digest of the index covers."""
+    part = c.raw("part")
+    return {
+        "documents": c.documents(), "links": c.links(), "claims": c.claims(), "records": c.records(), "claim_sources": c.citations(), "verifications": c.verifications(), "claim_subjects": c.bounds(),
+        "subjects": part.select(F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 2 == 0, "F").otherwise("O").alias("dimension"), F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("description")),
+        "subject_aliases": part.select(F.concat(F.lit("part "), "p_partkey").alias("alias"), F.concat(F.lit("k"), "p_partkey").alias("key")),
+    }
+
+
+_SQL_TABLES_OF = {
+    "documents": "docs", "links": "links", "claims": "claims", "records": "records", "claim_sources": "citations", "verifications": "verifications", "claim_subjects": "bounds",
+    "subjects": "(SELECT p_partkey AS key, CASE WHEN p_size % 2 = 0 THEN 'F' ELSE 'O' END AS dimension, CASE WHEN p_size % 3 <> 0 THEN p_type END AS description FROM part)",
+    "subject_aliases": "(SELECT 'part ' || p_partkey AS alias, 'k' || p_partkey AS key FROM part)",
+}
+
+
+def _digest_sql(name: str, spec: str) -> str:
+    """Entries ``{name}_root (rows, digest)``: ordered rows, cut by their hashes, blocks and three levels of nodes."""
+    order, rest = digest.columns_of(spec)
+    row = " || ".join(f"coalesce('1' || strlen(\"{x}\"::VARCHAR) || ':' || \"{x}\"::VARCHAR, '0')" for x in [*order, *rest])
+    out = [
+        f"{name}_r AS (SELECT {', '.join(f'any_value(k{i}) AS k{i}' for i in range(len(order)))}, count(*) AS n, sha256(row || 'x' || count(*)) AS h FROM (SELECT {row} AS row, {', '.join(f'{chr(34)}{x}{chr(34)}::VARCHAR AS k{i}' for i, x in enumerate(order))} FROM {_SQL_TABLES_OF[name]}) GROUP BY row)",
+        f"{name}_o AS (SELECT n, h, row_number() OVER (ORDER BY {', '.join(f'k{i} NULLS FIRST' for i in range(len(order)))}, h) AS place FROM {name}_r)",
+        f"{name}_b AS (SELECT n, h, place, coalesce(sum(CASE WHEN ('0x' || substr(h, 50, 15))::BIGINT % 4096 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS block FROM {name}_o)",
+        f"{name}_0 AS (SELECT block, sum(n)::BIGINT AS rows, sha256(string_agg(h, '' ORDER BY place)) AS digest FROM {name}_b GROUP BY 1)",
+    ]
+    for k in range(3):
+        out.append(f"{name}_{k + 1} AS (SELECT block // 64 AS block, sum(rows)::BIGINT AS rows, CASE WHEN (SELECT count(*) FROM {name}_{k}) > 1 THEN sha256(string_agg(digest, '' ORDER BY block)) ELSE any_value(digest) END AS digest FROM {name}_{k} GROUP BY 1)")
+    return ", ".join([*out, f"{name}_root AS (SELECT coalesce(sum(rows), 0)::BIGINT AS rows, coalesce(max(digest), sha256('')) AS digest FROM {name}_3)"])
+
+
+_ROOTS = " UNION ALL ".join(f"SELECT '{n}' AS name, rows, digest FROM {n}_root" for n in digest.DIGESTED)
+
+
+@query("table_digest", f"""WITH {', '.join(_digest_sql(n, s) for n, s in digest.DIGESTED.items())}, each AS ({_ROOTS})
+SELECT * FROM each UNION ALL SELECT 'index', sum(rows)::BIGINT, sha256(string_agg('table:' || name || ':' || digest || ';', '' ORDER BY name)) FROM each""")
 def _(c):
-    return sampling.table_digest(c.documents().select("doc_id", "path", "title"))
+    return digest.index_digest(digest.index_blocks(indexed_tables(c)), list(digest.DIGESTED))
 
 
 @query("floor_check", "SELECT (SELECT count(*) FROM docs) AS previous, (SELECT count(*) FROM docs WHERE status = 'stable') AS now, (SELECT count(*) FROM docs WHERE status = 'stable') < 0.5 * (SELECT count(*) FROM docs) AS breached")
