@@ -100,6 +100,18 @@ def unseparated_pairs(claims: DataFrame) -> DataFrame:
     return pairs.withColumn("pair_id", pair_id(F.col("first"), F.col("second")))
 
 
+def unseparated_counts(claims: DataFrame) -> DataFrame:
+    """``(subject, claims, unparsed, pairs)`` of subjects with unseparated pairs, by counting: none is formed.
+
+    A claim of several bounds is unparsed if one of them is.  Every pair with an
+    unparsed side counts; ``unseparated_pairs`` names them where someone asks.
+    """
+    each = claims.groupBy("subject", "claim_id").agg(F.min("parsed").alias("parsed"))
+    out = each.groupBy("subject").agg(F.count("*").alias("claims"), F.count_if(~F.col("parsed")).alias("unparsed"))
+    n, u = F.col("claims"), F.col("unparsed")
+    return out.withColumn("pairs", ((u * (u - 1)) / 2 + u * (n - u)).cast("long")).where("pairs > 0")
+
+
 def constraint_coverage(bounds: DataFrame) -> DataFrame:
     """Subjects with a claim whose bound can't be read, and how many can."""
     out = bounds.groupBy("subject").agg(F.count_if(F.col("value").isNotNull()).alias("parsed"), F.count_if(F.col("value").isNull()).alias("unparsed"))
@@ -130,10 +142,15 @@ def anchor_collision(claims: DataFrame) -> DataFrame:
     return out.where("claims >= 2")
 
 
-def evidence_divergence(citations: DataFrame, anchor: Column) -> DataFrame:
-    """One anchor and URI resting on two or more versions."""
-    out = citations.groupBy(anchor.alias("anchor"), "uri").agg(F.count_distinct("version").alias("versions"), F.count_distinct("doc_id").alias("documents"))
-    return out.where(F.col("versions") >= 2)
+def evidence_divergence(claims: DataFrame) -> DataFrame:
+    """``(anchor, uri, versions, documents, shown)``: one folded anchor and source of claims ``(doc_id, anchor, uri, version)`` on two or more versions.
+
+    ``shown`` lists each version, its first twelve signs, with how many documents rest on it.
+    """
+    per = claims.select(fold(F.col("anchor")).alias("anchor"), "uri", "version", "doc_id").where("anchor <> ''").groupBy("anchor", "uri", "version").agg(F.count_distinct("doc_id").alias("n"), F.collect_set("doc_id").alias("docs"))
+    out = per.groupBy("anchor", "uri").agg(F.count("*").alias("versions"), F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).cast("long").alias("documents"), F.sort_array(F.collect_list(F.struct("version", "n"))).alias("x"))
+    shown = F.array_join(F.transform("x", lambda v: F.concat(F.substring(v["version"], 1, 12), F.lit(" in "), v["n"].cast("string"))), "; ")
+    return out.where("versions >= 2").select("anchor", "uri", "versions", "documents", shown.alias("shown"))
 
 
 def subject_population(citations: DataFrame) -> DataFrame:

@@ -22,12 +22,27 @@ def miss_report(misses: DataFrame) -> DataFrame:
     return out.withColumn("actionable", actionable)
 
 
-def debt(trail: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """Signals that successful promotions carried, by count; ``paths`` restricts them."""
+def carried(trail: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """``(line, path, signal, actor)`` of every signal that a successful promotion carried; ``paths`` restricts them."""
     rows = trail.where((F.col("op") == "promote") & (F.col("outcome") == "ok"))
     if paths is not None:
         rows = rows.join(paths, "path", "left_semi")
-    return rows.select("path", F.explode("signals").alias("signal")).groupBy("signal").agg(F.count("*").alias("owed"), F.count_distinct("path").alias("paths"))
+    return rows.select("line", "path", F.explode("signals").alias("signal"), "actor")
+
+
+def debt(trail: DataFrame, malformed: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """``(signal, owed, paths, promotions, unreadable)``: each carried signal with how often and on how many paths.
+
+    ``promotions`` is how many promotions the whole trail has, carried or not, and
+    ``unreadable`` how many of its lines, the rows of ``malformed``, don't parse;
+    with any, counts are a floor.  A row without a signal holds these two where
+    nothing is owed.
+    """
+    owed = carried(trail, paths).groupBy("signal").agg(F.count("*").alias("owed"), F.count_distinct("path").alias("paths"))
+    promoted = trail.agg(F.count_if((F.col("op") == "promote") & (F.col("outcome") == "ok")).alias("promotions"))
+    totals = promoted.join(F.broadcast(malformed.agg(F.count("*").alias("unreadable"))))
+    out = totals.join(owed, F.lit(True), "left")
+    return out.select("signal", F.coalesce("owed", F.lit(0)).alias("owed"), F.coalesce("paths", F.lit(0)).alias("paths"), "promotions", "unreadable")
 
 
 def gained(trail: DataFrame, since: Column) -> DataFrame:
@@ -67,10 +82,20 @@ def withheld_claims(trail: DataFrame) -> DataFrame:
     return rows.groupBy("claim").agg(F.count("*").alias("times"), F.count_distinct("path").alias("sources"))
 
 
-def domain_history(trail: DataFrame) -> DataFrame:
-    """Promotions per actor and domain (the path's head); blank actors don't count."""
-    rows = trail.where((F.col("op") == "promote") & (F.trim("actor") != ""))
-    return rows.groupBy(F.substring_index("path", "/", 1).alias("domain"), "actor").agg(F.count("*").alias("decisions"))
+def domain_of(subject: Column) -> Column:
+    """A subject's domain: what stands before its first dot, else the whole key; null for an empty one."""
+    return F.nullif(F.substring_index(subject, ".", 1), F.lit(""))
+
+
+def domain_history(decided: DataFrame) -> DataFrame:
+    """``(domain, actor, decisions, place)`` of adjudications ``(subject, actor)``: who decided how often in each subject's domain.
+
+    Blank actors and subjects without a domain don't count.  ``place`` is the order
+    within the domain: most decisions first, then by name.
+    """
+    rows = decided.withColumn("domain", domain_of(F.col("subject"))).where(F.col("domain").isNotNull() & (F.trim(F.coalesce("actor", F.lit(""))) != ""))
+    counts = rows.groupBy("domain", "actor").agg(F.count("*").alias("decisions"))
+    return counts.withColumn("place", F.row_number().over(W.partitionBy("domain").orderBy(F.desc("decisions"), "actor")))
 
 
 def authority_of(humans: Column) -> Column:
@@ -198,8 +223,17 @@ def exchanges(turns: DataFrame) -> DataFrame:
     return out.select("session_id", "pos", "question", F.array_join(F.col("parts.text"), "\n\n").alias("answer"))
 
 
-def repeated_questions(asked: DataFrame, key: Column) -> DataFrame:
-    """Questions asked at least twice by ``key``; recurring over sessions, else retried."""
+def repeated_questions(asked: DataFrame) -> DataFrame:
+    """Questions ``(session_id, pos, question, answer)`` asked at least twice: ``(key, asked, question, answer, turns, sessions, kind)``.
+
+    Questions are the same if they are in folded lower case.  The first spelling
+    and the last answer stay; ``turns`` lists where each was asked, in order.
+    Asked in several sessions a question is recurring, else retried.
+    """
     at = F.struct("session_id", "pos")
-    out = asked.groupBy(key.alias("key")).agg(F.count("*").alias("asked"), F.min_by("question", at).alias("question"), F.max_by("answer", at).alias("answer"), F.count_distinct("session_id").alias("sessions"))
-    return out.where(F.col("asked") >= 2).withColumn("kind", F.when(F.col("sessions") > 1, "recurring").otherwise("retried"))
+    rows = asked.withColumn("key", fold_lower(F.col("question"))).where("key <> ''")
+    out = rows.groupBy("key").agg(
+        F.count("*").alias("asked"), F.min_by("question", at).alias("question"), F.max_by("answer", at).alias("answer"), F.count_distinct("session_id").alias("sessions"), F.sort_array(F.collect_list(at)).alias("places"),
+    )
+    turns = F.array_join(F.transform("places", lambda x: F.concat_ws(":", x["session_id"], x["pos"])), ",")
+    return out.where("asked >= 2").select("key", "asked", "question", "answer", turns.alias("turns"), "sessions", F.when(F.col("sessions") > 1, "recurring").otherwise("retried").alias("kind"))

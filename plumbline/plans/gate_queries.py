@@ -59,11 +59,7 @@ def _signal_sql(name: str) -> str:
 
 
 def _states(c) -> DataFrame:
-    """A row per document with the state of each signal; one that never saw the document is unchecked."""
-    rows = c.documents().select("doc_id")
-    for name in _STATES:
-        rows = rows.join(QUERIES["gate_" + name](c.spark, c.sf_dir).select("doc_id", F.col("state").alias(name)), "doc_id", "left")
-    return rows.select("doc_id", *(F.coalesce(x, F.lit("unchecked")).alias(x) for x in _STATES), F.lit("unchecked").alias("conflict"))
+    return checks.together(c.documents(), {name: QUERIES["gate_" + name](c.spark, c.sf_dir) for name in _STATES})
 
 
 _REPORT = "sig AS (SELECT doc_id, " + ", ".join(f"coalesce({x}, 'unchecked') AS {x}" for x in _STATES) + ", 'unchecked' AS conflict FROM docs " + " ".join(f"LEFT JOIN {_signal_sql(x)} USING (doc_id)" for x in _STATES) + "),\n" + """
@@ -205,25 +201,23 @@ def _(c):
     return graph.document_cards(docs.withColumn("content_hash", hashed), indexed, c.claims(), links, states)
 
 
-_PENDING = """pending AS (SELECT * FROM (SELECT subject, least(a.claim_id, b.claim_id) AS first, greatest(a.claim_id, b.claim_id) AS second FROM p a JOIN p b USING (subject) WHERE NOT a.parsed AND (a.claim_id < b.claim_id OR (b.parsed AND a.claim_id <> b.claim_id)))),
-waiting AS (SELECT DISTINCT subject, first, second, substr(sha256(first || chr(0) || second), 1, 16) AS pair_id FROM pending)"""
-
-
-@query("review_queue", f"""WITH {_REPORT}, p AS (SELECT subject, claim_id, value > 3 AS parsed FROM bounds), {_PENDING},
-deferred AS (SELECT pair_id FROM waiting WHERE ('0x' || substr(pair_id, 1, 4))::INTEGER % 3 = 0), hist AS (SELECT user_id % 25 AS domain, count(*) AS n FROM events WHERE event_type = 'click' AND user_id % 3 <> 2 GROUP BY 1),
-aged AS ({ORACLE_SQL['check_challenge_age']}), bad AS (SELECT DISTINCT subject FROM ({ORACLE_SQL['interval_conflict']}))
+@query("review_queue", f"""WITH {_REPORT}, p AS (SELECT subject, claim_id, bool_and(value > 3) AS parsed FROM bounds GROUP BY 1, 2), u AS (SELECT subject, count(*) AS n, count(*) FILTER (WHERE NOT parsed) AS k, min(claim_id) AS a, max(claim_id) AS b, arg_min(parsed, claim_id) AND arg_max(parsed, claim_id) AS apart FROM p GROUP BY 1),
+waiting AS (SELECT subject, k * (k - 1) // 2 + k * (n - k) AS pairs, CASE WHEN subject % 3 = 0 AND a <> b AND NOT apart THEN 1 ELSE 0 END AS put_off FROM u), hist AS (SELECT user_id % 25 AS domain, count(*) AS n FROM events WHERE event_type = 'click' AND user_id % 3 <> 2 GROUP BY 1),
+aged AS ({ORACLE_SQL['check_challenge_age']}), lowhigh AS (SELECT subject FROM bounds JOIN docs USING (doc_id) WHERE type <> '5-LOW' AND value IS NOT NULL GROUP BY subject, dimension HAVING max(CASE WHEN op <> '<=' THEN value END) > min(CASE WHEN op <> '>=' THEN value END)), bad AS (SELECT DISTINCT subject FROM lowhigh)
 SELECT 'draft' AS kind, doc_id::VARCHAR AS ref, decision || ':' || failed || ':' || unchecked AS state, NULL::BIGINT AS history, NULL::VARCHAR AS owner FROM decided JOIN docs USING (doc_id) WHERE status = 'draft'
 UNION ALL SELECT 'conflict', subject::VARCHAR, 'open', n, CASE WHEN p_size % 7 <> 0 THEN 'team ' || p_brand END FROM bad JOIN part ON p_partkey = subject LEFT JOIN hist ON domain = subject % 25
 UNION ALL SELECT 'unanswered-challenge', challenge_id::VARCHAR, problem, NULL, NULL FROM aged
-UNION ALL SELECT 'pair', pair_id, first || '|' || second, n, CASE WHEN p_size % 7 <> 0 THEN 'team ' || p_brand END FROM waiting JOIN part ON p_partkey = subject LEFT JOIN hist ON domain = subject % 25 WHERE pair_id NOT IN (SELECT pair_id FROM deferred)""")
+UNION ALL SELECT 'pairs', subject::VARCHAR, (pairs - put_off)::VARCHAR || ' of ' || pairs::VARCHAR, n, CASE WHEN p_size % 7 <> 0 THEN 'team ' || p_brand END FROM waiting JOIN part ON p_partkey = subject LEFT JOIN hist ON domain = subject % 25 WHERE pairs > put_off""")
 def _(c):
     drafts = QUERIES["gate_decision"](c.spark, c.sf_dir).join(c.documents().where("status = 'draft'").select("doc_id"), "doc_id", "left_semi")
-    pairs = conflict.unseparated_pairs(c.bounds().select("subject", "claim_id", (F.col("value") > 3).alias("parsed")))
-    deferred = pairs.where(F.conv(F.substring("pair_id", 1, 4), 16, 10).cast("int") % 3 == 0).select("pair_id")
+    claims = c.bounds().select("subject", "claim_id", (F.col("value") > 3).alias("parsed"))
+    ends = claims.groupBy("subject", "claim_id").agg(F.min("parsed").alias("parsed")).groupBy("subject").agg(F.min("claim_id").alias("a"), F.max("claim_id").alias("b"), (F.min_by("parsed", "claim_id") & F.max_by("parsed", "claim_id")).alias("both"))
+    deferred = ends.where("subject % 3 = 0 AND a <> b AND NOT both").select("subject", F.lit(1).alias("deferred"))
     history = c.raw("events").where("event_type = 'click' AND user_id % 3 <> 2").groupBy((F.col("user_id") % 25).alias("domain")).agg(F.count("*").alias("history"))
     subjects = c.raw("part").select(F.col("p_partkey").alias("subject"), (F.col("p_partkey") % 25).alias("domain"), F.when(F.col("p_size") % 7 != 0, F.concat(F.lit("team "), "p_brand")).alias("owner")).join(history, "domain", "left")
-    conflicts = QUERIES["interval_conflict"](c.spark, c.sf_dir).select("subject").distinct()
-    return checks.review_queue(drafts, conflicts, QUERIES["check_challenge_age"](c.spark, c.sf_dir), pairs, deferred, subjects)
+    episodic = c.documents().where("type = '5-LOW'").select("doc_id")
+    standing = c.bounds().join(episodic, "doc_id", "left_anti").where("value IS NOT NULL")
+    return checks.review_queue(drafts, conflict.contradicted(standing).select("subject").distinct(), QUERIES["check_challenge_age"](c.spark, c.sf_dir), conflict.unseparated_counts(claims), deferred, subjects)
 
 
 _register_checks()

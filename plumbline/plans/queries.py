@@ -326,9 +326,16 @@ def _(c):
     return trail.miss_report(c.misses())
 
 
-@query("debt", "SELECT signal, count(*) AS owed, count(DISTINCT path) AS paths FROM (SELECT path, unnest(signals) AS signal FROM trail WHERE op = 'promote' AND outcome = 'ok') GROUP BY 1")
+@query("debt", """WITH p AS (SELECT * FROM trail WHERE op = 'promote' AND outcome = 'ok'), s AS (SELECT signal, count(*) AS owed, count(DISTINCT path) AS paths FROM (SELECT path, unnest(signals) AS signal FROM p) GROUP BY 1)
+SELECT signal, owed, paths, (SELECT count(*) FROM p) AS promotions, (SELECT count(*) FROM events WHERE event_id % 97 = 5) AS unreadable FROM s""")
 def _(c):
-    return trail.debt(c.trail())
+    return trail.debt(c.trail(), c.malformed_lines())
+
+
+@query("debt_carried", "SELECT line, path, unnest(signals) AS signal, actor FROM trail WHERE op = 'promote' AND outcome = 'ok' AND path IN (SELECT 'c/' || (event_id % 20) FROM events)")
+def _(c):
+    paths = c.raw("events").select(F.concat(F.lit("c/"), F.col("event_id") % 20).alias("path")).distinct()
+    return trail.carried(c.trail(), paths)
 
 
 @query("outstanding", """WITH r AS (SELECT *, max(CASE WHEN op = 'discard' OR (op = 'promote' AND outcome = 'ok') THEN line END) OVER (PARTITION BY path) AS last_reset FROM trail)
@@ -348,9 +355,13 @@ def _(c):
     return trail.withheld_claims(c.trail())
 
 
-@query("domain_history", "SELECT split_part(path, '/', 1) AS domain, actor, count(*) AS decisions FROM trail WHERE op = 'promote' AND trim(actor) <> '' GROUP BY ALL")
+@query("domain_history", """WITH d AS (SELECT CASE WHEN l_partkey % 9 = 0 THEN '' WHEN l_partkey % 9 < 4 THEN 'flat' || (l_suppkey % 7) ELSE 'area' || (l_partkey % 40) || '.limit.' || l_partkey END AS subject, CASE WHEN l_suppkey % 6 = 0 THEN ' ' ELSE 'human:' || (l_suppkey % 30) END AS actor FROM lineitem WHERE l_quantity > 20),
+n AS (SELECT split_part(subject, '.', 1) AS domain, actor, count(*) AS decisions FROM d WHERE subject <> '' AND trim(actor) <> '' GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY domain ORDER BY decisions DESC, actor)::INTEGER AS place FROM n""")
 def _(c):
-    return trail.domain_history(c.trail())
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    subject = F.when(part % 9 == 0, "").when(part % 9 < 4, F.concat(F.lit("flat"), supp % 7)).otherwise(F.concat(F.lit("area"), part % 40, F.lit(".limit."), part))
+    actor = F.when(supp % 6 == 0, " ").otherwise(F.concat(F.lit("human:"), supp % 30))
+    return trail.domain_history(c.raw("lineitem").where("l_quantity > 20").select(subject.alias("subject"), actor.alias("actor")))
 
 
 @query("record_retrievals", 'SELECT claim_id, count(*) AS returns, max("at") AS last_at FROM retrievals GROUP BY 1')
@@ -405,9 +416,10 @@ def _(c):
     return trail.exchanges(c.turns())
 
 
-@query("repeated_questions", _EXCHANGES + r" SELECT split_part(lower(trim(regexp_replace(question, '\s+', ' ', 'g'))), ' ', 1) AS key, count(*) AS asked, arg_min(question, (session_id, pos)) AS question, arg_max(answer, (session_id, pos)) AS answer, count(DISTINCT session_id) AS sessions, CASE WHEN count(DISTINCT session_id) > 1 THEN 'recurring' ELSE 'retried' END AS kind FROM ex GROUP BY 1 HAVING count(*) >= 2")
+@query("repeated_questions", _EXCHANGES + r""" SELECT lower(trim(regexp_replace(question, '\s+', ' ', 'g'))) AS key, count(*) AS asked, arg_min(question, (session_id, pos)) AS question, arg_max(answer, (session_id, pos)) AS answer,
+string_agg(session_id || ':' || pos, ',' ORDER BY session_id, pos) AS turns, count(DISTINCT session_id) AS sessions, CASE WHEN count(DISTINCT session_id) > 1 THEN 'recurring' ELSE 'retried' END AS kind FROM ex GROUP BY 1 HAVING count(*) >= 2""")
 def _(c):
-    return trail.repeated_questions(trail.exchanges(c.turns()), F.substring_index(fx.fold_lower(F.col("question")), " ", 1))
+    return trail.repeated_questions(trail.exchanges(c.turns()))
 
 
 # ---------------------------------------------------------------- conflicts, duplicates, populations
@@ -438,9 +450,13 @@ def _(c):
     return conflict.duplicate_titles(c.documents())
 
 
-@query("evidence_divergence", "SELECT pos AS anchor, uri, count(DISTINCT version) AS versions, count(DISTINCT doc_id) AS documents FROM citations GROUP BY 1, 2 HAVING count(DISTINCT version) >= 2")
+@query("evidence_divergence", r"""WITH s AS (SELECT l_orderkey AS doc_id, l_partkey AS uri, l_suppkey::VARCHAR AS version, CASE WHEN l_linenumber % 2 = 0 THEN 'The  limit of part ' || (l_partkey % 50) ELSE 'The limit of ' || chr(8220) || 'part' || chr(8221) || ' ' || (l_partkey % 50) END AS anchor FROM lineitem),
+f AS (SELECT doc_id, uri, version, trim(regexp_replace(translate(anchor, '“”', '""'), '\s+', ' ', 'g')) AS anchor FROM s), v AS (SELECT anchor, uri, version, count(DISTINCT doc_id) AS n FROM f GROUP BY 1, 2, 3),
+d AS (SELECT anchor, uri, count(DISTINCT doc_id) AS documents FROM f GROUP BY 1, 2) SELECT anchor, uri, count(*) AS versions, any_value(documents) AS documents, string_agg(version || ' in ' || n, '; ' ORDER BY version) AS shown FROM v JOIN d USING (anchor, uri) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def _(c):
-    return conflict.evidence_divergence(c.citations(), F.col("pos"))
+    part = F.col("uri") % 50
+    anchor = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("The  limit of part "), part)).otherwise(F.concat(F.lit("The limit of “part” "), part))
+    return conflict.evidence_divergence(c.citations().select("doc_id", "uri", "version", anchor.alias("anchor")))
 
 
 @query("subject_population", """WITH h AS (SELECT DISTINCT uri, doc_id, archive_path FROM citations), d AS (SELECT DISTINCT uri, doc_id FROM h),

@@ -220,8 +220,9 @@ def _(c):
 
 
 _ARCHIVE = f"""arch AS (SELECT uri AS source, string_agg(quote, ' ' ORDER BY quote) AS text FROM (SELECT DISTINCT uri, unnest(quotes) AS quote FROM statements) WHERE uri % 9 <> 0 GROUP BY 1),
-quoted AS (SELECT claim_id, pos, CASE WHEN uri % 4 = 0 THEN uri + 1 ELSE uri END AS source, unnest(CASE WHEN pos = 2 THEN list_append(quotes, 'too short') ELSE quotes END) AS quote FROM statements),
-stated AS (SELECT claim_id, pos, source, quote, CASE WHEN len(string_split({FOLD.format('quote')}, ' ')) < 6 OR text IS NULL THEN 'unchecked' WHEN contains({FOLD.format('text')}, {FOLD.format('quote')}) THEN 'found' ELSE 'missing' END AS state FROM quoted LEFT JOIN arch USING (source))"""
+quoted AS (SELECT claim_id, pos, CASE WHEN uri % 4 = 0 THEN uri + 1 ELSE uri END AS source, unnest(CASE WHEN pos = 2 THEN list_append(quotes, 'too short') WHEN pos IN (3, 6) THEN list_append(quotes, quotes[1] || ' … ' || quotes[CASE WHEN pos = 3 THEN 2 ELSE 1 END] || '...') ELSE quotes END) AS quote FROM statements),
+pieces AS (SELECT *, list_filter(list_transform(string_split(replace({FOLD.format('quote')}, '...', '…'), '…'), lambda x: trim(x)), lambda x: x <> '') AS p, {FOLD.format('text')} AS t FROM quoted LEFT JOIN arch USING (source)),
+stated AS (SELECT claim_id, pos, source, quote, CASE WHEN t IS NULL OR len(list_filter(p, lambda x: len(string_split(x, ' ')) < 6)) > 0 THEN 'unchecked' WHEN contains(t, p[1]) AND (len(p) = 1 OR contains(substr(t, instr(t, p[1]) + length(p[1])), p[2])) THEN 'found' ELSE 'missing' END AS state FROM pieces)"""
 
 
 def archive(c):
@@ -231,8 +232,10 @@ def archive(c):
 
 
 def quoted(c):
-    """Quotes of statements; some look in another source than their own, some are short."""
-    quotes = F.when(F.col("pos") == 2, F.array_append("quotes", F.lit("too short"))).otherwise(F.col("quotes"))
+    """Quotes of statements; some look in another source than their own, some are short, some leave out what stands between."""
+    first, last = F.get("quotes", F.lit(0)), F.get("quotes", F.when(F.col("pos") == 3, 1).otherwise(0))
+    cut = F.concat(first, F.lit(" … "), last, F.lit("..."))
+    quotes = F.when(F.col("pos") == 2, F.array_append("quotes", F.lit("too short"))).when(F.col("pos").isin(3, 6), F.array_append("quotes", cut)).otherwise(F.col("quotes"))
     source = F.when(F.col("uri") % 4 == 0, F.col("uri") + 1).otherwise(F.col("uri"))
     return c.statements().select("claim_id", "pos", source.alias("source"), F.explode(quotes).alias("quote"))
 

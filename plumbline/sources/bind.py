@@ -130,6 +130,10 @@ class Corpus:
         signals = F.when(user % 5 == 0, F.array().cast("array<string>")).when(user % 2 == 0, F.array(F.lit("conflict"))).otherwise(F.array(F.lit("conflict"), F.lit("hedging")))
         return self.raw("events").select(F.col("event_id").alias("line"), F.col("ts").alias("at"), op.alias("op"), actor.alias("actor"), F.concat(F.lit("c/"), F.col("event_id") % 50).alias("path"), F.when(F.col("value") < 40, "ok").otherwise("blocked").alias("outcome"), signals.alias("signals"))
 
+    def malformed_lines(self) -> DataFrame:
+        """Lines of the audit log that don't parse, by number."""
+        return self.raw("events").where("event_id % 97 = 5").select(F.col("event_id").alias("line"))
+
     def misses(self) -> DataFrame:
         """The miss log: ``line, op, reason, key, check``."""
         op = F.when(F.col("event_type") == "view", "extract").when(F.col("event_type") == "click", "accrete").otherwise("critique")
@@ -143,8 +147,12 @@ class Corpus:
         return self.raw("events").where(F.col("event_type") == "view").select(F.col("event_id").alias("line"), claim.alias("claim_id"), F.col("ts").alias("at"))
 
     def turns(self) -> DataFrame:
+        """The turns of sessions; users ask a few questions again, in other letters and spacing, within a session and in others."""
         rows = self.raw("conversations").where(F.col("role").isin("user", "assistant"))
-        return rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), "role", "text")
+        again = F.concat(F.lit("How  do I restart the queue of node "), F.col("conv_id") % 37, F.lit("?"))
+        again = F.when(F.col("turn") % 4 < 2, F.upper(again)).otherwise(again)
+        text = F.when((F.col("role") == "user") & ((F.col("conv_id") * 3 + F.col("turn")) % 5 == 0), again).otherwise(F.col("text"))
+        return rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), "role", text.alias("text"))
 
 
 SQL_TABLES = """
@@ -164,4 +172,4 @@ trail AS (SELECT event_id AS line, ts AS "at", CASE event_type WHEN 'view' THEN
 misses AS (SELECT event_id AS line, CASE event_type WHEN 'view' THEN 'extract' WHEN 'click' THEN 'accrete' ELSE 'critique' END AS op,
   CASE user_id % 3 WHEN 0 THEN 'no_deterministic_path' WHEN 1 THEN 'no_deterministic_predicate' ELSE 'ambiguous_source' END AS reason, CASE WHEN event_id % 7 <> 0 THEN 'k' || (event_id % 400) END AS key, 'check' || (user_id % 4) AS "check" FROM events),
 retrievals AS (SELECT event_id AS line, user_id || '#' || (event_id % 7) AS claim_id, ts AS "at" FROM events WHERE event_type = 'view'),
-turns AS (SELECT conv_id AS session_id, turn AS pos, role, text FROM conversations WHERE role IN ('user', 'assistant')),""" + SQL_PROSE.strip() + "\n"
+turns AS (SELECT conv_id AS session_id, turn AS pos, role, CASE WHEN role = 'user' AND (conv_id * 3 + turn) % 5 = 0 THEN CASE WHEN turn % 4 < 2 THEN upper('How  do I restart the queue of node ' || (conv_id % 37) || '?') ELSE 'How  do I restart the queue of node ' || (conv_id % 37) || '?' END ELSE text END AS text FROM conversations WHERE role IN ('user', 'assistant')),""" + SQL_PROSE.strip() + "\n"
