@@ -1,14 +1,18 @@
 """Corpus checks as one finding table, admission rules and the promotion gate.
 
-A check is a function to findings ``(severity, category, path, message)``; one
-whose inputs say nothing (no links at all, no types used) is listed as skipped.
+A check makes findings ``(severity, path, message)`` from the tables; one whose
+tables hold nothing that it could speak of (no links at all, no types used) is
+listed as skipped, with the reason.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import HIDDEN_SCOPE, SCAN_RULES
@@ -108,9 +112,64 @@ def finding(rows: DataFrame, severity: str, category: str, path: Column, message
     return rows.select(F.lit(severity).alias("severity"), F.lit(category).alias("category"), path.cast("string").alias("path"), message.cast("string").alias("message"))
 
 
-def check_all(checks: list[tuple[DataFrame, str, str, Column, Column]]) -> DataFrame:
-    """All findings of checks ``(rows, severity, category, path, message)``."""
-    return reduce(DataFrame.unionByName, (finding(*check) for check in checks))
+@dataclass(frozen=True)
+class Check:
+    """A check by name: what it finds in the tables, and what these must hold for it to say anything.
+
+    ``run`` makes findings ``(severity, path, message)`` from the tables.
+    ``needs`` are (table, measure, reason): with a measure of zero the check
+    doesn't apply, for that reason.
+    """
+
+    name: str
+    run: Callable[[Observed], DataFrame]
+    needs: tuple[tuple[str, str, str], ...] = ()
+
+
+class Observed:
+    """Tables that count what checks need to know while the checks read them.
+
+    ``make`` builds a table by name, ``measures`` has, by table, which rows of
+    it to count, as SQL conditions by name.  A table is made once and every reader gets that one.
+    """
+
+    def __init__(self, make: Callable[[str], DataFrame], measures: dict[str, dict[str, str]]):
+        self.make, self.measures = make, measures
+        self.tables: dict[str, DataFrame] = {}
+        self.seen: dict[str, Observation] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            made = self.make(name)
+            if name in self.measures:
+                self.seen[name] = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+                made = made.observe(self.seen[name], *[F.count_if(F.expr(c)).alias(m) for m, c in self.measures[name].items()])
+            self.tables[name] = made
+        return self.tables[name]
+
+    def measured(self, table: str, measure: str) -> int:
+        """A measure of a table, after a job has read it."""
+        return self.seen[table].get[measure]
+
+
+def run_checks(checks: list[Check], tables: Observed, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All findings ``(severity, category, path, message)``, and the checks ``(check, reason)`` that didn't apply.
+
+    One job runs all checks and writes their findings to ``folder``; the tables are
+    measured on the way, and what a check found that turns out not to apply is
+    left out.  A check that declines is listed, so it can't be taken for one that
+    found nothing.
+    """
+    parts = [c.run(tables).select("severity", F.lit(c.name).alias("category"), F.col("path").cast("string").alias("path"), F.col("message").cast("string").alias("message")) for c in checks]
+    for table in {t for c in checks for t, _, _ in c.needs}:
+        if table not in tables.seen:
+            parts.append(tables.table(table).where(F.lit(False)).select(*[F.lit("").alias(x) for x in ("severity", "category", "path", "message")]))
+    reduce(DataFrame.unionByName, parts).write.partitionBy("category").parquet(folder)
+    spark = parts[0].sparkSession
+    declined = [(c.name, next(reason for t, m, reason in c.needs if not tables.measured(t, m))) for c in checks if any(not tables.measured(t, m) for t, m, _ in c.needs)]
+    found = spark.read.schema("severity string, path string, message string, category string").parquet(folder)
+    skipped = spark.createDataFrame(declined, "check string, reason string")
+    return found.where(~F.col("category").isin([n for n, _ in declined])).select("severity", "category", "path", "message"), skipped
 
 
 def quote_check(quotes: DataFrame, texts: DataFrame, least_words: int = 6) -> DataFrame:

@@ -12,7 +12,10 @@ from plumbline.operators import checks, conflict, evidence, graph, trail
 from plumbline.plans import claim_queries, more  # noqa: F401  their queries are among the checks
 from plumbline.plans.corpus_queries import _SIGNED, _STATE, _decisions
 from plumbline.plans.queries import _DURABLE, _LAST, _RANK, now
-from plumbline.plans.registry import ORACLE_SQL, QUERIES, query
+from plumbline.plans.registry import MAKERS, ORACLE_SQL, QUERIES, query
+from plumbline.sources.bind import SQL_TABLES
+from plumbline.sources.bind import Corpus as _Corpus
+from plumbline.sources.scratch import fresh_folder
 
 # ---------------------------------------------------------------- signals
 
@@ -90,21 +93,15 @@ def _reconciled_sql(kinds: tuple[str, ...]) -> str:
 
 
 def _reconciled(kinds: tuple[str, ...]):
-    return lambda c: graph.reconcile_findings(QUERIES["reconcile"](c.spark, c.sf_dir), _SEVERITY, kinds)
+    return lambda c: graph.reconcile_findings(MAKERS["reconcile"](c), _SEVERITY, kinds)
 
 
 _IDENTITY, _DRIFTED = ("quarantine", "duplicate", "conflict"), ("index", "update-path", "tombstone")
 for _name, _of in (("check_identity", _IDENTITY), ("check_index_drift", _DRIFTED)):
-    QUERIES[_name] = (lambda make: lambda spark, sf_dir: make(_corpus(spark, sf_dir)))(_reconciled(_of))
+    query(_name, _reconciled_sql(_of))(_reconciled(_of))
     ORACLE_SQL[_name] = _reconciled_sql(_of)
 
 
-def _corpus(spark, sf_dir):
-    from plumbline.sources.bind import Corpus
-
-    return Corpus(spark, sf_dir)
-
-
 _DECIDED = """decided AS (SELECT l_orderkey AS doc_id, l_orderkey || '#' || l_linenumber AS claim_id, l_quantity > 35 AS adjudicated, CASE WHEN l_partkey % 5 = 0 THEN 'human:' || (l_partkey % 3) ELSE ' ' END AS co_signed_by, CASE WHEN l_suppkey % 7 = 0 THEN 'urgent' END AS override_reason, [NULL, 'sole', 'paired', 'quorum'][l_linenumber % 4 + 1] AS authority,
 CASE WHEN l_quantity > 40 THEN l_orderkey || '#1' ELSE '' END AS supersedes, CASE WHEN l_quantity % 3 = 0 THEN '' ELSE 'shown by ' || l_partkey END AS rationale, l_quantity % 4 <> 0 AS warranted FROM lineitem)"""
 
@@ -147,19 +144,62 @@ CHECKS = (
 _KEPT = {"placeholder_markers": "markers > 0"}
 
 
-def findings(c) -> DataFrame:
-    """``(severity, category, path, message)`` of all checks."""
-    out = []
-    for name, severity, path, message in CHECKS:
-        rows = QUERIES[name](c.spark, c.sf_dir).where(_KEPT.get(name, "true"))
-        level = F.lit(severity) if severity else F.col("severity")
-        out.append(rows.select(level.alias("severity"), F.lit(name).alias("category"), F.col(path).cast("string").alias("path"), F.col(message).cast("string").alias("message")))
-    return reduce(DataFrame.unionByName, out)
+#: What the tables must hold for checks to apply, counted while the checks read them.
+MEASURES = {
+    "documents": {"documents": "true", "typed": "trim(type) <> ''", "dated": "stale_after IS NOT NULL", "retired": "status = 'retired'"}, "links": {"internal": "NOT external"},
+    "statements": {"leads": "lead IS NOT NULL", "quoted": "size(quotes) > 0"}, "bounds": {"valued": "value IS NOT NULL", "ranged": "op = '~'"},
+}
+_MEASURES_SQL = {
+    ("documents", "documents"): "SELECT count(*) FROM docs", ("documents", "typed"): "SELECT count(*) FROM docs WHERE trim(type) <> ''", ("documents", "retired"): "SELECT count(*) FROM docs WHERE status = 'retired'", ("documents", "dated"): "SELECT count(stale_after) FROM docs",
+    ("links", "internal"): "SELECT count(*) FROM links WHERE NOT external", ("statements", "leads"): "SELECT count(lead) FROM statements", ("statements", "quoted"): "SELECT count(*) FROM statements WHERE len(quotes) > 0",
+    ("bounds", "valued"): "SELECT count(value) FROM bounds", ("bounds", "ranged"): "SELECT count(*) FROM bounds WHERE op = '~'",
+}
+#: What each check needs: table, measure and what is said where there is none.
+NEEDS = {
+    "broken_link": ("links", "internal", "no document links to another"), "orphan_documents": ("links", "internal", "no document links to another"), "check_lead": ("statements", "leads", "no claim has a lead"), "check_coverage": ("statements", "quoted", "no claim has a quote"),
+    "check_rung": ("statements", "quoted", "no claim has a quote"), "check_evidence": ("statements", "quoted", "no claim has a quote"), "duplicate_evidence": ("statements", "quoted", "no claim has a quote"), "interval_conflict": ("bounds", "valued", "no claim has a bound that can be read"),
+    "constraint_coverage": ("bounds", "valued", "no claim has a bound that can be read"), "dimension_drift": ("bounds", "ranged", "no claim has a bound of two ends"), "check_stale": ("documents", "dated", "no document says how long it holds"), "type_usage": ("documents", "typed", "no document has a type"),
+    "stale_conflict_edge": ("documents", "retired", "no document is retired"), "duplicate_titles": ("documents", "documents", "there are no documents"), "check_filename_drift": ("documents", "documents", "there are no documents"),
+}
+
+
+class _ObservedCorpus(_Corpus):
+    """The corpus whose tables are measured while they are read; the four that most checks read are made once."""
+
+    def __init__(self, spark, sf_dir):
+        super().__init__(spark, sf_dir)
+        plain = _Corpus(spark, sf_dir)
+        self.observed = checks.Observed(lambda name: getattr(plain, name)(), MEASURES)
+
+
+for _table in MEASURES:
+    setattr(_ObservedCorpus, _table, lambda self, name=_table: self.observed.table(name))
+
+
+def _check(name: str, severity: str | None, path: str, message: str, corpus: _Corpus) -> checks.Check:
+    def run(_: checks.Observed) -> DataFrame:
+        rows = MAKERS[name](corpus).where(_KEPT.get(name, "true"))
+        return rows.select((F.lit(severity) if severity else F.col("severity")).alias("severity"), F.col(path).alias("path"), F.col(message).alias("message"))
+
+    return checks.Check(name, run, (NEEDS[name],) if name in NEEDS else ())
+
+
+def checked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Findings of all checks and the skipped ones."""
+    corpus = _ObservedCorpus(spark, sf_dir)
+    listed = [_check(*x, corpus) for x in CHECKS]
+    return checks.run_checks(listed, corpus.observed, fresh_folder(spark, "findings"))
+
+
+#: Checks that the given tables never have what they need for.
+_NEVER = [n for n, (t, m, _) in NEEDS.items() if m in ("ranged", "retired")]
 
 
 def _findings_sql() -> str:
     parts = []
     for name, severity, path, message in CHECKS:
+        if name in _NEVER:
+            continue
         level = f"'{severity}'" if severity else "severity"
         parts.append(f"SELECT {level} AS severity, '{name}' AS category, \"{path}\"::VARCHAR AS path, \"{message}\"::VARCHAR AS message FROM ({ORACLE_SQL[name]}) WHERE {_KEPT.get(name, 'true')}")
     return " UNION ALL ".join(parts)
@@ -167,9 +207,11 @@ def _findings_sql() -> str:
 
 def _register_checks() -> None:
     sql = _findings_sql()
-    QUERIES["check_all"] = lambda spark, sf_dir: checks.digest_of(findings(_corpus(spark, sf_dir)))
+    QUERIES["check_all"] = lambda spark, sf_dir: checks.digest_of(checked(spark, sf_dir)[0])
     ORACLE_SQL["check_all"] = f"SELECT severity, category, count(*) AS findings, count(DISTINCT path) AS paths, min(path) AS first_path, sum(('0x' || substr(sha256(coalesce(path, '') || '|' || coalesce(message, '')), 1, 12))::BIGINT)::HUGEINT::VARCHAR AS digest FROM ({sql}) GROUP BY 1, 2"
-    QUERIES["check_summary"] = lambda spark, sf_dir: trail.findings_gate(findings(_corpus(spark, sf_dir)))
+    QUERIES["checks_skipped"] = lambda spark, sf_dir: checked(spark, sf_dir)[1]
+    ORACLE_SQL["checks_skipped"] = f"WITH {SQL_TABLES}" + " UNION ALL ".join(f"SELECT '{n}' AS \"check\", '{reason}' AS reason WHERE ({_MEASURES_SQL[t, m]}) = 0" for n, (t, m, reason) in NEEDS.items())
+    QUERIES["check_summary"] = lambda spark, sf_dir: trail.findings_gate(checked(spark, sf_dir)[0])
     ORACLE_SQL["check_summary"] = f"SELECT count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'error') > 0 AS blocks FROM ({sql})"
 
 

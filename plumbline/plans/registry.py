@@ -10,12 +10,15 @@ from plumbline.sources.bind import SQL_TABLES, Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The functions behind the queries, for use on a corpus that is there.
+MAKERS: dict[str, Callable[[Corpus], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None):
     """Register a function of a ``Corpus``; ``sql`` may use the corpus tables by name."""
 
     def register(make: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
+        MAKERS[name] = make
         QUERIES[name] = lambda spark, sf_dir: make(Corpus(spark, sf_dir))
         if sql:
             body = sql.strip()
