@@ -126,16 +126,19 @@ def kept_positions(documents: DataFrame, lengths: list[int], bits: np.ndarray, k
 
 def with_word_counts(rows: DataFrame, drop: list[str]) -> DataFrame:
     """``rows`` plus ``n_words`` of their ``text``, without the columns ``drop``."""
-    fields = [f for f in rows.schema.fields if f.name not in drop]
+    kept = [c for c in rows.columns if c not in drop]
+    plain = {c: f"c{i}" for i, c in enumerate(rows.columns)}  # names as tasks see them, whatever signs the real ones have
+    fields = [T.StructField(plain[c], rows.schema[c].dataType) for c in kept]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tb.text_buffer(batch.column("text"))
+            data, offsets = tb.text_buffer(batch.column(plain["text"]))
             found = [np.diff(tb.spans(_WORD[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])[2]) for a, b in tb.row_blocks(offsets)]
             n = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(n)], [*(f.name for f in fields), "n_words"])
 
-    return rows.mapInArrow(work, T.StructType([*fields, T.StructField("n_words", T.LongType())]))
+    found = rows.select(*(column(c).alias(name) for c, name in plain.items())).mapInArrow(work, T.StructType([*fields, T.StructField("n_words", T.LongType())]))
+    return found.select(*(F.col(plain[c]).alias(c) for c in kept), "n_words")
 
 
 def merged(spans: Column) -> Column:
@@ -167,7 +170,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 10, k:
     Null and empty texts have no words.  Rows with equal ids are judged each by
     itself; items with equal ids count once; an item without id marks words but
     is not listed.  Columns of ``documents`` named like the added ones are
-    replaced.  Windows are equal if all their 64-bit word hashes are.
+    replaced, others kept whatever their names.  Very long texts are searched whole.
+    An empty table gives no rows.  Windows are equal if all their 64-bit word hashes are.
     """
     scratch = Scratch(documents.sparkSession, "decontaminate")
     carry = without(documents.columns if carry is None else carry, _ADDED)

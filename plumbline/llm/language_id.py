@@ -210,23 +210,27 @@ def identify(documents: DataFrame, model: Model, carry: list[str] | None = None)
     Only ``text`` is looked at, whole.  A null text or one without a letter is
     ``und`` with score 0, as is everything under a model that learned nothing.
     Ties go to the language first in code point order.  Repeated rows are judged
-    each by itself; columns named like the added ones are replaced.
+    each by itself; columns named like the added ones are replaced, others kept
+    whatever their names.  Very long texts are scored whole.  An empty table gives
+    no rows.
     """
     carry = without(documents.columns if carry is None else carry, ("lang_pred", "score"))
-    fields = {f.name: f for f in documents.schema.fields}
+    plain = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*carry, "text"]))}  # names as tasks see them, whatever signs the real ones have
+    fields = {f.name: f.dataType for f in documents.schema.fields}
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*shared.value.langs, UNKNOWN], object)
         for batch in batches:
-            data, offsets = tb.text_buffer(batch.column("text"))
+            data, offsets = tb.text_buffer(batch.column(plain["text"]))
             parts = [_predict(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shared.value) for a, b in tb.row_blocks(offsets)]
             best, score = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0))
-            made = [*(batch.column(c) for c in carry), pa.array(names[best], pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(made, [*carry, "lang_pred", "score"])
+            made = [*(batch.column(plain[c]) for c in carry), pa.array(names[best], pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(made, [*(plain[c] for c in carry), "lang_pred", "score"])
 
-    schema = T.StructType([*(fields[c] for c in carry), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return documents.select(*map(column, dict.fromkeys([*carry, "text"]))).mapInArrow(work, schema)
+    schema = T.StructType([*(T.StructField(plain[c], fields[c]) for c in carry), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = documents.select(*(column(c).alias(name) for c, name in plain.items())).mapInArrow(work, schema)
+    return found.select(*(F.col(plain[c]).alias(c) for c in carry), "lang_pred", "score")
 
 
 def training_rows(documents: DataFrame) -> DataFrame:

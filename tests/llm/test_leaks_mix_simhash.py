@@ -48,6 +48,19 @@ def test_leaks_equal_brute_force(spark, documents, rows):
     assert set(documents.columns) < set(out.columns)
 
 
+def test_names_with_signs(spark, documents):
+    from plumbline.llm import language_id
+
+    odd = documents.where("doc_id < 20").withColumns({"a.b": F.lit(1), "a`b": F.lit(2), "a b": F.lit(3), "n": F.lit(4)})
+    bench = spark.createDataFrame([(1, "aa bb cc dd ee ff gg hh ii jj kk ll")], "item_id long, text string")
+    out = decontaminate.find_leaks(odd, bench)
+    assert {(r["a.b"], r["a`b"], r["a b"], r.n) for r in out.collect()} == {(1, 2, 3, 4)} and out.where("n_hit > 0").count() == 2
+    assert out.drop("n_words", "n_hit", "hit_spans", "items").columns == odd.columns
+    named = language_id.identify(odd, language_id.train(documents))
+    assert {(r["a.b"], r["a`b"], r["a b"], r.n) for r in named.collect()} == {(1, 2, 3, 4)} and named.columns == [*odd.columns, "lang_pred", "score"]
+    assert {r.text for r in named.collect()} == {r.text for r in odd.collect()}
+
+
 def test_leaks_of_nothing(documents, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(documents, none).where("n_hit > 0").count() == 0
