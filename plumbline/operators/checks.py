@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -137,6 +138,7 @@ class Observed:
         self.make, self.measures = make, measures
         self.tables: dict[str, DataFrame] = {}
         self.seen: dict[str, Observation] = {}
+        self.counts: dict[str, dict[str, int]] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -148,8 +150,14 @@ class Observed:
         return self.tables[name]
 
     def measured(self, table: str, measure: str) -> int:
-        """A measure of a table, after a job has read it."""
-        return self.seen[table].get[measure]
+        """A measure of a table, after a job has read it; one that no job read, or that Spark left out as empty, is counted."""
+        if table not in self.counts:
+            try:
+                self.counts[table] = self.seen[table].get
+            except (KeyError, Py4JJavaError):
+                rows = self.make(table)
+                self.counts[table] = rows.agg(*[F.count_if(F.expr(c)).alias(m) for m, c in self.measures[table].items()]).first().asDict()
+        return self.counts[table][measure]
 
 
 def run_checks(checks: list[Check], tables: Observed, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -161,9 +169,6 @@ def run_checks(checks: list[Check], tables: Observed, folder: str) -> tuple[Data
     found nothing.
     """
     parts = [c.run(tables).select("severity", F.lit(c.name).alias("category"), F.col("path").cast("string").alias("path"), F.col("message").cast("string").alias("message")) for c in checks]
-    for table in {t for c in checks for t, _, _ in c.needs}:
-        if table not in tables.seen:
-            parts.append(tables.table(table).where(F.lit(False)).select(*[F.lit("").alias(x) for x in ("severity", "category", "path", "message")]))
     reduce(DataFrame.unionByName, parts).write.partitionBy("category").parquet(folder)
     spark = parts[0].sparkSession
     declined = [(c.name, next(reason for t, m, reason in c.needs if not tables.measured(t, m))) for c in checks if any(not tables.measured(t, m) for t, m, _ in c.needs)]

@@ -43,8 +43,8 @@ def test_sessions(spark):
     rows = [("s", 0, "user", "how?"), ("s", 1, "assistant", "a"), ("s", 2, "assistant", "b"), ("s", 3, "user", " "), ("s", 4, "assistant", "lost"), ("s", 5, "user", "How?"), ("s", 6, "assistant", "c"), ("t", 0, "user", "open")]
     found = trail.exchanges(spark.createDataFrame(rows, "session_id string, pos int, role string, text string"))
     assert [(r.pos, r.answer) for r in found.orderBy("pos").collect()] == [(0, "a\n\nb"), (5, "c")]
-    again = trail.repeated_questions(found, F.lower("question")).first()
-    assert (again.asked, again.question, again.answer, again.kind) == (2, "how?", "c", "retried")
+    again = trail.repeated_questions(found).first()
+    assert (again.asked, again.question, again.answer, again.turns, again.kind) == (2, "how?", "c", "s:0,s:5", "retried")
 
 
 def test_sample_is_stable(spark):
