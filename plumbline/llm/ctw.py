@@ -427,7 +427,8 @@ def score_texts(documents: DataFrame, training: Column, depth: int = 5, frequent
     get (16 bytes a row); all other words and sequences are joined.  Null text is
     empty and has its end only.  Repeated rows are scored each by itself and
     count again in training.  With nothing to learn from, all counts are 0 and
-    bytes even.
+    bytes even.  Very long texts are scored whole, slice by slice.  An empty table
+    gives no rows.  Further columns are left.
     """
     if not 3 <= depth <= 7:
         raise ValueError("depth must be 3 to 7")

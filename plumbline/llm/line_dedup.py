@@ -146,7 +146,8 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, ba
 
     Null text is empty and has one empty line.  Rows with equal doc_id count as
     one document; a null doc_id is smaller than all others and all null ones
-    count as one.  Extra columns are kept.  An empty table gives an empty result.
+    count as one.  Extra columns are kept.  Very long texts are split whole.  An empty
+    table gives an empty result.
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "line-dedup")
     lines = scratch.put(line_table(documents, min_chars), "lines")

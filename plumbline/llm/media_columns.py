@@ -194,6 +194,7 @@ def text_media(documents: DataFrame) -> DataFrame:
     media stand at ``pos`` among them.  Null text is empty; empty text is one row
     of blanks.  Equal texts have one digest and equal values; each
     row gets its own, also when ids repeat or are null.  Extra columns are left.
+    Very long texts are stored whole.  An empty table gives no rows.
     Media are written compressed where their text is, with no shuffle of payloads.
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "media")

@@ -116,7 +116,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3,
     size, so reruns agree.  Rows without words are never taken.  A null source is
     a source of its own; rows with equal ids are separate documents and those
     that are equal in every used column are taken together.  Columns named like
-    the added ones are replaced.  An empty table gives an empty result.
+    the added ones are replaced.  Very long texts are one document with all their
+    words.  An empty table gives an empty result.
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "mixing")
     added = ["size", "source_size", "target", "copies", "taken"]

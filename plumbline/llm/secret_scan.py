@@ -84,7 +84,8 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules_ve
     by pre-aggregated digests.  Texts move once, by digest and doc_id, so that
     thousands of copies of a text spread over all tasks.  Null text is empty;
     repeated rows and copies share a blob and each get its findings; a null
-    doc_id is a path like any other.
+    doc_id is a path like any other.  Very long texts are scanned whole.  An empty
+    table gives no findings and leaves the ledger as it was.
     """
     spark, scratch = versions.sparkSession, Scratch(versions.sparkSession, "secret-scan")
     kept = without(versions.columns, ("blob", "spans"))
