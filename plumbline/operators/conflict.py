@@ -26,13 +26,15 @@ def contradicted(bounds: DataFrame) -> DataFrame:
 def _dealt(ends: DataFrame, keys: list[str], per_range: int) -> DataFrame:
     """``ends (keys, claim_id, at, side)`` plus ``range``: each key's ends in order, ``per_range`` to a range, equal ends together.
 
-    Counts per distinct end come first, so ends that many claims share are one row
-    of the running sum.
+    Keys of no more ends than that are one range, and nothing of theirs is sorted
+    or joined.  For the others counts per distinct end come first, so ends that
+    many claims share are one row of the running sum.
     """
-    counts = ends.groupBy(*keys, "at").agg(F.count("*").alias("n"))
+    large = ends.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > per_range).select(*keys)
+    counts = ends.join(large, keys, "left_semi").groupBy(*keys, "at").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranges = counts.withColumn("range", F.floor(before / per_range).cast("long")).select(*keys, "at", "range")
-    return ends.join(ranges, [*keys, "at"])
+    return ends.join(ranges, [*keys, "at"], "left").na.fill(0, ["range"])
 
 
 def interval_conflicts(bounds: DataFrame, per_range: int = 4096) -> DataFrame:
@@ -53,8 +55,9 @@ def interval_conflicts(bounds: DataFrame, per_range: int = 4096) -> DataFrame:
     ends = _dealt(above.unionByName(below), keys, per_range)
     lows = ends.where("side = 'low'").select(*keys, F.col("claim_id").alias("a"), F.col("at").alias("low"), F.col("range").alias("mine"))
     highs = ends.where("side = 'high'").select(*keys, "range", F.col("claim_id").alias("b"), F.col("at").alias("high"))
-    held = highs.groupBy(*keys).agg(F.sort_array(F.collect_set("range")).alias("ranges"))
-    lower = lows.join(held, keys).select(*keys, "a", F.explode(F.filter("ranges", lambda r: r < F.col("mine"))).alias("range"))
+    above_others = lows.where("mine > 0")
+    held = highs.join(above_others.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_set("range")).alias("ranges"))
+    lower = above_others.join(held, keys).select(*keys, "a", F.explode(F.filter("ranges", lambda r: r < F.col("mine"))).alias("range"))
     far = lower.join(highs, [*keys, "range"])
     near = lows.withColumnRenamed("mine", "range").join(highs, [*keys, "range"]).where(F.col("low") > F.col("high"))
     pairs = far.select(*keys, "a", "b").unionByName(near.select(*keys, "a", "b")).where(F.col("a") != F.col("b"))
