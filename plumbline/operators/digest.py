@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,26 +41,63 @@ def row_blocks(df: DataFrame, spec: str, rows_per_block: int = 4096) -> DataFram
     Equal rows are one with their number.  A block ends after a row whose own hash
     says so, one in ``rows_per_block``: cuts don't depend on what stands before,
     so a row more or less changes one block or two and leaves the others alone.
-    Rows are range-sorted, and the numbers of cuts in the partitions before give
-    each its first block; no key, however frequent, gathers in a task.
+    Rows are range-sorted and each task hashes its blocks as they pass; only the
+    hashes of a task's first and last block, which may go on in the tasks beside
+    it, are handed on to be hashed together.  No key, however frequent, gathers in
+    a task.
     """
     order, rest = columns_of(spec)
-    keys = [F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(order)]
-    rows = df.select(*keys, framed([*order, *rest]).alias("row")).groupBy(*[f"k{i}" for i in range(len(order))], "row").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("h", hashed(F.concat("row", F.lit("x"), F.col("n").cast("string")))).drop("row")
-    by = [F.asc_nulls_first(c) for c in (*[f"k{i}" for i in range(len(order))], "h")]
+    cells = [F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate([*order, *rest])]
+    names, keys = [f"c{i}" for i in range(len(cells))], [f"c{i}" for i in range(len(order))]
+    rows = df.select(*cells).groupBy(*names).agg(F.count("*").alias("n"))
+    rows = rows.select(*keys, "n", F.unhex(hashed(F.concat(framed(names), F.lit("x"), F.col("n").cast("string")))).alias("h"))
+    by = [F.asc_nulls_first(c) for c in (*keys, "h")]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).select(F.spark_partition_id().alias("part"), F.col("c0").alias("first"), "n", "h")
     folder = fresh_folder(df.sparkSession, "digest")
-    cut = (F.conv(F.substring("h", 50, 15), 16, 10).cast("long") % rows_per_block == 0).cast("long")
-    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    ordered.select(F.col("k0").alias("first"), "n", "h", cut.alias("cut"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")).write.parquet(folder)
-    dealt = df.sparkSession.read.parquet(folder)
-    w = W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    within = dealt.withColumn("before", F.coalesce(F.sum("cut").over(w), F.lit(0)))
-    starts = dealt.groupBy("part").agg(F.sum("cut").alias("cuts"))
+    ordered.mapInArrow(_pieces(rows_per_block), _PIECES).write.parquet(folder)
+    pieces = df.sparkSession.read.schema(_PIECES).parquet(folder)
+    starts = pieces.groupBy("part").agg(F.sum("cut").alias("cuts"))
     starts = starts.select("part", F.coalesce(F.sum("cuts").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    blocks = within.join(starts, "part").groupBy((F.col("start") + F.col("before")).alias("block"))
-    out = blocks.agg(F.sum("n").alias("rows"), F.sort_array(F.collect_list(F.struct("part", "at", "first", "h"))).alias("x"))
-    return out.select("block", F.col("x")[0]["first"].alias("first"), "rows", hashed(F.array_join("x.h", "")).alias("digest"))
+    blocks = pieces.join(starts, "part").groupBy((F.col("start") + F.col("local")).alias("block"))
+    out = blocks.agg(F.sum("rows").alias("rows"), F.max("digest").alias("whole"), F.sort_array(F.collect_list(F.struct("part", "first", "hashes"))).alias("x"))
+    return out.select("block", F.col("x")[0]["first"].alias("first"), "rows", F.coalesce("whole", hashed(F.array_join("x.hashes", ""))).alias("digest"))
+
+
+_PIECES = "part int, local long, first string, rows long, cut long, digest string, hashes string"
+
+
+def _pieces(rows_per_block: int):
+    """Blocks, or parts of blocks, of sorted rows ``(part, first, n, h)`` of one partition; the first and the last piece come with their hashes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, local, open_, text, sha = 0, 0, None, [], hashlib.sha256()
+
+        def piece(cut: int) -> pa.RecordBatch:
+            bare = local > 0 and cut
+            row = (part, local, open_[0], open_[1], cut, sha.hexdigest() if bare else None, None if bare else "".join(text))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["part", "local", "first", "rows", "cut", "digest", "hashes"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            part, raw = batch.column("part")[0].as_py(), b"".join(batch.column("h").to_pylist())
+            low = np.frombuffer(raw, ">u8").reshape(-1, 4)[:, 3] & np.uint64((1 << 60) - 1)
+            ends = (np.flatnonzero(low % np.uint64(rows_per_block) == 0) + 1).tolist()
+            n, line, start = batch.column("n").to_numpy(), raw.hex(), 0
+            for stop, cut in [*((x, True) for x in ends), (len(batch), False)]:
+                if stop > start:
+                    open_ = open_ or [batch.column("first")[start].as_py(), 0]
+                    open_[1] += int(n[start:stop].sum())
+                    text.append(line[64 * start : 64 * stop])
+                    sha.update(text[-1].encode())
+                if cut:
+                    yield piece(1)
+                    local, open_, text, sha = local + 1, None, [], hashlib.sha256()
+                start = stop
+        if open_:
+            yield piece(0)
+
+    return work
 
 
 def root(blocks: DataFrame, fanout: int = 64) -> DataFrame:

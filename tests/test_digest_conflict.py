@@ -87,3 +87,24 @@ def test_cover_test_equals_brute_force(spark):
     assert {r.uri: r.disjoint for r in out.collect()} == want
     plan = conflict.cover_test(held)._jdf.queryExecution().optimizedPlan().toString()
     assert "bitmap_or_agg" in plan and "arrays_overlap" not in plan
+
+
+def test_pairs_of_claims_with_several_bounds_are_formed_once(spark):
+    rows = [("s", "a", True), ("s", "a", False), ("s", "b", True), ("s", "b", False), ("s", "c", True), ("s", "c", True), ("s", "d", None), ("s", "e", False), ("s", "e", False)]
+    found = conflict.unseparated_pairs(spark.createDataFrame(rows, "subject string, claim_id string, parsed boolean"))
+    want = {(x[1], y[1]) for x in rows for y in rows if x[1] < y[1] and (x[2] is False or (y[2] is False and x[2]))}
+    assert sorted((r.first, r.second) for r in found.select("first", "second").collect()) == sorted(want)
+    assert found._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 4  # none after the join
+
+
+def test_blocks_over_tasks_are_those_of_one(spark):
+    rows = [(f"k{i % 50:02}", str(i % 400)) for i in range(3000)]
+    blocks = []
+    for n in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            found = digest.row_blocks(table(spark, rows), SPEC, 16)
+            blocks.append([tuple(r) for r in found.orderBy("block").collect()])
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert blocks[0] == blocks[1] and len(blocks[0]) > 10
