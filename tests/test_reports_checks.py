@@ -101,3 +101,21 @@ def test_signals_meet_once(spark):
     state = lambda *x: spark.createDataFrame(list(x), "doc_id long, state string")
     rows = checks.together(docs, {"hedging": state((1, "fail"), (9, "fail")), "security": state((1, "pass"), (2, "pass"))})
     assert {r.doc_id: (r.hedging, r.security, r.conflict) for r in rows.collect()} == {1: ("fail", "pass", "unchecked"), 2: ("unchecked", "pass", "unchecked")}
+
+
+def test_skipped_checks_run_none(spark):
+    def run(_):
+        raise AssertionError("a check was run")
+
+    tables = {"docs": spark.createDataFrame([(1, "t", None)], "doc_id int, title string, kind string"), "links": spark.createDataFrame([], "a int")}
+    listed = [checks.Check("one", run, (("docs", "titled", "no titles"),)), checks.Check("two", run, (("docs", "kinds", "no kinds"),)), checks.Check("three", run, (("links", "links", "no links"),)), checks.Check("four", run)]
+    observed = checks.Observed(tables.__getitem__, {"docs": {"titled": "title IS NOT NULL", "kinds": "kind IS NOT NULL"}, "links": {"links": "true"}})
+    assert {tuple(r) for r in checks.skipped_checks(listed, observed).collect()} == {("two", "no kinds"), ("three", "no links")}
+
+
+def test_drift_folds_a_text_once(spark):
+    old = spark.createDataFrame([("u", "x", ["the cache holds the hot pages", "short", "one two three four five six"])], "uri string, old_sha string, quotes array<string>")
+    new = spark.createDataFrame([("u", "y", "The text: the  cache holds the hot pages")], "uri string, new_sha string, text string")
+    found = checks.drift(old, new)
+    assert tuple(found.first()) == ("u", "unsupported", "one two three four five six")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(text") == 1
