@@ -16,7 +16,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,7 +127,7 @@ def _predict(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.nd
     has = np.flatnonzero(np.diff(first) > 0)
     if not len(has) or not model.langs:
         return best, score
-    index, distinct = pd.factorize(tb.span_hashes(codes, starts, ends))
+    index, distinct = tb.factorize(tb.span_hashes(codes, starts, ends))
     at = _find(distinct, model.words[0])
     table = np.zeros((len(distinct), len(model.langs)))
     table[at >= 0] = model.words[1][at[at >= 0]]
@@ -145,8 +144,8 @@ def _predict(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.nd
 
 def _summed(hashes: np.ndarray, lang: np.ndarray, times: np.ndarray, langs: int) -> tuple[np.ndarray, ...]:
     """Distinct pairs of hash and language with their summed times, and where each stands for the first time."""
-    index, distinct = pd.factorize(hashes)
-    pair, pairs = pd.factorize(index * langs + lang)
+    index, distinct = tb.factorize(hashes)
+    pair, pairs = tb.factorize(index * langs + lang)
     example = np.zeros(len(pairs), np.int64)
     example[pair[::-1]] = np.arange(len(pair))[::-1]
     return distinct[pairs // langs], pairs % langs, np.bincount(pair, weights=times, minlength=len(pairs)).astype(np.int64), example
@@ -160,11 +159,13 @@ def _counted(n: int, hashes: np.ndarray, lang: np.ndarray, times: np.ndarray) ->
 def _count_words(sample: DataFrame, longest: int, langs: list[str]) -> DataFrame:
     """``(n, hash, lang, times)`` of words (n = 0) and of n-grams in ``(lang, text)``, summed within batches."""
 
+    place = {lang: i for i, lang in enumerate(langs)}
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.text_buffer(batch.column("text"))
-            of_row = pd.Index(langs).get_indexer(batch.column("lang").to_pylist())
-            for a, b in tb.row_blocks(offsets, 1 << 23):
+            of_row = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
+            for a, b in tb.row_blocks(offsets):  # bounds memory
                 codes, starts, ends, first = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 lang = np.repeat(of_row[a:b], np.diff(first))
                 found, seen, times, example = _summed(tb.span_hashes(codes, starts, ends), lang, np.ones(len(starts)), len(langs))
@@ -197,7 +198,7 @@ def train(documents: DataFrame, max_docs: int = 20_000, longest: int = 4) -> Mod
             tables.append((np.zeros(0, np.uint64), np.zeros((0, 0))))
             continue
         mine = np.flatnonzero(counts["n"].to_numpy() == n)
-        index, hashes = pd.factorize(counts["hash"].to_numpy()[mine])
+        index, hashes = tb.factorize(counts["hash"].to_numpy()[mine])
         table = np.zeros((len(hashes), len(langs)))
         table[index, counts["lang"].to_numpy()[mine]] = counts["times"].to_numpy()[mine]
         tables.append((hashes.view(np.uint64), table))

@@ -13,7 +13,6 @@ import unicodedata
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from plumbline.llm import textbytes as tb
@@ -146,7 +145,7 @@ class PieceEncoder:
     def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of several texts, and how many each has."""
         parts = [(offsets[a], *self._pieces(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in tb.row_blocks(offsets)]
-        index, distinct = pd.factorize(np.concatenate([x[3] for x in parts]))
+        index, distinct = tb.factorize(np.concatenate([x[3] for x in parts]))
         if self.pieces + len(distinct) > self.most_pieces:
             self._clear()
         slots = self._find(distinct)

@@ -133,6 +133,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: i
     return mix(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def factorize(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value its place among the distinct ones, which stand in order of first appearance, and these."""
+    found = pa.array(values).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's signed LONG."""
     return values.view(np.int64)

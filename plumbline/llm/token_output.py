@@ -182,7 +182,7 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str, end_id: int =
 
         def parts() -> Iterator[pa.RecordBatch]:  # bounds memory
             for batch in batches:
-                for a, b in tb.row_blocks(tb.text_buffer(batch.column("text"))[1], 1 << 22):
+                for a, b in tb.row_blocks(tb.text_buffer(batch.column("text"))[1]):
                     yield batch.slice(a, b - a)
 
         for batch in parts():

@@ -1,5 +1,8 @@
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from plumbline.llm import line_dedup, mixing, secret_scan, url_filter
+from plumbline.llm import line_dedup, mixing, secret_scan, textbytes, url_filter
 from plumbline.llm.scratch import Scratch
 from tests.llm.test_leaks_mix_simhash import brute_components, brute_leaks, brute_print
 
@@ -84,3 +87,14 @@ def test_a_table_of_nulls(spark, documents, tmp_path):
     nulls.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() <= 1
+
+
+def test_workers_of_the_stages_load_no_pandas():
+    code = "import sys; from plumbline.llm import language_id, simhash, shingle_sets, decontaminate, mixing, token_output, pretokens; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2]).returncode == 0
+
+
+def test_factorize_numbers_values_by_first_appearance():
+    index, distinct = textbytes.factorize(np.array([7, 2, 7, 2**64 - 1, 2], np.uint64))
+    assert index.tolist() == [0, 1, 0, 2, 1] and distinct.tolist() == [7, 2, 2**64 - 1]
+    assert all(not len(x) for x in textbytes.factorize(np.zeros(0, np.uint64)))
