@@ -32,14 +32,26 @@ def occurs(line: Column, phrase: Column) -> Column:
     return found
 
 
+def _occurs(line: Column, phrase: str) -> Column:
+    """``occurs`` of a known phrase: most texts don't hold it, and one look for it says so."""
+    start = " " + phrase
+    found = F.contains(line, F.lit(start + ENDS[0]))
+    for end in ENDS[1:]:
+        found = found | F.contains(line, F.lit(start + end))
+    return F.contains(line, F.lit(start)) & found
+
+
 def present(c: Column, phrases: Sequence[str]) -> Column:
     """The phrases that occur in a text, in the order given; none hides another."""
-    return let(line_of(c), lambda line: F.filter(F.array(*map(F.lit, phrases)), lambda p: occurs(line, p)))
+    return let(line_of(c), lambda line: F.array_compact(F.array(*[F.when(_occurs(line, p), F.lit(p)) for p in phrases])))
 
 
 def any_of(line: Column, phrases: Sequence[str]) -> Column:
     """Whether a line of ``line_of`` has one of the phrases."""
-    return F.exists(F.array(*map(F.lit, phrases)), lambda p: occurs(line, p))
+    found = F.lit(False)
+    for p in phrases:
+        found = found | _occurs(line, p)
+    return found
 
 
 def strongest(c: Column, phrases: Sequence[str]) -> Column:

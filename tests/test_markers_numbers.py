@@ -89,3 +89,11 @@ def test_every_spelled_number_reads_back(spark):
     wanted = [*range(0, 1300), *range(1300, 3_000_000, 7919)]
     rows = spark.createDataFrame([(n, spell(n)) for n in wanted], "n long, w string").select("n", "w", numbers.read_number(F.split("w", " ")).alias("x"))
     assert [(r.n, r.w, r.x) for r in rows.where("x.value IS DISTINCT FROM cast(n AS double) OR x.raw IS DISTINCT FROM cast(n AS string)").collect()] == []
+
+
+def test_known_phrases_are_looked_for_without_a_lambda_over_the_list(spark):
+    """Each phrase is one look in most texts; a filter over the list put every phrase together anew for every row."""
+    rows = spark.createDataFrame([("It never must.",), ("all, neverland",), (None,)], "t string")
+    made = rows.select(markers.present(F.col("t"), ("never", "all", "must")).alias("p"))
+    assert [r.p for r in made.collect()] == [["never", "must"], ["all"], []]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("concat(") == 1  # the blanks around the line
