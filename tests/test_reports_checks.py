@@ -119,3 +119,14 @@ def test_drift_folds_a_text_once(spark):
     found = checks.drift(old, new)
     assert tuple(found.first()) == ("u", "unsupported", "one two three four five six")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(text") == 1
+
+
+def test_each_check_is_let_go_before_the_next(spark, tmp_path):
+    """Findings are summed check by check, and no check's shuffle files outlive all others."""
+    docs = spark.range(3000).select(F.col("id"), (F.col("id") % 7).alias("kind"))
+    found = lambda rows: rows.select(F.lit("error").alias("severity"), F.col("kind").alias("path"), F.lit("m").alias("message"))
+    listed = [checks.Check(f"c{i}", lambda t, i=i: found(docs.where(f"id % 3 = {i}").repartition(3, "id"))) for i in range(3)]
+    summed, skipped = checks.run_checks(listed, checks.Observed({}.get, {}), f"{tmp_path}/f", checks.counts_of)
+    assert {(r.severity, r.category, r.findings) for r in summed.collect()} == {("error", f"c{i}", 1000) for i in range(3)} and skipped.count() == 0
+    assert tuple(trail.findings_gate(summed).first()) == (3000, 0, True) == tuple(trail.findings_gate(checks.run_checks(listed, checks.Observed({}.get, {}), f"{tmp_path}/g")[0]).first())
+    assert sorted(p.name for p in (tmp_path / "f").iterdir()) == ["c0", "c1", "c2"]
