@@ -19,6 +19,18 @@ from plumbline.llm.scratch import Scratch, column
 
 
 _USED = ("doc_id", "text", "lang", "source")
+#: Rows that reach a worker at a time.
+_BATCH_ROWS = 1000
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to workers in small batches, which bounds the memory of both sides; a lower setting stays.
+
+    The session keeps that setting, as stages run when their rows are asked for.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= _BATCH_ROWS:
+        spark.conf.set(name, _BATCH_ROWS)
 
 
 def with_all_columns(stage: Callable) -> Callable:
@@ -26,6 +38,7 @@ def with_all_columns(stage: Callable) -> Callable:
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        limit_batches(spark)
         names = {c: c if c in _USED else f"aside_{i}" for i, c in enumerate(docs.columns)}
         out = stage(spark, docs.select(*[column(c).alias(name) for c, name in names.items()]), sf_dir)
         return out.select(*[column(name).alias(c) for c, name in names.items()])
@@ -67,6 +80,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    limit_batches(spark)
     return token_output.token_output(docs)
 
 

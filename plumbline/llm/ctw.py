@@ -95,7 +95,7 @@ def corpus_counts(documents: DataFrame, depth: int) -> DataFrame:
         for batch in batches:
             data, offsets = tb.text_buffer(batch.column("text"))
             learn = batch.column("training").to_numpy(zero_copy_only=False)
-            for a, b in tb.row_blocks(offsets):
+            for a, b in tb.row_blocks(offsets, 1 << 21):
                 part, offs = tb.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
                 starts, ends, first = tb.spans(_WORD[part], offs)
                 code, bounds = sequences(part, offs, depth)
@@ -411,7 +411,7 @@ def _scored(rows: DataFrame, words: Frequent, grams: Frequent, depth: int) -> Da
 
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b in tb.row_blocks(tb.text_buffer(batch.column("text"))[1]):  # bounds memory
+            for a, b in tb.row_blocks(tb.text_buffer(batch.column("text"))[1], 1 << 21):  # bounds memory
                 yield _score_block(batch.slice(a, b - a), shared_words.value, shared_grams.value, depth, at)
                 at += b - a
 

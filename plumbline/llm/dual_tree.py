@@ -34,7 +34,7 @@ _EXACT = 1 << 53
 def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Blocks of rows: the first row, the term hashes, and each row's first term."""
     data, offsets = tb.text_buffer(column)
-    for a, b in tb.row_blocks(offsets):
+    for a, b in tb.row_blocks(offsets, 1 << 21):
         part = data[offsets[a] : offsets[b]]
         starts, ends, first = tb.spans(_TERM[part], offsets[a : b + 1] - offsets[a])
         yield a, tb.span_hashes(tb.LOWER[part], starts, ends), first

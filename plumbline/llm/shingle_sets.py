@@ -31,7 +31,7 @@ _SHAPES = "doc_id long, version long, id long, size int, parity binary, prefix a
 #: A larger set has more bits, as many as shingles or up to twice that, so that parities of unlike sets differ in more
 #: bits than those of similar ones can.
 _PARITY = 1024
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:

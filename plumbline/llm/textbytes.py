@@ -53,7 +53,7 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def row_blocks(offsets: np.ndarray, size: int = 1 << 21):
+def row_blocks(offsets: np.ndarray, size: int = 1 << 19):
     """Ranges of rows of about ``size`` bytes each (a longer row is a block of its own).
 
     Blocks keep the numpy passes inside the processor's cache and bound memory.

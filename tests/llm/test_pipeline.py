@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -98,3 +99,17 @@ def test_factorize_numbers_values_by_first_appearance():
     index, distinct = textbytes.factorize(np.array([7, 2, 7, 2**64 - 1, 2], np.uint64))
     assert index.tolist() == [0, 1, 0, 2, 1] and distinct.tolist() == [7, 2, 2**64 - 1]
     assert all(not len(x) for x in textbytes.factorize(np.zeros(0, np.uint64)))
+
+
+def test_stages_take_texts_in_small_batches(spark, documents, tmp_path):
+    """A worker gets a thousand rows at most, and looks at half a megabyte of them at a time."""
+    name, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches)
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10_000)
+        corpus_pipeline.drop_near_duplicates(spark, documents, str(tmp_path))
+        most = spark.range(5000, numPartitions=1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+        assert most <= 1000
+    finally:
+        spark.conf.set(name, before)
+    assert [b - a for a, b in textbytes.row_blocks(np.arange(0, 11 << 17, 1 << 17))] == [4, 4, 2]
