@@ -1,10 +1,12 @@
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from plumbline.operators import conflict, digest
 
 SPEC = "k | v"
@@ -73,6 +75,30 @@ def test_no_pair_is_formed_that_is_no_row(spark):
     assert made.count() == sum(1 for a in rows for b in rows if a[3] == ">=" and b[3] == "<=" and a[4] > b[4])
 
 
+@pytest.mark.parametrize("per_range", [1, 7, 4096])
+def test_claims_of_several_bounds_are_one_row_a_pair(spark, per_range):
+    """Claims repeat with equal and other bounds, some of which clash with each other; a pair says how many of its bounds don't meet."""
+    rng = random.Random(per_range)
+    rows = [(f"c{rng.randrange(60) if i % 2 else i}", f"s{i % 3 % 2}", rng.choice("dde"), rng.choice(("<=", ">=", "==")), float(rng.randrange(12))) for i in range(260)]
+    odd = [("n", "s0", "d", "<=", None), (None, "s0", "d", "==", 3.0), ("x", None, "d", "==", 3.0), ("y", None, "d", "==", 9.0), ("z", "s0", "d", None, 5.0)]
+    want = Counter()
+    for a, b in combinations(rows, 2):
+        (x, y), (z, w) = interval(*a[3:]), interval(*b[3:])
+        if a[0] != b[0] and a[1:3] == b[1:3] and max(x, z) > min(y, w):
+            want[(*a[1:3], min(a[0], b[0]), max(a[0], b[0]))] += 1
+    made = conflict.interval_conflicts(bounds(spark, rows + odd), per_range).collect()
+    assert max(want.values()) > 3 and len(made) == len(want)
+    assert {tuple(r)[:4]: r.times for r in made} == dict(want)
+
+
+def test_pairs_of_claims_are_not_grouped(spark):
+    """Bounds are moved, pairs are not: no aggregate or exchange of the query has a pair's claims as its keys."""
+    made = entry.queries()["interval_conflict"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(Aggregate\(keys=\[|hashpartitioning\()[^\])]*\b(first|second)#", plan)
+    assert made.columns == ["subject", "dimension", "first", "second", "times"]
+
+
 def test_cover_test_equals_brute_force(spark):
     rng = random.Random(8)
     rows = [(s, f"d{d}", f"p{rng.randrange(s + 2)}") for s in range(12) for d in range(rng.randrange(1, 14)) for _ in range(rng.randrange(1, 5))]
