@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -23,13 +24,12 @@ def line_of(c: Column) -> Column:
     return F.concat(F.lit(" "), fold_lower(c), F.lit(" "))
 
 
-def occurs(line: Column, phrase: Column) -> Column:
-    """Whether a phrase stands in a line after a blank and before a blank, comma or dot."""
-    start = F.concat(F.lit(" "), phrase)
+def occurs(line: Column, start: Column) -> Column:
+    """Whether a phrase stands in a line before a blank, comma or dot; ``start`` is the phrase after a blank, which most lines don't hold."""
     found = F.contains(line, F.concat(start, F.lit(ENDS[0])))
     for end in ENDS[1:]:
         found = found | F.contains(line, F.concat(start, F.lit(end)))
-    return found
+    return F.contains(line, start) & found
 
 
 def _occurs(line: Column, phrase: str) -> Column:
@@ -46,12 +46,16 @@ def present(c: Column, phrases: Sequence[str]) -> Column:
     return let(line_of(c), lambda line: F.array_compact(F.array(*[F.when(_occurs(line, p), F.lit(p)) for p in phrases])))
 
 
+def _quoted(phrase: str) -> str:
+    """A pattern of just that phrase, in the common part of Java's and RE2's syntax."""
+    return re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", phrase)
+
+
 def any_of(line: Column, phrases: Sequence[str]) -> Column:
-    """Whether a line of ``line_of`` has one of the phrases."""
-    found = F.lit(False)
-    for p in phrases:
-        found = found | _occurs(line, p)
-    return found
+    """Whether a line of ``line_of`` has one of the phrases: one pass over the line for all."""
+    if not phrases:
+        return F.lit(False)
+    return F.rlike(line, F.lit(f" (?:{'|'.join(_quoted(p) for p in phrases)})[{''.join(ENDS)}]"))
 
 
 def strongest(c: Column, phrases: Sequence[str]) -> Column:
@@ -64,18 +68,24 @@ def consume(c: Column, markers: Sequence[tuple[str, str]]) -> Column:
 
     Markers are tried by falling length.  One that occurs is taken out of the text
     wherever it stands, so that a shorter marker inside it doesn't count the same
-    words again; it still counts where it stands alone.
+    words again; it still counts where it stands alone.  A text that has none at
+    first has none later on.
     """
     ordered = sorted(markers, key=lambda m: -len(m[0]))
-    listed = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(r).alias("role")) for p, r in ordered])
-    start = F.struct(line_of(c).alias("line"), F.array().cast("array<struct<phrase:string,role:string>>").alias("found"))
+    listed = F.array(*[F.struct(F.lit(f" {p}").alias("start"), F.struct(F.lit(p).alias("phrase"), F.lit(r).alias("role")).alias("marker")) for p, r in ordered])
+    none = F.array().cast("array<struct<phrase:string,role:string>>")
+
+    def step(state: Column, tried: Column) -> Column:
+        rest = F.replace(state["line"], tried["marker"]["phrase"], F.lit(" "))
+        taken = F.struct(rest.alias("line"), F.array_append(state["found"], tried["marker"]).alias("found"))
+        return F.when(occurs(state["line"], tried["start"]), taken).otherwise(state)
 
-    def step(state: Column, marker: Column) -> Column:
-        rest = F.replace(state["line"], marker["phrase"], F.lit(" "))
-        taken = F.struct(rest.alias("line"), F.array_append(state["found"], marker).alias("found"))
-        return F.when(occurs(state["line"], marker["phrase"]), taken).otherwise(state)
+    def taken_out(line: Column) -> Column:
+        start = F.struct(line.alias("line"), none.alias("found"))
+        found = F.aggregate(listed, start, step, lambda state: F.array_sort(state["found"]))
+        return F.when(any_of(line, [p for p, _ in ordered]), found).when(line.isNotNull(), none)
 
-    return F.aggregate(listed, start, step, lambda state: F.array_sort(state["found"]))
+    return let(line_of(c), taken_out)
 
 
 def described(found: Column) -> Column:

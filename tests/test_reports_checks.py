@@ -1,10 +1,12 @@
+import hashlib
 import re
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import HIDDEN_SCOPE, SCAN_RULES
-from plumbline.operators import checks, conflict, trail
+from plumbline.operators import checks, claims, conflict, trail
 
 
 def test_debt_and_domains(spark):
@@ -137,3 +139,54 @@ def test_a_quote_is_folded_once(spark):
     texts = spark.createDataFrame([("s", TEXT)], "source string, text string")
     plan = checks.quote_check(spark.createDataFrame([(1, "a", "s")], "quote_id long, quote string, source string"), texts)._jdf.queryExecution().analyzed().toString()
     assert plan.count("translate(") == 2 and plan.count("\\.{3,}") == 1
+
+
+def test_findings_are_hashed_by_path_and_not_sorted(spark):
+    rows = [("error", "c", f"p{i % 7}" if i % 5 else None, f"m{i}" if i % 3 else None) for i in range(200)] + [("warning", "d", "q", "n")] * 3
+    made = checks.digest_of(spark.createDataFrame(rows, "severity string, category string, path string, message string"))
+    digest = {}
+    for s, c, p, m in rows:
+        digest[s, c] = digest.get((s, c), 0) + int(hashlib.sha256(f"{p or ''}|{m or ''}".encode()).hexdigest()[:12], 16)
+    assert {tuple(r) for r in made.collect()} == {("error", "c", 200, 7, "p0", str(digest["error", "c"])), ("warning", "d", 3, 1, "q", str(digest["warning", "d"]))}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "path#" in plan and not re.search(r"SortAggregate\(key=\[[^\]]*path#", plan)
+
+
+def test_a_body_is_folded_before_it_meets_its_claims(spark):
+    bodies = spark.createDataFrame([(1, "the “cache”  is warm"), (2, None)], "doc_id long, body string")
+    anchors = spark.createDataFrame([(1, "a", 'the  "cache" is'), (1, "b", "cold"), (2, "c", "x")], "doc_id long, claim_id string, anchor string")
+    made = claims.absent_anchors(anchors, bodies)
+    assert [tuple(r) for r in made.collect()] == [("b", 1)]
+    assert "regexp_replace" not in next(x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_quotes_move_once_and_large_sources_in_slices(spark):
+    texts = spark.createDataFrame([("s", TEXT), ("t", TEXT)], "source string, text string")
+    quotes = spark.range(9000).select("id", F.concat(F.lit("the cache holds the hot pages of "), F.when(F.col("id") % 3 == 0, "the store").otherwise(F.col("id").cast("string"))).alias("quote"), F.when(F.col("id") < 8990, "s").otherwise("t").alias("source"))
+    made = checks.quote_check(quotes.withColumnRenamed("id", "quote_id"), texts)
+    assert {(r.state, r.source): r["count"] for r in made.groupBy("state", "source").count().collect()} == {("found", "s"): 2997, ("missing", "s"): 5993, ("found", "t"): 3, ("missing", "t"): 7}
+    assert not [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "quote" in x]
+
+
+def test_two_checks_run_at_a_time(spark, tmp_path):
+    met = threading.Barrier(2, timeout=60)
+
+    def run(_):
+        met.wait()
+        return spark.range(2).select(F.lit("error").alias("severity"), F.col("id").alias("path"), F.lit("m").alias("message"))
+
+    found, _ = checks.run_checks([checks.Check(f"c{i}", run) for i in range(4)], checks.Observed({}.get, {}), f"{tmp_path}/f")
+    assert found.count() == 8
+
+
+def test_a_measured_table_is_read_plainly(spark):
+    tables = checks.Observed({"docs": spark.range(5)}.__getitem__, {"docs": {"all": "true"}})
+    assert tables.table("docs").count() == 5 and tables.measured("docs", "all") == 5
+    assert "CollectMetrics" not in tables.table("docs")._jdf.queryExecution().analyzed().toString()
+
+
+def test_marked_phrases_are_looked_for_once(spark):
+    docs = spark.createDataFrame([(1, "It is (a+b), as x."), (2, "nothing"), (3, None), (4, "aab")], "doc_id long, body string")
+    made = claims.marked_language(docs, (("(a+b)", "r"), ("a", "s"), ("as", "t")))
+    assert [tuple(r) for r in made.collect()] == [(1, 2, '"(a+b)" (r), "as" (t)')]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
