@@ -1,13 +1,15 @@
+import hashlib
 import random
 import re
 from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from plumbline.operators import conflict, digest
+from plumbline.operators import claims, conflict, digest
 
 SPEC = "k | v"
 
@@ -134,3 +136,16 @@ def test_blocks_over_tasks_are_those_of_one(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert blocks[0] == blocks[1] and len(blocks[0]) > 10
+
+
+def test_claims_get_their_sources_before_they_are_paired(spark):
+    """A pair is neither dealt nor sorted: no exchange, aggregate or join has a pair's claims as its keys."""
+    rows = [("s", "a", True), ("s", "a", False), ("s", "b", True), ("s", "c", False), ("s", "d", None), ("t", "a", False), ("t", "b", False)]
+    cites = spark.createDataFrame([("a", "p2"), ("a", "p1"), ("a", "p0"), ("b", "p2"), ("c", "p0")], "claim_id string, archive_path string")
+    records = spark.createDataFrame([("p0", "referenced"), ("p1", "archived"), ("p2", "extracted")], "archive_path string, disposition string")
+    made = claims.pair_inputs(spark.createDataFrame(rows, "subject string, claim_id string, parsed boolean"), cites, records)
+    ids = {x + y: hashlib.sha256(f"{x}\0{y}".encode()).hexdigest()[:16] for x, y in combinations("abcd", 2)}
+    want = [("ab", "p1", "p2"), ("ab", "p1", "p2"), ("ac", "p1", None), ("ad", "p1", None), ("bc", "p2", None), ("cd", None, None)]
+    assert sorted(map(str, made.collect())) == sorted(str(Row(pair_id=ids[p], first_source=a, second_source=b, skipped=a is None or b is None)) for p, a, b in want)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(Aggregate\(key(s|)=\[|hashpartitioning\(|Join \[)[^\])]*\b(first|second)#", plan)
